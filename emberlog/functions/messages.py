@@ -47,4 +47,4 @@ def normalize_message(msg: Column) -> Column:
 def rfc3339(ts: Column) -> Column:
     """UTC timestamp text with the shortest fraction, e.g. 2024-01-15T10:32:01.5Z."""
     text = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.concat(F.regexp_replace(text, r"\.?0+$", ""), F.lit("Z"))
+    return F.concat(F.regexp_replace(text, r"\.?0+\z", ""), F.lit("Z"))

@@ -21,7 +21,7 @@ CHRONOLOGICAL = ("file", "line_no")
 def mentions_service(msg: Column, service: Column) -> Column:
     """The service name occurs in the message as a word, in any case."""
     quoted = F.concat(F.lit(r"\Q"), F.replace(service, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return (service != "") & msg.rlike(F.concat(F.lit("(?iu)" + BOUNDARY), quoted, F.lit(BOUNDARY)))
+    return (service != "") & F.regexp_like(msg, F.concat(F.lit("(?iu)" + BOUNDARY), quoted, F.lit(BOUNDARY)))
 
 
 def cascade_pattern(lag: Column, window: Column, source: Column, target: Column,

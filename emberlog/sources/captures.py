@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
-from emberlog.operators.filters import prune_files
+from emberlog.operators.filters import file_may_match
+from emberlog.operators.ordering import BROADCAST_ROWS
 from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
 
 # Files of a capture folder that hold no entries.
@@ -42,11 +43,13 @@ def _files(spark: SparkSession, glob: str):
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_lines(spark: SparkSession, path: str | list[str], only: Column | None = None) -> DataFrame:
     """Stored lines with their place: value, capture, file, block (offset of the file split).
 
     The conditions on file names are answered from the listing, so other files are not opened."""
     lines = _files(spark, DATA_GLOB).text(path)
+    if only is not None:
+        lines = lines.where(only)
     return lines.where(_is_data(F.col(_PATH), F.col(_NAME))).select(
         "value", F.regexp_extract(_PATH, _CAPTURE, 1).alias("capture"), F.col(_NAME).alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
@@ -91,13 +94,15 @@ def read_capture(spark: SparkSession, path: str | list[str], line_numbers: bool
 def read_capture_pruned(spark: SparkSession, path: str, index: DataFrame, frm=None, to=None, labels=None) -> DataFrame:
     """Read only files that the index cannot rule out; files it does not know are read.
 
-    The list of ruled-out files is as long as the index at most; it goes into the reader as
-    a condition on file names, which is answered from the listing."""
-    drop = (index.select("capture", "file")
-            .join(prune_files(index, frm=frm, to=to, labels=labels).select("capture", "file"),
-                  ["capture", "file"], "left_anti"))
-    lines = read_lines(spark, path)
-    return parse_entries(lines.join(drop, ["capture", "file"], "left_anti"))
+    The names of the ruled-out files become a condition on the reader's file path, which is
+    answered from the listing: those files are not opened. A list too long for that is
+    joined instead."""
+    out = index.where(~F.coalesce(file_may_match(frm, to, labels), F.lit(True))).select("capture", "file")
+    names = [f"{r.capture}/{r.file}" for r in out.limit(BROADCAST_ROWS + 1).collect()]
+    if len(names) > BROADCAST_ROWS:
+        return parse_entries(read_lines(spark, path).join(out, ["capture", "file"], "left_anti"))
+    place = F.regexp_replace(F.regexp_extract(_PATH, r"[^/]+(?:/data)?/[^/]+$", 0), "/data/", "/")
+    return parse_entries(read_lines(spark, path, ~place.isin(names) if names else None))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -141,11 +146,13 @@ def read_file_contents(spark: SparkSession, path: str) -> DataFrame:
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """All captures below ``root``, newest first."""
-    disk = list_files(spark, root).groupBy("dir").agg(
+    def local(dir_: Column) -> Column:  # listings and readers spell the file: scheme differently
+        return F.regexp_replace(dir_, "^file:/+", "/")
+
+    disk = list_files(spark, root).groupBy(local(F.col("dir")).alias("dir")).agg(
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
     zero = F.lit(0).cast("bigint")
-    return (read_metadata(spark, root).join(disk, F.regexp_replace("dir", "^file:/+", "/") == F.regexp_replace(
-                disk["dir"], "^file:/+", "/"), "left").drop(disk["dir"])
+    return (read_metadata(spark, root).withColumn("dir", local(F.col("dir"))).join(disk, "dir", "left")
             .select("capture", "started", "stopped", F.coalesce("files", zero).alias("files"),
                     F.col("total_lines").alias("entries"), F.coalesce("bytes", zero).alias("bytes"),
                     (F.col("stopped").isNull() | (F.year("stopped") <= 1)).alias("active"),

@@ -12,6 +12,7 @@ from emberlog.operators.capture_index import build_index, build_metadata
 from emberlog.operators.filters import filter_logs
 from emberlog.sources.captures import read_capture, read_index
 
+TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 MAX_FILE_ENTRIES = 1_000_000  # at a few hundred bytes an entry, about 256 MB
 
 
@@ -31,8 +32,9 @@ def write_capture(logs: DataFrame, path: str, order: Sequence[str] = ("ts",),
     (_wire(ordered).write.option("maxRecordsPerFile", max_entries)
      .option("compression", compression).json(f"{path}/data"))
     written = read_capture(spark, path)
-    build_index(written, F.col("raw_bytes") + 1, ["file"]).coalesce(1).write.json(f"{path}/index")
-    build_metadata(read_index(spark, path), redaction).drop("capture").coalesce(1).write.json(f"{path}/metadata")
+    build_index(written, F.col("raw_bytes") + 1, ["file"]).coalesce(1).write.option("timestampFormat", TIMES).json(f"{path}/index")
+    (build_metadata(read_index(spark, path), redaction).drop("capture").coalesce(1)
+     .write.option("timestampFormat", TIMES).json(f"{path}/metadata"))
 
 
 def slice_write(logs: DataFrame, path: str, **write_options) -> None:

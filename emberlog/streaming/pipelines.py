@@ -1,0 +1,110 @@
+"""Streams from landed files. Sources are rate-limited by ``max_files``; every sink has a
+checkpoint, so a lost executor or a restart loses and repeats nothing."""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from emberlog.functions.labels import label_present, service_label
+from emberlog.functions.messages import is_error, normalize_message
+from emberlog.operators.filters import text_or_label_matches
+from emberlog.operators.ingest import explode_loki
+from emberlog.sources.captures import parse_entries
+
+WATERMARK = "10 minutes"
+ENTRY = T.StructType([T.StructField("ts", T.TimestampType()),
+                      T.StructField("labels", T.MapType(T.StringType(), T.StringType())),
+                      T.StructField("msg", T.StringType())])
+
+
+def payload_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Push payloads, one a line, from files as they land."""
+    return (spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
+            .withColumnRenamed("value", "payload"))
+
+
+def entry_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
+    """Entries from parquet files as they land, such as those of ``ingest``."""
+    return (spark.readStream.schema(ENTRY).option("maxFilesPerTrigger", max_files)
+            .option("recursiveFileLookup", True).parquet(path))
+
+
+def ingest(payloads: DataFrame, out: str, checkpoint: str, redactor: bool | Iterable[str] | None = True,
+           custom=(), now: Column | None = None) -> StreamingQuery:
+    """Explode payloads, redact, then write: nothing unredacted reaches the sink."""
+    entries = explode_loki(payloads, "payload", now, redactor, custom)
+    return (entries.writeStream.format("parquet").option("checkpointLocation", checkpoint)
+            .option("path", out).outputMode("append").trigger(availableNow=True).start())
+
+
+def follow(spark: SparkSession, path: str, grep: str | None = None, label: tuple[str, str] | None = None,
+           max_files: int = 1000) -> DataFrame:
+    """New entries of JSON-lines files as they appear, filtered."""
+    lines = (spark.readStream.option("maxFilesPerTrigger", max_files)
+             .option("pathGlobFilter", "*.{jsonl,json,json.gz}").text(path))
+    entries = parse_entries(lines)
+    if label:
+        entries = entries.where(label_present(F.col("labels"), *label))
+    if grep is not None:
+        entries = entries.where(text_or_label_matches(grep))
+    return entries.select("ts", "labels", "msg")
+
+
+def counters(entries: DataFrame) -> DataFrame:
+    """Running entries and bytes per talker; entries without one count under the empty name."""
+    name = F.coalesce(service_label(F.col("labels")), F.lit(""))
+    return entries.groupBy(name.alias("name")).agg(
+        F.count(F.lit(1)).alias("received"), F.sum(F.octet_length("msg")).cast("bigint").alias("bytes"))
+
+
+def rates(entries: DataFrame, watermark: str | None = WATERMARK) -> DataFrame:
+    """Entries and bytes per second of event time."""
+    if watermark:
+        entries = entries.withWatermark("ts", watermark)
+    return (entries.groupBy(F.window("ts", "1 second"))
+            .agg(F.count(F.lit(1)).alias("logs_per_sec"), F.sum(F.octet_length("msg")).cast("bigint").alias("bytes_per_sec"))
+            .select(F.col("window.start").alias("second"), "logs_per_sec", "bytes_per_sec"))
+
+
+def minute_counts(entries: DataFrame, watermark: str | None = WATERMARK) -> DataFrame:
+    """Totals and errors per minute."""
+    if watermark:
+        entries = entries.withWatermark("ts", watermark)
+    return (entries.groupBy(F.window("ts", "1 minute"))
+            .agg(F.count(F.lit(1)).alias("total_lines"), F.count_if(is_error(F.col("msg"))).alias("error_lines"))
+            .select(F.col("window.start").alias("minute"), "total_lines", "error_lines"))
+
+
+def signatures(entries: DataFrame) -> DataFrame:
+    """Running count and first time per error signature."""
+    return (entries.where(is_error(F.col("msg")))
+            .groupBy(normalize_message(F.col("msg")).alias("signature"))
+            .agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_seen")))
+
+
+def talkers(entries: DataFrame) -> DataFrame:
+    """Running volume and errors per label key and value."""
+    return (entries.select(F.explode("labels").alias("key", "value"), is_error(F.col("msg")).alias("_err"))
+            .groupBy("key", "value")
+            .agg(F.count(F.lit(1)).alias("total_lines"), F.count_if("_err").alias("error_lines")))
+
+
+def keep_updates(running: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the rows that changed in each trigger to a folder of that trigger. Writing a
+    trigger again replaces its folder, so a retry does no harm."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/trigger={batch_id}")
+
+    return (running.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(availableNow=True).start())
+
+
+def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
+    """The current value of each key from what ``keep_updates`` wrote."""
+    updates = spark.read.parquet(out)
+    values = [c for c in updates.columns if c not in (*keys, "trigger")]
+    return (updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "trigger").alias("_v"))
+            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values]))
