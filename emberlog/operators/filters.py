@@ -130,8 +130,8 @@ def slice_logs(logs: DataFrame, index: DataFrame, frm: datetime | None = None, t
 def tail_n(logs: DataFrame, n: int, grep: str | None = None, label: tuple[str, str] | None = None,
            order: Sequence[str] = ("file", "line_no")) -> DataFrame:
     """The last n entries of the newest file, then filtered: fewer than n may be left."""
-    newest = logs.agg(F.max("file").alias("file"))
-    last = (logs.join(F.broadcast(newest), "file", "left_semi")
+    newest = logs.agg(F.max("file")).scalar()
+    last = (logs.where(F.col("file") == newest)
             .orderBy(*[F.col(c).desc() for c in order]).limit(n))
     if label:
         last = filter_label_present(last, *label)

@@ -55,5 +55,6 @@ def context_spans(hits: DataFrame, context: int, keys: Sequence[str] = ("file",)
 def grep_context(logs: DataFrame, pattern: str | None, context: int, keys: Sequence[str] = ("file",),
                  **filters) -> DataFrame:
     """Matches with the lines around them; ``logs`` must have ``line_no`` counted from 1 in each file."""
-    hits = logs.where(match(grep=pattern, **filters)).select(*keys, "line_no")
+    # The places of the hits are kept: finding them reads and numbers all lines.
+    hits = logs.where(match(grep=pattern, **filters)).select(*keys, "line_no").persist()
     return logs.join(context_spans(hits, context, keys), [*keys, "line_no"])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberlog.functions.labels import flatten_labels, service_label
 from emberlog.functions.redaction import Pattern, redact
+from emberlog.operators.decoding import decode
 from emberlog.schema import ENTRY_WIRE, PUSH_PAYLOAD
 
 # Lines per batch, bytes per payload, seconds until a batch is sent anyway.
@@ -50,14 +51,11 @@ def explode_raw(lines: DataFrame, column: str = "value", now: Column | None = No
     """Entries of one-JSON-object-per-line pushes; a missing time becomes ``now``. Lines that
     are not an entry are left out."""
     rest = [c for c in lines.columns if c != column]
-    parsed = F.from_json(F.col(column), ENTRY_WIRE, {"columnNameOfCorruptRecord": "_corrupt"})
-    ts = F.col("_e.ts").try_cast("timestamp")
-    return (lines.withColumn("_e", parsed)
-            .where("_e is not null and _e._corrupt is null")
-            .where(F.col("_e.ts").isNull() | ts.isNotNull())
-            .select(*rest, F.coalesce(ts, F.current_timestamp() if now is None else now).alias("ts"),
-                    F.col("_e.labels").alias("labels"),
-                    _redacted(F.coalesce("_e.msg", F.lit("")), redactor, custom).alias("msg")))
+    return (decode(lines, column, ENTRY_WIRE)
+            .withColumn("_ts", F.col("ts").try_cast("timestamp"))
+            .where("ts is null or _ts is not null")
+            .select(*rest, F.coalesce("_ts", F.current_timestamp() if now is None else now).alias("ts"), "labels",
+                    _redacted(F.coalesce("msg", F.lit("")), redactor, custom).alias("msg")))
 
 
 def parse_k8s_lines(lines: DataFrame, container: str | Column, column: str = "value", now: Column | None = None,

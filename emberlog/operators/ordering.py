@@ -21,10 +21,12 @@ def running_total(df: DataFrame, value: Column, order: Sequence[Column | str], s
 
     ``slice_by`` must be coarser than ``order`` and grow with it."""
     keys = list(keys)
-    df = df.withColumn("_slice", slice_by).withColumn("_value", value.cast("bigint"))
+    # A struct is never null, so rows without an order value keep a slice of their own.
+    df = df.withColumn("_slice", F.struct(slice_by.alias("at"))).withColumn("_value", value.cast("bigint"))
     sums = df.groupBy(*keys, "_slice").agg(F.sum("_value").alias("_sum"))
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
+    # Kept, as a result is often used more than once: one short row per slice.
+    sums = sums.select(*keys, "_slice", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")).persist()
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (df.join(sums, [*keys, "_slice"])
             .withColumn(out, F.col("_before") + F.sum("_value").over(inside))

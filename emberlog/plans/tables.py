@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime, timezone
 
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from emberlog.functions.messages import ERROR_KEYWORDS, is_error
+from emberlog.operators.capture_index import build_index, build_metadata
+from emberlog.operators.ingest import to_loki_payloads
 from emberlog.operators.ordering import number_rows
 from emberlog.session import configure
 
 CHRONOLOGICAL = ("ts", "event_id")
+HALF = datetime(2024, 1, 16, tzinfo=timezone.utc)  # where the base capture ends and the current one begins
+DISK_CAP = 2000
 
 
 class Tables:
@@ -18,7 +25,15 @@ class Tables:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        df = self.spark.read.parquet(path)
+        if not any(isinstance(f.dataType, T.TimestampNTZType) for f in df.schema.fields):
+            return df
+        # Times without a zone are UTC instants. Reading them as such (instead of casting the
+        # column) lets time filters reach the scan.
+        schema = T.StructType([T.StructField(f.name, T.TimestampType() if isinstance(f.dataType, T.TimestampNTZType)
+                                             else f.dataType) for f in df.schema.fields])
+        return self.spark.read.schema(schema).parquet(path)
 
     def logs(self) -> DataFrame:
         """``events`` as log entries; every event becomes one entry."""
@@ -38,10 +53,10 @@ class Tables:
         app = F.concat(F.lit("svc-"), (F.col("user_id") % 5).cast("string"))
         env = F.when(F.col("user_id") % 3 == 0, "prod").when(F.col("user_id") % 3 == 1, "staging").otherwise("dev")
         return e.select(
-            "event_id", F.col("ts").cast("timestamp").alias("ts"), app.alias("app"), env.alias("env"),
+            "event_id", "ts", app.alias("app"), env.alias("env"),
             F.create_map(F.lit("app"), app, F.lit("env"), env).alias("labels"),
             F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit("T000000-000.jsonl")).alias("file"),
-            F.when(F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz"), "base").otherwise("current").alias("capture"),
+            F.when(F.col("ts") < F.lit(HALF), "base").otherwise("current").alias("capture"),
             F.when(F.col("event_type") == "error", error).otherwise(plain).alias("msg"))
 
     def numbered_logs(self) -> DataFrame:
@@ -58,7 +73,7 @@ class Tables:
     def cascade_logs(self) -> DataFrame:
         """Errors as an upstream service, again 10 s later downstream, and some as noise 5 h later."""
         e = self.table("events").where("event_type = 'error'").select(
-            "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id")
+            "event_id", "ts", "user_id")
         copies = F.array(
             F.struct(F.lit("upstream").alias("app"), F.lit(0).alias("late"), F.lit("error: timeout calling downstream").alias("msg")),
             F.struct(F.lit("downstream").alias("app"), F.lit(10).alias("late"), F.lit("error processing order").alias("msg")),
@@ -70,7 +85,6 @@ class Tables:
     def skewed_logs(self) -> DataFrame:
         """Source A: the entries before 2024-01-16. Source B: their errors with a clock 3 s ahead."""
         base = self.logs().where("capture = 'base'")
-        from emberlog.functions.messages import is_error
         copies = F.array(F.struct(F.lit("A").alias("capture"), F.lit(0).alias("_late")),
                          F.struct(F.lit("B").alias("capture"), F.lit(3000000).alias("_late")))
         return (base.drop("capture").select("*", F.inline(copies))
@@ -78,11 +92,9 @@ class Tables:
                 .withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("_late"))).drop("_late"))
 
     def index(self) -> DataFrame:
-        from emberlog.operators.capture_index import build_index
         return build_index(self.logs(), F.octet_length("msg"), ["capture", "file"])
 
     def metadata(self) -> DataFrame:
-        from emberlog.operators.capture_index import build_metadata
         return build_metadata(self.index())
 
     def captures(self) -> DataFrame:
@@ -92,16 +104,14 @@ class Tables:
 
     def payloads(self) -> DataFrame:
         """Log entries packed as push payloads, with a payload id."""
-        from emberlog.operators.ingest import to_loki_payloads
         packed = to_loki_payloads(self.logs(), flush_seconds=3600.0, order=CHRONOLOGICAL)
         return packed.withColumn("payload_id", F.concat_ws("/", "label_set", F.col("flush").cast("string"),
                                                            F.col("part").cast("string")))
 
     def snapshots(self) -> DataFrame:
         """Hourly counters: cumulative events received, errors dropped, value as disk use."""
-        from pyspark.sql import Window
         hourly = (self.table("events")
-                  .groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"))
+                  .groupBy(F.date_trunc("hour", "ts").alias("ts"))
                   .agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("event_type") == "error").alias("dropped"),
                        F.sum(F.floor("value")).alias("used")))
         # One row per hour, whatever the volume.
@@ -112,8 +122,6 @@ class Tables:
             F.lit(DISK_CAP).cast("bigint").alias("disk_cap"))
 
 
-DISK_CAP = 2000
-
 # ---- the same views for the SQL twins -----------------------------------------------------
 
 LOGS = """
@@ -142,7 +150,6 @@ numbered AS (
 
 
 def is_error_sql(msg: str = "msg") -> str:
-    from emberlog.functions.messages import ERROR_KEYWORDS
     return "(" + " OR ".join(f"contains(lower({msg}), '{k}')" for k in ERROR_KEYWORDS) + ")"
 
 

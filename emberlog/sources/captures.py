@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from emberlog.operators.decoding import decode
 from emberlog.operators.filters import file_may_match
 from emberlog.operators.ordering import BROADCAST_ROWS
 from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
@@ -59,13 +60,10 @@ def parse_entries(lines: DataFrame) -> DataFrame:
     """Decode the ``value`` column; blank and malformed lines are left out, unknown fields
     ignored. An entry without a time keeps a null time and still counts."""
     rest = [c for c in lines.columns if c != "value"]
-    entry = F.from_json("value", ENTRY_WIRE, {"columnNameOfCorruptRecord": "_corrupt"})
-    ts = F.col("_e.ts").try_cast("timestamp")
-    return (lines.where(F.col("value") != "").withColumn("_e", entry)
-            .where("_e is not null and _e._corrupt is null")
-            .where(F.col("_e.ts").isNull() | ts.isNotNull())
-            .select(ts.alias("ts"), F.col("_e.labels").alias("labels"),
-                    F.coalesce("_e.msg", F.lit("")).alias("msg"),
+    return (decode(lines.where(F.col("value") != ""), "value", ENTRY_WIRE)
+            .withColumn("_ts", F.col("ts").try_cast("timestamp"))
+            .where("ts is null or _ts is not null")
+            .select(F.col("_ts").alias("ts"), "labels", F.coalesce("msg", F.lit("")).alias("msg"),
                     F.octet_length("value").alias("raw_bytes"), *rest))
 
 
@@ -79,6 +77,7 @@ def number_lines(entries: DataFrame) -> DataFrame:
     sizes = entries.groupBy(*keys, "block").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*keys, "block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    starts = starts.persist()  # one short row per file split, used whenever the entries are
     inside = Window.partitionBy(*keys, "block").orderBy("_at")
     return (marked.join(starts, [*keys, "block"])
             .withColumn("line_no", F.col("_start") + F.row_number().over(inside))
@@ -111,9 +110,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.where(_is_index(F.col(_PATH), F.col(_NAME)) & (F.trim("value") != "")).select(
         "value", F.regexp_extract(_PATH, _CAPTURE, 1).alias("capture"))
     schema = T.StructType([*INDEX.fields, T.StructField("_corrupt", T.StringType())])
-    entry = F.from_json("value", schema, {"columnNameOfCorruptRecord": "_corrupt"})
-    return (rows.withColumn("_i", entry).where("_i is not null and _i._corrupt is null and _i.file is not null")
-            .select("capture", *[F.col("_i")[f].alias(f) for f in INDEX.fieldNames()]))
+    return decode(rows, "value", schema).where("file is not null").select("capture", *INDEX.fieldNames())
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
