@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -23,7 +24,11 @@ def _redacted(msg: Column, redactor: bool | Iterable[str] | None, custom: Iterab
     return redact(msg, None if redactor is True else redactor, custom)
 
 
-def explode_loki(payloads: DataFrame, column: str = "payload", now: Column | None = None,
+def _now(now: datetime | None) -> Column:
+    return F.current_timestamp() if now is None else F.lit(now)
+
+
+def explode_loki(payloads: DataFrame, column: str = "payload", now: datetime | None = None,
                  redactor: bool | Iterable[str] | None = None, custom: Iterable[Pattern] = ()) -> DataFrame:
     """Entries of ``{"streams": [{"stream": labels, "values": [[ns, msg], ...]}]}`` payloads.
 
@@ -37,7 +42,7 @@ def explode_loki(payloads: DataFrame, column: str = "payload", now: Column | Non
             .select(*rest, F.col("_stream.stream").alias("labels"), F.explode("_stream.values").alias("_value"))
             .where(F.size("_value") >= 2)
             .select(*rest,
-                    F.coalesce(_from_nanos(nanos), F.current_timestamp() if now is None else now).alias("ts"),
+                    F.coalesce(_from_nanos(nanos), _now(now)).alias("ts"),
                     "labels", _redacted(F.col("_value")[1], redactor, custom).alias("msg")))
 
 
@@ -46,7 +51,7 @@ def _from_nanos(nanos: Column) -> Column:
     return F.timestamp_micros(F.call_function("div", nanos - F.pmod(nanos, F.lit(1000)), F.lit(1000)))
 
 
-def explode_raw(lines: DataFrame, column: str = "value", now: Column | None = None,
+def explode_raw(lines: DataFrame, column: str = "value", now: datetime | None = None,
                 redactor: bool | Iterable[str] | None = None, custom: Iterable[Pattern] = ()) -> DataFrame:
     """Entries of one-JSON-object-per-line pushes; a missing time becomes ``now``. Lines that
     are not an entry are left out."""
@@ -54,11 +59,11 @@ def explode_raw(lines: DataFrame, column: str = "value", now: Column | None = No
     return (decode(lines, column, ENTRY_WIRE)
             .withColumn("_ts", F.col("ts").try_cast("timestamp"))
             .where("ts is null or _ts is not null")
-            .select(*rest, F.coalesce("_ts", F.current_timestamp() if now is None else now).alias("ts"), "labels",
+            .select(*rest, F.coalesce("_ts", _now(now)).alias("ts"), "labels",
                     _redacted(F.coalesce("msg", F.lit("")), redactor, custom).alias("msg")))
 
 
-def parse_k8s_lines(lines: DataFrame, container: str | Column, column: str = "value", now: Column | None = None,
+def parse_k8s_lines(lines: DataFrame, container: str | Column, column: str = "value", now: datetime | None = None,
                     labels: Column | None = None) -> DataFrame:
     """``<time> <message>`` lines. Without a readable time the whole line is the message."""
     rest = [c for c in lines.columns if c != column]
@@ -69,7 +74,7 @@ def parse_k8s_lines(lines: DataFrame, container: str | Column, column: str = "va
     ts = F.when(looks_right & line.contains(" "), F.regexp_replace(head, r"(\.\d{6})\d+", "$1").try_cast("timestamp"))
     own = F.create_map(F.lit("container"), F.lit(container) if isinstance(container, str) else container)
     return (lines.withColumn("_ts", ts)
-            .select(*rest, F.coalesce("_ts", F.current_timestamp() if now is None else now).alias("ts"),
+            .select(*rest, F.coalesce("_ts", _now(now)).alias("ts"),
                     (own if labels is None else F.map_concat(
                         F.map_filter(labels, lambda k, v: k != "container"), own)).alias("labels"),
                     F.when(F.col("_ts").isNotNull(), F.expr(f"substring({column}, instr({column}, ' ') + 1)"))

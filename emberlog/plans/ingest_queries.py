@@ -99,13 +99,13 @@ def luhn(t):
 @query("loki_explode", f"WITH {LOGS} SELECT ts, 'app=' || app || ';env=' || env AS labels, msg FROM logs")
 def loki_explode(t):
     """Entries packed into payloads and taken out again are the entries."""
-    entries = ingest.explode_loki(t.payloads().select("payload"), now=F.lit(NOW))
+    entries = ingest.explode_loki(t.payloads().select("payload"), now=NOW)
     return entries.select("ts", flatten_labels(F.col("labels")).alias("labels"), "msg")
 
 
 @query("loki_explode_redacted", f"WITH {LOGS}, {_redact_ctes('logs', 'event_id, ts', 'msg')} SELECT ts, t AS msg FROM done")
 def loki_explode_redacted(t):
-    return ingest.explode_loki(t.payloads().select("payload"), now=F.lit(NOW), redactor=True).select("ts", "msg")
+    return ingest.explode_loki(t.payloads().select("payload"), now=NOW, redactor=True).select("ts", "msg")
 
 
 @query("raw_explode", f"""WITH {LOGS}
@@ -114,7 +114,7 @@ def raw_explode(t):
     """Some lines lack a time, some are broken off."""
     body = F.to_json(F.struct(F.when(F.col("event_id") % 7 != 0, rfc3339(F.col("ts"))).alias("ts"), "labels", "msg"))
     lines = t.logs().select("event_id", F.when(F.col("event_id") % 11 == 0, F.substring(body, 1, 20)).otherwise(body).alias("value"))
-    return ingest.explode_raw(lines, now=F.lit(NOW)).select("event_id", "ts", F.col("labels")["app"].alias("app"), "msg")
+    return ingest.explode_raw(lines, now=NOW).select("event_id", "ts", F.col("labels")["app"].alias("app"), "msg")
 
 
 @query("k8s_line_source", f"""WITH {LOGS}
@@ -123,7 +123,7 @@ def k8s_line_source(t):
     """Lines with a leading time, and every fifth without."""
     line = F.when(F.col("event_id") % 5 == 0, F.col("msg")).otherwise(F.concat_ws(" ", rfc3339(F.col("ts")), "msg"))
     lines = t.logs().select("event_id", "app", line.alias("value"))
-    return ingest.parse_k8s_lines(lines, F.col("app"), now=F.lit(NOW)).select(
+    return ingest.parse_k8s_lines(lines, F.col("app"), now=NOW).select(
         "event_id", "ts", flatten_labels(F.col("labels")).alias("labels"), "msg")
 
 
@@ -147,7 +147,7 @@ def loki_payload_write(t):
 SELECT payload_id, 'loki_push_received' AS event, CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(t)) AS BIGINT) AS bytes
 FROM done GROUP BY payload_id""")
 def ingest_audit(t):
-    entries = ingest.explode_loki(t.payloads().select("payload_id", "payload"), now=F.lit(NOW), redactor=True)
+    entries = ingest.explode_loki(t.payloads().select("payload_id", "payload"), now=NOW, redactor=True)
     return ingest.ingest_audit(entries, "payload_id")
 
 

@@ -4,8 +4,9 @@ checkpoint, so a lost executor or a restart loses and repeats nothing."""
 from __future__ import annotations
 
 from collections.abc import Iterable
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.labels import label_present, service_label
@@ -33,7 +34,7 @@ def entry_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataF
 
 
 def ingest(payloads: DataFrame, out: str, checkpoint: str, redactor: bool | Iterable[str] | None = True,
-           custom=(), now: Column | None = None) -> StreamingQuery:
+           custom=(), now: datetime | None = None) -> StreamingQuery:
     """Explode payloads, redact, then write: nothing unredacted reaches the sink."""
     entries = explode_loki(payloads, "payload", now, redactor, custom)
     return (entries.writeStream.format("parquet").option("checkpointLocation", checkpoint)
