@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
-from emberlog.functions.regex import WORD_END, WORD_START
+from emberlog.functions.regex import DIGIT_START, WORD_END
 
 # A message is an error if its lower-case form contains one of these.
 ERROR_KEYWORDS = (
@@ -19,10 +19,10 @@ HEX = "[0-9a-fA-F]"
 SIGNATURE_RULES = (
     (rf"{HEX}{{8}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{4}}-{HEX}{{12}}", "<UUID>"),
     (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[.\d]*Z?", "<TS>"),
-    (WORD_START + r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + WORD_END, "<IP>"),
+    (DIGIT_START + r"\d{0,2}\.\d{1,3}\.\d{1,3}\.\d{1,3}" + WORD_END, "<IP>"),
     (rf"0x{HEX}+", "<HEX>"),
-    (WORD_START + r"\d+\.?\d*(?:ms|us|µs|ns|s|m|h)" + WORD_END, "<DUR>"),
-    (WORD_START + r"\d{4,}" + WORD_END, "<N>"),
+    (DIGIT_START + r"\d*\.?\d*(?:ms|us|µs|ns|s|m|h)" + WORD_END, "<DUR>"),
+    (DIGIT_START + r"\d{3,}" + WORD_END, "<N>"),
 )
 
 # Signatures that make a capture critical whatever the error rate.

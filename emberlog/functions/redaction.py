@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from emberlog.functions.regex import BOUNDARY, WORD_END, WORD_START, java_regex, java_replacement
+from emberlog.functions.regex import DIGIT_START, WORD, WORD_END, java_regex, java_replacement
 
 
 @dataclass(frozen=True)
@@ -15,21 +15,25 @@ class Pattern:
     name: str
     regex: str  # in Java's dialect
     replacement: str
+    needs: str = ""  # text that every match contains, or a cheap regex (after "~") that finds it
 
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)"
+_SPACE = r"\t\n\f\r "
+# A word boundary and then one character of an address' name part.
+_NAME_START = rf"(?:[{WORD}](?<![{WORD}].)|[.%+\-](?<=[{WORD}].))"
 
 # Names, patterns and replacements, applied in this order.
 BUILTIN = (
-    Pattern("credit_card", WORD_START + r"(?:\d[ -]*?){13,19}" + WORD_END, "[REDACTED:cc]"),
-    Pattern("email", BOUNDARY + r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}" + WORD_END, "[REDACTED:email]"),
-    Pattern("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED:jwt]"),
-    Pattern("bearer", r"(?iu)(?:Bearer[\t\n\f\r ]+|Authorization:[\t\n\f\r ]*Bearer[\t\n\f\r ]+)[A-Za-z0-9_\-.]+",
-            "[REDACTED:bearer]"),
-    Pattern("ip_v4", WORD_START + rf"(?:{_OCTET}\.){{3}}{_OCTET}" + WORD_END, "[REDACTED:ip]"),
-    Pattern("ssn", WORD_START + r"\d{3}-\d{2}-\d{4}" + WORD_END, "[REDACTED:ssn]"),
-    Pattern("phone", r"(?:\+\d{1,3}[\t\n\f\r .-]?)?\(?\d{3}\)?[\t\n\f\r .-]?\d{3}[\t\n\f\r .-]?\d{4}" + WORD_END,
-            "[REDACTED:phone]"),
+    Pattern("credit_card", DIGIT_START + r"[ -]*?(?:\d[ -]*?){12,18}" + WORD_END, "[REDACTED:cc]"),
+    Pattern("email", _NAME_START + r"[A-Za-z0-9._%+\-]*+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}" + WORD_END, "[REDACTED:email]", "@"),
+    Pattern("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED:jwt]", "eyJ"),
+    Pattern("bearer", rf"(?iu)(?:Bearer[{_SPACE}]+|Authorization:[{_SPACE}]*Bearer[{_SPACE}]+)[A-Za-z0-9_\-.]+",
+            "[REDACTED:bearer]", "~(?iu)bearer"),
+    Pattern("ip_v4", rf"(?=\d{{1,3}}\.)(?<![{WORD}])(?:{_OCTET}\.){{3}}{_OCTET}" + WORD_END, "[REDACTED:ip]", "."),
+    Pattern("ssn", DIGIT_START + r"\d{2}-\d{2}-\d{4}" + WORD_END, "[REDACTED:ssn]", "-"),
+    Pattern("phone", rf"(?:\+\d{{1,3}}[{_SPACE}.-]?)?\(?\d{{3}}\)?[{_SPACE}.-]?\d{{3}}[{_SPACE}.-]?\d{{4}}" + WORD_END,
+            "[REDACTED:phone]", "~[0-9]{3}"),
 )
 CARD = BUILTIN[0]
 
@@ -72,20 +76,29 @@ def card_hits(text: Column) -> Column:
 
 def redact_cards(text: Column) -> Column:
     """Replace only the matches whose checksum is right: the gaps between the matches are put
-    together again with each match or its replacement. Texts without a match are left alone."""
+    together again with each match or its replacement."""
     gaps = F.split(text, CARD.regex, -1)
     kept = F.transform(_card_matches(text),
                        lambda m: F.when(luhn_valid(m), F.lit(CARD.replacement)).otherwise(m))
-    joined = F.array_join(F.transform(
+    return F.array_join(F.transform(
         F.arrays_zip(gaps.alias("gap"), kept.alias("kept")),
         lambda z: F.concat(z["gap"], F.coalesce(z["kept"], F.lit("")))), "")
-    return F.when(text.rlike(CARD.regex), joined).otherwise(text)
 
 
-def _apply(text: Column, pattern: Pattern) -> Column:
+def _replace(text: Column, pattern: Pattern) -> Column:
+    """One pattern. Most texts are passed over by a cheap test."""
     if pattern == CARD:
-        return redact_cards(text)
-    return F.regexp_replace(text, pattern.regex, pattern.replacement)
+        return F.when(text.rlike(CARD.regex), redact_cards(text)).otherwise(text)
+    changed = F.regexp_replace(text, pattern.regex, pattern.replacement)
+    if not pattern.needs:
+        return changed
+    possible = text.rlike(pattern.needs[1:]) if pattern.needs.startswith("~") else text.contains(pattern.needs)
+    return F.when(possible, changed).otherwise(text)
+
+
+def _apply(text: Column, pattern: Pattern) -> Column:
+    # As a lambda variable the text is computed once, though the pattern's step uses it often.
+    return F.get(F.transform(F.array(text), lambda t: _replace(t, pattern)), F.lit(0))
 
 
 def redact(text: Column, names: Iterable[str] | None = None, custom: Iterable[Pattern] = ()) -> Column:
@@ -107,7 +120,7 @@ def redact_with_hits(df: DataFrame, column: str, names: Iterable[str] | None = N
             df = df.withColumn(hits, card_hits(before).cast("bigint"))
             df = df.withColumn(column, F.when(F.col(hits) > 0, redact_cards(before)).otherwise(before))
         else:
-            df = df.withColumn("_after", _apply(before, pattern))
+            df = df.withColumn("_after", _replace(before, pattern))
             df = df.withColumn(hits, (F.col("_after") != before).cast("bigint"))
             df = df.withColumn(column, F.col("_after")).drop("_after")
     return df

@@ -151,11 +151,9 @@ def manifest_verify(t):
 # ---- captures on disk: written from the logs, then read back -------------------------------
 
 def _written(t, **options):
-    """The two captures of the logs, written below one folder."""
+    """The captures of the logs, written below one folder."""
     root = scratch_dir(t.spark, "captures")
-    logs = t.logs()
-    for name in ("base", "current"):
-        sinks.write_capture(logs.where(F.col("capture") == name), f"{root}/{name}", order=CHRONOLOGICAL, **options)
+    sinks.write_captures(t.logs(), root, order=CHRONOLOGICAL, **options)
     return root
 
 

@@ -1,8 +1,11 @@
 """Read captures: folders with data files, an index and a session record.
 
-Two layouts are read alike: ``<capture>/{*.jsonl, *.jsonl.zst, index.jsonl, metadata.json}``
-and what ``sinks.write_capture`` makes, ``<capture>/{data,index,metadata}/*``. ``path`` may
-be one capture or a folder of captures, on any file system Spark can read.
+Three layouts are read alike; ``path`` may be one capture or a folder of captures, on any
+file system Spark can read:
+
+- flat: ``<capture>/{*.jsonl, *.jsonl.zst, index.jsonl, metadata.json}``
+- one written capture: ``<capture>/{data,index,metadata}/*``
+- many written together: ``<root>/capture=<name>/*``, ``<root>/{index,metadata}/capture=<name>/*``
 """
 
 from __future__ import annotations
@@ -20,24 +23,43 @@ DATA_GLOB = "*.{jsonl,jsonl.zst,jsonl.gz,json,json.gz}"
 
 _PATH = "_metadata.file_path"
 _NAME = "_metadata.file_name"
-# The folder above the file, or above its data/index/metadata folder.
-_CAPTURE = r"([^/]+)(?:/(?:data|index|metadata))?/[^/]+$"
+_PARTS = ("data", "index", "metadata")
 
 
-def _capture_dir(path: Column) -> Column:
-    return F.regexp_replace(path, r"(?:/(?:data|index|metadata))?/[^/]+$", "")
+# These run for every line, so they cut the path at its slashes instead of matching a regex.
+
+def _folder(path: Column, up: int) -> Column:
+    """Name of the folder ``up`` levels above the file."""
+    return F.substring_index(F.substring_index(path, "/", -1 - up), "/", 1)
+
+
+def _capture(path: Column) -> Column:
+    """The folder above the file, or above its data/index/metadata folder."""
+    name = F.when(_folder(path, 1).isin(*_PARTS), _folder(path, 2)).otherwise(_folder(path, 1))
+    return F.when(name.startswith("capture="), F.substring_index(name, "=", -1)).otherwise(name)
+
+
+def _below(path: Column, folder: str) -> Column:
+    return (_folder(path, 1) == folder) | ((_folder(path, 2) == folder) & _folder(path, 1).startswith("capture="))
 
 
 def _is_data(path: Column, name: Column) -> Column:
-    return ~name.isin(*NOT_DATA) & ~path.rlike(r"/(?:index|metadata)/[^/]+$")
+    return ~name.isin(*NOT_DATA) & ~_below(path, "index") & ~_below(path, "metadata")
 
 
 def _is_index(path: Column, name: Column) -> Column:
-    return (name == "index.jsonl") | path.rlike(r"/index/[^/]+\.json$")
+    return (name == "index.jsonl") | (_below(path, "index") & name.endswith(".json"))
 
 
 def _is_metadata(path: Column, name: Column) -> Column:
-    return (name == "metadata.json") | path.rlike(r"/metadata/[^/]+\.json$")
+    return (name == "metadata.json") | (_below(path, "metadata") & name.endswith(".json"))
+
+
+def _capture_dir(path: Column) -> Column:
+    """The capture's folder; used for one row per file only."""
+    parts = "|".join(_PARTS)
+    together = F.regexp_replace(path, rf"/(?:{parts})/(capture=[^/]+)/[^/]+$", "/$1/")
+    return F.regexp_replace(together, rf"(?:/(?:{parts}))?/[^/]*$", "")
 
 
 def _files(spark: SparkSession, glob: str):
@@ -52,7 +74,7 @@ def read_lines(spark: SparkSession, path: str | list[str], only: Column | None =
     if only is not None:
         lines = lines.where(only)
     return lines.where(_is_data(F.col(_PATH), F.col(_NAME))).select(
-        "value", F.regexp_extract(_PATH, _CAPTURE, 1).alias("capture"), F.col(_NAME).alias("file"),
+        "value", _capture(F.col(_PATH)).alias("capture"), F.col(_NAME).alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
 
 
@@ -100,7 +122,7 @@ def read_capture_pruned(spark: SparkSession, path: str, index: DataFrame, frm=No
     names = [f"{r.capture}/{r.file}" for r in out.limit(BROADCAST_ROWS + 1).collect()]
     if len(names) > BROADCAST_ROWS:
         return parse_entries(read_lines(spark, path).join(out, ["capture", "file"], "left_anti"))
-    place = F.regexp_replace(F.regexp_extract(_PATH, r"[^/]+(?:/data)?/[^/]+$", 0), "/data/", "/")
+    place = F.concat_ws("/", _capture(F.col(_PATH)), F.col(_NAME))
     return parse_entries(read_lines(spark, path, ~place.isin(names) if names else None))
 
 
@@ -108,7 +130,7 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index rows of all captures below ``path``; bad lines are skipped, no index gives no rows."""
     rows = _files(spark, "*.{jsonl,json}").text(path)
     rows = rows.where(_is_index(F.col(_PATH), F.col(_NAME)) & (F.trim("value") != "")).select(
-        "value", F.regexp_extract(_PATH, _CAPTURE, 1).alias("capture"))
+        "value", _capture(F.col(_PATH)).alias("capture"))
     schema = T.StructType([*INDEX.fields, T.StructField("_corrupt", T.StringType())])
     return decode(rows, "value", schema).where("file is not null").select("capture", *INDEX.fieldNames())
 
@@ -118,17 +140,17 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     docs = (_files(spark, "*.json").schema(METADATA).option("multiLine", True)
             .option("mode", "DROPMALFORMED").json(path))
     return docs.where(_is_metadata(F.col(_PATH), F.col(_NAME))).select(
-        F.regexp_extract(_PATH, _CAPTURE, 1).alias("capture"), _capture_dir(F.col(_PATH)).alias("dir"),
+        _capture(F.col(_PATH)).alias("capture"), _capture_dir(F.col(_PATH)).alias("dir"),
         *METADATA.fieldNames())
 
 
 def list_files(spark: SparkSession, path: str, data_only: bool = True) -> DataFrame:
     """capture, dir, file, bytes of each file; the contents are not read."""
     files = _files(spark, DATA_GLOB if data_only else "*").format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.substring_index("path", "/", -1)
     if data_only:
         files = files.where(_is_data(F.col("path"), name))
-    return files.select(F.regexp_extract("path", _CAPTURE, 1).alias("capture"),
+    return files.select(_capture(F.col("path")).alias("capture"),
                         _capture_dir(F.col("path")).alias("dir"), name.alias("file"), F.col("length").alias("bytes"))
 
 
@@ -136,9 +158,9 @@ def read_file_contents(spark: SparkSession, path: str) -> DataFrame:
     """capture, file, content of every file but the manifest, for digests. Data files are
     bounded in size when written, which keeps one file within one task's memory."""
     files = _files(spark, "*").format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
+    name = F.substring_index("path", "/", -1)
     return files.where(name != "manifest.sha256").select(
-        F.regexp_extract("path", _CAPTURE, 1).alias("capture"), name.alias("file"), "content")
+        _capture(F.col("path")).alias("capture"), name.alias("file"), "content")
 
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:

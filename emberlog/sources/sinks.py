@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, functions as F
 
 from emberlog.functions.labels import flatten_labels
 from emberlog.functions.messages import rfc3339
@@ -16,8 +16,8 @@ TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 MAX_FILE_ENTRIES = 1_000_000  # at a few hundred bytes an entry, about 256 MB
 
 
-def _wire(logs: DataFrame) -> DataFrame:
-    return logs.select(rfc3339(F.col("ts")).alias("ts"), "labels", "msg")
+def _wire(logs: DataFrame, *more: str) -> DataFrame:
+    return logs.select(rfc3339(F.col("ts")).alias("ts"), "labels", "msg", *more)
 
 
 def write_capture(logs: DataFrame, path: str, order: Sequence[str] = ("ts",),
@@ -29,12 +29,30 @@ def write_capture(logs: DataFrame, path: str, order: Sequence[str] = ("ts",),
     is built from the written files, the session record from the index."""
     spark = logs.sparkSession
     ordered = logs.repartitionByRange(*order).sortWithinPartitions(*order)
-    (_wire(ordered).write.option("maxRecordsPerFile", max_entries)
-     .option("compression", compression).json(f"{path}/data"))
-    written = read_capture(spark, path)
-    build_index(written, F.col("raw_bytes") + 1, ["file"]).coalesce(1).write.option("timestampFormat", TIMES).json(f"{path}/index")
-    (build_metadata(read_index(spark, path), redaction).drop("capture").coalesce(1)
-     .write.option("timestampFormat", TIMES).json(f"{path}/metadata"))
+    _data(_wire(ordered), max_entries, compression).json(f"{path}/data")
+    index = build_index(read_capture(spark, path), F.col("raw_bytes") + 1, ["file"])
+    index.write.option("timestampFormat", TIMES).json(f"{path}/index")
+    metadata = build_metadata(read_index(spark, path), redaction)
+    metadata.drop("capture").write.option("timestampFormat", TIMES).json(f"{path}/metadata")
+
+
+def write_captures(logs: DataFrame, root: str, order: Sequence[str] = ("ts",),
+                   max_entries: int = MAX_FILE_ENTRIES, redaction: Sequence[str] | None = None,
+                   compression: str = "none") -> None:
+    """Write all captures of the ``capture`` column at once, one folder each. A capture with a
+    large share of the entries is cut by time like all others."""
+    spark = logs.sparkSession
+    place = ["capture", *order]
+    ordered = logs.repartitionByRange(*place).sortWithinPartitions(*place)
+    _data(_wire(ordered, "capture"), max_entries, compression).partitionBy("capture").json(root)
+    index = build_index(read_capture(spark, root), F.col("raw_bytes") + 1, ["capture", "file"])
+    index.write.option("timestampFormat", TIMES).partitionBy("capture").json(f"{root}/index")
+    metadata = build_metadata(read_index(spark, root), redaction)
+    metadata.write.option("timestampFormat", TIMES).partitionBy("capture").json(f"{root}/metadata")
+
+
+def _data(wire: DataFrame, max_entries: int, compression: str) -> DataFrameWriter:
+    return wire.write.option("maxRecordsPerFile", max_entries).option("compression", compression)
 
 
 def slice_write(logs: DataFrame, path: str, **write_options) -> None:

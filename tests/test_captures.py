@@ -123,6 +123,24 @@ def test_write_and_read(spark, make_logs):
     assert root.files >= 11 and len(root.root_sha256) == 64
 
 
+def test_write_many(spark, make_logs):
+    logs = make_logs([(f"10:{59 - i:02d}:00", {"app": "x"}, f"m{i}", "f", "hot" if i % 3 else "cold") for i in range(60)])
+    root = scratch_dir(spark, "caps")
+    sinks.write_captures(logs, root, max_entries=9)
+    back = src.read_capture(spark, root)
+    assert {r.capture: r["count"] for r in back.groupBy("capture").count().collect()} == {"hot": 40, "cold": 20}
+    assert {r.capture: r.total_lines for r in src.read_metadata(spark, root).collect()} == {"hot": 40, "cold": 20}
+    index = src.read_index(spark, root)
+    assert index.agg(F.max("lines")).first()[0] <= 9
+    rows = {r.capture: r for r in src.catalog(spark, root).collect()}
+    assert rows["hot"].files == index.where("capture = 'hot'").count() and rows["cold"].bytes > 0
+    only = src.read_capture(spark, f"{root}/capture=hot")
+    assert only.count() == 40 and only.first().capture == "hot"
+    # Name order is time order.
+    spans = index.where("capture = 'hot'").orderBy("file").collect()
+    assert all(a.to < b["from"] for a, b in zip(spans, spans[1:]))
+
+
 def test_slice_write_needs_lines(spark, make_logs):
     with pytest.raises(ValueError):
         sinks.slice_write(make_logs([("10:00:00", {}, "x")]).limit(0), scratch_dir(spark, "none"))
