@@ -10,8 +10,8 @@ def percent_change(before: Column, after: Column) -> Column:
 
 
 def percent_text(pct: Column) -> Column:
-    """``+340%`` or ``-20%``."""
-    return F.concat(F.when(pct >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.0f", pct), F.lit("%"))
+    """``+340%`` or ``-20%``; halves go to the even number, and small losses are ``-0%``."""
+    return F.concat(F.when(pct >= 0, F.lit("+")).otherwise(F.lit("")), F.format_string("%.0f", F.rint(pct)), F.lit("%"))
 
 
 # Fixed values of the baseline verdict: bounds in percent and the confidence of each outcome.

@@ -111,8 +111,8 @@ v AS (
       WHEN abs(ep) <= 5 AND fresh = 0 THEN 0.95 WHEN abs(ep) <= 20 AND fresh = 0 THEN 0.8 ELSE 0.5 END AS confidence FROM pct)
 SELECT '{a}' AS baseline, '{b}' AS current, CAST(la AS BIGINT) AS base_lines, CAST(lb AS BIGINT) AS cur_lines,
   CAST(ea AS BIGINT) AS base_errors, CAST(eb AS BIGINT) AS cur_errors, CAST(fresh AS BIGINT) AS new_patterns,
-  CASE WHEN ep >= 0 THEN '+' ELSE '' END || CAST(CAST(round(ep) AS BIGINT) AS VARCHAR) || '%' AS error_rate_change,
-  CASE WHEN vp >= 0 THEN '+' ELSE '' END || CAST(CAST(round(vp) AS BIGINT) AS VARCHAR) || '%' AS volume_change,
+  CASE WHEN ep >= 0 THEN '+' ELSE '' END || printf('%.0f', CAST(ep AS DOUBLE)) || '%' AS error_rate_change,
+  CASE WHEN vp >= 0 THEN '+' ELSE '' END || printf('%.0f', CAST(vp AS DOUBLE)) || '%' AS volume_change,
   verdict, CAST(confidence AS DOUBLE) AS confidence, verdict = 'regression' AS gate_failed FROM v"""
 
 
@@ -132,7 +132,7 @@ def baseline_verdict_noisy(t):
 
 @query("percent_change", f"""WITH {LOGS},
 n AS (SELECT app, count(*) FILTER (WHERE capture = 'base') AS a, count(*) FILTER (WHERE capture = 'current') AS b FROM logs GROUP BY app)
-SELECT app, CASE WHEN (b - a) >= 0 THEN '+' ELSE '' END || CAST(CAST(round((b - a) * 100.0 / a) AS BIGINT) AS VARCHAR) || '%' AS change FROM n""")
+SELECT app, CASE WHEN (b - a) >= 0 THEN '+' ELSE '' END || printf('%.0f', CAST((b - a) * 100.0 / a AS DOUBLE)) || '%' AS change FROM n""")
 def percent_change_by_service(t):
     n = t.logs().groupBy("app").agg(F.count_if(F.col("capture") == "base").alias("a"),
                                     F.count_if(F.col("capture") == "current").alias("b"))

@@ -10,7 +10,7 @@ from emberlog.functions.messages import ERROR_KEYWORDS, is_error
 from emberlog.operators.capture_index import build_index, build_metadata
 from emberlog.operators.ingest import to_loki_payloads
 from emberlog.operators.ordering import number_rows
-from emberlog.session import configure
+from emberlog.session import configure, size_shuffles
 
 CHRONOLOGICAL = ("ts", "event_id")
 HALF = datetime(2024, 1, 16, tzinfo=timezone.utc)  # where the base capture ends and the current one begins
@@ -21,8 +21,9 @@ class Tables:
     """The tables of one folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = configure(spark)
+        self.spark = size_shuffles(configure(spark), sf_dir)
         self.sf_dir = sf_dir
+        self._index = None
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
@@ -92,7 +93,10 @@ class Tables:
                 .withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("_late"))).drop("_late"))
 
     def index(self) -> DataFrame:
-        return build_index(self.logs(), F.octet_length("msg"), ["capture", "file"])
+        """The per-file index. It is short and used repeatedly, so it is built once and kept."""
+        if self._index is None:
+            self._index = build_index(self.logs(), F.octet_length("msg"), ["capture", "file"]).persist()
+        return self._index
 
     def metadata(self) -> DataFrame:
         return build_metadata(self.index())

@@ -16,6 +16,10 @@ RUNTIME_CONF = {
     "spark.sql.files.ignoreMissingFiles": "true",
 }
 
+# Stored bytes per shuffle partition; compressed columns grow a few times when read.
+PARTITION_BYTES = 64 << 20
+MAX_PARTITIONS = 200_000
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
@@ -35,6 +39,22 @@ def build(app: str = "emberlog", master: str | None = None, **conf: str) -> Spar
     return configure(builder.getOrCreate())
 
 
+def size_shuffles(spark: SparkSession, path: str) -> SparkSession:
+    """Raise (never lower) the number of shuffle partitions to suit the bytes below ``path``.
+
+    Adaptive execution merges partitions that turn out small but cannot split what a fixed
+    low number packs together."""
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is None:  # a remote session: the cluster's setting stands
+        return spark
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    wanted = min(MAX_PARTITIONS, -(-files.getContentSummary(folder).getLength() // PARTITION_BYTES))
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", wanted)
+    return spark
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder the cluster names in spark.checkpoint.dir.
 

@@ -137,6 +137,6 @@ def test_verdict(spark, error, volume, new, expected):
 
 
 def test_percent(spark):
-    df = spark.createDataFrame([(0, 0), (0, 3), (10, 44), (10, 8)], "a bigint, b bigint")
+    df = spark.createDataFrame([(0, 0), (0, 3), (10, 44), (10, 8), (1000, 997), (200, 205), (200, 195)], "a bigint, b bigint")
     pct = scoring.percent_change(F.col("a"), F.col("b"))
-    assert [r[0] for r in df.select(scoring.percent_text(pct)).collect()] == ["+0%", "+100%", "+340%", "-20%"]
+    assert [r[0] for r in df.select(scoring.percent_text(pct)).collect()] == ["+0%", "+100%", "+340%", "-20%", "-0%", "+2%", "-2%"]
