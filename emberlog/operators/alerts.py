@@ -1,44 +1,44 @@
 """Rates and threshold alerts over counter snapshots, one per tick.
 
-``snapshots``: ts, logs_received, logs_dropped, bytes_written, disk_usage, disk_cap. Their
-number grows with time only, not with the volume of logs."""
+``snapshots``: ts, logs_received, logs_dropped, bytes_written, disk_usage, disk_cap. Ticks
+are compared with the one before day by day, so that years of ticks are many tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from emberlog.operators.ordering import with_previous
 from emberlog.operators.retention import DISK_WARNING
 from emberlog.params import AlertRule
 
 
-def _in_time():
-    return Window.orderBy("ts")
+def _with_last_tick(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    return with_previous(df, columns, "ts", F.date_trunc("day", "ts"), keys, "last")
 
 
-def rate_delta(snapshots: DataFrame) -> DataFrame:
-    """Logs and bytes per second since the tick before; null at the first."""
-    seconds = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(_in_time()))) / F.lit(1e6)
+def _per_second(column: str) -> Column:
+    seconds = (F.unix_micros("ts") - F.unix_micros("last.ts")) / F.lit(1e6)
+    return F.when(seconds > 0, F.try_divide(F.col(column) - F.col(f"last.{column}"), seconds))
 
-    def rate(column):
-        return F.when(seconds > 0, F.try_divide(F.col(column) - F.lag(column).over(_in_time()), seconds))
 
-    return snapshots.select("ts", rate("logs_received").alias("logs_per_sec"), rate("bytes_written").alias("bytes_per_sec"))
+def rate_delta(snapshots: DataFrame) -> DataFrame:
+    """Logs and bytes per second since the tick before; null at the first."""
+    return _with_last_tick(snapshots, ["ts", "logs_received", "bytes_written"]).select(
+        "ts", _per_second("logs_received").alias("logs_per_sec"), _per_second("bytes_written").alias("bytes_per_sec"))
 
 
 def talker_rates(counts: DataFrame) -> DataFrame:
     """Per talker (``name``, ``ts``, cumulative ``count``): entries per second since its last tick."""
-    w = Window.partitionBy("name").orderBy("ts")
-    seconds = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) / F.lit(1e6)
-    return counts.select("name", "ts", "count", F.when(
-        seconds > 0, F.try_divide(F.col("count") - F.lag("count").over(w), seconds)).alias("per_sec"))
+    return _with_last_tick(counts, ["ts", "count"], ["name"]).select(
+        "name", "ts", "count", _per_second("count").alias("per_sec"))
 
 
 def metrics(snapshots: DataFrame) -> DataFrame:
     """The values rules may test; drop_rate is the increase since the last tick, never negative."""
-    increase = F.col("logs_dropped") - F.lag("logs_dropped").over(_in_time())
-    return snapshots.select(
+    increase = F.col("logs_dropped") - F.col("last.logs_dropped")
+    return _with_last_tick(snapshots, ["logs_dropped"]).select(
         "ts", F.col("logs_dropped").cast("double").alias("logs_dropped"),
         F.greatest(F.lit(0.0), F.coalesce(increase, F.lit(0))).cast("double").alias("drop_rate"),
         F.when(F.col("disk_cap") > 0, F.try_divide(F.col("disk_usage") * F.lit(100.0), "disk_cap")).otherwise(0.0).alias("disk_pct"),
@@ -57,10 +57,10 @@ def rule_states(measured: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
                  crossed(F.col(r.metric), r).alias("triggered")) for r in rules])))
 
 
-def rising_edges(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+def rising_edges(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Ticks at which ``triggered`` turns true: fired once, armed again when it turns false."""
-    before = F.lag("triggered", 1, False).over(Window.partitionBy(*keys).orderBy("ts"))
-    return states.withColumn("_before", before).where("triggered and not _before").drop("_before", "triggered")
+    return (_with_last_tick(states, ["triggered"], keys)
+            .where(F.col("triggered") & ~F.coalesce("last.triggered", F.lit(False))).drop("last", "triggered"))
 
 
 def alert_edges(snapshots: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
@@ -70,6 +70,4 @@ def alert_edges(snapshots: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
 def disk_warning_edges(snapshots: DataFrame) -> DataFrame:
     """Ticks at which disk use passes the warning share of the cap."""
     over = F.col("disk_usage") > F.floor(F.col("disk_cap") * DISK_WARNING)
-    states = snapshots.where("disk_cap > 0").select("ts", "disk_usage", "disk_cap", over.alias("triggered"))
-    before = F.lag("triggered", 1, False).over(_in_time())
-    return states.withColumn("_before", before).where("triggered and not _before").drop("_before", "triggered")
+    return rising_edges(snapshots.where("disk_cap > 0").select("ts", "disk_usage", "disk_cap", over.alias("triggered")))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog.functions.labels import label_equals, label_present
 from emberlog.functions.regex import matches
+from emberlog.operators.ordering import semi_join_small
 
 Labels = Mapping[str, str] | Iterable[tuple[str, str]] | None
 
@@ -124,7 +125,7 @@ def slice_logs(logs: DataFrame, index: DataFrame, frm: datetime | None = None, t
     if bounded and bad is not None:
         parts.append(~bad)
     files = slice_files(index, frm, to, labels).select(*keys).distinct()
-    return logs.where(all_of(parts)).join(files, list(keys), "left_semi")
+    return semi_join_small(logs.where(all_of(parts)), files, keys)
 
 
 def tail_n(logs: DataFrame, n: int, grep: str | None = None, label: tuple[str, str] | None = None,

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # Rows of a side that may be broadcast after it has been counted.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 250_000
 
 
 def running_total(df: DataFrame, value: Column, order: Sequence[Column | str], slice_by: Column,
@@ -39,13 +39,30 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], slice_by: Column,
     return running_total(df, F.lit(1), order, slice_by, keys, out)
 
 
+def with_previous(df: DataFrame, columns: Sequence[str], order: str, slice_by: Column,
+                  keys: Sequence[str] = (), out: str = "previous") -> DataFrame:
+    """Add a struct with the ``columns`` of the row before in ``order`` (null at the first).
+
+    Within a slice that is a plain lag; the first row of a slice takes the last row of the
+    slice before, of which there is one per slice."""
+    keys = list(keys)
+    df = df.withColumn("_row", F.struct(*columns)).withColumn("_slice", F.struct(slice_by.alias("at")))
+    lasts = df.groupBy(*keys, "_slice").agg(F.max_by("_row", order).alias("_end"))
+    over_slices = Window.partitionBy(*keys).orderBy("_slice")
+    lasts = lasts.select(*keys, "_slice", F.lag("_end").over(over_slices).alias("_carried"))
+    inside = Window.partitionBy(*keys, "_slice").orderBy(order)
+    return (df.join(lasts, [*keys, "_slice"])
+            .withColumn(out, F.coalesce(F.lag("_row").over(inside), "_carried"))
+            .drop("_row", "_slice", "_carried"))
+
+
 def upper_median(df: DataFrame, keys: Sequence[str], value: str, slice_width: int) -> DataFrame:
     """Per key: ``sorted[n div 2]`` of a bigint column and n.
 
     Equal values are counted first; the slice that holds the median is found from the
     slice counts, and only that slice is ordered value by value."""
     keys = list(keys)
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).persist()
     counts = counts.withColumn("_slice", F.floor(F.col(value) / slice_width))
     slices = counts.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_n"))
     upto = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, 0)
@@ -63,6 +80,12 @@ def upper_median(df: DataFrame, keys: Sequence[str], value: str, slice_width: in
             .select(*keys, F.col(value).alias("median"), "n"))
 
 
+def semi_join_small(df: DataFrame, few: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose keys are among the ``few``, such as the files an index selects. The
+    big side is shuffled only if the few turn out to be many."""
+    return df.join(broadcast_if_small(df.sparkSession, few), list(keys), "left_semi")
+
+
 def broadcast_if_small(spark: SparkSession, df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Run ``df`` once. If it has at most ``max_rows`` rows, return those rows marked for
     broadcast; otherwise return ``df`` itself, for an ordinary shuffled join."""

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from emberlog.functions.labels import flatten_labels
 from emberlog.operators import capture_index as ci, integrity, retention
 from emberlog.operators.filters import slice_logs
+from emberlog.operators.ordering import semi_join_small
 from emberlog.operators.triage import error_timeline
 from emberlog.plans.filter_queries import FROM, T_FROM, T_TO, TO
 from emberlog.plans.registry import query
@@ -212,7 +213,7 @@ def orphan_files(t):
     root = _written(t, max_entries=2000)
     index = src.read_index(t.spark, root).where("lines < 0")
     orphans = ci.orphan_files(src.list_files(t.spark, root), index, ["capture", "file"])
-    lines = src.read_capture(t.spark, root).join(orphans, ["capture", "file"], "left_semi")
+    lines = semi_join_small(src.read_capture(t.spark, root), orphans.select("capture", "file"), ["capture", "file"])
     return lines.groupBy("capture").agg(F.lit(True).alias("orphaned"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -240,7 +241,7 @@ def catch_up_new_files(t):
     root = _written(t)
     files = src.list_files(t.spark, root)
     fresh = src.new_files(files.where("capture = 'base'"), files).select("capture", "file")
-    return src.read_capture(t.spark, root).join(fresh, ["capture", "file"], "left_semi").select("capture", "ts", "msg")
+    return semi_join_small(src.read_capture(t.spark, root), fresh, ["capture", "file"]).select("capture", "ts", "msg")
 
 
 @query("signed_capture")

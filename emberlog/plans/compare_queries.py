@@ -164,7 +164,7 @@ skew AS (
 
 @query("skew_shared_signatures", f"WITH {_OFFSETS} SELECT capture, signature, CAST(off AS BIGINT) AS offset_us FROM offs")
 def skew_shared_signatures(t):
-    seen = triage.signature_starts(t.skewed_logs(), ["capture"])
+    seen = triage.signature_starts(t.skewed_logs(), ["capture"]).persist()
     ref = seen.where("capture = 'A'").select("signature", F.col("first_seen").alias("ref_seen"))
     return seen.where("capture <> 'A'").join(ref, "signature").select(
         "capture", "signature", (F.unix_micros("ref_seen") - F.unix_micros("first_seen")).alias("offset_us"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window, functions as F
 from emberlog.functions.labels import flatten_labels
 from emberlog.functions.messages import is_error, normalize_message
 from emberlog.operators import filters, grep as search
+from emberlog.operators.ordering import semi_join_small
 from emberlog.plans.registry import query
 from emberlog.plans.tables import CHRONOLOGICAL, INDEX, LOGS, NUMBERED, is_error_sql, signature_sql
 
@@ -56,7 +57,7 @@ SELECT {PICK} FROM logs WHERE (capture, file) IN (
   SELECT (capture, file) FROM idx WHERE t_to >= {T_FROM} AND t_from <= {T_TO})""")
 def index_semi(t):
     files = filters.prune_files(t.index(), frm=FROM, to=TO).select("capture", "file")
-    return t.logs().join(files, ["capture", "file"], "left_semi").select(*COLUMNS)
+    return semi_join_small(t.logs(), files, ["capture", "file"]).select(*COLUMNS)
 
 
 @query("slice_filter", f"""WITH {INDEX}

@@ -147,6 +147,22 @@ def service_error_buckets(t):
     return corr.service_error_buckets(t.logs(), order=CHRONOLOGICAL).select("service", "bucket", "errors", "first_error")
 
 
+@query("mentions_service", rf"""WITH {LOGS}
+SELECT event_id, regexp_matches(msg, '(?i)\bsvc-' || CAST((event_id + 1) % 5 AS VARCHAR) || '\b') AS mentioned FROM logs""")
+def mentions_service(t):
+    name = F.concat(F.lit("SVC-"), ((F.col("event_id") + 1) % 5).cast("string"))
+    return t.logs().select("event_id", corr.mentions_service(F.col("msg"), name).alias("mentioned"))
+
+
+@query("cascade_pattern", rf"""WITH {LOGS}
+SELECT event_id, CASE WHEN event_id % 3 * 10 < 10 THEN 'co_failure' WHEN regexp_matches(msg, '(?i)\bsvc-1\b') OR regexp_matches(env, '(?i)\b' || app || '\b')
+  THEN 'cascade_timeout' ELSE 'cascade_error' END AS pattern FROM logs""")
+def cascade_pattern(t):
+    """The rule applied to every entry as if it were a pair's first error."""
+    return t.logs().select("event_id", corr.cascade_pattern(
+        F.col("event_id") % 3 * 10, F.lit(10), F.col("app"), F.lit("svc-1"), F.col("msg"), F.col("env")).alias("pattern"))
+
+
 _CORRELATE = CASCADE + f""",
 b AS (SELECT app AS s, epoch_us(ts) // 10000000 AS k, count(*) AS n FROM logs WHERE {is_error_sql()} GROUP BY 1, 2),
 p AS (SELECT s, min(k) AS lo, max(k) AS hi FROM b GROUP BY s),

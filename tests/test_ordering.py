@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from emberlog.operators.ordering import broadcast_if_small, number_rows, running_total, upper_median
+from emberlog.operators.ordering import broadcast_if_small, number_rows, running_total, upper_median, with_previous
 
 
 def test_running_total_with_one_heavy_key(spark):
@@ -38,3 +38,15 @@ def test_broadcast_only_when_small(spark):
     df = spark.range(10)
     assert "ResolvedHint" in broadcast_if_small(spark, df, 10)._jdf.queryExecution().analyzed().toString()
     assert broadcast_if_small(spark, df, 9) is df
+
+
+def test_previous_row_across_slices(spark):
+    rng = random.Random(3)
+    rows = [(k, t, rng.randrange(100)) for k in ("a", "b") for t in rng.sample(range(400), 60)]
+    df = spark.createDataFrame(rows, "k string, t int, v int")
+    got = {(r.k, r.t): r.previous and r.previous.v for r in with_previous(df, ["v"], "t", F.expr("t div 50"), ["k"]).collect()}
+    for key in ("a", "b"):
+        last = None
+        for k, t, v in sorted(r for r in rows if r[0] == key):
+            assert got[(k, t)] == last
+            last = v
