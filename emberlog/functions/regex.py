@@ -9,10 +9,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column
 
 WORD = "0-9A-Za-z_"
-WORD_START = f"(?<![{WORD}])"  # a \b right before a word character
 WORD_END = f"(?![{WORD}])"     # a \b right after a word character
 # A digit that starts a word. The digit comes first, as the cheaper test at each position.
 DIGIT_START = rf"\d(?<![{WORD}]\d)"

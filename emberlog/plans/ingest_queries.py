@@ -9,7 +9,7 @@ from emberlog.functions.redaction import custom_pattern, luhn_valid, redact, red
 from emberlog.operators import alerts, ingest
 from emberlog.params import AlertRule
 from emberlog.plans.registry import query
-from emberlog.plans.tables import CHRONOLOGICAL, DISK_CAP, LOGS, SNAPSHOTS
+from emberlog.plans.tables import LOGS, SNAPSHOTS
 from emberlog.functions.messages import rfc3339
 
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
@@ -190,8 +190,8 @@ def alert_edges(t):
 
 
 @query("disk_warning_edge", f"""WITH {SNAPSHOTS},
-e AS (SELECT ts, disk_usage, disk_cap, disk_usage > {int(DISK_CAP * 0.8)} AS hit,
-        coalesce(lag(disk_usage > {int(DISK_CAP * 0.8)}) OVER (ORDER BY ts), false) AS was FROM snapshots)
+e AS (SELECT ts, disk_usage, disk_cap, disk_usage > floor(disk_cap * 0.8) AS hit,
+        coalesce(lag(disk_usage > floor(disk_cap * 0.8)) OVER (ORDER BY ts), false) AS was FROM snapshots)
 SELECT ts, disk_usage, disk_cap FROM e WHERE hit AND NOT was""")
 def disk_warning_edge(t):
     return alerts.disk_warning_edges(t.snapshots())

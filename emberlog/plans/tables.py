@@ -14,7 +14,6 @@ from emberlog.session import configure, size_shuffles
 
 CHRONOLOGICAL = ("ts", "event_id")
 HALF = datetime(2024, 1, 16, tzinfo=timezone.utc)  # where the base capture ends and the current one begins
-DISK_CAP = 2000
 
 
 class Tables:
@@ -118,12 +117,13 @@ class Tables:
                   .groupBy(F.date_trunc("hour", "ts").alias("ts"))
                   .agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("event_type") == "error").alias("dropped"),
                        F.sum(F.floor("value")).alias("used")))
-        # One row per hour, whatever the volume.
+        # One row per hour, whatever the volume. The cap is one and a half times the usual use.
+        cap = hourly.agg(F.expr("sum(used) div count(1) * 3 div 2")).scalar()
         upto = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
         return hourly.select(
             "ts", F.sum("received").over(upto).alias("logs_received"), F.sum("dropped").over(upto).alias("logs_dropped"),
             F.sum("used").over(upto).alias("bytes_written"), F.col("used").alias("disk_usage"),
-            F.lit(DISK_CAP).cast("bigint").alias("disk_cap"))
+            cap.alias("disk_cap"))
 
 
 # ---- the same views for the SQL twins -----------------------------------------------------
@@ -187,14 +187,14 @@ idx_labels AS (
 CAPTURES = LOGS + """,
 captures AS (SELECT file AS dir, min(ts) AS started, CAST(sum(strlen(msg)) AS BIGINT) AS bytes FROM logs GROUP BY file)"""
 
-SNAPSHOTS = f"""
+SNAPSHOTS = """
 hourly AS (
   SELECT date_trunc('hour', ts) AS ts, count(*) AS received, count(*) FILTER (WHERE event_type = 'error') AS dropped,
     sum(CAST(floor(value) AS BIGINT)) AS used
   FROM events GROUP BY 1),
 snapshots AS (
   SELECT ts, CAST(sum(received) OVER w AS BIGINT) AS logs_received, CAST(sum(dropped) OVER w AS BIGINT) AS logs_dropped,
-    CAST(sum(used) OVER w AS BIGINT) AS bytes_written, CAST(used AS BIGINT) AS disk_usage, CAST({DISK_CAP} AS BIGINT) AS disk_cap
+    CAST(sum(used) OVER w AS BIGINT) AS bytes_written, CAST(used AS BIGINT) AS disk_usage, (SELECT CAST(sum(used) // count(*) * 3 // 2 AS BIGINT) FROM hourly) AS disk_cap
   FROM hourly WINDOW w AS (ORDER BY ts))"""
 
 CASCADE = f"""
