@@ -37,6 +37,12 @@ def is_error(msg: Column) -> Column:
     return contains_any(F.lower(msg), ERROR_KEYWORDS)
 
 
+def is_error_once(msg: Column) -> Column:
+    """The same test for use in filters, where Spark repeats a shared sub-expression for every
+    keyword: as a lambda variable the lower-case message is computed once."""
+    return F.get(F.transform(F.array(F.lower(msg)), lambda m: contains_any(m, ERROR_KEYWORDS)), F.lit(0))
+
+
 def normalize_message(msg: Column) -> Column:
     """Replace ids, addresses, times and numbers by placeholders, giving a stable signature."""
     for pattern, placeholder in SIGNATURE_RULES:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from emberlog.functions.labels import service_label
-from emberlog.functions.messages import is_error
+from emberlog.functions.messages import is_error_once
 from emberlog.functions.regex import BOUNDARY
 from emberlog.operators.ordering import broadcast_if_small
 
@@ -35,7 +35,7 @@ def service_error_buckets(logs: DataFrame, window_s: int = WINDOW_SECONDS,
                           order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
     """Errors per service and time bucket, with the first message of the bucket and its place."""
     place = F.struct(*order)
-    return (logs.where(is_error(F.col("msg")))
+    return (logs.where(is_error_once(F.col("msg")))
             .withColumn("service", service_label(F.col("labels")))
             .where("service is not null")
             .groupBy("service", F.floor(F.unix_seconds("ts") / window_s).alias("bucket"))
@@ -44,9 +44,10 @@ def service_error_buckets(logs: DataFrame, window_s: int = WINDOW_SECONDS,
 
 
 def service_profiles(buckets: DataFrame) -> DataFrame:
-    """One row per service: bucket range and first error message."""
+    """One row per service: bucket range, sum and sum of squares of its counts, first message."""
+    n = F.col("errors").cast("decimal(20,0)")
     return buckets.groupBy("service").agg(
-        F.min("bucket").alias("lo"), F.max("bucket").alias("hi"),
+        F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.sum(n).alias("s"), F.sum(n * n).alias("ss"),
         F.min_by("first_error", "first_place").alias("first_error"))
 
 
@@ -58,13 +59,13 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
     lag, so pairs come from an equi-join of the bucket counts (never from a cross join of
     services, and never with empty buckets filled in). Sums over the part of the range
     that a lag cuts off are corrected with the few buckets at the cut."""
-    spark = logs.sparkSession
     buckets = service_error_buckets(logs, window_s, order)
     # The bucket counts are small next to the logs but are used several times.
     buckets = buckets.select("service", "bucket", F.col("errors").cast("decimal(20,0)").alias("errors"),
                              "first_place", "first_error").persist()
     counts = buckets.select("service", "bucket", "errors")
-    profiles = broadcast_if_small(spark, service_profiles(buckets))
+    # One row per service: range, totals, first error. Running it also fills the kept buckets.
+    services = broadcast_if_small(logs.sparkSession, service_profiles(buckets))
 
     lagged = counts.select(F.col("service").alias("source"), F.col("errors").alias("_x"), "bucket",
                            F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
@@ -75,44 +76,43 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
                 .groupBy("source", "target", "lag")
                 .agg(F.sum(F.col("_x") * F.col("_y")).cast("decimal(38,0)").alias("sxy")))
 
+    # A lag cuts buckets off the end of the source and the start of the target; those are at
+    # most max_lag buckets of a service, at either end.
+    def near(condition):
+        return F.array_sort(F.collect_list(F.when(condition, F.struct("bucket", "errors"))))
+
+    in_tail, in_head = F.col("bucket") > F.col("hi") - max_lag, F.col("bucket") < F.col("lo") + max_lag
+    ends = (counts.join(services.select("service", "lo", "hi"), "service").where(in_tail | in_head)
+            .groupBy("service").agg(near(in_tail).alias("tail"), near(in_head).alias("head")))
+
     def side(prefix):
-        return profiles.select(F.col("service").alias(prefix), F.col("lo").alias(f"{prefix}_lo"),
-                               F.col("hi").alias(f"{prefix}_hi"), F.col("first_error").alias(f"{prefix}_error"))
+        names = {"service": prefix, **{c: f"{prefix}_{c}" for c in ("lo", "hi", "s", "ss", "first_error")}}
+        return services.select(*[F.col(c).alias(n) for c, n in names.items()])
 
     pairs = (products.join(side("source"), "source").join(side("target"), "target")
+             .join(ends.select(F.col("service").alias("source"), "tail"), "source")
+             .join(ends.select(F.col("service").alias("target"), "head"), "target")
              .withColumn("lo", F.least("source_lo", "target_lo"))
              .withColumn("hi", F.greatest("source_hi", "target_hi"))
              .withColumn("m", F.col("hi") - F.col("lo") + 1 - F.col("lag"))
              .where("m > 0"))
 
-    # Sums of a service over all its buckets, minus those beyond the cut of the lag. A cut
-    # holds at most max_lag buckets, at the end of the source or the start of the target.
-    whole = counts.groupBy("service").agg(
-        F.sum("errors").alias("s"), F.sum(F.col("errors") * F.col("errors")).alias("ss"))
-    edge = counts.join(profiles.select("service", "lo", "hi"), "service")
-    ends = F.array_sort(F.collect_list(F.struct("bucket", "errors")))
-    tails = edge.where(F.col("bucket") > F.col("hi") - max_lag).groupBy("service").agg(ends.alias("tail"))
-    heads = edge.where(F.col("bucket") < F.col("lo") + max_lag).groupBy("service").agg(ends.alias("head"))
-    sums = broadcast_if_small(spark, whole.join(tails, "service").join(heads, "service"))
-
-    def moments(prefix, ends_column, cut):
-        """Sum and sum of squares of one side without the buckets that ``cut`` selects."""
-        zero = F.lit(0).cast("decimal(38,0)")
-
-        def lost(power):
-            return F.aggregate(
-                F.filter(ends_column, cut), zero,
-                lambda acc, e: (acc + (e["errors"] if power == 1 else e["errors"] * e["errors"])).cast("decimal(38,0)"))
-
-        return ((F.col("s") - lost(1)).cast("decimal(38,0)").alias(f"{prefix}_s"),
-                (F.col("ss") - lost(2)).cast("decimal(38,0)").alias(f"{prefix}_ss"))
-
-    pairs = pairs.join(sums.withColumnRenamed("service", "source"), "source").select(
-        *[c for c in pairs.columns],
-        *moments("x", F.col("tail"), lambda e: e["bucket"] > F.col("hi") - F.col("lag")))
-    pairs = pairs.join(sums.withColumnRenamed("service", "target"), "target").select(
-        *[c for c in pairs.columns],
-        *moments("y", F.col("head"), lambda e: e["bucket"] < F.col("lo") + F.col("lag")))
+    def kept(column, ends_column, cut, power):
+        """A side's sum (of squares) without the buckets that ``cut`` selects."""
+        lost = F.aggregate(
+            F.filter(ends_column, cut), F.lit(0).cast("decimal(38,0)"),
+            lambda acc, e: (acc + (e["errors"] if power == 1 else e["errors"] * e["errors"])).cast("decimal(38,0)"))
+        return (F.col(column) - lost).cast("decimal(38,0)")
+
+    def late(e):
+        return e["bucket"] > F.col("hi") - F.col("lag")
+
+    def early(e):
+        return e["bucket"] < F.col("lo") + F.col("lag")
+
+    pairs = pairs.withColumns({
+        "x_s": kept("source_s", "tail", late, 1), "x_ss": kept("source_ss", "tail", late, 2),
+        "y_s": kept("target_s", "head", early, 1), "y_ss": kept("target_ss", "head", early, 2)})
 
     exact = "decimal(38,0)"
     sx, sy, m = (F.col(c).cast(exact) for c in ("x_s", "y_s", "m"))
@@ -131,8 +131,8 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
     return best_direction(scored.select(
         "source", "target", (F.col("lag") * float(window_s)).cast("double").alias("lag_seconds"),
         cascade_pattern(F.col("lag") * window_s, F.lit(window_s), F.col("source"), F.col("target"),
-                        F.col("source_error"), F.col("target_error")).alias("pattern"),
-        "confidence", "source_error", "target_error"))
+                        F.col("source_first_error"), F.col("target_first_error")).alias("pattern"),
+        "confidence", F.col("source_first_error").alias("source_error"), F.col("target_first_error").alias("target_error")))
 
 
 def best_direction(correlations: DataFrame) -> DataFrame:

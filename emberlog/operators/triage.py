@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from emberlog.functions.messages import is_error, normalize_message
+from emberlog.functions.messages import is_error, is_error_once, normalize_message
 
 # One week of minutes, and the usual sizes of the lists.
 MAX_BUCKETS = 10_080
@@ -50,7 +50,7 @@ def error_timeline(logs: DataFrame, max_buckets: int = MAX_BUCKETS) -> DataFrame
 
 def error_signatures(logs: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
     """Per signature (and key): count, first_seen, and the message of the earliest entry."""
-    return (logs.where(is_error(F.col("msg")))
+    return (logs.where(is_error_once(F.col("msg")))
             .groupBy(*keys, normalize_message(F.col("msg")).alias("signature"))
             .agg(F.count(F.lit(1)).alias("count"),
                  F.min("ts").alias("first_seen"),
@@ -59,7 +59,7 @@ def error_signatures(logs: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys
 
 def signature_starts(logs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Like error_signatures without examples: all buffers are fixed-width, so it stays a hash aggregation."""
-    return (logs.where(is_error(F.col("msg")))
+    return (logs.where(is_error_once(F.col("msg")))
             .groupBy(*keys, normalize_message(F.col("msg")).alias("signature"))
             .agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_seen")))
 

@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from emberlog.functions.messages import ERROR_KEYWORDS, is_error
+from emberlog.functions.messages import ERROR_KEYWORDS, is_error_once
 from emberlog.operators.capture_index import build_index, build_metadata
 from emberlog.operators.ingest import to_loki_payloads
 from emberlog.operators.ordering import number_rows
@@ -88,7 +88,7 @@ class Tables:
         copies = F.array(F.struct(F.lit("A").alias("capture"), F.lit(0).alias("_late")),
                          F.struct(F.lit("B").alias("capture"), F.lit(3000000).alias("_late")))
         return (base.drop("capture").select("*", F.inline(copies))
-                .where((F.col("capture") == "A") | is_error(F.col("msg")))
+                .where((F.col("capture") == "A") | is_error_once(F.col("msg")))
                 .withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("_late"))).drop("_late"))
 
     def index(self) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.labels import label_present, service_label
-from emberlog.functions.messages import is_error, normalize_message
+from emberlog.functions.messages import is_error, is_error_once, normalize_message
 from emberlog.operators.filters import text_or_label_matches
 from emberlog.operators.ingest import explode_loki
 from emberlog.sources.captures import parse_entries
@@ -81,7 +81,7 @@ def minute_counts(entries: DataFrame, watermark: str | None = WATERMARK) -> Data
 
 def signatures(entries: DataFrame) -> DataFrame:
     """Running count and first time per error signature."""
-    return (entries.where(is_error(F.col("msg")))
+    return (entries.where(is_error_once(F.col("msg")))
             .groupBy(normalize_message(F.col("msg")).alias("signature"))
             .agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_seen")))
 
