@@ -6,7 +6,7 @@ from emberlog.functions.labels import flatten_labels
 from emberlog.plans.ingest_queries import _redact_ctes, RULES
 from emberlog.plans.registry import ORACLES, query
 from emberlog.plans.tables import LOGS, SNAPSHOTS, is_error_sql, signature_sql
-from emberlog.session import scratch_dir
+from emberlog.session import scratch_dir, streaming_session
 from emberlog.sources import sinks
 from emberlog.streaming import alerting, pipelines
 
@@ -15,7 +15,7 @@ def _landed_entries(t):
     """The log entries as parquet files that arrive one after another."""
     path = scratch_dir(t.spark, "landed")
     t.logs().select("ts", "labels", "msg").repartition(8).write.parquet(path)
-    return pipelines.entry_stream(t.spark, path, max_files=3)
+    return pipelines.entry_stream(streaming_session(t.spark), path, max_files=3)
 
 
 def _finished(t, running, keys):
@@ -76,7 +76,7 @@ def _landed_snapshots(t):
     path = scratch_dir(t.spark, "snapshots")
     snapshots = t.snapshots()
     snapshots.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return t.spark.readStream.schema(snapshots.schema).parquet(path)
+    return streaming_session(t.spark).readStream.schema(snapshots.schema).parquet(path)
 
 
 def _alerts(t, stream):

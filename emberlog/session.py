@@ -55,6 +55,14 @@ def size_shuffles(spark: SparkSession, path: str) -> SparkSession:
     return spark
 
 
+def streaming_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session of the same application for stateful streams. The number of state partitions
+    is fixed when a stream first starts; two per core suits state that outlives the batches."""
+    own = configure(spark.newSession())
+    own.conf.set("spark.sql.shuffle.partitions", state_partitions or 2 * spark.sparkContext.defaultParallelism)
+    return own
+
+
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder name under the shared folder the cluster names in spark.checkpoint.dir.
 
