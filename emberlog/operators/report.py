@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberlog.functions.messages import CRITICAL_WORDS, contains_any, is_error, normalize_message
 from emberlog.functions.scoring import severity
+from emberlog.operators import triage
+from emberlog.operators.capture_index import report_labels
 
 TOP_ERRORS = 20  # fixed value
 
@@ -37,5 +41,28 @@ def report(logs: DataFrame, index: DataFrame, metadata: DataFrame, top: int = TO
             .drop("critical"))
 
 
+def incident_report(logs: DataFrame, index: DataFrame, metadata: DataFrame, capture: str, top: int = TOP_ERRORS,
+                    order: Sequence[str] = triage.CHRONOLOGICAL) -> DataFrame:
+    """The whole report of one capture in one record: what ``report`` says, and with it the
+    number of values per label key, the top errors and the time windows, as arrays."""
+    def of(df):
+        return df.where(F.col("capture") == capture)
+
+    logs, index = of(logs), of(index)
+    signatures = triage.error_signatures(logs, order).persist()
+    timeline = triage.error_timeline(logs).persist()
+    # Each list is short: the keys of the labels, ``top`` signatures, three windows.
+    labels = report_labels(index).agg(F.array_sort(F.collect_list(F.struct("key", "values"))))
+    ranked = F.struct((-F.col("count")).alias("_rank"), "signature", "count", "first_seen", "example", "pct_of_errors")
+    errors = triage.top_errors(signatures, top).agg(
+        F.transform(F.array_sort(F.collect_list(ranked)), lambda e: e.dropFields("_rank")))
+    found = triage.windows(timeline, triage.signature_cap(signatures)).agg(
+        F.array_sort(F.collect_list(F.struct("window", "from", "to", "minutes", "value"))))
+    return report(logs, index, of(metadata), top).select(
+        "*", labels.scalar().alias("labels"),
+        errors.scalar().alias("top_errors"),
+        found.scalar().alias("windows"))
+
+
 def as_json(report_rows: DataFrame) -> DataFrame:
     return report_rows.select("capture", F.to_json(F.struct(*report_rows.columns)).alias("report"))

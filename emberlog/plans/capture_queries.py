@@ -226,6 +226,14 @@ def line_totals(t):
     return ci.line_totals(index, orphans)
 
 
+@query("inspect_with_orphans", f"""WITH {INDEX} SELECT key, value, CAST(sum(count) AS BIGINT) AS lines FROM idx_labels GROUP BY key, value""")
+def inspect_with_orphans(t):
+    """Half of the index is lost, and the label table is still complete."""
+    root = _written(t, max_entries=1000)
+    index = src.read_index(t.spark, root).where("crc32(file) % 2 = 0")
+    return ci.label_breakdown(src.full_index(t.spark, root, index)).select("key", "value", "lines")
+
+
 @query("pruned_scan", f"WITH {LOGS} SELECT capture, ts, msg FROM logs WHERE ts BETWEEN {T_FROM} AND {T_TO} AND app = 'svc-1'")
 def pruned_scan(t):
     from emberlog.operators.filters import filter_logs

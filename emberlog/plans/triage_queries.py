@@ -256,6 +256,34 @@ def report(t):
         {"duration_seconds": F.round("duration_seconds", 3), "error_rate_pct": F.round("error_rate_pct", 6)})
 
 
+_BASE = "logs AS (SELECT * FROM all_logs WHERE capture = 'base')"
+_BASE_LOGS = LOGS.replace("logs AS (", "all_logs AS (", 1) + ", " + _BASE
+
+
+@query("incident_report", f"""WITH {TIMELINE.replace(LOGS, _BASE_LOGS)},
+errors AS (SELECT *, {signature_sql()} AS signature FROM logs WHERE {is_error_sql()}),
+sigs AS (SELECT signature, count(*) AS count, min(ts) AS first_seen, arg_min(msg, (ts, event_id)) AS example FROM errors GROUP BY signature),
+top AS (SELECT * FROM sigs ORDER BY count DESC, signature LIMIT 20),
+{PEAK}, {START}, {STEADY},
+w AS (SELECT * FROM peak UNION ALL SELECT * FROM incident UNION ALL SELECT * FROM steady)
+SELECT 'base' AS capture, CAST((SELECT count(*) FROM logs) AS BIGINT) AS total_lines, CAST((SELECT count(*) FROM errors) AS BIGINT) AS error_lines,
+  CASE WHEN (SELECT bool_or(contains(signature, 'panic')) FROM top) OR (SELECT count(*) FROM errors) * 100.0 / (SELECT count(*) FROM logs) > 5 THEN 'high'
+    WHEN (SELECT count(*) FROM errors) * 100.0 / (SELECT count(*) FROM logs) > 1 THEN 'medium' ELSE 'low' END AS severity,
+  (SELECT 'app=' || count(DISTINCT app) || ';env=' || count(DISTINCT env) FROM logs) AS labels,
+  (SELECT string_agg(count || ' ' || signature || ' | ' || example, chr(10) ORDER BY count DESC, signature) FROM top) AS top_errors,
+  (SELECT string_agg("window" || ' ' || strftime("from", '%Y-%m-%d %H:%M') || ' ' || minutes || ' ' || value, chr(10) ORDER BY "window") FROM w) AS windows""")
+def incident_report(t):
+    r = rep.incident_report(t.logs(), t.index(), t.metadata(), "base", order=CHRONOLOGICAL)
+    text = {
+        "labels": F.array_join(F.transform("labels", lambda e: F.concat_ws("=", e["key"], e["values"].cast("string"))), ";"),
+        "top_errors": F.array_join(F.transform("top_errors", lambda e: F.concat(
+            e["count"].cast("string"), F.lit(" "), e["signature"], F.lit(" | "), e["example"])), "\n"),
+        "windows": F.array_join(F.transform("windows", lambda e: F.concat_ws(
+            " ", e["window"], F.date_format(e["from"], "yyyy-MM-dd HH:mm"), e["minutes"].cast("string"), e["value"].cast("string"))), "\n"),
+    }
+    return r.select("capture", "total_lines", "error_lines", "severity", *[c.alias(n) for n, c in text.items()])
+
+
 @query("severity", f"""WITH {LOGS},
 tot AS (SELECT app, count(*) AS n, count(*) FILTER (WHERE contains(msg, 'failed')) AS e FROM logs GROUP BY app)
 SELECT app, CASE WHEN e * 100.0 / n > 5 THEN 'high' WHEN e * 100.0 / n > 1 THEN 'medium' ELSE 'low' END AS severity FROM tot""")

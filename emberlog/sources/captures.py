@@ -10,16 +10,19 @@ file system Spark can read:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from emberlog.operators.capture_index import build_index
 from emberlog.operators.decoding import decode
 from emberlog.operators.filters import file_may_match
-from emberlog.operators.ordering import BROADCAST_ROWS
+from emberlog.operators.ordering import BROADCAST_ROWS, semi_join_small
 from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
 
 # Files of a capture folder that hold no entries.
 NOT_DATA = ("index.jsonl", "metadata.json", "audit.jsonl", "manifest.sha256")
-DATA_GLOB = "*.{jsonl,jsonl.zst,jsonl.gz,json,json.gz}"
+DATA_GLOB = "*.{jsonl,jsonl.zst,jsonl.gz,json,json.gz,txt}"
 
 _PATH = "_metadata.file_path"
 _NAME = "_metadata.file_name"
@@ -44,7 +47,9 @@ def _below(path: Column, folder: str) -> Column:
 
 
 def _is_data(path: Column, name: Column) -> Column:
-    return ~name.isin(*NOT_DATA) & ~_below(path, "index") & ~_below(path, "metadata")
+    # Text files count only where the writer puts them.
+    stray = name.endswith(".txt") & (_folder(path, 1) != "data")
+    return ~name.isin(*NOT_DATA) & ~stray & ~_below(path, "index") & ~_below(path, "metadata")
 
 
 def _is_index(path: Column, name: Column) -> Column:
@@ -89,6 +94,15 @@ def parse_entries(lines: DataFrame) -> DataFrame:
                     F.octet_length("value").alias("raw_bytes"), *rest))
 
 
+def parse_all_lines(lines: DataFrame) -> DataFrame:
+    """Every stored line as it is (``value``), with time and labels; ``bad`` marks lines without
+    a readable entry and time."""
+    rest = [c for c in lines.columns if c != "value"]
+    ts = F.col("ts").try_cast("timestamp")
+    return (decode(lines.where(F.col("value") != ""), "value", ENTRY_WIRE, keep_bad=True)
+            .select("value", ts.alias("ts"), "labels", (F.col("_corrupt").isNotNull() | ts.isNull()).alias("bad"), *rest))
+
+
 def number_lines(entries: DataFrame) -> DataFrame:
     """``line_no`` of each entry in its file.
 
@@ -135,6 +149,17 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return decode(rows, "value", schema).where("file is not null").select("capture", *INDEX.fieldNames())
 
 
+def full_index(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
+    """The stored index, and rows computed for the data files it does not know. All lines of
+    those count, readable or not."""
+    index = read_index(spark, path) if index is None else index
+    known = index.select("capture", "file")
+    orphans = list_files(spark, path).select("capture", "file").join(known, ["capture", "file"], "left_anti")
+    lines = semi_join_small(read_lines(spark, path), orphans, ["capture", "file"])
+    computed = build_index(parse_all_lines(lines), F.octet_length("value"), ["capture", "file"])
+    return index.unionByName(computed)
+
+
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Session records of all captures below ``path``, with ``capture`` and ``dir``."""
     docs = (_files(spark, "*.json").schema(METADATA).option("multiLine", True)
@@ -163,15 +188,19 @@ def read_file_contents(spark: SparkSession, path: str) -> DataFrame:
         _capture(F.col("path")).alias("capture"), name.alias("file"), "content")
 
 
-def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """All captures below ``root``, newest first."""
+def catalog(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """All captures below ``root``, newest first; not recursive: root itself and its direct folders."""
     def local(dir_: Column) -> Column:  # listings and readers spell the file: scheme differently
         return F.regexp_replace(dir_, "^file:/+", "/")
 
     disk = list_files(spark, root).groupBy(local(F.col("dir")).alias("dir")).agg(
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    metadata = read_metadata(spark, root).withColumn("dir", local(F.col("dir")))
+    if not recursive:
+        below = F.substring_index("dir", re.sub("^file:/+", "/", root.rstrip("/")), -1)
+        metadata = metadata.where(below.rlike(r"^(?:/[^/]+)?$"))
     zero = F.lit(0).cast("bigint")
-    return (read_metadata(spark, root).withColumn("dir", local(F.col("dir"))).join(disk, "dir", "left")
+    return (metadata.join(disk, "dir", "left")
             .select("capture", "started", "stopped", F.coalesce("files", zero).alias("files"),
                     F.col("total_lines").alias("entries"), F.coalesce("bytes", zero).alias("bytes"),
                     (F.col("stopped").isNull() | (F.year("stopped") <= 1)).alias("active"),

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
-from pyspark.sql import DataFrame, DataFrameWriter, functions as F
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from emberlog.functions.labels import flatten_labels
 from emberlog.functions.messages import rfc3339
 from emberlog.operators.capture_index import build_index, build_metadata
-from emberlog.operators.filters import filter_logs
-from emberlog.sources.captures import read_capture, read_index
+from emberlog.operators.filters import filter_logs, slice_logs
+from emberlog.sources.captures import parse_all_lines, read_capture, read_index, read_lines, read_metadata
 
 TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 MAX_FILE_ENTRIES = 1_000_000  # at a few hundred bytes an entry, about 256 MB
@@ -62,6 +63,25 @@ def slice_write(logs: DataFrame, path: str, **write_options) -> None:
     write_capture(logs, path, **write_options)
 
 
+def slice_capture(spark: SparkSession, source: str, path: str, frm: datetime | None = None, to: datetime | None = None,
+                  labels=None, grep: str | None = None) -> None:
+    """Slice a stored capture into a new one. Lines are kept exactly as stored, in their order,
+    unreadable ones too if there is no time bound; only files the index selects are looked at."""
+    lines = parse_all_lines(read_lines(spark, source)).withColumn("_at", F.monotonically_increasing_id())
+    kept = slice_logs(lines, read_index(spark, source), frm, to, labels, grep, F.col("value"), F.col("bad"), ["capture", "file"])
+    if kept.isEmpty():
+        raise ValueError("no matching log lines found for the given filters")
+    place = ["file", "block", "_at"]
+    (kept.repartitionByRange(*place).sortWithinPartitions(*place).select("value")
+     .write.option("maxRecordsPerFile", MAX_FILE_ENTRIES).text(f"{path}/data"))
+    written = parse_all_lines(read_lines(spark, path))
+    index = build_index(written, F.octet_length("value") + 1, ["file"])
+    index.write.option("timestampFormat", TIMES).json(f"{path}/index")
+    metadata = build_metadata(read_index(spark, path)).drop("capture", "redaction")
+    (metadata.withColumn("redaction", read_metadata(spark, source).select(F.first("redaction", True)).scalar())
+     .write.option("timestampFormat", TIMES).json(f"{path}/metadata"))
+
+
 def export(logs: DataFrame, path: str, fmt: str, **filters) -> None:
     """``parquet`` (zstd), ``csv`` (ts, flattened labels, msg) or ``jsonl``."""
     logs = filter_logs(logs, **filters)

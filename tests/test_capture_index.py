@@ -79,6 +79,19 @@ def test_report(make_logs):
     assert '"severity":"low"' in rep.as_json(rep.report(calm, index, ci.build_metadata(index))).first().report
 
 
+def test_incident_report(make_logs):
+    logs = make_logs([(f"10:0{i // 10}:{i % 10:02d}", {"app": f"s{i % 3}"}, "error: x" if i % 10 == 0 else "ok") for i in range(60)]
+                     + [("11:00:00", {"pod": "p"}, "error: other", "f1", "c2")])
+    index = ci.build_index(logs, keys=["capture", "file"])
+    r = rep.incident_report(logs, index, ci.build_metadata(index), "c1").first()
+    assert (r.total_lines, r.error_lines, r.severity) == (60, 6, "high")
+    assert [(e.signature, e["count"], e.pct_of_errors) for e in r.top_errors] == [("error: x", 6, 100.0)]
+    assert [(x.key, x["values"]) for x in r.labels] == [("app", 3)]
+    assert {w.window: w.value for w in r.windows}["peak_error"] == 5 and len(r.windows) == 3
+    assert '"top_errors":[{"signature":"error: x"' in rep.as_json(rep.incident_report(
+        logs, index, ci.build_metadata(index), "c1")).first().report
+
+
 def test_share(spark):
     df = spark.createDataFrame([("a", 1), ("b", 3)], "v string, lines bigint")
     assert {r.v: r.pct for r in ci.share_of_total(df, "lines").collect()} == {"a": 25.0, "b": 75.0}

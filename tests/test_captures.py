@@ -87,6 +87,35 @@ def _read(df):
     return rows, sum(found)
 
 
+def test_full_index(spark, root):
+    rows = {r.file: r for r in src.full_index(spark, str(root)).collect()}
+    orphan = rows["2024-01-15T110000-000.jsonl.zst"]
+    assert len(rows) == 2 and orphan.lines == 3 and orphan.labels == {"app": {"api": 3}} and orphan.to.hour == 11
+    nothing = src.read_index(spark, str(root)).limit(0)
+    rows = {r.file: r for r in src.full_index(spark, str(root), nothing).collect()}
+    assert rows["2024-01-15T100000-000.jsonl"].lines == 6  # unreadable lines count too
+
+
+def test_slice_keeps_lines_as_stored(spark, root):
+    one = str(root / "one")
+    whole = scratch_dir(spark, "slice")
+    sinks.slice_capture(spark, one, whole, labels=[("app", "web")], grep="a|not json")
+    lines = [r.value for r in src.read_lines(spark, whole).collect()]
+    assert len(lines) == 4 and "not json" in lines and any('"extra": 1' in v for v in lines)
+    meta = src.read_metadata(spark, whole).first()
+    assert meta.redaction.patterns == ["email"] and meta.total_lines == 4
+    cut = scratch_dir(spark, "slice")
+    sinks.slice_capture(spark, one, cut, frm=at("10:00:00"), to=at("10:00:02"))
+    assert [r.msg for r in src.read_capture(spark, cut).collect()] == ["a"]  # the end is excluded
+    with pytest.raises(ValueError):
+        sinks.slice_capture(spark, one, scratch_dir(spark, "slice"), labels=[("app", "none")])
+
+
+def test_catalog_not_recursive(spark, root):
+    assert [r.capture for r in src.catalog(spark, str(root), recursive=False).collect()] == ["one"]
+    assert [r.capture for r in src.catalog(spark, str(root / "one"), recursive=False).collect()] == ["one"]
+
+
 def test_new_files(spark, root):
     files = src.list_files(spark, str(root))
     assert [r.file for r in src.new_files(files.where("file like '%100000%'"), files).collect()] == ["2024-01-15T110000-000.jsonl.zst"]
