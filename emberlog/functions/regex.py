@@ -19,7 +19,28 @@ BOUNDARY = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
 NOT_BOUNDARY = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
 
 _OUTSIDE_CLASS = {r"\b": BOUNDARY, r"\B": NOT_BOUNDARY, r"\s": r"[\t\n\f\r ]", r"\S": r"[^\t\n\f\r ]"}
-_INSIDE_CLASS = {r"\s": r"\t\n\f\r "}
+_INSIDE_CLASS = {r"\s": r"\t\n\f\r ", "[": r"\[", "&&": r"\&\&"}
+# Named ASCII classes whose Java name is not just the capitalised one.
+_NAMED = {"ascii": "{ASCII}", "xdigit": "{XDigit}"}
+
+
+def _in_class(m: re.Match) -> str:
+    if not m[1]:
+        return _INSIDE_CLASS.get(m[0], m[0])
+    negated, name = m[1].startswith("^"), m[1].lstrip("^")
+    if name == "word":
+        return r"\W" if negated else r"\w"
+    return (r"\P" if negated else r"\p") + _NAMED.get(name, f"{{{name.capitalize()}}}")
+
+
+def _class(text: str) -> str:
+    """A bracketed class. Java reads an inner bracket as a nested class and && as an
+    intersection; both are plain characters here."""
+    head = re.match(r"\[\^?", text)[0]
+    body = text[len(head):-1]
+    if body.startswith("]"):
+        head, body = head + r"\]", body[1:]
+    return head + re.sub(r"\\.|\[:(\^?\w+):\]|\[|&&", _in_class, body) + "]"
 
 
 def java_regex(pattern: str) -> str:
@@ -30,7 +51,7 @@ def java_regex(pattern: str) -> str:
     out = []
     for i, part in enumerate(parts):
         if i % 2:  # a character class
-            out.append(re.sub(r"\\.", lambda m: _INSIDE_CLASS.get(m[0], m[0]), part))
+            out.append(_class(part))
             continue
         part = re.sub(
             r"\\.|\$",

@@ -33,6 +33,8 @@ def test_is_error(text_column):
     (r"a\sb", "a\x0bb", False), (r"[\s]b", "a b", True), (r"a.b", "a\rb", True), (r"a.b", "a\nb", False),
     (r"(?i)straße", "STRAßE", True), (r"(?i)ÜBER", "über", True), (r"[$]5", "$5", True), (r"\$5", "$5", True),
     (r"(?P<n>ab)", "xabx", True), (r"[^\]]x", "]x", False),
+    (r"^[[:alpha:]_]+$", "ab_c", True), (r"[[:^digit:]]", "123", False), (r"[[(]x", "[x", True), (r"[]a]b", "]b", True),
+    (r"[a&&b]c", "&c", True), (r"^[[:word:]]+$", "a1_", True), (r"[^]]", "]", False),
 ])
 def test_regex_dialect(text_column, pattern, text, found):
     assert text_column(lambda c: regex.matches(c, pattern), [text]) == [found]
