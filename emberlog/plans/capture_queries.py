@@ -7,7 +7,6 @@ from pyspark.sql import Window, functions as F
 from emberlog.functions.labels import flatten_labels
 from emberlog.operators import capture_index as ci, integrity, retention
 from emberlog.operators.filters import slice_logs
-from emberlog.operators.ordering import semi_join_small
 from emberlog.operators.triage import error_timeline
 from emberlog.plans.filter_queries import FROM, T_FROM, T_TO, TO
 from emberlog.plans.registry import query
@@ -213,7 +212,7 @@ def orphan_files(t):
     root = _written(t, max_entries=2000)
     index = src.read_index(t.spark, root).where("lines < 0")
     orphans = ci.orphan_files(src.list_files(t.spark, root), index, ["capture", "file"])
-    lines = semi_join_small(src.read_capture(t.spark, root), orphans.select("capture", "file"), ["capture", "file"])
+    lines = src.parse_entries(src.read_lines_of(t.spark, root, orphans))
     return lines.groupBy("capture").agg(F.lit(True).alias("orphaned"), F.count(F.lit(1)).alias("lines"))
 
 
@@ -222,8 +221,8 @@ def line_totals(t):
     """Half of the index is lost; the lines of those files are counted in the files."""
     root = _written(t, max_entries=1000)
     index = src.read_index(t.spark, root).where("crc32(file) % 2 = 0")
-    orphans = ci.orphan_files(src.read_lines(t.spark, root), index, ["capture", "file"])
-    return ci.line_totals(index, orphans)
+    orphans = ci.orphan_files(src.list_files(t.spark, root), index, ["capture", "file"])
+    return ci.line_totals(index, src.read_lines_of(t.spark, root, orphans))
 
 
 @query("inspect_with_orphans", f"""WITH {INDEX} SELECT key, value, CAST(sum(count) AS BIGINT) AS lines FROM idx_labels GROUP BY key, value""")
@@ -249,7 +248,7 @@ def catch_up_new_files(t):
     root = _written(t)
     files = src.list_files(t.spark, root)
     fresh = src.new_files(files.where("capture = 'base'"), files).select("capture", "file")
-    return semi_join_small(src.read_capture(t.spark, root), fresh, ["capture", "file"]).select("capture", "ts", "msg")
+    return src.parse_entries(src.read_lines_of(t.spark, root, fresh)).select("capture", "ts", "msg")
 
 
 @query("signed_capture")

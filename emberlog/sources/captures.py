@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from emberlog.operators.capture_index import build_index
 from emberlog.operators.decoding import decode
 from emberlog.operators.filters import file_may_match
-from emberlog.operators.ordering import BROADCAST_ROWS, semi_join_small
+from emberlog.operators.ordering import BROADCAST_ROWS
 from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
 
 # Files of a capture folder that hold no entries.
@@ -72,17 +72,31 @@ def _files(spark: SparkSession, glob: str):
 
 
 def read_lines(spark: SparkSession, path: str | list[str], only: Column | None = None) -> DataFrame:
-    """Stored lines with their place: value, capture, file, block (offset of the file split).
+    """Stored lines, without blank ones, with their place: value, capture, file, block (offset of the file split).
 
     The conditions on file names are answered from the listing, so other files are not opened."""
     lines = _files(spark, DATA_GLOB).text(path)
     if only is not None:
         lines = lines.where(only)
-    return lines.where(_is_data(F.col(_PATH), F.col(_NAME))).select(
+    return lines.where(_is_data(F.col(_PATH), F.col(_NAME)) & (F.col("value") != "")).select(
         "value", _capture(F.col(_PATH)).alias("capture"), F.col(_NAME).alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
 
 
+def read_lines_of(spark: SparkSession, path: str, files: DataFrame, inverse: bool = False) -> DataFrame:
+    """Lines of the ``files`` (capture, file), or of all others; no other file is opened.
+
+    The names become a condition on the reader's file path, which is answered from the
+    listing. A list too long for that is joined instead."""
+    names = [f"{r.capture}/{r.file}" for r in files.select("capture", "file").limit(BROADCAST_ROWS + 1).collect()]
+    if len(names) > BROADCAST_ROWS:
+        return read_lines(spark, path).join(files, ["capture", "file"], "left_anti" if inverse else "left_semi")
+    if not names:
+        return read_lines(spark, path, None if inverse else F.lit(False))
+    listed = F.concat_ws("/", _capture(F.col(_PATH)), F.col(_NAME)).isin(names)
+    return read_lines(spark, path, ~listed if inverse else listed)
+
+
 def parse_entries(lines: DataFrame) -> DataFrame:
     """Decode the ``value`` column; blank and malformed lines are left out, unknown fields
     ignored. An entry without a time keeps a null time and still counts."""
@@ -127,17 +141,9 @@ def read_capture(spark: SparkSession, path: str | list[str], line_numbers: bool
 
 
 def read_capture_pruned(spark: SparkSession, path: str, index: DataFrame, frm=None, to=None, labels=None) -> DataFrame:
-    """Read only files that the index cannot rule out; files it does not know are read.
-
-    The names of the ruled-out files become a condition on the reader's file path, which is
-    answered from the listing: those files are not opened. A list too long for that is
-    joined instead."""
-    out = index.where(~F.coalesce(file_may_match(frm, to, labels), F.lit(True))).select("capture", "file")
-    names = [f"{r.capture}/{r.file}" for r in out.limit(BROADCAST_ROWS + 1).collect()]
-    if len(names) > BROADCAST_ROWS:
-        return parse_entries(read_lines(spark, path).join(out, ["capture", "file"], "left_anti"))
-    place = F.concat_ws("/", _capture(F.col(_PATH)), F.col(_NAME))
-    return parse_entries(read_lines(spark, path, ~place.isin(names) if names else None))
+    """Read only files that the index cannot rule out; files it does not know are read."""
+    out = index.where(~F.coalesce(file_may_match(frm, to, labels), F.lit(True)))
+    return parse_entries(read_lines_of(spark, path, out, inverse=True))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -151,12 +157,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 def full_index(spark: SparkSession, path: str, index: DataFrame | None = None) -> DataFrame:
     """The stored index, and rows computed for the data files it does not know. All lines of
-    those count, readable or not."""
+    those count, readable or not; the other files are not opened."""
     index = read_index(spark, path) if index is None else index
     known = index.select("capture", "file")
     orphans = list_files(spark, path).select("capture", "file").join(known, ["capture", "file"], "left_anti")
-    lines = semi_join_small(read_lines(spark, path), orphans, ["capture", "file"])
-    computed = build_index(parse_all_lines(lines), F.octet_length("value"), ["capture", "file"])
+    computed = build_index(parse_all_lines(read_lines_of(spark, path, orphans)), F.octet_length("value"), ["capture", "file"])
     return index.unionByName(computed)
 
 

@@ -55,7 +55,7 @@ def test_index_metadata_files(spark, root):
     assert meta["one"].redaction.patterns == ["email"] and meta["two"].stopped is None
     orphans = ci.orphan_files(src.list_files(spark, str(root)), index, ["capture", "file"])
     assert [r.file for r in orphans.collect()] == ["2024-01-15T110000-000.jsonl.zst"]
-    lines = ci.orphan_files(src.read_lines(spark, str(root)), index, ["capture", "file"])
+    lines = src.read_lines_of(spark, str(root), orphans)
     assert ci.line_totals(index, lines).first().total_lines == 6
 
 
@@ -73,6 +73,14 @@ def test_pruned_read_opens_fewer_files(spark, root):
     assert len(rows) == 6 and files == 2
 
 
+def test_only_listed_files_are_opened(spark, root):
+    files = src.list_files(spark, str(root)).where("file like '%.zst'")
+    rows, opened = _read(src.read_lines_of(spark, str(root), files))
+    assert len(rows) == 3 and opened == 1
+    assert src.read_lines_of(spark, str(root), files, inverse=True).count() == 6
+    assert src.read_lines_of(spark, str(root), files.limit(0)).count() == 0
+
+
 def _read(df):
     """Rows and the number of files opened for them."""
     rows, found = df.collect(), []
