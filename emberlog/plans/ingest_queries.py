@@ -16,6 +16,7 @@ NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
 # ---- the redaction chain in SQL --------------------------------------------------------------
 
+# The redaction patterns as DuckDB's regex engine reads them.
 _CARD = r"\b(?:\d[ -]*?){13,19}\b"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)"
 _OTHERS = (

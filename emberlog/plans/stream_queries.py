@@ -8,64 +8,64 @@ from emberlog.plans.registry import ORACLES, query
 from emberlog.plans.tables import LOGS, SNAPSHOTS, is_error_sql, signature_sql
 from emberlog.session import scratch_dir, streaming_session
 from emberlog.sources import sinks
-from emberlog.streaming import alerting, pipelines
+from emberlog.streaming import alerting, streams
 
 
 def _landed_entries(t):
     """The log entries as parquet files that arrive one after another."""
     path = scratch_dir(t.spark, "landed")
     t.logs().select("ts", "labels", "msg").repartition(8).write.parquet(path)
-    return pipelines.entry_stream(streaming_session(t.spark), path, max_files=3)
+    return streams.entry_stream(streaming_session(t.spark), path, max_files=3)
 
 
 def _finished(t, running, keys):
     """Run a stream in update mode to its end and read the current values."""
     out = scratch_dir(t.spark, "updates")
-    pipelines.keep_updates(running, out, scratch_dir(t.spark, "stream")).awaitTermination()
-    return pipelines.latest(t.spark, out, keys)
+    streams.keep_updates(running, out, scratch_dir(t.spark, "stream")).awaitTermination()
+    return streams.latest(t.spark, out, keys)
 
 
 @query("stream_ingest", f"WITH {LOGS}, {_redact_ctes('logs', 'event_id, ts, app, env', 'msg')} SELECT ts, 'app=' || app || ';env=' || env AS labels, t AS msg FROM done")
 def stream_ingest(t):
     landed, out = scratch_dir(t.spark, "payloads"), scratch_dir(t.spark, "ingested")
     t.payloads().select("payload").repartition(6).write.text(landed)
-    pipelines.ingest(pipelines.payload_stream(t.spark, landed, max_files=2), out, scratch_dir(t.spark, "stream")).awaitTermination()
+    streams.ingest(streams.payload_stream(t.spark, landed, max_files=2), out, scratch_dir(t.spark, "stream")).awaitTermination()
     return t.spark.read.parquet(out).select("ts", flatten_labels(F.col("labels")).alias("labels"), "msg")
 
 
 @query("stream_counters", f"WITH {LOGS} SELECT app AS name, CAST(count(*) AS BIGINT) AS received, CAST(sum(strlen(msg)) AS BIGINT) AS bytes FROM logs GROUP BY app")
 def stream_counters(t):
-    return _finished(t, pipelines.counters(_landed_entries(t)), ["name"])
+    return _finished(t, streams.counters(_landed_entries(t)), ["name"])
 
 
 @query("stream_rate", f"""WITH {LOGS} SELECT date_trunc('second', ts) AS second, CAST(count(*) AS BIGINT) AS logs_per_sec,
   CAST(sum(strlen(msg)) AS BIGINT) AS bytes_per_sec FROM logs GROUP BY 1""")
 def stream_rate(t):
-    return _finished(t, pipelines.rates(_landed_entries(t), watermark=None), ["second"])
+    return _finished(t, streams.rates(_landed_entries(t), watermark=None), ["second"])
 
 
 @query("stream_triage", f"""WITH {LOGS} SELECT date_trunc('minute', ts) AS minute, CAST(count(*) AS BIGINT) AS total_lines,
   CAST(count(*) FILTER (WHERE {is_error_sql()}) AS BIGINT) AS error_lines FROM logs GROUP BY 1""")
 def stream_triage(t):
-    return _finished(t, pipelines.minute_counts(_landed_entries(t), watermark=None), ["minute"])
+    return _finished(t, streams.minute_counts(_landed_entries(t), watermark=None), ["minute"])
 
 
 @query("stream_signatures", f"""WITH {LOGS} SELECT {signature_sql()} AS signature, CAST(count(*) AS BIGINT) AS count, min(ts) AS first_seen
 FROM logs WHERE {is_error_sql()} GROUP BY 1""")
 def stream_signatures(t):
-    return _finished(t, pipelines.signatures(_landed_entries(t)), ["signature"])
+    return _finished(t, streams.signatures(_landed_entries(t)), ["signature"])
 
 
 @query("stream_talkers", ORACLES.get("talkers"))
 def stream_talkers(t):
-    return _finished(t, pipelines.talkers(_landed_entries(t)), ["key", "value"])
+    return _finished(t, streams.talkers(_landed_entries(t)), ["key", "value"])
 
 
 @query("follow", f"WITH {LOGS} SELECT ts, msg FROM logs WHERE app = 'svc-1' AND (regexp_matches(msg, 'panic|refused') OR regexp_matches(app, 'panic|refused') OR regexp_matches(env, 'panic|refused'))")
 def follow(t):
     path, out = scratch_dir(t.spark, "capture"), scratch_dir(t.spark, "followed")
     sinks.export(t.logs(), path, "jsonl")
-    entries = pipelines.follow(t.spark, path, "panic|refused", ("app", "svc-1"), max_files=1)
+    entries = streams.follow(t.spark, path, "panic|refused", ("app", "svc-1"), max_files=1)
     (entries.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_dir(t.spark, "stream"))
      .trigger(availableNow=True).start().awaitTermination())
     return t.spark.read.parquet(out).select("ts", "msg")

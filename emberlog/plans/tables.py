@@ -158,6 +158,7 @@ def is_error_sql(msg: str = "msg") -> str:
 
 
 def signature_sql(msg: str = "msg") -> str:
+    # The signature rules as DuckDB's regex engine reads them.
     rules = (
         (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<UUID>"),
         (r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[.\d]*Z?", "<TS>"),

@@ -8,7 +8,7 @@ from emberlog.functions.labels import flatten_labels
 from emberlog.operators import alerts, ingest, triage
 from emberlog.params import AlertRule
 from emberlog.session import scratch_dir
-from emberlog.streaming import alerting, pipelines
+from emberlog.streaming import alerting, streams
 
 NOW = at("00:00:00", "2024-02-01")
 
@@ -74,8 +74,8 @@ def test_talkers(make_logs):
 
 def run_updates(spark, df, keys):
     out = scratch_dir(spark, "updates")
-    pipelines.keep_updates(df, out, scratch_dir(spark, "cp")).awaitTermination()
-    return pipelines.latest(spark, out, keys)
+    streams.keep_updates(df, out, scratch_dir(spark, "cp")).awaitTermination()
+    return streams.latest(spark, out, keys)
 
 
 def same(a, b):
@@ -86,15 +86,15 @@ def same(a, b):
 def landed(spark, logs, files=4):
     path = scratch_dir(spark, "landed")
     logs.select("ts", "labels", "msg").repartition(files).write.parquet(path)
-    return pipelines.entry_stream(spark, path, max_files=1)
+    return streams.entry_stream(spark, path, max_files=1)
 
 
 def test_streamed_triage_equals_batch(spark, make_logs):
     logs = make_logs([(at("10:00:00") + timedelta(seconds=7 * i), {"app": f"s{i % 3}"}, f"error {i}000" if i % 4 == 0 else "fine") for i in range(80)])
-    same(run_updates(spark, pipelines.minute_counts(landed(spark, logs), None), ["minute"]), triage.minute_counts(logs))
-    same(run_updates(spark, pipelines.signatures(landed(spark, logs)), ["signature"]), triage.signature_starts(logs))
-    same(run_updates(spark, pipelines.talkers(landed(spark, logs)), ["key", "value"]), triage.talkers(logs))
-    counters = run_updates(spark, pipelines.counters(landed(spark, logs)), ["name"])
+    same(run_updates(spark, streams.minute_counts(landed(spark, logs), None), ["minute"]), triage.minute_counts(logs))
+    same(run_updates(spark, streams.signatures(landed(spark, logs)), ["signature"]), triage.signature_starts(logs))
+    same(run_updates(spark, streams.talkers(landed(spark, logs)), ["key", "value"]), triage.talkers(logs))
+    counters = run_updates(spark, streams.counters(landed(spark, logs)), ["name"])
     same(counters.select("name", F.col("received").alias("count")), ingest.ingest_talkers(logs))
 
 
@@ -105,7 +105,7 @@ def test_watermark_closes_windows(spark, make_logs):
         part = logs.where((F.col("line_no") > i) & (F.col("line_no") <= i + 10))
         part.select("ts", "labels", "msg").coalesce(1).write.mode("append").parquet(path)
     out = scratch_dir(spark, "closed")
-    stream = pipelines.minute_counts(pipelines.entry_stream(spark, path, 1))
+    stream = streams.minute_counts(streams.entry_stream(spark, path, 1))
     (stream.writeStream.outputMode("append").format("parquet").option("path", out)
      .option("checkpointLocation", scratch_dir(spark, "cp")).trigger(availableNow=True).start().awaitTermination())
     closed = spark.read.parquet(out)
@@ -119,7 +119,7 @@ def test_ingest_redacts_before_the_sink_and_resumes(spark, tmp_path):
         write_lines(tmp_path / name, [{"streams": [{"stream": {"app": "a"}, "values": [["1700000000000000000", text]]}]}])
 
     def run():
-        pipelines.ingest(pipelines.payload_stream(spark, str(tmp_path)), out, cp).awaitTermination()
+        streams.ingest(streams.payload_stream(spark, str(tmp_path)), out, cp).awaitTermination()
         return sorted(r.msg for r in spark.read.parquet(out).collect())
     land("p1.json", "mail x@y.io")
     assert run() == ["mail [REDACTED:email]"]
@@ -131,7 +131,7 @@ def test_follow(spark, tmp_path):
     write_lines(tmp_path / "a.jsonl", [{"ts": "2024-01-15T10:00:00Z", "labels": {"app": "x"}, "msg": "hit"}, "bad",
                                        {"ts": "2024-01-15T10:00:00Z", "labels": {"app": "y"}, "msg": "hit"}])
     out = scratch_dir(spark, "followed")
-    (pipelines.follow(spark, str(tmp_path), "hit", ("app", "x")).writeStream.format("parquet").option("path", out)
+    (streams.follow(spark, str(tmp_path), "hit", ("app", "x")).writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", scratch_dir(spark, "cp")).trigger(availableNow=True).start().awaitTermination())
     assert [flat[0] for flat in spark.read.parquet(out).select(flatten_labels(F.col("labels"))).collect()] == ["app=x"]
 
