@@ -15,6 +15,8 @@ from emberlog.operators.ordering import broadcast_if_small
 WINDOW_SECONDS = 10
 MAX_LAG = 5
 MIN_CONFIDENCE = 0.5
+# Services per part of a bucket when a bucket is split.
+SPLIT_SERVICES = 1000
 CHRONOLOGICAL = ("file", "line_no")
 
 
@@ -67,11 +69,20 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
     # One row per service: range, totals, first error. Running it also fills the kept buckets.
     services = broadcast_if_small(logs.sparkSession, service_profiles(buckets))
 
-    lagged = counts.select(F.col("service").alias("source"), F.col("errors").alias("_x"), "bucket",
-                           F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
-    lagged = lagged.withColumn("bucket", F.col("bucket") + F.col("lag"))
-    products = (lagged.join(counts.select(F.col("service").alias("target"), "bucket", F.col("errors").alias("_y")),
-                            "bucket")
+    # A bucket in which very many services fail at once is split: its sources are dealt out
+    # to parts, its targets are copied to each part.
+    crowded = (counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT_SERVICES)
+               .select("bucket", F.ceil(F.col("_n") / SPLIT_SERVICES).cast("int").alias("_parts")))
+    crowded = broadcast_if_small(logs.sparkSession, crowded)
+    parts = F.coalesce("_parts", F.lit(1))
+    sources = counts.select(F.col("service").alias("source"), F.col("errors").alias("_x"),
+                            F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "bucket")
+    sources = (sources.withColumn("bucket", F.col("bucket") + F.col("lag")).join(crowded, "bucket", "left")
+               .withColumn("part", F.pmod(F.xxhash64("source"), parts).cast("int")).drop("_parts"))
+    targets = (counts.join(crowded, "bucket", "left")
+               .select("bucket", F.col("service").alias("target"), F.col("errors").alias("_y"),
+                       F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
+    products = (sources.join(targets, ["bucket", "part"])
                 .where("source <> target")
                 .groupBy("source", "target", "lag")
                 .agg(F.sum(F.col("_x") * F.col("_y")).cast("decimal(38,0)").alias("sxy")))

@@ -49,8 +49,9 @@ def dense(x, y, lag):
     return max(0.0, sum((p - ma) * (q - mb) for p, q in zip(a, b)) / math.sqrt(va * vb))
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_against_dense_vectors(make_logs, seed):
+@pytest.mark.parametrize("seed, split", [(0, 1000), (1, 1000), (2, 1), (3, 2), (4, 1)])
+def test_against_dense_vectors(make_logs, monkeypatch, seed, split):
+    monkeypatch.setattr(corr, "SPLIT_SERVICES", split)  # with and without split buckets
     rng = random.Random(seed)
     names = ["a", "b", "c", "d"]
     base = [rng.randrange(40) for _ in range(8)]
