@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe
-from emberlog.llm.common import table
+from emberlog.llm import bpe, exact_dedup, simhash
+from emberlog.llm.common import stored, table
 
 QUERIES = {}
 ORACLES = {}
@@ -28,3 +28,18 @@ def query(name: str, sql: str | None = None):
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
                               public_tokenizers.PATTERN)
+
+
+@query("op9_exact_dedup", r"""
+    WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+    SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+           doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+    FROM n""")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = stored(simhash.fingerprints(table(spark, sf_dir, "documents")), "simhash")
+    return simhash.groups(prints).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
