@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe, exact_dedup, simhash
+from emberlog.llm import bpe, exact_dedup, simhash, warc
 from emberlog.llm.common import stored, table
 
 QUERIES = {}
@@ -43,3 +43,13 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = stored(simhash.fingerprints(table(spark, sf_dir, "documents")), "simhash")
     return simhash.groups(prints).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op2_warc", """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+         f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN first <> page_id THEN first END AS refers_to
+    FROM f""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, table(spark, sf_dir, "pages"))
