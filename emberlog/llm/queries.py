@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe, exact_dedup, simhash, warc
+from emberlog.llm import bpe, compression, exact_dedup, mixing, simhash, warc
 from emberlog.llm.common import stored, table
 
 QUERIES = {}
@@ -53,3 +53,16 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM f""")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, table(spark, sf_dir, "pages"))
+
+
+@query("op3_compression_quality")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"))
+    held_out = compression.fold_of(F.col("doc_id")) == 0
+    return compression.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
