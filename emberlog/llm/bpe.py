@@ -1,10 +1,14 @@
 """Byte-level BPE encoding and decoding by a published rank file.
 
-Documents are gathered into chunks of bounded size within their own partition, so nothing is
-shuffled. Each chunk carries its distinct words once, as arrays of byte tokens; higher-order
-functions fold the ranked merges over those arrays, looking up each pair of neighbours in a
-literal rank map; and each document then takes its words' ids from the chunk. Decoding joins
-the binary pieces that the ids stand for.
+Texts are split into words by a pattern; the bytes of each word start as single tokens, and the
+neighbours whose joined piece has the lowest rank are merged until no rank is left. Decoding
+joins the binary pieces that the ids stand for.
+
+The fold over ranked merges exists twice. :func:`encode_words` writes it with higher-order
+functions over the byte arrays of a table of distinct words, looking up each pair in a literal
+rank map. :func:`encode` and :func:`encode_digests` do the same fold inside the tasks that read
+the documents, once for each distinct word that a task meets: bringing the words of a table back
+to their places in the documents would shuffle several times the input (see the README).
 """
 
 from __future__ import annotations
@@ -13,16 +17,17 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from itertools import chain
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog.llm.common import let, text_of
 
-#: Text characters gathered in a chunk, unless one document alone has more.
-CHUNK_CHARS = 16_000_000
+#: Distinct words whose ids a task keeps before it starts anew; bounds its memory, not its results.
+KEPT_WORDS = 400_000
 #: Buckets of the rank map; a few pairs fall into each.
 BUCKETS = 1 << 17
 #: Mixes the left id of a pair into its bucket.
@@ -32,7 +37,6 @@ MIX = 40_503
 TOKEN_BITS = 17
 NO_RANK = 1 << 20
 
-CHUNK = "doc_ids array<bigint>, texts array<string>, places array<array<int>>, bytes array<array<bigint>>, words array<int>"
 ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 DIGESTS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()),
                      ("decoded_sha256", pa.string())])
@@ -118,105 +122,124 @@ def merge_bytes(tokens: Column, ranks: Column) -> Column:
     return F.when(n > 1, folded).otherwise(tokens)
 
 
-def _chunks(path: str, pattern: str, limit: int):
-    """Gather documents of a partition: their texts, the places of their words among the distinct
-    words of the chunk, and the byte tokens of the words that no rank covers whole."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, find = read_ranks(path), regex.compile(pattern).findall
-        byte_token = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-
-        def flush():
-            raw = [w.encode() for w in known]
-            whole = np.array([ranks.get(w, -1) for w in raw], np.int32)
-            rest = [w if one < 0 else b"" for w, one in zip(raw, whole, strict=True)]
-            ends = np.concatenate([[0], np.cumsum([len(w) for w in rest], dtype=np.int64)]).astype(np.int32)
-            tokens = pa.array(byte_token[np.frombuffer(b"".join(rest), np.uint8)])
-            cuts = np.concatenate([[0], np.cumsum([len(p) for p in places], dtype=np.int64)]).astype(np.int32)
-            flat = pa.array(np.concatenate(places) if places else np.zeros(0, np.int32))
-
-            def one(values: pa.Array) -> pa.ListArray:
-                return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            return pa.RecordBatch.from_arrays([
-                one(pa.array(ids, pa.int64())), one(pa.array(texts, pa.string())), one(pa.ListArray.from_arrays(pa.array(cuts), flat)),
-                one(pa.ListArray.from_arrays(pa.array(ends), tokens)), one(pa.array(whole))], ["doc_ids", "texts", "places", "bytes", "words"])
-
-        ids, texts, places, known, held = [], [], [], {}, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                if ids and held + len(text) > limit:
-                    yield flush()
-                    ids, texts, places, known, held = [], [], [], {}, 0
-                ids.append(doc_id)
-                texts.append(text)
-                places.append(np.array([known.setdefault(w, len(known)) for w in find(text)], np.int32))
-                held += len(text)
-        if ids:
-            yield flush()
-    return run
+def encode_words(words: DataFrame, path: str) -> DataFrame:
+    """``word, ids`` of every distinct ``word`` (binary) by higher-order functions alone.
+
+    A word that has a rank itself is one token; the empty word has none; null stays null."""
+    single = F.from_json(F.lit("[" + ",".join(str(read_ranks(path)[bytes([b])]) for b in range(256)) + "]"), "array<bigint>")
+    whole = words.sparkSession.createDataFrame(sorted(read_ranks(path).items()), "word binary, rank bigint")
+    at = F.sequence(F.lit(1), F.octet_length("word"))
+    tokens = F.when(F.octet_length("word") > 0, F.transform(at, lambda i: F.get(single, F.conv(
+        F.hex(F.substring(F.col("word"), i, F.lit(1))), 16, 10).cast("int")))).otherwise(F.array().cast("array<bigint>"))
+    known = words.select("word").distinct().join(whole, "word", "left")
+    folded = let(rank_map(path), lambda ranks: merge_bytes(F.col("tokens"), ranks))
+    ids = F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(folded)
+    return known.withColumn("tokens", tokens).select("word", ids.alias("ids"))
+
+
+class _Words(dict):
+    """Word to its ids; a word not met before is folded and kept."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, word: str) -> list[int]:
+        raw, ranks = word.encode(), self.ranks
+        ids = [ranks[raw]] if raw in ranks else [ranks[p] for p in fold_bytes(raw, ranks)]
+        self[word] = ids
+        return ids
+
+
+def fold_bytes(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces of a word: of all neighbours the pair of lowest rank, the leftmost of equals, is
+    merged, until no pair has a rank. Long words keep their pairs in a heap."""
+    if len(word) > 64:
+        return _fold_long(word, ranks)
+    parts = [word[i:i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i:i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) != _NONE:
+        i = pairs.index(least)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+    return parts
+
+
+_NONE = 1 << 40
+
+
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The same over a heap of (rank, start): n log n instead of n squared."""
+    n = len(word)
+    end = list(range(1, n + 1))          # of the piece that starts here; 0 once it is merged away
+    before = list(range(-1, n - 1))      # start of the piece to the left
+    heap = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, middle, stop = heappop(heap)
+        if end[i] != middle or middle >= n or end[middle] != stop:
+            continue  # one of the two has changed since
+        end[i], end[middle] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(word[i:end[stop]])) is not None:
+                heappush(heap, (r, i, stop, end[stop]))
+        if (left := before[i]) >= 0 and (r := ranks.get(word[left:stop])) is not None:
+            heappush(heap, (r, left, i, stop))
+    out, i = [], 0
+    while i < n:
+        out.append(word[i:end[i]])
+        i = end[i]
+    return out
 
 
-def _documents(path: str, out):
-    """Per document of a chunk: its ids, put together from those of its words."""
+def _documents(path: str, pattern: str, out, schema: pa.Schema, kept: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, words = regex.compile(pattern).findall, _Words(read_ranks(path))
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids, places, codes = (batch.column(c)[row].values for c in range(3))
-                starts = codes.offsets.to_numpy()
-                yield from out(path, ids, places, np.diff(starts), starts - starts[0], codes.flatten().to_numpy(zero_copy_only=False))
+            rows = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = list(chain.from_iterable(map(words.__getitem__, find(text.as_py()))))
+                rows.append((doc_id, *out(ids, path)))
+                if len(words) > kept:
+                    words.clear()
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
     return run
 
 
-def _spread(places: np.ndarray, sizes: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """The codes of the words at ``places``, one after the other."""
-    n = sizes[places]
-    first = np.cumsum(n) - n
-    return codes[np.arange(n.sum()) + np.repeat(starts[places] - first, n)]
-
+def _digests(ids: list[int], path: str) -> tuple[int, str, str]:
+    decoded = b"".join(map(_pieces(path).__getitem__, ids))
+    written = " ".join(map(_written(path).__getitem__, ids))
+    return len(ids), hashlib.sha256(written.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-def _ids_out(path, doc_ids, places, sizes, starts, codes):
-    cuts, flat = places.offsets.to_numpy(), places.values.to_numpy()
-    for i, doc_id in enumerate(doc_ids.to_pylist()):
-        found = _spread(flat[cuts[i]:cuts[i + 1]], sizes, starts, codes)
-        yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.ListArray.from_arrays(
-            pa.array([0, len(found)], pa.int32()), pa.array(found.astype(np.int32)))], schema=ENCODED)
 
-
-def _digests_out(path, doc_ids, places, sizes, starts, codes):
-    pieces = _pieces(path)
-    written = [" ".join(map(str, codes[a:a + n].tolist())) for a, n in zip(starts[:-1].tolist(), sizes.tolist(), strict=True)]
-    cuts, flat = places.offsets.to_numpy(), places.values.to_numpy()
-    rows = []
-    for i, doc_id in enumerate(doc_ids.to_pylist()):
-        own = flat[cuts[i]:cuts[i + 1]]
-        found = _spread(own, sizes, starts, codes)
-        text = " ".join([written[p] for p in own.tolist()])
-        decoded = b"".join([pieces[x] for x in found.tolist()])
-        rows.append((doc_id, len(found), hashlib.sha256(text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
-    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DIGESTS, strict=True)], schema=DIGESTS)
+@lru_cache(maxsize=2)
+def _written(path: str) -> list[str]:
+    return [str(i) for i in range(len(_pieces(path)))]
 
 
-def _encoded_chunks(docs: DataFrame, path: str, pattern: str, chunk_chars: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
-    chunks = rows.mapInArrow(_chunks(path, pattern, chunk_chars), CHUNK)
-    codes = let(rank_map(path), lambda ranks: F.zip_with("bytes", "words", lambda b, w: F.when(
-        w >= 0, F.array(w.cast("bigint"))).otherwise(merge_bytes(b, ranks))))
-    return chunks.select("doc_ids", "places", codes.alias("codes"))
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, path: str, pattern: str, kept_words: int = KEPT_WORDS) -> DataFrame:
     """``doc_id, ids array<int>`` of every row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts have no ids. Repeated rows and equal or null ``doc_id`` give a row
     each; other columns are not looked at. ``path`` is a rank file, ``pattern`` splits texts."""
-    return _encoded_chunks(docs, path, pattern, chunk_chars).mapInArrow(_documents(path, _ids_out), "doc_id bigint, ids array<int>")
+    return _rows(docs).mapInArrow(_documents(path, pattern, lambda ids, _: (ids,), ENCODED, kept_words), "doc_id bigint, ids array<int>")
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, kept_words: int = KEPT_WORDS) -> DataFrame:
     """As :func:`encode`, but ``doc_id, n_tokens, ids_sha256, decoded_sha256``: the ids and the
     bytes they decode to are hashed where they are made, and do not leave their task."""
-    return _encoded_chunks(docs, path, pattern, chunk_chars).mapInArrow(
-        _documents(path, _digests_out), "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return _rows(docs).mapInArrow(_documents(path, pattern, _digests, DIGESTS, kept_words),
+                                  "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe, compression, exact_dedup, mixing, simhash, warc
+from emberlog.llm import bpe, compression, exact_dedup, mixing, simhash, spans, warc
 from emberlog.llm.common import stored, table
 
 QUERIES = {}
@@ -66,3 +66,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@query("op7_sentence_spans")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.deduplicate(table(spark, sf_dir, "documents"))

@@ -17,14 +17,15 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from emberlog.llm.common import checkpoint, text_of
+from emberlog.llm.common import stored, text_of
 from emberlog.llm.graph import components
 
 SEED = 42
 #: Shingles counted at a time; bounds the memory that a long text takes.
 PIECE = 200_000
-#: Depths at which pairs of nodes are met on the way from the root to the leaves.
-DEPTHS = (6, 10, 12, 14, 16, 18, 20, 22, 24, 28, 32, 40, 48, 56, 64)
+#: Depths at which pairs of nodes are met on the way from the root to the leaves. Down to the
+#: first there are at most 2**8 nodes, which the driver walks itself.
+DEPTHS = (8, 12, 16, 20, 24, 32, 44, 64)
 
 
 def fingerprint_of(text: str, size: int = 3) -> int:
@@ -90,19 +91,27 @@ def _children(pairs: DataFrame, nodes: DataFrame, step: int, budget: int) -> Dat
             .where("a <> b or a_lo <> a_hi").select("a", "b", "a_lo", "a_hi", "b_lo", "b_hi"))
 
 
+def _top(nodes: DataFrame, depth: int, budget: int) -> list[tuple[int, int]]:
+    """Pairs of the first nodes within the budget: at most 2**depth nodes, walked from the root."""
+    present, pairs = {r["node"] for r in nodes.select("node").collect()}, [(0, 0)]
+    for level in range(1, depth + 1):
+        here = {n >> depth - level for n in present}
+        pairs = [(x, y) for a, b in pairs for x in (2 * a, 2 * a + 1) for y in (2 * b, 2 * b + 1)
+                 if x <= y and x in here and y in here and (x ^ y).bit_count() <= budget]
+    return pairs
+
+
 def near_pairs(leaves: DataFrame, budget: int = 2) -> DataFrame:
     """Pairs ``a < b`` of the distinct values in ``leaves(fp bigint)`` with at most ``budget`` differing bits.
 
     Every such pair is found, once. Nulls must be left out before. An empty table gives no pairs."""
-    pairs = leaves.sparkSession.range(1).select(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
-    above, found = 0, []
-    for depth in DEPTHS:
-        met = checkpoint(_children(pairs, _nodes(leaves, depth), depth - above, budget))
+    above, found = DEPTHS[0], []
+    pairs = leaves.sparkSession.createDataFrame(_top(_nodes(leaves, above), above, budget), "a bigint, b bigint")
+    for depth in DEPTHS[1:]:
+        met = stored(_children(pairs, _nodes(leaves, depth), depth - above, budget), "simhash-pairs")
         decided = F.expr("a_lo = a_hi and b_lo = b_hi")
         found.append(met.where(decided).select(F.least("a_lo", "b_lo").alias("a"), F.greatest("a_lo", "b_lo").alias("b")))
         pairs, above = met.where(~decided).select("a", "b"), depth
-        if pairs.isEmpty():
-            break
     return reduce(DataFrame.union, found)
 
 
@@ -112,7 +121,7 @@ def groups(prints: DataFrame, budget: int = 2) -> DataFrame:
     Rows with the same fingerprint are linked, and so are those whose fingerprints differ in at
     most ``budget`` bits; ``component_id`` is the smallest ``doc_id`` that links lead to. Null
     ids take part and get the group's id (null if it has no other)."""
-    leaves = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    leaves = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-leaves")
     parts = components(near_pairs(leaves.select("fp"), budget))
     named = leaves.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -123,6 +132,6 @@ def groups(prints: DataFrame, budget: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
     """The rows of ``docs`` with the smallest ``doc_id`` of their group of near-duplicates, all
     columns kept. Rows of one id stay or go together; rows without an id stay."""
-    prints = checkpoint(fingerprints(docs))
+    prints = stored(fingerprints(docs), "simhash-prints")
     dropped = groups(prints, budget).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti")
