@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe, compression, exact_dedup, mixing, simhash, spans, warc
+from emberlog.llm import bpe, compression, exact_dedup, mixing, simhash, spans, urls, warc
 from emberlog.llm.common import stored, table
 
 QUERIES = {}
@@ -71,3 +71,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentence_spans")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.deduplicate(table(spark, sf_dir, "documents"))
+
+
+#: The stated rules.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"),
+             ("block", "com", "/de/")]
+
+
+@query("op5_url_filter")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
