@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe, compression, exact_dedup, mixing, simhash, spans, urls, warc
+from emberlog.llm import bpe, compression, exact_dedup, html_text, mixing, simhash, spans, urls, warc
 from emberlog.llm.common import stored, table
 
 QUERIES = {}
@@ -81,3 +81,8 @@ URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block",
 @query("op5_url_filter")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op1_html_text")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
