@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import session
-from emberlog.llm import bpe, compression, exact_dedup, html_text, mixing, simhash, spans, urls, warc
+from emberlog.llm import bpe, compression, exact_dedup, html_text, iblt, mixing, simhash, spans, urls, warc
 from emberlog.llm.common import stored, table
 
 QUERIES = {}
@@ -86,3 +86,8 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_html_text")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op6_iblt")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return iblt.fingerprints(table(spark, sf_dir, "documents"))
