@@ -69,15 +69,12 @@ def _head(fp: Column, depth: int) -> Column:
 def _nodes(leaves: DataFrame, depth: int) -> DataFrame:
     """Nodes at a depth that have leaves below, with the least and the greatest leaf. All leaves of
     a node share their sign bit, so signed order is the order of the bits."""
-    return leaves.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("node")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
-
-
-def _differing(a_lo: Column, a_hi: Column, b_lo: Column, b_hi: Column) -> Column:
-    """In how many bits the sides surely differ: among the leading bits that all members share."""
-    unknown = a_lo.bitwiseXOR(a_hi).bitwiseOR(b_lo.bitwiseXOR(b_hi))
-    for shift in (1, 2, 4, 8, 16, 32):  # so are all bits below the first in which members part
-        unknown = unknown.bitwiseOR(F.shiftrightunsigned(unknown, shift))
-    return F.bit_count(a_lo.bitwiseXOR(b_lo).bitwiseAND(F.bitwise_not(unknown)))
+    nodes = leaves.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("node")).agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"))
+    # The leading bits that all leaves share: those above the first in which the extremes part.
+    nodes = nodes.withColumn("parted", F.col("lo").bitwiseXOR(F.col("hi")))
+    for shift in (1, 2, 4, 8, 16, 32):
+        nodes = nodes.withColumn("parted", F.col("parted").bitwiseOR(F.shiftrightunsigned("parted", shift)))
+    return nodes.select("node", "lo", F.bitwise_not("parted").alias("shared"), (F.col("lo") == F.col("hi")).alias("leaf"))
 
 
 def _children(pairs: DataFrame, nodes: DataFrame, step: int, budget: int) -> DataFrame:
@@ -85,10 +82,11 @@ def _children(pairs: DataFrame, nodes: DataFrame, step: int, budget: int) -> Dat
     itself gives each pair of its children once, and each child with itself unless it is a leaf."""
     def side(name: str) -> DataFrame:
         return nodes.select(F.shiftrightunsigned("node", step).alias(f"{name}_up"), F.col("node").alias(name),
-                            F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+                            *(F.col(c).alias(f"{name}_{c}") for c in ("lo", "shared", "leaf")))
     met = pairs.toDF("a_up", "b_up").join(side("a"), "a_up").join(side("b"), "b_up").where("a_up <> b_up or a <= b")
-    return (met.where(_differing(*map(F.col, ("a_lo", "a_hi", "b_lo", "b_hi"))) <= budget)
-            .where("a <> b or a_lo <> a_hi").select("a", "b", "a_lo", "a_hi", "b_lo", "b_hi"))
+    # Bits in which the sides differ for sure; what lies below can only add to them.
+    near = met.where(F.expr("bit_count((a_lo ^ b_lo) & a_shared & b_shared)") <= budget)
+    return near.where("a <> b or not a_leaf").select("a", "b", "a_lo", "b_lo", F.expr("a_leaf and b_leaf").alias("decided"))
 
 
 def _top(nodes: DataFrame, depth: int, budget: int) -> list[tuple[int, int]]:
@@ -109,9 +107,8 @@ def near_pairs(leaves: DataFrame, budget: int = 2) -> DataFrame:
     pairs = leaves.sparkSession.createDataFrame(_top(_nodes(leaves, above), above, budget), "a bigint, b bigint")
     for depth in DEPTHS[1:]:
         met = stored(_children(pairs, _nodes(leaves, depth), depth - above, budget), "simhash-pairs")
-        decided = F.expr("a_lo = a_hi and b_lo = b_hi")
-        found.append(met.where(decided).select(F.least("a_lo", "b_lo").alias("a"), F.greatest("a_lo", "b_lo").alias("b")))
-        pairs, above = met.where(~decided).select("a", "b"), depth
+        found.append(met.where("decided").select(F.least("a_lo", "b_lo").alias("a"), F.greatest("a_lo", "b_lo").alias("b")))
+        pairs, above = met.where("not decided").select("a", "b"), depth
     return reduce(DataFrame.union, found)
 
 
