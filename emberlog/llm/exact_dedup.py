@@ -43,6 +43,9 @@ def run_stream(landed_path: str, landed: DataFrame, files_per_batch: int, state:
     number, so a batch that is run again replaces what it wrote."""
     spark = streaming_session(landed.sparkSession, int(landed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    # Executors hold a partition's state on disk only while a task works on it; between batches it
+    # lies in the shared folder. An open store takes several MB of disk, however little it holds.
+    spark.conf.set("spark.sql.streaming.stateStore.unloadOnCommit", "true")
     rows = spark.readStream.schema(landed.schema).option("maxFilesPerTrigger", files_per_batch).parquet(landed_path)
     # The row with the smallest id; a row without an id counts as the last.
     first = F.struct(F.col("id").isNull().alias("unnamed"), "id", "locator")
