@@ -22,5 +22,6 @@ def label_equals(labels: Column, key: str, value: str) -> Column:
 
 
 def label_present(labels: Column, key: str, value: str) -> Column:
-    """The key must be there."""
-    return F.coalesce(F.try_element_at(labels, F.lit(key)) == F.lit(value), F.lit(False))
+    """The key must be there; a null value counts as the empty one."""
+    there = F.coalesce(F.map_contains_key(labels, key), F.lit(False))
+    return there & (F.coalesce(F.try_element_at(labels, F.lit(key)), F.lit("")) == F.lit(value))

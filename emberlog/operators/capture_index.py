@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Bucket widths by length of the period (below -> width), and the bucket cap.
+# Bucket widths by length of the period (below -> width).
 WIDTHS = (
     (timedelta(hours=2), timedelta(minutes=1)),
     (timedelta(hours=12), timedelta(minutes=5)),
@@ -15,7 +15,6 @@ WIDTHS = (
     (timedelta(days=7), timedelta(hours=1)),
 )
 WIDEST = timedelta(hours=4)
-MAX_BUCKETS = 10_080
 
 
 def build_index(logs: DataFrame, size: Column | None = None, keys: Sequence[str] = ("file",)) -> DataFrame:
@@ -29,6 +28,8 @@ def build_index(logs: DataFrame, size: Column | None = None, keys: Sequence[str]
     itself = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value")))
     labels = F.coalesce(F.map_entries("labels"), F.filter(itself, lambda e: F.lit(False)))
     counts = (logs.select(*keys, "ts", size.cast("bigint").alias("_size"), F.inline(F.concat(itself, labels)))
+              # A label may be there without a value; that counts as the empty one.
+              .withColumn("value", F.when(F.col("key").isNotNull(), F.coalesce("value", F.lit(""))))
               .groupBy(*keys, "key", "value")
               .agg(F.min("ts").alias("from"), F.max("ts").alias("to"),
                    F.count(F.lit(1)).alias("n"), F.sum("_size").alias("bytes")))
@@ -119,30 +120,29 @@ def bucket_seconds(length: Column) -> Column:
     return width.otherwise(int(WIDEST.total_seconds()))
 
 
-def capture_timeline(index: DataFrame, keys: Sequence[str] = ("capture",), max_buckets: int = MAX_BUCKETS) -> DataFrame:
+def capture_timeline(index: DataFrame, keys: Sequence[str] = ("capture",)) -> DataFrame:
     """Lines over time from the index alone: the lines of each file are spread evenly over the
     buckets it touches, the remainder going to the first ones. Empty buckets are listed too."""
     keys = list(keys)
-    whole = Window.partitionBy(*keys)
+    periods = index.groupBy(*keys).agg(F.min("from").alias("_min"), F.max("to").alias("_max"))
     secs = F.unix_seconds
 
     def floor_to(t):
         return F.expr(f"{t} - mod({t}, width)")
 
-    spans = (index
-             .withColumn("_min", F.min("from").over(whole)).withColumn("_max", F.max("to").over(whole))
+    spans = (index.join(periods, keys)
              .withColumn("width", bucket_seconds((F.unix_micros("_max") - F.unix_micros("_min")) / 1e6).cast("bigint"))
              .withColumn("_from", secs("from")).withColumn("_to", secs("to"))
              .withColumn("_start", secs("_min")).withColumn("_stop", secs("_max"))
              .withColumn("_start", floor_to("_start"))
-             .withColumn("_limit", F.least(floor_to("_stop"), F.col("_start") + (max_buckets - 1) * F.col("width")))
+             .withColumn("_limit", floor_to("_stop"))
              .withColumn("_first", F.greatest(floor_to("_from"), F.col("_start")))
              .withColumn("_last", F.least(floor_to("_to"), F.col("_limit"))))
     spread = (spans.where("lines > 0 and _first <= _last")
               .withColumn("_span", F.expr("(_last - _first) div width + 1"))
               .select(*keys, "lines", "_span", F.posexplode(F.expr("sequence(_first, _last, width)")).alias("_i", "bucket"))
               .select(*keys, "bucket", F.expr("lines div _span + if(_i < lines % _span, 1, 0)").alias("lines")))
-    # One row per capture gives the grid, at most max_buckets long.
+    # One row per capture gives the grid: six buckets a day once the period is long.
     grid = (spans.groupBy(*keys).agg(F.max("_start").alias("_start"), F.max("_limit").alias("_limit"),
                                      F.max("width").alias("width"))
             .select(*keys, F.explode(F.expr("sequence(_start, _limit, width)")).alias("bucket"),

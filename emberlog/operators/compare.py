@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from emberlog.functions.messages import is_error, normalize_message
 from emberlog.functions.scoring import percent_change, percent_text, verdict
 
-TOP_ERRORS = 20  # fixed value: length of the compared error lists
-
 
 def _of(capture: str) -> Column:
     return F.col("capture") == capture
@@ -32,17 +30,16 @@ def signature_counts(logs: DataFrame, a: str, b: str) -> DataFrame:
             .agg(F.count_if(_of(a)).alias("count_a"), F.count_if(_of(b)).alias("count_b")))
 
 
-def errors_only(logs: DataFrame, a: str, b: str, top: int = TOP_ERRORS) -> DataFrame:
-    """Signatures in the top list of one capture and not in that of the other."""
-    sides = F.array(F.struct(F.lit("a").alias("side"), F.col("count_a").alias("count")),
-                    F.struct(F.lit("b").alias("side"), F.col("count_b").alias("count")))
-    rank = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("count"), "signature"))
-    listed = (signature_counts(logs, a, b).where("signature is not null")
-              .select("signature", F.inline(sides)).where("count > 0")
-              .withColumn("_rank", rank).where(F.col("_rank") <= top))
-    return (listed.groupBy("signature")
-            .agg(F.count(F.lit(1)).alias("_sides"), F.min("side").alias("side"), F.min("count").alias("count"))
-            .where("_sides = 1").select("side", F.col("signature").alias("pattern"), "count"))
+def errors_only(logs: DataFrame, a: str, b: str, top: int | None = None) -> DataFrame:
+    """Signatures that one capture has and the other has not. Complete sets are compared;
+    ``top`` asks for the most frequent ones of each side only, after the comparison."""
+    found = (signature_counts(logs, a, b).where("signature is not null and (count_a = 0 or count_b = 0)")
+             .select(F.when(F.col("count_b") == 0, "a").otherwise("b").alias("side"), F.col("signature").alias("pattern"),
+                     (F.col("count_a") + F.col("count_b")).alias("count")))
+    if top is None:
+        return found
+    rank = F.row_number().over(Window.partitionBy("side").orderBy(F.desc("count"), "pattern"))
+    return found.withColumn("_rank", rank).where(F.col("_rank") <= top).drop("_rank")
 
 
 def labels_only(index: DataFrame, a: str, b: str) -> DataFrame:
@@ -62,7 +59,7 @@ def baseline_error_delta(logs: DataFrame, baseline: str, current: str) -> DataFr
 
 
 def diff_summary(logs: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Per capture: period, lines and rate (from the metadata), label keys, error lines."""
+    """Per capture: period, lines and rate (from the metadata), label keys, error lines (0 if it has no lines)."""
     errors = logs.groupBy("capture").agg(F.count_if(is_error(F.col("msg"))).alias("error_lines"))
     seconds = (F.unix_micros("stopped") - F.unix_micros("started")) / F.lit(1e6)
     return (metadata.select(
@@ -70,7 +67,7 @@ def diff_summary(logs: DataFrame, metadata: DataFrame) -> DataFrame:
                 F.col("total_lines").alias("lines"),
                 F.when(seconds > 0, F.try_divide("total_lines", seconds)).otherwise(F.lit(0.0)).alias("lines_per_sec"),
                 F.array_join(F.array_sort("labels_seen"), ";").alias("labels"))
-            .join(errors, "capture"))
+            .join(errors, "capture", "left").withColumn("error_lines", F.coalesce("error_lines", F.lit(0).cast("bigint"))))
 
 
 def baseline_diff(logs: DataFrame, baseline: str, current: str, fail_on: Sequence[str] = ("regression",)) -> DataFrame:

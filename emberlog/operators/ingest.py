@@ -87,21 +87,27 @@ def to_loki_payloads(logs: DataFrame, batch: int = BATCH_LINES, max_bytes: int =
     """Push payloads: entries of one label set and one flush interval, at most ``batch`` a payload.
 
     The flush interval is part of the group, so that a label set with a large share of all
-    entries is spread over many groups. ``accepted`` is false for payloads over the limit."""
+    entries is spread over many groups. Label sets are told apart by their keys and values, not
+    by how they print. A payload that would pass ``max_bytes`` is cut into pieces by the running
+    size of its entries; ``accepted`` is false only for a single entry over the limit."""
     micros = int(flush_seconds * 1_000_000)
-    logs = logs.withColumn("_set", flatten_labels(F.col("labels"))).withColumn(
+    logs = logs.withColumn("_set", F.array_sort(F.map_entries("labels"))).withColumn(
         "flush", F.floor(F.unix_micros("ts") / micros))
     group = [*keys, "_set", "flush"]
     seq = F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1
     nanos = (F.unix_micros("ts") * 1000).cast("string")
     value = F.struct(F.col("_seq"), F.array(nanos, F.col("msg")).alias("value"))
-    packed = (logs.withColumn("_seq", seq)
-              .groupBy(*group, F.floor(F.col("_seq") / batch).alias("part"))
+    # Pieces of half the limit: with the entry that crosses it and the labels, a piece stays below the limit.
+    size = F.octet_length(F.to_json(F.array(nanos, F.col("msg")))).cast("bigint") + 1
+    before = Window.partitionBy(*group, "part").orderBy("_seq").rowsBetween(Window.unboundedPreceding, -1)
+    packed = (logs.withColumn("_seq", seq).withColumn("part", F.floor(F.col("_seq") / batch))
+              .withColumn("piece", F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / (max_bytes // 2)))
+              .groupBy(*group, "part", "piece")
               .agg(F.first("labels").alias("labels"), F.count(F.lit(1)).alias("lines"),
                    F.transform(F.array_sort(F.collect_list(value)), lambda e: e["value"]).alias("values")))
     payload = F.to_json(F.struct(F.array(F.struct(F.col("labels").alias("stream"), "values")).alias("streams")))
     return (packed.withColumn("payload", payload)
-            .select(*keys, F.col("_set").alias("label_set"), "flush", "part", "lines", "payload",
+            .select(*keys, flatten_labels(F.col("labels")).alias("label_set"), "flush", "part", "piece", "lines", "payload",
                     F.octet_length("payload").cast("bigint").alias("bytes"))
             .withColumn("accepted", F.col("bytes") <= max_bytes))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Row, functions as F
 from emberlog.functions.messages import is_error, normalize_message
 from emberlog.operators.ordering import broadcast_if_small, upper_median
 
-# Fixed values.
+# Fixed values. A larger offset is taken for something else than skew, and not corrected.
 MAX_SKEW_MS = 60_000
 FALLBACK_CONFIDENCE = 0.3
 OFFSET_SLICE_US = 1_000_000
@@ -24,11 +24,12 @@ def shift_time(ts: Column, micros: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(ts) + micros)
 
 
-def detect_skew(logs: DataFrame) -> DataFrame:
+def detect_skew(logs: DataFrame, max_skew_ms: int = MAX_SKEW_MS) -> DataFrame:
     """Clock offset of every capture against the one with most lines (of equals: the first).
 
     Offset = upper median of first-seen differences over shared error signatures, or the
-    difference of the starts when none is shared. Offsets above a minute are left out."""
+    difference of the starts when none is shared. ``applied`` is false for offsets above ``max_skew_ms``,
+    and where no offset can be told."""
     # One pass: first time and lines per capture and signature; non-errors share the null
     # signature. Line counts, starts and signature times all follow from this table.
     signature = F.when(is_error(F.col("msg")), normalize_message(F.col("msg")))
@@ -49,18 +50,18 @@ def detect_skew(logs: DataFrame) -> DataFrame:
     return (sources.where(~is_ref)
             .join(medians, "capture", "left")
             .withColumn("offset_us", F.when(shared, F.col("median")).otherwise(fallback))
-            .where(F.abs("offset_us") <= MAX_SKEW_MS * 1000)
             .select("capture", F.expr("offset_us div 1000").alias("offset_ms"),
                     F.when(shared, F.round(F.greatest(F.lit(0.5), F.least(F.col("n") / 5, F.lit(1.0))), 2))
                     .otherwise(F.lit(FALLBACK_CONFIDENCE)).alias("confidence"),
-                    F.when(shared, "error_signature").otherwise("metadata_overlap").alias("method")))
+                    F.when(shared, "error_signature").otherwise("metadata_overlap").alias("method"),
+                    F.coalesce(F.abs("offset_us") <= max_skew_ms * 1000, F.lit(False)).alias("applied")))
 
 
 def merge_corrected(logs: DataFrame, skew: DataFrame | None = None) -> DataFrame:
     """Entries with the clock of every skewed capture put right."""
     skew = detect_skew(logs) if skew is None else skew
     offsets = broadcast_if_small(
-        logs.sparkSession, skew.select("capture", (F.col("offset_ms") * 1000).alias("_offset")))
+        logs.sparkSession, skew.where("applied").select("capture", (F.col("offset_ms") * 1000).alias("_offset")))
     return (logs.join(offsets, "capture", "left")
             .withColumn("ts", shift_time(F.col("ts"), F.coalesce("_offset", F.lit(0))))
             .drop("_offset"))

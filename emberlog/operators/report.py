@@ -56,7 +56,7 @@ def incident_report(logs: DataFrame, index: DataFrame, metadata: DataFrame, capt
     ranked = F.struct((-F.col("count")).alias("_rank"), "signature", "count", "first_seen", "example", "pct_of_errors")
     errors = triage.top_errors(signatures, top).agg(
         F.transform(F.array_sort(F.collect_list(ranked)), lambda e: e.dropFields("_rank")))
-    found = triage.windows(timeline, triage.signature_cap(signatures)).agg(
+    found = triage.windows(timeline, signatures).agg(
         F.array_sort(F.collect_list(F.struct("window", "from", "to", "minutes", "value"))))
     return report(logs, index, of(metadata), top).select(
         "*", labels.scalar().alias("labels"),

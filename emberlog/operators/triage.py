@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from emberlog.functions.messages import is_error, is_error_once, normalize_message
 
-# One week of minutes, and the usual sizes of the lists.
-MAX_BUCKETS = 10_080
+# The usual sizes of the lists.
 MAX_SIGNATURES = 10_000
 TOP_ERRORS = 50
 PEAK_MINUTES = 5
@@ -28,24 +27,27 @@ def minute_counts(logs: DataFrame) -> DataFrame:
                  F.count_if(is_error(F.col("msg"))).alias("error_lines")))
 
 
-def error_timeline(logs: DataFrame, max_buckets: int = MAX_BUCKETS) -> DataFrame:
-    """Every minute from the first on, zero-filled, at most ``max_buckets`` of them.
+def error_timeline(logs: DataFrame, max_buckets: int | None = None) -> DataFrame:
+    """Every minute from the first to the last, zero-filled; ``max_buckets`` asks for the first so many only.
 
     The logs are read once. The window runs over the minute counts (1440 a day, whatever
-    the volume); each minute then fills the gap up to the next one."""
+    the volume); each minute then fills the gap up to the next one, day by day, so that
+    a gap of years takes no more memory than one of hours. Entries without a time have no minute."""
     by_minute = Window.orderBy("minute")
-    minutes = (minute_counts(logs)
-               .withColumn("_first", F.min("minute").over(by_minute))
-               .withColumn("_next", F.lead("minute").over(by_minute))
-               .withColumn("_end", F.col("_first") + F.make_dt_interval(mins=F.lit(max_buckets - 1)))
-               .where("minute <= _end"))
-    one = F.expr("interval 1 minute")
-    upto = F.least(F.coalesce(F.col("_next") - one, F.col("minute")), F.col("_end"))
-    return (minutes
-            .select("total_lines", "error_lines", F.posexplode(F.sequence("minute", upto, one)).alias("_pos", "minute"))
+    one, day = F.expr("interval 1 minute"), F.expr("interval 1 day")
+    minutes = (minute_counts(logs).where("minute is not null")
+               .withColumn("_upto", F.coalesce(F.lead("minute").over(by_minute) - one, F.col("minute"))))
+    if max_buckets is not None:
+        end = F.min("minute").over(by_minute) + F.make_dt_interval(mins=F.lit(max_buckets - 1))
+        minutes = minutes.withColumn("_end", end).where("minute <= _end").withColumn("_upto", F.least("_upto", "_end"))
+    days = minutes.select("total_lines", "error_lines", "_upto", F.col("minute").alias("_at"),
+                          F.explode(F.sequence("minute", "_upto", day)).alias("_day"))
+    here = F.col("minute") == F.col("_at")
+    return (days
+            .select("*", F.explode(F.sequence("_day", F.least("_upto", F.col("_day") + day - one), one)).alias("minute"))
             .select("minute",
-                    F.when(F.col("_pos") == 0, F.col("total_lines")).otherwise(F.lit(0)).alias("total_lines"),
-                    F.when(F.col("_pos") == 0, F.col("error_lines")).otherwise(F.lit(0)).alias("error_lines")))
+                    F.when(here, F.col("total_lines")).otherwise(F.lit(0)).alias("total_lines"),
+                    F.when(here, F.col("error_lines")).otherwise(F.lit(0)).alias("error_lines")))
 
 
 def error_signatures(logs: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
@@ -97,7 +99,7 @@ def first_seen_by_minute(signatures: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("new_signatures")))
 
 
-# The windows below run over one timeline, which has at most MAX_BUCKETS rows.
+# The windows below run over one timeline: 1440 short rows a day, whatever the volume.
 
 def _window_row(df: DataFrame, name: str, minutes, value) -> DataFrame:
     return df.select(F.lit(name).alias("window"), F.col("_from").alias("from"),

@@ -36,17 +36,14 @@ def rate_compare_services(t):
     return compare.rate_compare(t.logs().withColumn("capture", F.col("app")), "svc-0", "svc-1")
 
 
-_TOP = 20
-
-
 @query("errors_only", f"""WITH {_SIDES.replace("capture = 'base'", "capture = 'svc-0'").replace("capture = 'current'", "capture = 'svc-1'")
     .replace("END AS signature, capture FROM logs", "END AS signature, app AS capture FROM logs")},
-ta AS (SELECT signature, a AS n FROM ab WHERE signature IS NOT NULL AND a > 0 ORDER BY a DESC, signature LIMIT {_TOP}),
-tb AS (SELECT signature, b AS n FROM ab WHERE signature IS NOT NULL AND b > 0 ORDER BY b DESC, signature LIMIT {_TOP})
+ta AS (SELECT signature, a AS n FROM ab WHERE signature IS NOT NULL AND a > 0),
+tb AS (SELECT signature, b AS n FROM ab WHERE signature IS NOT NULL AND b > 0)
 SELECT 'a' AS side, signature AS pattern, CAST(n AS BIGINT) AS count FROM ta WHERE signature NOT IN (SELECT signature FROM tb)
 UNION ALL SELECT 'b', signature, CAST(n AS BIGINT) FROM tb WHERE signature NOT IN (SELECT signature FROM ta)""")
 def errors_only(t):
-    return compare.errors_only(t.logs().withColumn("capture", F.col("app")), "svc-0", "svc-1", top=_TOP)
+    return compare.errors_only(t.logs().withColumn("capture", F.col("app")), "svc-0", "svc-1")
 
 
 _KEYED = INDEX.replace("UNION ALL SELECT capture, file, 'env', env FROM logs",
@@ -158,8 +155,8 @@ offs AS (
 rk AS (SELECT *, row_number() OVER (PARTITION BY capture ORDER BY off) - 1 AS i, count(*) OVER (PARTITION BY capture) AS n FROM offs),
 skew AS (
   SELECT capture, CAST(trunc(off / 1000) AS BIGINT) AS offset_ms,
-    round(greatest(0.5, least(n / 5.0, 1.0)), 2)::DOUBLE AS confidence, 'error_signature' AS method
-  FROM rk WHERE i = n // 2 AND abs(off) <= 60000000)"""
+    round(greatest(0.5, least(n / 5.0, 1.0)), 2)::DOUBLE AS confidence, 'error_signature' AS method, abs(off) <= 60000000 AS applied
+  FROM rk WHERE i = n // 2)"""
 
 
 @query("skew_shared_signatures", f"WITH {_OFFSETS} SELECT capture, signature, CAST(off AS BIGINT) AS offset_us FROM offs")
@@ -177,7 +174,7 @@ def skew_estimate(t):
 
 @query("merge_clock_corrected", f"""WITH {_OFFSETS}
 SELECT event_id, s.capture, ts + to_microseconds(coalesce(k.offset_ms, 0) * 1000) AS ts, msg
-FROM skewed s LEFT JOIN skew k ON s.capture = k.capture""")
+FROM skewed s LEFT JOIN skew k ON s.capture = k.capture AND k.applied""")
 def merge_clock_corrected(t):
     return merging.merge_corrected(t.skewed_logs()).select("event_id", "capture", "ts", "msg")
 

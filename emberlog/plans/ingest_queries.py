@@ -132,7 +132,7 @@ _PACKED = LOGS + """,
 f AS (SELECT *, 'app=' || app || ';env=' || env AS label_set, epoch_us(ts) // 3600000000 AS flush FROM logs),
 s AS (SELECT *, row_number() OVER (PARTITION BY label_set, flush ORDER BY ts, event_id) - 1 AS seq FROM f),
 packed AS (
-  SELECT label_set, CAST(flush AS BIGINT) AS flush, CAST(seq // 100 AS BIGINT) AS part, CAST(count(*) AS BIGINT) AS lines,
+  SELECT label_set, CAST(flush AS BIGINT) AS flush, CAST(seq // 100 AS BIGINT) AS part, CAST(0 AS BIGINT) AS piece, CAST(count(*) AS BIGINT) AS lines,
     '{"streams":[{"stream":{"app":"' || app || '","env":"' || env || '"},"values":['
       || string_agg('["' || CAST(epoch_us(ts) * 1000 AS VARCHAR) || '","' || msg || '"]', ',' ORDER BY seq) || ']}]}' AS payload
   FROM s GROUP BY label_set, flush, seq // 100, app, env)"""
@@ -144,7 +144,7 @@ def loki_payload_write(t):
 
 
 @query("ingest_audit", f"""WITH {_PACKED.replace("packed AS (", "unused AS (")},
-{_redact_ctes("(SELECT event_id, label_set || '/' || flush || '/' || (seq // 100) AS payload_id, msg FROM s)", "event_id, payload_id", "msg")}
+{_redact_ctes("(SELECT event_id, label_set || '/' || flush || '/' || (seq // 100) || '/0' AS payload_id, msg FROM s)", "event_id, payload_id", "msg")}
 SELECT payload_id, 'loki_push_received' AS event, CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(t)) AS BIGINT) AS bytes
 FROM done GROUP BY payload_id""")
 def ingest_audit(t):

@@ -109,7 +109,7 @@ class Tables:
         """Log entries packed as push payloads, with a payload id."""
         packed = to_loki_payloads(self.logs(), flush_seconds=3600.0, order=CHRONOLOGICAL)
         return packed.withColumn("payload_id", F.concat_ws("/", "label_set", F.col("flush").cast("string"),
-                                                           F.col("part").cast("string")))
+                                                           F.col("part").cast("string"), F.col("piece").cast("string")))
 
     def snapshots(self) -> DataFrame:
         """Hourly counters: cumulative events received, errors dropped, value as disk use."""

@@ -18,9 +18,7 @@ counts AS (
   FROM logs GROUP BY 1),
 timeline AS (
   SELECT g.minute, CAST(coalesce(c.total, 0) AS BIGINT) AS total_lines, CAST(coalesce(c.errs, 0) AS BIGINT) AS error_lines
-  FROM (SELECT unnest(generate_series((SELECT min(minute) FROM counts),
-          least((SELECT max(minute) FROM counts), (SELECT min(minute) FROM counts) + INTERVAL 10079 MINUTE),
-          INTERVAL 1 MINUTE)) AS minute) g
+  FROM (SELECT unnest(generate_series((SELECT min(minute) FROM counts), (SELECT max(minute) FROM counts), INTERVAL 1 MINUTE)) AS minute) g
   LEFT JOIN counts c USING (minute))"""
 
 
@@ -39,10 +37,10 @@ def error_timeline(t):
     return triage.error_timeline(t.logs())
 
 
-@query("dense_timeline", f"""WITH {TIMELINE.replace('10079', '1439')} SELECT * FROM timeline""")
+@query("dense_timeline", f"""WITH {TIMELINE.replace("date_trunc('minute', ts)", "date_trunc('hour', ts)")} SELECT * FROM timeline""")
 def dense_timeline(t):
-    """The same with a day as the cap."""
-    return triage.error_timeline(t.logs(), max_buckets=1440)
+    """Entries with whole hours for times: 59 of 60 minutes are filled in."""
+    return triage.error_timeline(t.logs().withColumn("ts", F.date_trunc("hour", "ts")))
 
 
 @query("error_signatures", f"WITH {SIGS} SELECT * FROM sigs")
@@ -113,16 +111,16 @@ def steady_state_window(t):
 
 @query("incident_start", f"WITH {SIGS}, {START} SELECT * FROM incident")
 def incident_start(t):
-    return triage.incident_start(triage.signature_cap(triage.signature_starts(t.logs())))
+    return triage.incident_start(triage.signature_starts(t.logs()))
 
 
 @query("triage_windows", f"""WITH {TIMELINE} {SIGS_TAIL}, {PEAK}, {START}, {STEADY}
 SELECT * FROM peak UNION ALL SELECT * FROM incident UNION ALL SELECT * FROM steady""")
 def triage_windows(t):
     logs = t.logs()
-    # The timeline is at most a week of minutes; both windows over it share one scan.
+    # The timeline is 1440 short rows a day; both windows over it share one scan.
     timeline = triage.error_timeline(logs).persist()
-    return triage.windows(timeline, triage.signature_cap(triage.signature_starts(logs)))
+    return triage.windows(timeline, triage.signature_starts(logs))
 
 
 @query("upper_median", f"""WITH {LOGS},

@@ -13,7 +13,6 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.files.ignoreMissingFiles": "true",
 }
 
 # Stored bytes per shuffle partition; compressed columns grow a few times when read.

@@ -17,15 +17,27 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 from emberlog.operators.capture_index import build_index
 from emberlog.operators.decoding import decode
 from emberlog.operators.filters import file_may_match
-from emberlog.operators.ordering import BROADCAST_ROWS
 from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
 
 # Files of a capture folder that hold no entries.
 NOT_DATA = ("index.jsonl", "metadata.json", "audit.jsonl", "manifest.sha256")
 DATA_GLOB = "*.{jsonl,jsonl.zst,jsonl.gz,json,json.gz,txt}"
 
-_PATH = "_metadata.file_path"
-_NAME = "_metadata.file_name"
+# Paths spell unusual characters as %XX: once in a URI, and once more in partition folders. A plus
+# sign stands for itself in both.
+
+def _unescaped(text: Column) -> Column:
+    return F.when(text.contains("%"), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
+
+
+def _path() -> Column:
+    return _unescaped(F.col("_metadata.file_path"))
+
+
+def _name() -> Column:
+    return F.substring_index(_path(), "/", -1)
+
+
 _PARTS = ("data", "index", "metadata")
 
 
@@ -39,7 +51,7 @@ def _folder(path: Column, up: int) -> Column:
 def _capture(path: Column) -> Column:
     """The folder above the file, or above its data/index/metadata folder."""
     name = F.when(_folder(path, 1).isin(*_PARTS), _folder(path, 2)).otherwise(_folder(path, 1))
-    return F.when(name.startswith("capture="), F.substring_index(name, "=", -1)).otherwise(name)
+    return F.when(name.startswith("capture="), _unescaped(F.substring(name, F.lit(len("capture=") + 1), F.length(name)))).otherwise(name)
 
 
 def _below(path: Column, folder: str) -> Column:
@@ -52,6 +64,11 @@ def _is_data(path: Column, name: Column) -> Column:
     return ~name.isin(*NOT_DATA) & ~stray & ~_below(path, "index") & ~_below(path, "metadata")
 
 
+def is_data_file() -> Column:
+    """Whether a row of a file reader comes from a file with entries."""
+    return _is_data(_path(), _name())
+
+
 def _is_index(path: Column, name: Column) -> Column:
     return (name == "index.jsonl") | (_below(path, "index") & name.endswith(".json"))
 
@@ -68,7 +85,8 @@ def _capture_dir(path: Column) -> Column:
 
 
 def _files(spark: SparkSession, glob: str):
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    # A receiver may rotate a file away between listing and reading; only here is that no error.
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreMissingFiles", True)
 
 
 def read_lines(spark: SparkSession, path: str | list[str], only: Column | None = None) -> DataFrame:
@@ -78,8 +96,8 @@ def read_lines(spark: SparkSession, path: str | list[str], only: Column | None =
     lines = _files(spark, DATA_GLOB).text(path)
     if only is not None:
         lines = lines.where(only)
-    return lines.where(_is_data(F.col(_PATH), F.col(_NAME)) & (F.col("value") != "")).select(
-        "value", _capture(F.col(_PATH)).alias("capture"), F.col(_NAME).alias("file"),
+    return lines.where(_is_data(_path(), _name()) & (F.col("value") != "")).select(
+        "value", _capture(_path()).alias("capture"), _name().alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
 
 
@@ -87,13 +105,12 @@ def read_lines_of(spark: SparkSession, path: str, files: DataFrame, inverse: boo
     """Lines of the ``files`` (capture, file), or of all others; no other file is opened.
 
     The names become a condition on the reader's file path, which is answered from the
-    listing. A list too long for that is joined instead."""
-    names = [f"{r.capture}/{r.file}" for r in files.select("capture", "file").limit(BROADCAST_ROWS + 1).collect()]
-    if len(names) > BROADCAST_ROWS:
-        return read_lines(spark, path).join(files, ["capture", "file"], "left_anti" if inverse else "left_semi")
+    listing. Like the listing itself, from which the reader plans its splits, they are on
+    the driver: one short text per file, however many bytes the files have."""
+    names = [f"{r.capture}/{r.file}" for r in files.select("capture", "file").distinct().collect()]
     if not names:
         return read_lines(spark, path, None if inverse else F.lit(False))
-    listed = F.concat_ws("/", _capture(F.col(_PATH)), F.col(_NAME)).isin(names)
+    listed = F.concat_ws("/", _capture(_path()), _name()).isin(names)
     return read_lines(spark, path, ~listed if inverse else listed)
 
 
@@ -149,8 +166,8 @@ def read_capture_pruned(spark: SparkSession, path: str, index: DataFrame, frm=No
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index rows of all captures below ``path``; bad lines are skipped, no index gives no rows."""
     rows = _files(spark, "*.{jsonl,json}").text(path)
-    rows = rows.where(_is_index(F.col(_PATH), F.col(_NAME)) & (F.trim("value") != "")).select(
-        "value", _capture(F.col(_PATH)).alias("capture"))
+    rows = rows.where(_is_index(_path(), _name()) & (F.trim("value") != "")).select(
+        "value", _capture(_path()).alias("capture"))
     schema = T.StructType([*INDEX.fields, T.StructField("_corrupt", T.StringType())])
     return decode(rows, "value", schema).where("file is not null").select("capture", *INDEX.fieldNames())
 
@@ -169,8 +186,8 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Session records of all captures below ``path``, with ``capture`` and ``dir``."""
     docs = (_files(spark, "*.json").schema(METADATA).option("multiLine", True)
             .option("mode", "DROPMALFORMED").json(path))
-    return docs.where(_is_metadata(F.col(_PATH), F.col(_NAME))).select(
-        _capture(F.col(_PATH)).alias("capture"), _capture_dir(F.col(_PATH)).alias("dir"),
+    return docs.where(_is_metadata(_path(), _name())).select(
+        _capture(_path()).alias("capture"), _capture_dir(_path()).alias("dir"),
         *METADATA.fieldNames())
 
 

@@ -13,7 +13,7 @@ from emberlog.functions.labels import label_present, service_label
 from emberlog.functions.messages import is_error, is_error_once, normalize_message
 from emberlog.operators.filters import text_or_label_matches
 from emberlog.operators.ingest import explode_loki
-from emberlog.sources.captures import parse_entries
+from emberlog.sources.captures import DATA_GLOB, is_data_file, parse_entries
 
 WATERMARK = "10 minutes"
 ENTRY = T.StructType([T.StructField("ts", T.TimestampType()),
@@ -43,9 +43,10 @@ def ingest(payloads: DataFrame, out: str, checkpoint: str, redactor: bool | Iter
 
 def follow(spark: SparkSession, path: str, grep: str | None = None, label: tuple[str, str] | None = None,
            max_files: int = 1000) -> DataFrame:
-    """New entries of JSON-lines files as they appear, filtered."""
-    lines = (spark.readStream.option("maxFilesPerTrigger", max_files)
-             .option("pathGlobFilter", "*.{jsonl,json,json.gz}").text(path))
+    """New entries of a capture's data files as they appear, rotated ones included, filtered. Its
+    index, session record and audit trail are no entries."""
+    lines = (spark.readStream.option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", True)
+             .option("pathGlobFilter", DATA_GLOB).text(path).where(is_data_file()))
     entries = parse_entries(lines)
     if label:
         entries = entries.where(label_present(F.col("labels"), *label))

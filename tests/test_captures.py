@@ -211,3 +211,34 @@ def test_gzip_and_unknown_codecs(spark, tmp_path):
     (cap / "x.jsonl.gz").write_bytes(buf.getvalue())
     (cap / "notes.txt").write_text("no data\n")
     assert [r.msg for r in src.read_capture(spark, str(cap)).collect()] == ["gz"]
+
+
+@pytest.mark.parametrize("name", ["prod east", "2024-01-01T10:30", "100%", "a=b", "p+q"])
+def test_names_with_unusual_characters(spark, make_logs, tmp_path, name):
+    logs = make_logs([("10:00:00", {"app": "a"}, "one", "f", name), ("10:00:01", {"app": "a"}, "two", "f", name)])
+    root = str(tmp_path / "root")
+    sinks.write_captures(logs, root, order=("ts", "msg"))
+    assert {r.capture for r in src.read_capture(spark, root).collect()} == {name}
+    index = src.read_index(spark, root)
+    assert [(r.capture, r.lines) for r in index.collect()] == [(name, 2)]
+    assert ci.orphan_files(src.list_files(spark, root), index, ["capture", "file"]).count() == 0
+    found = src.catalog(spark, root).first()
+    assert (found.capture, found.files, found.entries) == (name, 1, 2) and found.bytes > 0
+    assert src.read_capture_pruned(spark, root, index, labels={"app": "other"}).count() == 0
+    assert src.read_lines_of(spark, root, index.select("capture", "file")).count() == 2
+
+
+def test_a_missing_table_file_is_an_error(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).repartition(4).write.parquet(path)
+    table = spark.read.parquet(path)
+    next((tmp_path / "t").glob("part-*.parquet")).unlink()
+    with pytest.raises(Exception, match="(?i)file"):
+        table.count()
+
+
+def test_null_label_values(spark, tmp_path):
+    write_lines(tmp_path / "a.jsonl", ['{"ts":"2024-01-15T10:00:00Z","labels":{"a":null},"msg":"x"}',
+                                       '{"ts":"2024-01-15T10:00:00Z","labels":{"a":""},"msg":"y"}'])
+    row = ci.build_index(src.read_capture(spark, str(tmp_path))).first()
+    assert row.labels == {"a": {"": 2}} and row.lines == 2

@@ -26,11 +26,12 @@ def test_stable(make_logs):
     assert (r.verdict, r.confidence, r.gate_failed) == ("stable", 0.95, False)
 
 
-def test_errors_only_uses_the_top_lists(make_logs):
-    logs = make_logs(rows("a", 9, 9, ["error p", "error p", "error q"]) + rows("b", 9, 9, ["error q", "error q", "error p"]))
-    got = {(r.side, r.pattern) for r in compare.errors_only(logs, "a", "b", top=1).collect()}
-    assert got == {("a", "error p"), ("b", "error q")}
-    assert compare.errors_only(logs, "a", "b").count() == 0
+def test_errors_only_compares_complete_sets(make_logs):
+    both = [f"error in {chr(97 + i)}" for i in range(25)]
+    logs = make_logs(rows("a", 29, 28, [*both, "error p", "error p", "error q"]) + rows("b", 26, 26, [*both, "error r"]))
+    got = {(r.side, r.pattern, r["count"]) for r in compare.errors_only(logs, "a", "b").collect()}
+    assert got == {("a", "error p", 2), ("a", "error q", 1), ("b", "error r", 1)}
+    assert {r.pattern for r in compare.errors_only(logs, "a", "b", top=1).collect()} == {"error p", "error r"}
 
 
 def test_rates_and_labels(make_logs):
@@ -50,18 +51,18 @@ def skew(make_logs, offset, texts_a=("error one", "error two"), texts_b=("error
 
 def test_skew(make_logs):
     logs, found = skew(make_logs, 3)
-    assert found == [("b", -3000, 0.5, "error_signature")]
+    assert found == [("b", -3000, 0.5, "error_signature", True)]
     fixed = merging.merge_corrected(logs).where("capture = 'b'").orderBy("line_no").first()
     assert fixed.ts.second == 0
-    assert skew(make_logs, 0)[1] == [("b", 0, 0.5, "error_signature")]
-    assert skew(make_logs, 61)[1] == []
-    assert skew(make_logs, 5, texts_b=("error three", "error four"))[1] == [("b", -5000, 0.3, "metadata_overlap")]
+    assert skew(make_logs, 0)[1] == [("b", 0, 0.5, "error_signature", True)]
+    assert skew(make_logs, 61)[1] == [("b", -61000, 0.5, "error_signature", False)]
+    assert skew(make_logs, 5, texts_b=("error three", "error four"))[1] == [("b", -5000, 0.3, "metadata_overlap", True)]
 
 
 def test_skew_median_of_many(make_logs):
     a = [(at("10:00:00") + timedelta(seconds=i), {}, f"error kind {chr(97 + i)}", "f", "a") for i in range(6)]
     b = [(at("10:00:00") + timedelta(seconds=i + i), {}, f"error kind {chr(97 + i)}", "f", "b") for i in range(5)]
-    assert [tuple(r) for r in merging.detect_skew(make_logs(a + b)).collect()] == [("b", -2000, 1.0, "error_signature")]
+    assert [tuple(r) for r in merging.detect_skew(make_logs(a + b)).collect()] == [("b", -2000, 1.0, "error_signature", True)]
 
 
 def test_merge(make_logs):

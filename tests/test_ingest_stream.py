@@ -8,6 +8,7 @@ from emberlog.functions.labels import flatten_labels
 from emberlog.operators import alerts, ingest, triage
 from emberlog.params import AlertRule
 from emberlog.session import scratch_dir
+from emberlog.sources import sinks
 from emberlog.streaming import alerting, streams
 
 NOW = at("00:00:00", "2024-02-01")
@@ -52,14 +53,24 @@ def test_payload_batches(spark, make_logs):
     rows = [(at("10:00:00") + timedelta(milliseconds=i), {"app": "api"}, f"m{i:03d}") for i in range(250)]
     rows += [(at("10:00:00"), {"app": "web"}, "w"), (at("10:00:01"), {"app": "web"}, "x" * 300)]
     packed = ingest.to_loki_payloads(make_logs(rows), batch=100, max_bytes=300)
-    got = {(r.label_set, r.flush, r.part): (r.lines, r.accepted) for r in packed.collect()}
-    assert sorted(n for n, _ in got.values()) == [1, 1, 50, 100, 100]
-    assert sorted(a for _, a in got.values()) == [False, False, False, False, True]
+    got = {(r.label_set, r.flush, r.part, r.piece): (r.lines, r.bytes, r.accepted) for r in packed.collect()}
+    assert sum(n for n, _, _ in got.values()) == 252 and all((size <= 300) == ok for _, size, ok in got.values())
+    assert [n for n, _, ok in got.values() if not ok] == [1]  # one entry is larger than any payload may be
+    whole = ingest.to_loki_payloads(make_logs(rows), batch=100)
+    assert sorted(r.lines for r in whole.collect()) == [1, 1, 50, 100, 100] and whole.where("not accepted").count() == 0
     back = ingest.explode_loki(packed.select("payload"), now=NOW)
     assert sorted((r.ts, r.labels["app"], r.msg) for r in back.collect()) == sorted((t, lab["app"], m) for t, lab, m in [
         (t.replace(tzinfo=None), lab, m) for t, lab, m in rows])
 
 
+def test_label_sets_that_print_alike_stay_apart(make_logs):
+    logs = make_logs([("10:00:00", {"a": "1;b=2"}, "x"), ("10:00:00", {"a": "1", "b": "2"}, "y"), ("10:00:00", {"a": None}, "z")])
+    packed = ingest.to_loki_payloads(logs)
+    assert packed.count() == 3
+    back = {r.msg: r.labels for r in ingest.explode_loki(packed.select("payload"), now=NOW).collect()}
+    assert back["x"] == {"a": "1;b=2"} and back["y"] == {"a": "1", "b": "2"}
+
+
 def test_batch_size_estimate(spark):
     df = spark.createDataFrame([({"app": "api"}, ["abc", "d"])], "labels map<string,string>, lines array<string>")
     assert df.select(ingest.batch_size_estimate(F.col("labels"), F.col("lines"))).first()[0] == 6 + 3 + 1 + 48
@@ -136,6 +147,18 @@ def test_follow(spark, tmp_path):
     assert [flat[0] for flat in spark.read.parquet(out).select(flatten_labels(F.col("labels"))).collect()] == ["app=x"]
 
 
+def test_follow_reads_the_data_files_of_a_capture_only(spark, make_logs, tmp_path):
+    logs = make_logs([("10:00:00", {"app": "x"}, f"m{i}", "f", "c") for i in range(9)])
+    root = tmp_path / "captures"
+    sinks.write_captures(logs, str(root), max_entries=4, compression="gzip", order=("ts", "msg"))
+    write_lines(root / "audit.jsonl", [{"timestamp": "2024-01-15T10:00:00Z", "event": "loki_push_received", "lines": 9}])
+    write_lines(root / "index.jsonl", [{"file": "f", "lines": 9}])
+    out = scratch_dir(spark, "followed")
+    (streams.follow(spark, str(root)).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch_dir(spark, "cp")).trigger(availableNow=True).start().awaitTermination())
+    assert sorted(r.msg for r in spark.read.parquet(out).collect()) == [f"m{i}" for i in range(9)]
+
+
 def test_alert_stream_keeps_state_between_triggers(spark):
     drops = [0, 200, 300, 50, 60, 250, 260, 500]
     rows = [(at("10:00:00") + timedelta(seconds=i), 10 * i, d, 0, d, 400) for i, d in enumerate(drops)]
