@@ -158,7 +158,9 @@ def _written(t, **options):
 
 
 _FLAT = "'app=' || app || ';env=' || env"
-_LINE = "strlen(msg) + strlen(app) + strlen(env)"
+_RFC = "regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z'"
+# Bytes of a stored line with its line end.
+_LINE = f"""strlen('{{"ts":"' || {_RFC} || '","labels":{{"app":"' || app || '","env":"' || env || '"}},"msg":"' || msg || '"}}') + 1"""
 
 
 @query("capture_scan", f"WITH {LOGS} SELECT capture, ts, {_FLAT} AS labels, msg FROM logs")
@@ -183,37 +185,42 @@ def capture_write(t):
 
 
 @query("index_scan", f"""WITH {INDEX} SELECT capture, min(t_from) AS "from", max(t_to) AS "to", CAST(sum(lines) AS BIGINT) AS lines,
+  (SELECT CAST(sum({_LINE}) AS BIGINT) FROM logs WHERE logs.capture = idx.capture) AS bytes,
   (SELECT string_agg(DISTINCT key || '=' || value, ';' ORDER BY key || '=' || value) FROM idx_labels l WHERE l.capture = idx.capture) AS labels
 FROM idx GROUP BY capture""")
 def index_scan(t):
     index = src.read_index(t.spark, _written(t))
     rows = ci.label_rows(index).groupBy("capture").agg(
         F.array_join(F.array_sort(F.collect_set(F.concat_ws("=", "key", "value"))), ";").alias("labels"))
-    return (index.groupBy("capture").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("lines").alias("lines"))
+    return (index.groupBy("capture").agg(F.min("from").alias("from"), F.max("to").alias("to"), F.sum("lines").alias("lines"),
+                                         F.sum("bytes").alias("bytes"))
             .join(rows, "capture"))
 
 
 @query("metadata_scan", f"""WITH {LOGS} SELECT capture, 1 AS version, 'jsonl' AS format, min(ts) AS started, max(ts) AS stopped,
-  CAST(count(*) AS BIGINT) AS total_lines, 'app;env' AS labels_seen FROM logs GROUP BY capture""")
+  CAST(count(*) AS BIGINT) AS total_lines, CAST(sum({_LINE}) AS BIGINT) AS total_bytes, 'app;env' AS labels_seen FROM logs GROUP BY capture""")
 def metadata_scan(t):
     return src.read_metadata(t.spark, _written(t)).select(
-        "capture", "version", "format", "started", "stopped", "total_lines", F.array_join("labels_seen", ";").alias("labels_seen"))
+        "capture", "version", "format", "started", "stopped", "total_lines", "total_bytes",
+        F.array_join("labels_seen", ";").alias("labels_seen"))
 
 
 @query("catalog", f"""WITH {LOGS} SELECT capture, min(ts) AS started, max(ts) AS stopped, CAST(count(*) AS BIGINT) AS entries,
-  false AS active, 'app;env' AS labels FROM logs GROUP BY capture""")
+  true AS has_files, CAST(sum({_LINE}) AS BIGINT) AS bytes, false AS active, 'app;env' AS labels FROM logs GROUP BY capture""")
 def catalog(t):
-    return src.catalog(t.spark, _written(t)).where("files > 0 and bytes > 0").drop("files", "bytes")
+    """How many files there are depends on the cores that wrote them."""
+    return src.catalog(t.spark, _written(t)).withColumn("has_files", F.col("files") > 0).drop("files")
 
 
-@query("orphan_files", f"WITH {LOGS} SELECT capture, CAST(count(DISTINCT CAST(ts AS DATE)) > 0 AS BOOLEAN) AS orphaned, CAST(count(*) AS BIGINT) AS lines FROM logs GROUP BY capture")
+@query("orphan_files", f"WITH {LOGS} SELECT capture, capture = 'current' AS orphaned, CAST(count(*) AS BIGINT) AS lines FROM logs GROUP BY capture")
 def orphan_files(t):
-    """Nothing in the index: every file is an orphan, and all lines are found in orphans."""
+    """The index knows the files of one capture; those of the other are orphans, with all its lines."""
     root = _written(t, max_entries=2000)
-    index = src.read_index(t.spark, root).where("lines < 0")
+    index = src.read_index(t.spark, root).where("capture = 'base'")
     orphans = ci.orphan_files(src.list_files(t.spark, root), index, ["capture", "file"])
     lines = src.parse_entries(src.read_lines_of(t.spark, root, orphans))
-    return lines.groupBy("capture").agg(F.lit(True).alias("orphaned"), F.count(F.lit(1)).alias("lines"))
+    found = lines.groupBy("capture").agg(F.lit(True).alias("orphaned"), F.count(F.lit(1)).alias("lines"))
+    return found.unionByName(index.groupBy("capture").agg(F.lit(False).alias("orphaned"), F.sum("lines").alias("lines")))
 
 
 @query("line_totals", f"WITH {LOGS} SELECT CAST(count(*) AS BIGINT) AS total_lines FROM logs")
@@ -265,9 +272,6 @@ def export_parquet(t):
     return t.spark.read.parquet(path).withColumn("labels", flatten_labels(F.col("labels")))
 
 
-_RFC = "regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0+$', '') || 'Z'"
-
-
 @query("export_csv", f"WITH {LOGS} SELECT {_RFC} AS ts, {_FLAT} AS labels, msg FROM logs WHERE app = 'svc-1'")
 def export_csv(t):
     path = scratch_dir(t.spark, "export")

@@ -71,20 +71,19 @@ class Tables:
                          lambda k, v: v.isNotNull()).alias("labels"))
 
     def cascade_logs(self) -> DataFrame:
-        """Errors as an upstream service, again 10 s later downstream, and some as noise 5 h later."""
-        e = self.table("events").where("event_type = 'error'").select(
-            "event_id", "ts", "user_id")
-        copies = F.array(
-            F.struct(F.lit("upstream").alias("app"), F.lit(0).alias("late"), F.lit("error: timeout calling downstream").alias("msg")),
-            F.struct(F.lit("downstream").alias("app"), F.lit(10).alias("late"), F.lit("error processing order").alias("msg")),
-            F.struct(F.lit("noise").alias("app"), F.lit(18000).alias("late"), F.lit("error: unrelated").alias("msg")))
-        return (e.select("*", F.inline(copies)).where("app <> 'noise' or user_id % 2 = 0")
+        """All entries as an upstream service; its errors again 10 s later downstream, and as noise 5 h later."""
+        def copy(app: str, late: int, text: str):
+            return F.struct(F.lit(app).alias("app"), F.lit(late).alias("late"), F.concat(F.lit(text), F.col("msg")).alias("text"))
+        copies = F.when(is_error_once(F.col("msg")), F.array(
+            copy("upstream", 0, "error: timeout calling downstream: "), copy("downstream", 10, "error processing order: "),
+            copy("noise", 18000, "error: unrelated: "))).otherwise(F.array(copy("upstream", 0, "")))
+        return (self.logs().select("event_id", "ts", F.inline(copies))
                 .select("event_id", F.timestamp_micros(F.unix_micros("ts") + F.col("late").cast("bigint") * 1000000).alias("ts"),
-                        "app", F.create_map(F.lit("app"), F.col("app")).alias("labels"), "msg"))
+                        "app", F.create_map(F.lit("app"), F.col("app")).alias("labels"), F.col("text").alias("msg")))
 
     def skewed_logs(self) -> DataFrame:
-        """Source A: the entries before 2024-01-16. Source B: their errors with a clock 3 s ahead."""
-        base = self.logs().where("capture = 'base'")
+        """Source A: all entries. Source B: their errors with a clock 3 s ahead."""
+        base = self.logs()
         copies = F.array(F.struct(F.lit("A").alias("capture"), F.lit(0).alias("_late")),
                          F.struct(F.lit("B").alias("capture"), F.lit(3000000).alias("_late")))
         return (base.drop("capture").select("*", F.inline(copies))
@@ -198,15 +197,14 @@ snapshots AS (
     CAST(sum(used) OVER w AS BIGINT) AS bytes_written, CAST(used AS BIGINT) AS disk_usage, (SELECT CAST(sum(used) // count(*) * 3 // 2 AS BIGINT) FROM hourly) AS disk_cap
   FROM hourly WINDOW w AS (ORDER BY ts))"""
 
-CASCADE = f"""
-errs AS (SELECT event_id, ts, user_id FROM events WHERE event_type = 'error'),
+CASCADE = LOGS.replace("logs AS (", "plain AS (", 1) + f""",
 logs AS (
-  SELECT event_id, ts, 'upstream' AS app, 'error: timeout calling downstream' AS msg FROM errs
-  UNION ALL SELECT event_id, ts + INTERVAL 10 SECOND, 'downstream', 'error processing order' FROM errs
-  UNION ALL SELECT event_id, ts + INTERVAL 5 HOUR, 'noise', 'error: unrelated' FROM errs WHERE user_id % 2 = 0)"""
+  SELECT event_id, ts, 'upstream' AS app, CASE WHEN {is_error_sql()} THEN 'error: timeout calling downstream: ' ELSE '' END || msg AS msg FROM plain
+  UNION ALL SELECT event_id, ts + INTERVAL 10 SECOND, 'downstream', 'error processing order: ' || msg FROM plain WHERE {is_error_sql()}
+  UNION ALL SELECT event_id, ts + INTERVAL 5 HOUR, 'noise', 'error: unrelated: ' || msg FROM plain WHERE {is_error_sql()})"""
 
 SKEWED = ERRORS + f""",
 skewed AS (
-  SELECT event_id, ts, app, env, file, 'A' AS capture, msg FROM logs WHERE capture = 'base'
+  SELECT event_id, ts, app, env, file, 'A' AS capture, msg FROM logs
   UNION ALL
-  SELECT event_id, ts + INTERVAL 3 SECOND, app, env, file, 'B', msg FROM logs WHERE capture = 'base' AND {is_error_sql()})"""
+  SELECT event_id, ts + INTERVAL 3 SECOND, app, env, file, 'B', msg FROM logs WHERE {is_error_sql()})"""
