@@ -3,18 +3,24 @@
 from pyspark.sql import functions as F
 
 from emberlog.functions.labels import flatten_labels
-from emberlog.plans.ingest_queries import _redact_ctes, RULES
+from emberlog.plans.ingest_queries import _HITS, _redact_ctes, RULES
 from emberlog.plans.registry import ORACLES, query
 from emberlog.plans.tables import LOGS, SNAPSHOTS, is_error_sql, signature_sql
+from emberlog.schema import AUDIT
 from emberlog.session import scratch_dir, streaming_session
-from emberlog.sources import sinks
+from emberlog.sources import captures, sinks
 from emberlog.streaming import alerting, streams
 
 
+def _several(t) -> int:
+    """In how many files test data land: as many as the session's shuffles have partitions."""
+    return int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _landed_entries(t):
     """The log entries as parquet files that arrive one after another."""
     path = scratch_dir(t.spark, "landed")
-    t.logs().select("ts", "labels", "msg").repartition(8).write.parquet(path)
+    t.logs().select("ts", "labels", "msg").repartition(_several(t)).write.parquet(path)
     return streams.entry_stream(streaming_session(t.spark), path, max_files=3)
 
 
@@ -28,11 +34,39 @@ def _finished(t, running, keys):
 @query("stream_ingest", f"WITH {LOGS}, {_redact_ctes('logs', 'event_id, ts, app, env', 'msg')} SELECT ts, 'app=' || app || ';env=' || env AS labels, t AS msg FROM done")
 def stream_ingest(t):
     landed, out = scratch_dir(t.spark, "payloads"), scratch_dir(t.spark, "ingested")
-    t.payloads().select("payload").repartition(6).write.text(landed)
+    t.payloads().select("payload").repartition(_several(t)).write.text(landed)
     streams.ingest(streams.payload_stream(t.spark, landed, max_files=2), out, scratch_dir(t.spark, "stream")).awaitTermination()
     return t.spark.read.parquet(out).select("ts", flatten_labels(F.col("labels")).alias("labels"), "msg")
 
 
+def _ingested_captures(t):
+    landed, root = scratch_dir(t.spark, "payloads"), scratch_dir(t.spark, "ingested")
+    t.payloads().select("payload").repartition(_several(t)).write.text(landed)
+    stream = streams.payload_stream(t.spark, landed, max_files=3)
+    streams.ingest_capture(stream, root, scratch_dir(t.spark, "stream")).awaitTermination()
+    return root
+
+
+@query("stream_ingest_capture", f"WITH {LOGS}, {_redact_ctes('logs', 'event_id, ts, app, env', 'msg')} SELECT ts, 'app=' || app || ';env=' || env AS labels, t AS msg FROM done")
+def stream_ingest_capture(t):
+    """Ingested into captures, one a trigger, and read back as such."""
+    return captures.read_capture(t.spark, _ingested_captures(t)).select("ts", flatten_labels(F.col("labels")).alias("labels"), "msg")
+
+
+@query("stream_ingest_books", f"""WITH {LOGS}, {_redact_ctes('logs', 'event_id', 'msg')}
+SELECT CAST(count(*) AS BIGINT) AS audit_lines, CAST(sum(strlen(t)) AS BIGINT) AS audit_bytes, CAST(count(*) AS BIGINT) AS index_lines,
+  CAST(count(*) AS BIGINT) AS catalog_entries, CAST({' + '.join(f'sum(hits_{n})' for n in _HITS)} AS BIGINT) AS redacted FROM done""")
+def stream_ingest_books(t):
+    """What audit, index, catalog and redaction counts of all triggers add up to."""
+    root = _ingested_captures(t)
+    audit = t.spark.read.schema(AUDIT).option("recursiveFileLookup", True).parquet(f"{root}/audit")
+    counts = t.spark.read.option("recursiveFileLookup", True).parquet(f"{root}/redactions")
+    return (audit.agg(F.sum("lines").alias("audit_lines"), F.sum("bytes").alias("audit_bytes"))
+            .withColumn("index_lines", captures.read_index(t.spark, root).agg(F.sum("lines")).scalar())
+            .withColumn("catalog_entries", captures.catalog(t.spark, root).agg(F.sum("entries")).scalar())
+            .withColumn("redacted", counts.agg(F.sum("count")).scalar()))
+
+
 @query("stream_counters", f"WITH {LOGS} SELECT app AS name, CAST(count(*) AS BIGINT) AS received, CAST(sum(strlen(msg)) AS BIGINT) AS bytes FROM logs GROUP BY app")
 def stream_counters(t):
     return _finished(t, streams.counters(_landed_entries(t)), ["name"])

@@ -45,6 +45,7 @@ PUSH_PAYLOAD = T.StructType([
     T.StructField("_corrupt", T.StringType()),
 ])
 
+# One row per push; the address and the time it took are known only where a receiver adds them.
 AUDIT = T.StructType([
     T.StructField("timestamp", T.TimestampType()),
     T.StructField("event", T.StringType()),

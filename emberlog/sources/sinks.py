@@ -23,18 +23,18 @@ def _wire(logs: DataFrame, *more: str) -> DataFrame:
 
 def write_capture(logs: DataFrame, path: str, order: Sequence[str] = ("ts",),
                   max_entries: int = MAX_FILE_ENTRIES, redaction: Sequence[str] | None = None,
-                  compression: str = "none") -> None:
+                  compression: str = "none", mode: str = "errorifexists") -> None:
     """Write entries as JSON lines in files of bounded length, then index and session record.
 
     Entries are range-partitioned by time, so that file name order is time order; the index
     is built from the written files, the session record from the index."""
     spark = logs.sparkSession
     ordered = logs.repartitionByRange(*order).sortWithinPartitions(*order)
-    _data(_wire(ordered), max_entries, compression).json(f"{path}/data")
+    _data(_wire(ordered), max_entries, compression).mode(mode).json(f"{path}/data")
     index = build_index(read_capture(spark, path), F.col("raw_bytes") + 1, ["file"])
-    index.write.option("timestampFormat", TIMES).json(f"{path}/index")
+    index.write.mode(mode).option("timestampFormat", TIMES).json(f"{path}/index")
     metadata = build_metadata(read_index(spark, path), redaction)
-    metadata.drop("capture").write.option("timestampFormat", TIMES).json(f"{path}/metadata")
+    metadata.drop("capture").write.mode(mode).option("timestampFormat", TIMES).json(f"{path}/metadata")
 
 
 def write_captures(logs: DataFrame, root: str, order: Sequence[str] = ("ts",),

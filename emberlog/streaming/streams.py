@@ -11,9 +11,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.labels import label_present, service_label
 from emberlog.functions.messages import is_error, is_error_once, normalize_message
+from emberlog.functions.redaction import redact_with_hits, select_patterns
 from emberlog.operators.filters import text_or_label_matches
-from emberlog.operators.ingest import explode_loki
+from emberlog.operators.ingest import explode_loki, ingest_audit, redaction_counts
+from emberlog.schema import AUDIT
 from emberlog.sources.captures import DATA_GLOB, is_data_file, parse_entries
+from emberlog.sources.sinks import write_capture
 
 WATERMARK = "10 minutes"
 ENTRY = T.StructType([T.StructField("ts", T.TimestampType()),
@@ -41,6 +44,41 @@ def ingest(payloads: DataFrame, out: str, checkpoint: str, redactor: bool | Iter
             .option("path", out).outputMode("append").trigger(availableNow=True).start())
 
 
+def ingest_capture(payloads: DataFrame, root: str, checkpoint: str, redactor: bool | Iterable[str] | None = True,
+                   custom=(), now: datetime | None = None, event: str = "loki_push_received") -> StreamingQuery:
+    """Ingest into captures: each trigger becomes one below ``root``, with data files, index and session
+    record, so that all readers open them; how often each pattern was redacted and an audit row
+    per payload (schema AUDIT) are kept beside them as ``redactions`` and ``audit``.
+
+    Everything a trigger writes lies in folders of its number and replaces what an earlier attempt
+    left there, so a retry neither loses nor repeats entries."""
+    names = None if redactor is True or not redactor else list(redactor)
+    patterns = [p.name for p in select_patterns(names, custom)] if redactor else []
+    extra = [c for c in ("remote_ip", "duration_ms") if c in payloads.columns]
+
+    def write(batch: DataFrame, number: int) -> None:
+        numbered = batch.withColumn("_payload", F.monotonically_increasing_id())
+        entries = explode_loki(numbered, "payload", now)
+        if redactor:
+            entries = redact_with_hits(entries, "msg", names, custom)
+        entries = entries.persist()
+        try:
+            write_capture(entries.select("ts", "labels", "msg"), f"{root}/trigger-{number:09d}",
+                          redaction=patterns if redactor else None, mode="overwrite")
+            if patterns:
+                redaction_counts(entries).write.mode("overwrite").parquet(f"{root}/redactions/trigger={number}")
+            per_payload = ingest_audit(entries, "_payload", event).join(numbered.select("_payload", *extra), "_payload")
+            at = F.current_timestamp() if now is None else F.lit(now)
+            row = {"timestamp": at, "remote_ip": F.lit(None), "duration_ms": F.lit(None)} | {c: F.col(c) for c in extra}
+            audit = per_payload.select(*[row.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in AUDIT])
+            audit.write.mode("overwrite").parquet(f"{root}/audit/trigger={number}")
+        finally:
+            entries.unpersist()
+
+    return (payloads.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(write).trigger(availableNow=True).start())
+
+
 def follow(spark: SparkSession, path: str, grep: str | None = None, label: tuple[str, str] | None = None,
            max_files: int = 1000) -> DataFrame:
     """New entries of a capture's data files as they appear, rotated ones included, filtered. Its
