@@ -1,8 +1,9 @@
 """Quality by compression: a text is good if a dictionary of good texts packs it better than one of bad texts.
 
 Two zstandard dictionaries are trained on a bounded sample of labelled text. A text is compressed
-whole, block by block, under both; the difference of the two sizes over their sum goes through a
-logistic curve fitted on other labelled rows, which makes it a probability of label 1.
+whole, block by block, under both; the difference of the two sizes over the text's own, and how far it
+shrinks at all (words said over and over shrink to nothing under either), go through a
+logistic curve fitted on other labelled rows, which makes them a probability of label 1.
 """
 
 from __future__ import annotations
@@ -38,11 +39,11 @@ def fold_of(doc_id: Column) -> Column:
 
 @dataclass
 class Model:
-    """Dictionaries of good and bad text, and the curve: 1 / (1 + exp(-(bias + slope * difference)))."""
+    """Dictionaries of good and bad text, and the curve: 1 / (1 + exp(-(bias + weights . features)))."""
     good: bytes
     bad: bytes
     bias: float
-    slope: float
+    weights: tuple[float, ...]
 
 
 def blocks_of(raw: bytes) -> list[bytes]:
@@ -57,29 +58,34 @@ def dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def differences(texts: pd.Series, model: Model) -> np.ndarray:
-    """(bad size - good size) / (both sizes) of each text; 0 for an empty one."""
+def features(texts: pd.Series, model: Model) -> np.ndarray:
+    """Of each text, over its bytes: bad size - good size, the mean of both sizes, and the square of the
+    mean; an empty text counts as one that neither shrinks nor differs."""
     packers = [zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(d) if d else None,
                                         write_content_size=False, write_dict_id=False) for d in (model.good, model.bad)]
-    out = np.zeros(len(texts))
+    out = np.tile([0.0, 1.0, 1.0], (len(texts), 1))
     for i, text in enumerate(texts):
         raw = blocks_of(text.encode())
-        good, bad = (sum(len(p.compress(b)) for b in raw) for p in packers)
-        out[i] = (bad - good) / (bad + good) if raw else 0.0
+        if raw:
+            good, bad = (sum(len(p.compress(b)) for b in raw) for p in packers)
+            size = sum(map(len, raw))
+            share = (good + bad) / (2 * size)
+            out[i] = (bad - good) / size, share, share * share
     return out
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope by Newton steps with a weak pull to zero; (0, 0) without rows."""
+def fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
+    """Bias and weights by Newton steps with a weak pull to zero; no weights without rows."""
     if not len(x):
-        return 0.0, 0.0
-    scale = x.std() or 1.0
-    a = np.stack([np.ones_like(x), x / scale], 1)
-    w, pull = np.zeros(2), np.diag([1e-6, 1e-2])
+        return 0.0, ()
+    centre, scale = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    a = np.column_stack([np.ones(len(x)), (x - centre) / scale])
+    w, pull = np.zeros(a.shape[1]), np.diag([1e-6] + [1e-1] * x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w -= np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + pull, a.T @ (p - y) + pull @ w)
-    return float(w[0]), float(w[1] / scale)
+        w -= np.linalg.solve(a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + pull, a.T @ (p - y) + pull @ w)
+    weights = w[1:] / scale
+    return float(w[0] - weights @ centre), tuple(weights.tolist())
 
 
 def _sample(labels: DataFrame, quality: int, folds: list[int], rows: int) -> DataFrame:
@@ -114,34 +120,41 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     blocks = chosen([1, 2], DICTIONARY_ROWS).mapInPandas(pieces, "quality int, doc_id bigint, block binary").collect()
     blocks.sort(key=lambda r: (r["doc_id"], r["block"]))
     good, bad = (dictionary([bytes(r["block"]) for r in blocks if r["quality"] == q]) for q in (1, 0))
-    model = Model(good, bad, 0.0, 0.0)
-    curve = chosen([3, 4], CURVE_ROWS).select("quality", _difference(model)("text").alias("x")).collect()
+    model = Model(good, bad, 0.0, ())
+    curve = chosen([3, 4], CURVE_ROWS).select("quality", _features(model)("text").alias("x")).collect()
     counts = dict(labels.where(fold_of(F.col("doc_id")).isin([3, 4])).groupBy("quality").count().collect())
     x, y = (np.array([r[k] for r in sorted(curve)], float) for k in ("x", "quality"))
-    model.bias, model.slope = fit_curve(x, y)
+    model.bias, model.weights = fit_curve(x, y)
     # The sample holds the classes in other shares than the labels do: move the bias by the log of both ratios.
     if (y == 1).any() and (y == 0).any():
         model.bias += float(np.log(counts[1] / counts[0]) - np.log((y == 1).sum() / (y == 0).sum()))
     return model
 
 
-def _difference(model: Model):
+def _features(model: Model):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield pd.Series(list(features(batch, model)))
+    return run
+
+
+def _scores(model: Model):
     @F.pandas_udf(T.DoubleType())
-    def difference(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series(differences(batch, model))
-    return difference
+            line = model.bias + (features(batch, model) @ np.array(model.weights) if model.weights else np.zeros(len(batch)))
+            yield pd.Series(1 / (1 + np.exp(-np.clip(line, -700, 700))))
+    return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of ``docs``, ``score`` from 0 to 1 and ``predicted``; null texts count as empty,
-    and an empty text has the score of a text that neither dictionary suits better."""
-    line = F.lit(model.bias) + F.lit(model.slope) * _difference(model)(text_of())
-    scored = docs.withColumn("score", 1 / (1 + F.exp(-line)))
+    and an empty text has the score of one that does not shrink and that neither dictionary suits better."""
+    scored = docs.withColumn("score", _scores(model)(text_of()))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that are predicted good, with the columns they came with."""
-    line = F.lit(model.bias) + F.lit(model.slope) * _difference(model)(text_of())
-    return docs.where(1 / (1 + F.exp(-line)) >= THRESHOLD)
+    return docs.where(_scores(model)(text_of()) >= THRESHOLD)

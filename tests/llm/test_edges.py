@@ -169,7 +169,7 @@ def test_compression(spark, odd, none):
     model = compression.fit(odd, labels)
     got = compression.score(odd, model).collect()
     assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
-    assert compression.fit(none, labels.where("false")).slope == 0.0
+    assert compression.fit(none, labels.where("false")).weights == ()
     assert compression.keep_good(odd, model).columns == odd.columns and compression.score(none, model).collect() == []
 
 
