@@ -36,6 +36,8 @@ GZIP_LEVEL = 4
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE = "urn:x-page:"
+#: Fields that every record has.
+MANDATORY = ("warc-type", "warc-record-id", "warc-date")
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
 MANIFEST = "file string, records bigint, bytes bigint"
 FOUND = pa.schema([
@@ -130,7 +132,9 @@ def parse(raw: bytes) -> dict:
     fields = _fields(head)
     if not fields.get("content-length", "").isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise Damaged("length")
-    kind, digest = fields.get("warc-type"), fields.get("warc-payload-digest", "")
+    if missing := [name for name in MANDATORY if not fields.get(name)]:
+        raise Damaged(f"no {missing[0]}")
+    kind, digest = fields["warc-type"], fields.get("warc-payload-digest", "")
     payload = rest[:-4].partition(b"\r\n\r\n")[2] if kind == "response" else None
     if payload is not None and digest != f"sha256:{hashlib.sha256(payload).hexdigest()}":
         raise Damaged("payload digest")
