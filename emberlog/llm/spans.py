@@ -30,8 +30,9 @@ SENTENCE_WORDS = 12
 SENTENCE = regex.compile(r"[^.!?\n]*+(?:[.!?\n]+\s*+|\Z)")
 #: So many words, with the white space after them.
 PART = regex.compile(r"\s*+(?:\S++\s*+){1,%d}" % SENTENCE_WORDS)
-RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
-RUNS_SQL = "doc_id bigint, start int, stop int, h1 bigint, h2 bigint"
+RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()),
+                  ("again", pa.bool_())])
+RUNS_SQL = "doc_id bigint, start int, stop int, h1 bigint, h2 bigint, again boolean"
 
 
 def sentences(text: str) -> list[str]:
@@ -46,8 +47,9 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, stop, h1, h2) of every run; ``stop`` is exclusive. White space does not count."""
+def runs(text: str) -> list[tuple[int, int, int, int, bool]]:
+    """(start, stop, h1, h2, again) of every run, in order; ``stop`` is exclusive, and ``again`` tells that
+    the text has had the same run before. White space does not count."""
     words = [s.split() for s in sentences(text)]
     flat = [" ".join(w) for w in words]
     upto = [0]
@@ -65,10 +67,11 @@ def runs(text: str) -> list[tuple[int, int, int, int]]:
             start += 1
         if upto[j] - upto[start] >= RUN_WORDS:
             found[(start, j)] = None
-    out = []
-    for a, b in found:
+    out, seen = [], set()
+    for a, b in sorted(found):
         h = xxhash.xxh3_128_intdigest(" ".join(filter(None, flat[a:b])).encode())
-        out.append((a, b, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+        out.append((a, b, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), h in seen))
+        seen.add(h)
     return out
 
 
@@ -92,9 +95,9 @@ def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, start, stop`` of every run in ``docs(doc_id, text)`` that is not the first of its kind,
     by ``doc_id`` and place."""
     all_runs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(_emit, RUNS_SQL)
-    place = F.struct("doc_id", "start")
-    first = all_runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return all_runs.join(first, ["h1", "h2"]).where(place > F.col("first")).select("doc_id", "start", "stop")
+    # Within a text the first place is known already, so the groups need no more than the first document.
+    first = all_runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return all_runs.join(first, ["h1", "h2"]).where("again or doc_id > first").select("doc_id", "start", "stop")
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()),

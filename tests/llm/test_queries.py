@@ -104,7 +104,7 @@ def test_iblt_likeness(spark, docs):
 def test_sentence_spans(spark, docs):
     seen, gone = {}, {d: set() for d, _, _ in docs}
     for doc_id, text, _ in docs:
-        for start, stop, *h in sorted(spans.runs(text)):
+        for start, stop, *h, _ in sorted(spans.runs(text)):
             if seen.setdefault(tuple(h), (doc_id, start)) != (doc_id, start):
                 gone[doc_id].update(range(start, stop))
     want = {d: "".join(s for i, s in enumerate(spans.sentences(t)) if i not in gone[d]) for d, t, _ in docs}
