@@ -258,11 +258,22 @@ def catch_up_new_files(t):
     return src.parse_entries(src.read_lines_of(t.spark, root, fresh)).select("capture", "ts", "msg")
 
 
-@query("signed_capture")
+@query("signed_capture", f"WITH {LOGS} SELECT capture, true AS signed, CAST(0 AS BIGINT) AS issues, true AS same_root FROM logs GROUP BY capture")
 def signed_capture(t):
-    """Digest of every written file and the root digest of each capture."""
+    """Every written file against the stored manifest, and the root digest of each capture against
+    that of the manifest. The digests themselves depend on how many files the cores wrote."""
     root = _written(t)
-    return integrity.root_digest(integrity.manifest(src.read_file_contents(t.spark, root)))
+    digests = integrity.manifest(src.read_file_contents(t.spark, root))
+    whole = digests.withColumn("file", F.concat_ws("/", "capture", "file"))
+    path = scratch_dir(t.spark, "manifest")
+    integrity.manifest_lines(whole).write.text(path)
+    stored = integrity.read_manifest_lines(t.spark.read.text(path))
+    issues = integrity.verify(stored, whole).groupBy(F.substring_index("file", "/", 1).alias("capture")).agg(F.count(F.lit(1)).alias("issues"))
+    again = stored.select(F.substring_index("file", "/", 1).alias("capture"), F.substring_index("file", "/", -1).alias("file"), "sha256")
+    signed = integrity.root_digest(again).select("capture", F.col("root_sha256").alias("signed_root"))
+    return (integrity.root_digest(digests).join(signed, "capture").join(issues, "capture", "left")
+            .select("capture", (F.length("root_sha256") == 64).alias("signed"),
+                    F.coalesce("issues", F.lit(0).cast("bigint")).alias("issues"), (F.col("root_sha256") == F.col("signed_root")).alias("same_root")))
 
 
 @query("export_parquet", f"WITH {LOGS} SELECT ts, {_FLAT} AS labels, msg FROM logs WHERE ts BETWEEN {T_FROM} AND {T_TO}")

@@ -8,9 +8,10 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import check  # noqa: E402
+from emberlog.plans import all_queries, registry  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(check.registered.queries())
+NAMES = sorted(all_queries())
 
 
 @pytest.fixture(scope="module")
@@ -30,4 +31,5 @@ def test_entry(spark):
 
 
 def test_sql_belongs_to_a_query():
-    assert set(check.registered.oracle_sql()) <= set(NAMES)
+    assert set(registry.ORACLES) <= set(NAMES)
+    assert set(check.registered.oracle_sql()) <= set(check.registered.queries())
