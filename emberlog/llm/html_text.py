@@ -98,11 +98,12 @@ class _Lines(HTMLParser):
 
 
 def _is_beside(tag: str, attrs: dict[str, str | None], inside: bool) -> bool:
-    if tag in ASIDE or tag == "header" and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+    names = f"{tag} {attrs.get('class') or ''} {attrs.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
+    # The header of a page is beside its article; that of an article holds its headline.
+    if tag in ASIDE or "header" in names and not inside or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if tag in ARTICLE:
         return False
-    names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().replace("-", " ").replace("_", " ").split()
     return (attrs.get("role") or "").lower() in ASIDE_ROLES or not ASIDE_NAMES.isdisjoint(names)
 
 
