@@ -19,25 +19,24 @@ def _edge_function():
     need not have this package."""
 
     def edges(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        """Rows of one rule and one trigger, in order of time; the state is (fired, last counter)."""
+        """Rows of one rule and one trigger, in order of time; the state is (fired, last counter). A
+        trigger's files bound the rows."""
         import pandas as pd
 
         fired, last = state.get if state.exists else (False, None)
         # A group is one rule's ticks of one trigger.
-        ticks = pd.concat(list(batches)).sort_values("ts")
-        out = []
-        for tick in ticks.itertuples(index=False):
-            value, triggered = tick.value, bool(tick.triggered)
-            if tick.is_delta:
-                value = 0.0 if last is None else max(0.0, tick.value - last)
-                last = tick.value
-                triggered = {"gt": value > tick.threshold, "lt": value < tick.threshold,
-                             "gte": value >= tick.threshold, "lte": value <= tick.threshold}[tick.op]
-            if triggered and not fired:
-                out.append((key[0], tick.detail, tick.ts, value))
-            fired = triggered
-        state.update((bool(fired), None if last is None else float(last)))
-        yield pd.DataFrame(out, columns=["rule", "detail", "ts", "value"])
+        ticks = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
+        value, triggered, rule = ticks["value"], ticks["triggered"], ticks.iloc[0]
+        if rule["is_delta"]:
+            before = value.shift(1)
+            before.iloc[0] = float("nan") if last is None else last
+            last = float(value.iloc[-1])
+            value = (value - before).clip(lower=0.0).fillna(0.0)
+            triggered = getattr(value, {"gt": "gt", "lt": "lt", "gte": "ge", "lte": "le"}[rule["op"]])(rule["threshold"])
+        triggered = triggered.fillna(False).astype(bool)
+        starts = triggered & ~triggered.shift(1, fill_value=bool(fired))
+        state.update((bool(triggered.iloc[-1]), last))
+        yield pd.DataFrame({"rule": key[0], "detail": ticks["detail"], "ts": ticks["ts"], "value": value})[starts]
 
     return edges
 
