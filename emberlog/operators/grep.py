@@ -20,6 +20,11 @@ def grep(logs: DataFrame, pattern: str | None = None, sort: bool = False,
     return hits.orderBy(*order) if sort else hits
 
 
+def first_hits(logs: DataFrame, n: int, pattern: str | None = None, **filters) -> DataFrame:
+    """Any ``n`` hits. Nothing is ordered, so every scan task stops once it has found enough."""
+    return grep(logs, pattern, **filters).limit(n)
+
+
 def grep_count(logs: DataFrame, pattern: str | None = None, keys: Sequence[str] = ("file",), **filters) -> DataFrame:
     """Matches per file; files without a match have no row."""
     return (logs.where(match(grep=pattern, **filters)).groupBy(*keys)

@@ -249,6 +249,14 @@ def pruned_scan(t):
     return filter_logs(kept, frm=FROM, to=TO, labels=labels).select("capture", "ts", "msg")
 
 
+@query("tail_capture", f"""WITH {LOGS}, last AS (SELECT * FROM logs ORDER BY ts DESC, event_id DESC LIMIT 50)
+SELECT ts, msg FROM last WHERE app = 'svc-1'""")
+def tail_capture(t):
+    root = scratch_dir(t.spark, "capture")
+    sinks.write_capture(t.logs(), root, order=CHRONOLOGICAL)
+    return src.tail_capture(t.spark, root, 50, label=("app", "svc-1")).select("ts", "msg")
+
+
 @query("catch_up_new_files", f"WITH {LOGS} SELECT capture, ts, msg FROM logs WHERE capture = 'current'")
 def catch_up_new_files(t):
     """Only base had been seen at the last look."""

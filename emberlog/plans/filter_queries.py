@@ -177,6 +177,13 @@ def early_stop(t):
     return search.grep(t.logs(), "panic", sort=True, order=CHRONOLOGICAL).select("event_id", "ts", "msg").limit(25)
 
 
+@query("early_stop_any", f"WITH {LOGS} SELECT CAST(least(25, count(*)) AS BIGINT) AS hits, true AS all_match FROM logs WHERE contains(msg, 'panic')")
+def early_stop_any(t):
+    """Any 25 hits: how many there are, and that they are hits."""
+    return search.first_hits(t.logs(), 25, "panic").agg(
+        F.count(F.lit(1)).alias("hits"), F.coalesce(F.bool_and(F.col("msg").contains("panic")), F.lit(True)).alias("all_match"))
+
+
 _TAIL = f"""WITH {NUMBERED},
 last AS (SELECT * FROM numbered WHERE file = (SELECT max(file) FROM numbered) ORDER BY line_no DESC LIMIT 100)
 SELECT event_id, ts, app, msg FROM last WHERE app = 'svc-1' AND (regexp_matches(msg, 'took') OR regexp_matches(app, 'took') OR regexp_matches(env, 'took'))"""

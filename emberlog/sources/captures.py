@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F,
 
 from emberlog.operators.capture_index import build_index
 from emberlog.operators.decoding import decode
-from emberlog.operators.filters import file_may_match
+from emberlog.operators.filters import file_may_match, tail_n
 from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
 
 # Files of a capture folder that hold no entries.
@@ -163,6 +163,13 @@ def read_capture_pruned(spark: SparkSession, path: str, index: DataFrame, frm=No
     return parse_entries(read_lines_of(spark, path, out, inverse=True))
 
 
+def tail_capture(spark: SparkSession, path: str, n: int, grep: str | None = None, label: tuple[str, str] | None = None) -> DataFrame:
+    """The last ``n`` entries of a capture's newest file, then filtered. The file is found in the listing;
+    no other is opened."""
+    newest = list_files(spark, path).orderBy(F.desc("file"), "capture").limit(1)
+    return tail_n(number_lines(parse_entries(read_lines_of(spark, path, newest))), n, grep, label)
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index rows of all captures below ``path``; bad lines are skipped, no index gives no rows."""
     rows = _files(spark, "*.{jsonl,json}").text(path)
