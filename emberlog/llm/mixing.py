@@ -30,6 +30,8 @@ MOST_BLOCKS = 4096
 FILL_DOCS = 256
 SHARDS = 64
 SEED = 17
+#: Sources up to which the recipes, of a few KB each, are broadcast; beyond, they are joined by source.
+BROADCAST_SOURCES = 10_000
 
 
 @dataclass
@@ -94,10 +96,9 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
                               passes, target - passes * row["size"]))
     if not recipes:
         return recipes
-    spark = sized.sparkSession
 
     def with_recipe(columns: list[tuple], schema: str) -> DataFrame:
-        own = spark.createDataFrame(columns, f"of string, {schema}")
+        own = _by_source(sized, columns, f"of string, {schema}")
         return sized.join(own, F.col("source").eqNullSafe(F.col("of"))).withColumn("h", _permuted(seed))
 
     placed = with_recipe([(r.source, r.blocks, float(r.rest)) for r in recipes], "blocks bigint, rest double")
@@ -131,13 +132,18 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     return recipes
 
 
+def _by_source(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    own = like.sparkSession.createDataFrame(rows, schema)
+    return F.broadcast(own) if len(rows) <= BROADCAST_SOURCES else own
+
+
 def mix(docs: DataFrame, recipes: list[Recipe], seed: int = SEED) -> DataFrame:
     """The rows of ``docs(doc_id, source, ...)`` with ``_of`` (their recipe's size and target) and
     ``_shards``, the shard of each time that they are taken (empty: not at all)."""
     rows = [(r.source, r.size, r.target, r.blocks, r.passes, r.whole, *(r.cut or (None, None)), r.cut is not None, r.extra, r.bounds)
             for r in recipes]
-    own = docs.sparkSession.createDataFrame(
-        rows, "of string, size bigint, target double, blocks bigint, passes bigint, whole bigint, cut_hash bigint, cut_id bigint, "
+    own = _by_source(
+        docs, rows, "of string, size bigint, target double, blocks bigint, passes bigint, whole bigint, cut_hash bigint, cut_id bigint, "
               "has_cut boolean, extra array<bigint>, bounds array<bigint>")
     out = docs.join(own.select(F.struct("*").alias("_of")), F.col("source").eqNullSafe(F.col("_of.of")), "left")
     at = F.struct(_permuted(seed).alias("h"), F.col("doc_id").alias("id"))
