@@ -78,7 +78,8 @@ def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256, fi
 
     Texts are equal if their normalised bytes are; null counts as empty. Of equal texts the row
     with the smallest ``doc_id`` stays. Rows that repeat an id with the same text count one by one
-    and stay or go together; rows without an id come last, and stay only in a group without ids.
+    and stay or go together; rows without an id come last, and stay only in a group without ids (they
+    cannot be looked up, so their digest decides).
     Other columns are not looked at; an empty table gives no rows."""
     landed, entries = _entries(docs, digest, files_per_batch)
     found = stored(landed.join(entries, "digest").select("digest", F.col("id").alias("doc_id"), "keep_id", "group_size"), "dedup-found")

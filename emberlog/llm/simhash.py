@@ -62,10 +62,6 @@ def as_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def _head(fp: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(fp, 64 - depth)
-
-
 def _nodes(leaves: DataFrame, depth: int) -> DataFrame:
     """Nodes at a depth that have leaves below, with the least and the greatest leaf. All leaves of
     a node share their sign bit, so signed order is the order of the bits."""
