@@ -29,6 +29,8 @@ MOST_BLOCKS = 4096
 #: Documents after the cut among which the last words of a target are looked for.
 FILL_DOCS = 256
 SHARDS = 64
+#: Words that one task shuffles; larger shards are dealt into several pieces of this size.
+PIECE_WORDS = 25_000_000
 SEED = 17
 #: Sources up to which the recipes, of a few KB each, are broadcast; beyond, they are joined by source.
 BROADCAST_SOURCES = 10_000
@@ -174,10 +176,14 @@ def taken(docs: DataFrame, **options) -> DataFrame:
 
 
 def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options) -> DataFrame:
-    """The mixed documents themselves, as often as they are taken: the columns of ``docs``, one shard
-    per partition, shuffled within it. Column names with a leading underscore are kept free."""
+    """The mixed documents themselves, as often as they are taken: the columns of ``docs``, dealt by
+    shard and shuffled within it. A shard of more than PIECE_WORDS words is dealt into random
+    pieces, so that no task grows with the input. Column names with a leading underscore are kept free."""
     recipes = plan(sizes(docs), shards=shards, seed=seed, **options)
+    pieces = max(1, -(-int(sum(r.target for r in recipes)) // (shards * PIECE_WORDS)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
     rows = mix(docs, recipes, seed).select(*columns, F.posexplode("_shards").alias("_turn", "_shard"))
-    return (rows.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed + 1), "_turn", "doc_id"), "doc_id")
+    rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 1), "_turn", "doc_id"))
+    rows = rows.withColumn("_piece", F.pmod(F.xxhash64("_order"), F.lit(pieces)))
+    return (rows.repartition(shards * pieces, "_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_order", "doc_id")
             .select(*columns))
