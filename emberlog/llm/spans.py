@@ -2,7 +2,8 @@
 
 Every run of several consecutive sentences that just reaches a number of words is hashed, once
 from each sentence forwards and once from each backwards, so that the runs inside a repeated
-passage cover it to both ends. The hashes of all documents are joined; a run whose first
+passage cover it to both ends. Long sentences are cut where their own words say, so a passage that
+begins in the middle of one is cut like its copy. The hashes of all documents are joined; a run whose first
 occurrence lies elsewhere has all its sentences removed. Counting is map-side combined and the
 runs meet their group's first occurrence in a join, so a passage that a third of the
 documents share is neither gathered in one task nor paired with itself.
@@ -10,6 +11,7 @@ documents share is neither gathered in one task nor paired with itself.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,25 +25,47 @@ from emberlog.llm.common import text_of
 #: A run has at least so many sentences and at least so many words.
 RUN_SENTENCES = 2
 RUN_WORDS = 24
-#: A sentence of more words is cut into several, so that passages without full stops count too.
+#: A sentence of more words is cut into several, so that passages without full stops count too. No piece
+#: has more words than this.
 SENTENCE_WORDS = 12
 
 #: A sentence with the marks and the white space after it. Every character belongs to one.
 SENTENCE = regex.compile(r"[^.!?\n]*+(?:[.!?\n]+\s*+|\Z)")
-#: So many words, with the white space after them.
-PART = regex.compile(r"\s*+(?:\S++\s*+){1,%d}" % SENTENCE_WORDS)
+#: A word with the white space around it.
+WORD = regex.compile(r"\s*+\S++\s*+")
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()),
                   ("again", pa.bool_())])
 RUNS_SQL = "doc_id bigint, start int, stop int, h1 bigint, h2 bigint, again boolean"
 
 
+def _ends(words: list[str]) -> set[int]:
+    """Places after which a long sentence is cut: in every SENTENCE_WORDS words in a row, the last of those
+    with the least hash. What lies around does not count, so all copies of a passage are cut at
+    the same places, wherever their sentence begins."""
+    hashes = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+    out, falling = set(), deque()  # places in the window that have no lesser hash after them
+    for i, h in enumerate(hashes):
+        while falling and hashes[falling[-1]] >= h:
+            falling.pop()
+        falling.append(i)
+        if falling[0] <= i - SENTENCE_WORDS:
+            falling.popleft()
+        if i >= SENTENCE_WORDS - 1:
+            out.add(falling[0])
+    return out
+
+
 def sentences(text: str) -> list[str]:
-    """The text cut after full stops, exclamation and question marks and line ends, long sentences
-    after every SENTENCE_WORDS words. Joined, they are the text; an empty text has none."""
+    """The text cut after full stops, exclamation and question marks and line ends, sentences of more
+    than SENTENCE_WORDS words also at places that their words choose. Joined, they are the text; an
+    empty text has none."""
     out = []
     for sentence in SENTENCE.findall(text):
-        if len(sentence) > 2 * SENTENCE_WORDS and len(sentence.split()) > SENTENCE_WORDS:
-            out += PART.findall(sentence)
+        if len(sentence) > 2 * SENTENCE_WORDS and len(words := sentence.split()) > SENTENCE_WORDS:
+            parts, start = WORD.findall(sentence), 0
+            for end in sorted(_ends(words) | {len(words) - 1}):
+                out.append("".join(parts[start:end + 1]))
+                start = end + 1
         elif sentence:
             out.append(sentence)
     return out

@@ -147,6 +147,28 @@ def test_a_passage_goes_and_its_surroundings_stay(spark):
     assert all(got[i] == f"Own start number {i} of this page. Own end number {i} of this page." for i in range(1, 50))
 
 
+def test_passages_that_begin_and_end_within_sentences(spark):
+    """Of every 50 words in a row that an earlier text has, at least 24 go; words of no such place stay."""
+    rng = random.Random(7)
+
+    def words(n, stops):
+        return [f"w{rng.randrange(10 ** 9)}" + ("." if rng.random() < stops else "") for _ in range(n)]
+    rows = []
+    for k in range(60):
+        passage = words(rng.randrange(50, 90), rng.choice([0, 0, 0.03, 0.1]))
+        rows += [(2 * k + copy, " ".join(words(rng.randrange(40), 0.02) + passage + words(rng.randrange(40), 0.02))) for copy in range(2)]
+    got = {r["doc_id"]: r["text"].split() for r in spans.deduplicate(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    seen = set()
+    for doc_id, text in rows:
+        own, left = text.split(), set(got[doc_id])  # words are all different but for the copies
+        windows = [tuple(own[i:i + 50]) for i in range(len(own) - 49)]
+        repeated = [w for w in windows if w in seen]
+        assert (len(repeated) > 0) == bool(doc_id % 2)
+        assert all(sum(x not in left for x in w) >= 24 for w in repeated)
+        assert set(own) - left <= {x for d, t in rows if d < doc_id for x in t.split()}
+        seen.update(windows)
+
+
 def test_mixing(spark, odd, none):
     got = mixing.taken(odd).collect()
     assert len(got) == odd.count() and all(r["taken"] <= 2 * r["size"] for r in got)
