@@ -2,7 +2,8 @@
 
 The documents of a source fall into blocks by a seeded hash. The source's target becomes a quota
 of blocks: whole passes over all of them, then blocks in permuted order, of which the last is cut
-at a document. A tree over the output shards splits the quotas: at every node the left half draws
+at a document. A document that does not fit there is passed over, and those after it are tried in
+the same order until none is left that fits. A tree over the output shards splits the quotas: at every node the left half draws
 its blocks from what the node holds, hypergeometrically over all sources at once, so the quotas add
 up exactly. Each shard then owns a run of every source's block order, disjoint from all
 others, and is shuffled within itself. Only figures per source ever reach the driver; the
@@ -16,7 +17,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from emberlog.llm.common import WORD_PATTERN, stored, text_of
+from emberlog.llm.common import WORD_PATTERN, let, stored, text_of
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -26,14 +27,14 @@ MOST = 2
 #: Documents in a block where a source has few; blocks of a source where it has many.
 BLOCK_DOCS = 64
 MOST_BLOCKS = 4096
-#: Documents after the cut among which the last words of a target are looked for.
-FILL_DOCS = 256
 SHARDS = 64
 #: Words that one task shuffles; larger shards are dealt into several pieces of this size.
 PIECE_WORDS = 25_000_000
 SEED = 17
 #: Sources up to which the recipes, of a few KB each, are broadcast; beyond, they are joined by source.
 BROADCAST_SOURCES = 10_000
+RUN = ("struct<after_block:bigint,after_h:bigint,after_id:bigint,has_after:boolean,upto_block:bigint,upto_h:bigint,upto_id:bigint,"
+       "has_upto:boolean,limit:bigint>")
 
 
 @dataclass
@@ -47,8 +48,9 @@ class Recipe:
     passes: int
     rest: float
     whole: int = 0                 # blocks of the last pass that are taken whole
-    cut: tuple | None = None       # (hash, doc_id) up to which the next block is taken
-    extra: list = field(default_factory=list)
+    # Runs of the order (block, hash, doc_id) that the last pass takes, as (after, upto, limit): both ends are
+    # places or None, for the start and the end; of the first run all is taken, of the others the documents of 1 to limit words.
+    runs: list = field(default_factory=list)
     bounds: list = field(default_factory=list)  # number of blocks that belong to shards up to each
 
 
@@ -99,35 +101,56 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     if not recipes:
         return recipes
 
-    def with_recipe(columns: list[tuple], schema: str) -> DataFrame:
-        own = _by_source(sized, columns, f"of string, {schema}")
-        return sized.join(own, F.col("source").eqNullSafe(F.col("of"))).withColumn("h", _permuted(seed))
-
-    placed = with_recipe([(r.source, r.blocks, float(r.rest)) for r in recipes], "blocks bigint, rest double")
-    sums = placed.groupBy("of", "rest", F.pmod("h", "blocks").alias("block")).agg(F.sum("size").alias("words"))
-    upto = Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    sums = sums.withColumn("upto", F.sum("words").over(upto))
-    cuts = sums.where("upto > rest").groupBy("of").agg(F.min(F.struct("block", F.expr("rest - (upto - words)"))).alias("at")).collect()
-    of = {r.source: r for r in recipes}
-    for source, (block, left) in cuts:
-        of[source].whole, of[source].rest = block, left
-
-    # Inside the block that the target ends in: the documents up to the cut, and those just after it.
-    edge = with_recipe([(r.source, r.blocks, r.whole, float(r.rest)) for r in recipes], "blocks bigint, whole bigint, rest double")
-    edge = edge.where(F.pmod("h", "blocks") == F.col("whole"))
-    order = Window.partitionBy("of").orderBy("h", "doc_id")
-    edge = edge.withColumn("upto", F.sum("size").over(order.rangeBetween(Window.unboundedPreceding, 0)))
-    inside = edge.where("upto <= rest").groupBy("of").agg(F.max(F.struct("h", "doc_id")).alias("cut"), F.max("upto").alias("upto")).collect()
-    for source, cut, upto_words in inside:
-        of[source].cut, of[source].rest = tuple(cut), of[source].rest - upto_words
-    after = edge.where("upto > rest").withColumn("n", F.row_number().over(order)).where(F.col("n") <= FILL_DOCS)
-    for row in sorted(after.select("of", "n", "doc_id", "size").collect(), key=lambda r: r["n"]):
-        own = of[row["of"]]
-        if 0 < row["size"] <= own.rest and row["doc_id"] not in own.extra:
-            own.rest -= row["size"]
-            own.extra.append(row["doc_id"])
-
-    quotas = np.array([r.passes * r.blocks + r.whole + bool(r.cut or r.extra) for r in recipes], np.int64)
+    # Rows of one id are taken alike, so they are one document here.
+    places = stored(sized.groupBy("source", "doc_id").agg(F.sum("size").alias("size"), F.min("size").alias("least"), F.max("size").alias("most"))
+                    .withColumn("h", _permuted(seed)), "mix-places")
+    open_ = {r.source: (r, None, None) for r in recipes if r.rest >= 1}  # recipe, place passed over, limit
+    while open_:
+        columns = [(r.source, r.blocks, float(r.rest), after is not None, *(after or (None, None, None)), limit) for r, after, limit in open_.values()]
+        own = _by_source(places, columns, "of string, blocks bigint, rest double, later boolean, after_block bigint, after_h bigint, after_id bigint, limit bigint")
+        tried = places.join(own, F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod("h", "blocks"))
+        tried = tried.where(~F.col("later") | (F.struct("block", "h", F.col("doc_id").alias("id")) > F.struct(
+            F.col("after_block").alias("block"), F.col("after_h").alias("h"), F.col("after_id").alias("id"))))
+        tried = tried.where("limit is null or (most > 0 and least <= limit)")
+        # Rows of one id of which only some would fit are passed over as well.
+        tried = tried.withColumn("words", F.expr("if(limit is null or (least > 0 and most <= limit), size, size + limit + 1)"))
+        sums = tried.groupBy("of", "rest", "block").agg(F.sum("words").alias("words"))
+        upto = Window.partitionBy("of").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
+        sums = sums.withColumn("upto", F.sum("words").over(upto))
+        found = {r["of"]: r for r in sums.groupBy("of").agg(
+            F.min(F.when(F.col("upto") > F.col("rest"), F.struct("block", F.expr("upto - words").alias("before")))).alias("at")).collect()}
+        cut, ended = [], [source for source in open_ if source not in found]
+        for source, row in found.items():
+            r, after, limit = open_[source]
+            if row["at"] is None:
+                r.runs.append((after, None, limit))
+                ended.append(source)
+            else:
+                cut.append((source, r.blocks, row["at"]["block"], float(r.rest - row["at"]["before"])))
+        if cut:
+            # Inside the block that the words end in: the last document that fits and the first that does not.
+            own = _by_source(places, cut, "cut_of string, cut_blocks bigint, cut_block bigint, left double")
+            edge = tried.join(own, F.col("of").eqNullSafe(F.col("cut_of")) & (F.col("block") == F.col("cut_block")))
+            order = Window.partitionBy("of").orderBy("h", "doc_id")
+            edge = edge.withColumn("upto", F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            place, fits = F.struct("h", F.col("doc_id").alias("id")), F.col("upto") <= F.col("left")
+            edge = edge.groupBy("of", "cut_block", "left").agg(F.max(F.when(fits, place)).alias("last"), F.max(F.when(fits, F.col("upto"))).alias("words"),
+                                                            F.min(F.when(~fits, place)).alias("next"))
+            for row in edge.collect():
+                r, after, limit = open_[row["of"]]
+                block = row["cut_block"]
+                if limit is None:
+                    r.whole = block
+                if row["last"] is not None or block > (after[0] if after else 0):
+                    r.runs.append((after, (block, *(row["last"] or (None, None))), limit))
+                r.rest = row["left"] - (row["words"] or 0)
+                open_[row["of"]] = (r, (block, *row["next"]), int(r.rest))
+                if r.rest < 1:
+                    ended.append(row["of"])
+        for source in ended:
+            del open_[source]
+
+    quotas = np.array([r.passes * r.blocks + r.whole + bool(r.runs) for r in recipes], np.int64)
     parts = split(quotas, shards, np.random.default_rng(seed))
     for r, column in zip(recipes, np.cumsum(parts, axis=0).T, strict=True):
         r.bounds = column.tolist()
@@ -139,23 +162,26 @@ def _by_source(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(own) if len(rows) <= BROADCAST_SOURCES else own
 
 
-def mix(docs: DataFrame, recipes: list[Recipe], seed: int = SEED) -> DataFrame:
-    """The rows of ``docs(doc_id, source, ...)`` with ``_of`` (their recipe's size and target) and
+def mix(docs: DataFrame, recipes: list[Recipe], size: Column, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs(doc_id, source, ...)``, of ``size`` words each, with ``_of`` (their recipe's size and target) and
     ``_shards``, the shard of each time that they are taken (empty: not at all)."""
-    rows = [(r.source, r.size, r.target, r.blocks, r.passes, r.whole, *(r.cut or (None, None)), r.cut is not None, r.extra, r.bounds)
-            for r in recipes]
-    own = _by_source(
-        docs, rows, "of string, size bigint, target double, blocks bigint, passes bigint, whole bigint, cut_hash bigint, cut_id bigint, "
-              "has_cut boolean, extra array<bigint>, bounds array<bigint>")
+    rows = [(r.source, r.size, r.target, r.blocks, r.passes, r.whole, [(*(after or (None,) * 3), after is not None, *(upto or (None,) * 3), upto is not None, limit)
+             for after, upto, limit in r.runs], r.bounds) for r in recipes]
+    own = _by_source(docs, rows, f"of string, size bigint, target double, blocks bigint, passes bigint, whole bigint, runs array<{RUN}>, bounds array<bigint>")
     out = docs.join(own.select(F.struct("*").alias("_of")), F.col("source").eqNullSafe(F.col("_of.of")), "left")
-    at = F.struct(_permuted(seed).alias("h"), F.col("doc_id").alias("id"))
     block = F.pmod(_permuted(seed), F.col("_of.blocks"))
-    part = ((block < F.col("_of.whole")) | ((block == F.col("_of.whole")) & (
-        (F.col("_of.has_cut") & (at <= F.struct(F.col("_of.cut_hash").alias("h"), F.col("_of.cut_id").alias("id"))))
-        | F.coalesce(F.array_contains("_of.extra", F.col("doc_id")), F.lit(False)))))
+    at = F.struct(block.alias("block"), _permuted(seed).alias("h"), F.col("doc_id").cast("bigint").alias("id"))
+
+    def end(run: Column, name: str) -> Column:
+        return F.struct(run[f"{name}_block"].alias("block"), run[f"{name}_h"].alias("h"), run[f"{name}_id"].alias("id"))
+    # An end of a block alone is the place before its first document.
+    part = let(size, lambda words: F.exists("_of.runs", lambda run: (
+        (~run["has_after"] | (at > end(run, "after"))) & (~run["has_upto"] | (at <= end(run, "upto")))
+        & (run["limit"].isNull() | ((words > 0) & (words <= run["limit"]))))))
     turns = F.when(F.col("_of.passes") > 0, F.sequence(F.lit(0).cast("bigint"), F.col("_of.passes") - 1)).otherwise(F.array().cast("array<bigint>"))
     turns = F.concat(turns, F.when(part, F.array("_of.passes")).otherwise(F.array().cast("array<bigint>")))
-    unit = F.transform(turns, lambda t: t * F.col("_of.blocks") + block)
+    # What the last pass takes beyond the cut is dealt over its units.
+    unit = F.transform(turns, lambda t: t * F.col("_of.blocks") + F.when(t < F.col("_of.passes"), block).otherwise(F.pmod(block, F.col("_of.whole") + 1)))
     return out.withColumn("_shards", F.transform(unit, lambda u: F.size(F.filter("_of.bounds", lambda b: b <= u))))
 
 
@@ -170,7 +196,7 @@ def taken(docs: DataFrame, **options) -> DataFrame:
     Null texts have no words; the null source is a source of its own, the last. Sources without
     words have target 0. Rows that repeat an id are taken alike. No rows give no rows."""
     sized = sizes(docs)
-    mixed = mix(sized, plan(sized, **options), options.get("seed", SEED))
+    mixed = mix(sized, plan(sized, **options), F.col("size"), options.get("seed", SEED))
     return mixed.select("doc_id", "size", F.col("_of.size").alias("source_size"), F.col("_of.target").alias("target"),
                         (F.col("size") * F.size("_shards")).alias("taken"), F.col("_shards").alias("shards"))
 
@@ -182,7 +208,7 @@ def mixture(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **options)
     recipes = plan(sizes(docs), shards=shards, seed=seed, **options)
     pieces = max(1, -(-int(sum(r.target for r in recipes)) // (shards * PIECE_WORDS)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = mix(docs, recipes, seed).select(*columns, F.posexplode("_shards").alias("_turn", "_shard"))
+    rows = mix(docs, recipes, size_of(text_of()), seed).select(*columns, F.posexplode("_shards").alias("_turn", "_shard"))
     rows = rows.withColumn("_order", F.xxhash64(F.lit(seed + 1), "_turn", "doc_id"))
     rows = rows.withColumn("_piece", F.pmod(F.xxhash64("_order"), F.lit(pieces)))
     return (rows.repartition(shards * pieces, "_shard", "_piece").sortWithinPartitions("_shard", "_piece", "_order", "doc_id")

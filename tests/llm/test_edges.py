@@ -177,6 +177,27 @@ def test_mixing(spark, odd, none):
     assert mixed.columns == odd.columns and mixed.count() == sum(len(r["shards"]) for r in got)
 
 
+def test_each_source_meets_its_target(spark):
+    """One document of far more words than the others, some repeated ids: what it would have brought is taken from others."""
+    rows = [(i, "word " * (20_000 if i == 500 else 40 + i % 3), "long") for i in range(501)]
+    rows += [(1000 + i, "word " * (i % 90), f"s{i % 2}") for i in range(400)] + [(2000, "word " * n, "s0") for n in (5, 70, 300)] + [(None, "word " * 9, "s1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    for seed in range(2):
+        taken, target, of, sizes = {}, {}, {}, {}
+        for r in mixing.taken(docs, seed=seed, share=0.5, weights=(1,)).collect():
+            of.setdefault(r["doc_id"], set()).add(len(r["shards"]))
+            source = "long" if r["doc_id"] is not None and r["doc_id"] <= 500 else "s1" if r["doc_id"] is None else f"s{r['doc_id'] % 2}"
+            taken[source] = taken.get(source, 0) + r["taken"]
+            target[source] = r["target"]
+            sizes[source] = sizes.get(source, 0) + r["size"]
+        assert all(len(x) == 1 for x in of.values())
+        for source in target:
+            miss = target[source] - taken[source]
+            assert 0 <= miss <= max(42, 0.001 * target[source]), (seed, source)
+        assert mixing.mixture(docs, seed=seed, share=0.5, weights=(1,)).count() == sum(
+            len(r["shards"]) for r in mixing.taken(docs, seed=seed, share=0.5, weights=(1,)).collect())
+
+
 def test_targets_and_tree():
     assert mixing.targets([10, 10, 10], [5, 2, 1]) == pytest.approx([20, 50 / 3, 25 / 3])
     assert mixing.targets([0, 4], [5, 2]) == [0.0, 6.0] and mixing.targets([], []) == []
