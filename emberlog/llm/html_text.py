@@ -1,11 +1,12 @@
 """Main text of web pages by differencing each with the page of the nearest URL.
 
 Pages become lines, one per block. Within each host the pages are put in the order of their paths,
-where the path with which a page shares most of its beginning is always next to it; the lines of
-the two are aligned by their longest common subsequence, and shared lines are deleted. Two exact
-checks guard that: lines of the article itself stay even if the neighbour has them too (copies of
-a page, quoted passages), and lines of menus, adverts and the like go even if the neighbour's
-differ. Where a page marks no article, differencing alone decides about the lines outside menus.
+where the path with which a page shares most of its beginning is always next to it; copies of the
+page are passed over. The lines of the two are aligned by their longest common subsequence, and
+shared lines are deleted. Checks guard that: a shared line of the article itself is a quotation and
+stays; lines of menus, adverts and the like go even
+if the neighbour's differ, and so do lines outside the article of a page that marks one. Where
+a page marks none, differencing alone decides about the lines outside menus.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from emberlog.llm import lcs
-from emberlog.llm.common import stored, text_of
+from emberlog.llm.common import let, stored, text_of
 from emberlog.llm.urls import host_of, path_of
 
 # Elements of the HTML standard by what they mean here.
@@ -40,6 +41,9 @@ ASIDE_NAMES = frozenset(
 #: Kinds of lines.
 IN_ARTICLE, BESIDE, OPEN = 0, 1, 2
 
+#: Share of the article's lines from which pages are near copies.
+COPY_SHARE = 0.9
+
 LINES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()),
                    ("hashes", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8()))])
 ROW = "struct<page_id:bigint,host:string,path:string,hashes:array<bigint>>"
@@ -117,7 +121,7 @@ def lines_of(html: str) -> list[tuple[str, int]]:
 
 
 def kept_lines(lines: list[tuple[str, int]], shared: list[int] | None) -> list[str]:
-    """What remains once the lines shared with the neighbour are deleted and both checks are made."""
+    """What remains once the lines shared with the neighbour are deleted and the checks are made."""
     deleted = set() if shared is None else set(np.asarray(shared).tolist())
     has_article = any(kind == IN_ARTICLE for _, kind in lines)
     return [line for i, (line, kind) in enumerate(lines)
@@ -143,27 +147,58 @@ def _own(pages: DataFrame) -> DataFrame:
                         host_of(url).alias("host"), path_of(url).alias("path"), html.alias("html"), url.alias("url"))
 
 
+def _copies(a: Column, b: Column) -> Column:
+    """Whether two pages are copies: nearly the same article or, of pages that mark none, the same lines.
+    Lines of menus and the like do not count. Pages without a mark that differ in one line are no
+    copies: it may be the whole story, the rest the site's."""
+    def core(x: Column, kind: int) -> Column:
+        return F.array_distinct(F.filter(x["hashes"], lambda h, i: F.get(x["kinds"], i) == kind))
+
+    def alike(kind: int, share: float) -> Column:
+        return let(F.struct(core(a, kind).alias("a"), core(b, kind).alias("b")), lambda c: (F.size(c["a"]) > 0) & (
+            F.size(F.array_intersect(c["a"], c["b"])) >= share * F.greatest(F.size(c["a"]), F.size(c["b"]))))
+    marked = [F.array_contains(x["kinds"], IN_ARTICLE) for x in (a, b)]
+    same = (a["hashes"] == b["hashes"]) | alike(IN_ARTICLE, COPY_SHARE) | ~marked[0] & ~marked[1] & alike(OPEN, 1.0)
+    return F.coalesce((a["host"] == b["host"]) & same, F.lit(False))
+
+
 def neighbours(lines: DataFrame) -> DataFrame:
     """``lines(k1, k2, page_id, host, path, hashes, kinds)`` with the rows ``before`` and ``after`` in the
-    order of host, path and page_id (null at the ends of a host).
+    order of host, path and page_id (null at the ends of a host), copies next to one another
+    passed over; ``leads`` marks one row of every such run of copies.
 
     Rows are cut into even slices of that order; next to a slice's ends stand the end rows of the
-    slices around it, of which there is one pair per slice."""
+    slices around it, of which there is one pair per slice, and the rows where their runs begin and end."""
     order = ["host", "path", "page_id", "k1", "k2"]
     n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = stored(lines.repartitionByRange(n, *order).withColumn("slice", F.spark_partition_id()), "page-order")
-    row = F.struct("page_id", "host", "path", "hashes")
-    place = F.struct(*order)
-    ends = cut.groupBy("slice").agg(F.min_by(row, place).alias("first"), F.max_by(row, place).alias("last"))
-    around = Window.partitionBy(F.lit(0)).orderBy("slice")  # one row per slice
-    ends = ends.select("slice", F.lag("last").over(around).alias("last_before"), F.lead("first").over(around).alias("first_after"))
+    row, place = F.struct("page_id", "host", "path", "hashes", "kinds"), F.struct(*order)
+
+    def last(c: Column, window) -> Column:
+        return F.last(c, ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, 0))
     inside = Window.partitionBy("slice").orderBy(*order)
-    found = (cut.withColumn("before", F.lag(row).over(inside)).withColumn("after", F.lead(row).over(inside)).join(ends, "slice")
-             .withColumn("before", F.coalesce("before", "last_before")).withColumn("after", F.coalesce("after", "first_after")))
+    back = Window.partitionBy("slice").orderBy(*(F.col(c).desc() for c in order))
+    run = cut.withColumn("row", row).withColumn("above", F.lag("row").over(inside))
+    run = run.withColumn("leads", F.col("above").isNull() | ~_copies(F.col("row"), F.col("above")))
+    run = run.withColumn("before", last(F.when(F.col("leads"), F.col("above")), inside))
+    run = run.withColumn("below", F.lag("row").over(back)).withColumn("ends", F.lag("leads").over(back))
+    run = run.withColumn("after", last(F.when(F.col("ends"), F.col("below")), back)).drop("above", "below", "ends")
+    ends = run.groupBy("slice").agg(F.min_by("row", place).alias("first"), F.max_by("row", place).alias("last"),
+                                    F.max_by("before", place).alias("before_last"), F.min_by("after", place).alias("after_first"))
+    down, up = Window.partitionBy(F.lit(0)).orderBy("slice"), Window.partitionBy(F.lit(0)).orderBy(F.desc("slice"))  # one row per slice
+    ends = ends.withColumn("above", F.lag(F.struct("last", "before_last")).over(down)).withColumn("below", F.lag(F.struct("first", "after_first")).over(up))
+    ends = ends.withColumn("goes_on", _copies(F.col("first"), F.col("above.last")))
+    # Where a run goes on from the slice above, what stands before it there; if it fills that slice, what stands before that one.
+    ends = ends.withColumn("before_slice", last(F.when(F.col("goes_on"), F.col("above.before_last")).otherwise(F.col("above.last")), down))
+    ends = ends.withColumn("after_slice", last(F.when(_copies(F.col("last"), F.col("below.first")), F.col("below.after_first"))
+                                               .otherwise(F.col("below.first")), up))
+    found = run.join(ends.select("slice", "before_slice", "after_slice", "goes_on"), "slice")
+    leads = F.col("leads") & ~(F.col("goes_on") & F.col("before").isNull())
 
     def same_host(c: str) -> Column:
         return F.when(F.col(f"{c}.host") == F.col("host"), F.col(c)).alias(c)
-    return found.select("k1", "k2", "path", "hashes", "kinds", same_host("before"), same_host("after"))
+    found = found.withColumn("leads", leads).withColumn("before", F.coalesce("before", "before_slice")).withColumn("after", F.coalesce("after", "after_slice"))
+    return found.select("k1", "k2", "host", "path", "hashes", "kinds", "leads", same_host("before"), same_host("after"))
 
 
 @F.pandas_udf(T.StructType([T.StructField("shared", T.ArrayType(T.IntegerType())), T.StructField("nearest", T.LongType())]))

@@ -259,6 +259,18 @@ def test_neighbours_share_menus(spark):
     assert all(got[i] == f"Story {i}" for i in range(60)) and got[100] == "Menu of the site\nAlone"
 
 
+def test_copies_keep_their_text(spark, odd_pages):
+    assert [r["text"] for r in html_text.extract(odd_pages).collect() if r["page_id"] == 4] == ["three", "three"]
+    rows = [(i, f"http://h.org/a/{i:04}", f"<div>Menu of the site</div><p>Story {i}</p><div>Imprint</div>") for i in range(20)]
+    story = "<div>Menu of the site</div><p>Long story</p><p>More of it</p><div>Imprint</div>"
+    rows += [(100 + i, f"http://h.org/a/0007/c?print={i}", story) for i in range(40)]
+    rows += [(200 + i, f"http://h.org/a/0009/d?v={i}", story.replace("Long", "Other") + f"<footer>Printed {i}</footer>") for i in range(3)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)).collect()}
+    assert all(got[i] == f"Story {i}" for i in range(20))
+    assert all(got[100 + i] == "Long story\nMore of it" for i in range(40))
+    assert all(got[200 + i] == "Other story\nMore of it" for i in range(3))
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 6])
 def test_longest_common_subsequence(monkeypatch, cells):
     monkeypatch.setattr(lcs, "CELLS", cells)
