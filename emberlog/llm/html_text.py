@@ -4,7 +4,7 @@ Pages become lines, one per block. Within each host the pages are put in the ord
 where the path with which a page shares most of its beginning is always next to it; copies of the
 page are passed over. The lines of the two are aligned by their longest common subsequence, and
 shared lines are deleted. Checks guard that: a shared line of the article itself is a quotation and
-stays; lines of menus, adverts and the like go even
+stays, unless over half of the host's pages share it; lines of menus, adverts and the like go even
 if the neighbour's differ, and so do lines outside the article of a page that marks one. Where
 a page marks none, differencing alone decides about the lines outside menus.
 """
@@ -43,6 +43,8 @@ IN_ARTICLE, BESIDE, OPEN = 0, 1, 2
 
 #: Share of the article's lines from which pages are near copies.
 COPY_SHARE = 0.9
+#: Pages of a host that must share a line before it can be one that the site repeats.
+SITE_PAGES = 4
 
 LINES = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("page_id", pa.int64()), ("host", pa.string()), ("path", pa.string()),
                    ("hashes", pa.list_(pa.int64())), ("kinds", pa.list_(pa.int8()))])
@@ -120,12 +122,13 @@ def lines_of(html: str) -> list[tuple[str, int]]:
     return parser.lines
 
 
-def kept_lines(lines: list[tuple[str, int]], shared: list[int] | None) -> list[str]:
-    """What remains once the lines shared with the neighbour are deleted and the checks are made."""
-    deleted = set() if shared is None else set(np.asarray(shared).tolist())
+def kept_lines(lines: list[tuple[str, int]], shared: list[int] | None, of_site: list[int] | None = None) -> list[str]:
+    """What remains once the lines shared with the neighbour are deleted and the checks are made; ``of_site``
+    are those of them that most pages of the site share."""
+    deleted, of_site = (set() if x is None else set(np.asarray(x).tolist()) for x in (shared, of_site))
     has_article = any(kind == IN_ARTICLE for _, kind in lines)
     return [line for i, (line, kind) in enumerate(lines)
-            if kind == IN_ARTICLE or kind == OPEN and not has_article and i not in deleted]
+            if kind == IN_ARTICLE and i not in of_site or kind == OPEN and not has_article and i not in deleted]
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +204,16 @@ def neighbours(lines: DataFrame) -> DataFrame:
     return found.select("k1", "k2", "host", "path", "hashes", "kinds", "leads", same_host("before"), same_host("after"))
 
 
+def of_the_site(shared: DataFrame) -> DataFrame:
+    """``host, site_lines``: hashes of the lines that a site repeats inside its articles: those that over half
+    of the host's pages, and at least SITE_PAGES, share with their neighbours. Copies count once."""
+    own = shared.where("leads")
+    pages = own.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    lines = own.select("host", F.explode(F.array_distinct("quoted")).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n"))
+    often = lines.where(F.col("n") >= SITE_PAGES).join(pages, "host").where("2 * n > pages")
+    return often.groupBy("host").agg(F.collect_list("line").alias("site_lines"))  # at most twice the lines of a mean page
+
+
 @F.pandas_udf(T.StructType([T.StructField("shared", T.ArrayType(T.IntegerType())), T.StructField("nearest", T.LongType())]))
 def _differenced(path: pd.Series, hashes: pd.Series, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
     def common(a: str, b: str) -> int:
@@ -218,11 +231,11 @@ def _differenced(path: pd.Series, hashes: pd.Series, before: pd.DataFrame, after
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()),
                             T.StructField("n_shared", T.LongType())]))
-def _text(html: pd.Series, shared: pd.Series) -> pd.DataFrame:
+def _text(html: pd.Series, shared: pd.Series, of_site: pd.Series) -> pd.DataFrame:
     rows = []
-    for page, own in zip(html, shared, strict=True):
+    for page, own, often in zip(html, shared, of_site, strict=True):
         lines = lines_of(page)
-        rows.append(("\n".join(kept_lines(lines, own)), len(lines), 0 if own is None else len(own)))
+        rows.append(("\n".join(kept_lines(lines, own, often)), len(lines), 0 if own is None else len(own)))
     return pd.DataFrame(rows, columns=["text", "n_lines", "n_shared"])
 
 
@@ -235,7 +248,12 @@ def extract(pages: DataFrame) -> DataFrame:
     own = _own(pages)
     lines = stored(own.select("k1", "k2", "page_id", "host", "path", "html").mapInArrow(
         _hashes, "k1 bigint, k2 bigint, page_id bigint, host string, path string, hashes array<bigint>, kinds array<tinyint>"), "page-lines")
-    found = neighbours(lines).select("k1", "k2", _differenced("path", "hashes", "before", "after").alias("d"))
-    shared = found.select("k1", "k2", "d.shared", "d.nearest").dropDuplicates(["k1", "k2"])
-    joined = own.join(shared.hint("shuffle_hash"), ["k1", "k2"], "left").select("page_id", "url", "nearest", _text("html", "shared").alias("t"))
+    found = neighbours(lines).select("k1", "k2", "host", "leads", "hashes", "kinds", _differenced("path", "hashes", "before", "after").alias("d"))
+    place = F.filter("d.shared", lambda i: F.get("kinds", i) == IN_ARTICLE)
+    found = stored(found.select("k1", "k2", "host", "leads", "d.shared", "d.nearest", place.alias("places"),
+                                F.transform(place, lambda i: F.get("hashes", i)).alias("quoted")), "page-shared")
+    found = found.join(stored(of_the_site(found), "site-lines"), "host", "left")
+    of_site = F.transform(F.filter(F.arrays_zip("places", "quoted"), lambda p: F.array_contains("site_lines", p["quoted"])), lambda p: p["places"])
+    shared = found.select("k1", "k2", "shared", "nearest", of_site.alias("of_site")).dropDuplicates(["k1", "k2"])
+    joined = own.join(shared.hint("shuffle_hash"), ["k1", "k2"], "left").select("page_id", "url", "nearest", _text("html", "shared", "of_site").alias("t"))
     return joined.select("page_id", "url", "t.text", F.length("t.text").cast("bigint").alias("n_chars"), "t.n_lines", "t.n_shared", "nearest")

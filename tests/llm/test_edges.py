@@ -271,6 +271,13 @@ def test_copies_keep_their_text(spark, odd_pages):
     assert all(got[200 + i] == "Other story\nMore of it" for i in range(3))
 
 
+def test_lines_that_a_site_repeats_inside_its_articles_go(spark):
+    rows = [(i, f"http://h.org/a/{i:04}", f"<article><h1>Title {i}</h1><div class=xyz>Rate this text</div><p>Story {i}</p><p>As they said</p></article>"
+             if i in (5, 6) else f"<article><h1>Title {i}</h1><div class=xyz>Rate this text</div><p>Story {i}</p></article>") for i in range(30)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nStory {i}" + ("\nAs they said" if i in (5, 6) else "") for i in range(30)}
+
+
 @pytest.mark.parametrize("cells", [4_000_000, 6])
 def test_longest_common_subsequence(monkeypatch, cells):
     monkeypatch.setattr(lcs, "CELLS", cells)
