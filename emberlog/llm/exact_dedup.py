@@ -111,5 +111,7 @@ def _apart(docs: DataFrame, digest: Callable[[Column], Column], clashes: DataFra
 
 def keep_first(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """The rows of ``docs`` that :func:`deduplicate` keeps, all columns kept."""
-    dropped = deduplicate(docs, files_per_batch=files_per_batch).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = deduplicate(docs, files_per_batch=files_per_batch).where("not kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    # An id alone may stand on rows with other texts, and a null id on any.
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (sha256(normalised(text_of())) == F.col("_digest"))
+    return docs.join(dropped, same, "left_anti")

@@ -73,6 +73,12 @@ def test_exact_dedup(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 1, 2, 5, 8, 8]
 
 
+def test_rows_go_by_id_and_text(spark):
+    rows = [(3, "a"), (5, "a"), (5, "b"), (None, "a"), (None, "c")]
+    got = exact_dedup.keep_first(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(3, "a"), (5, "b"), (None, "c")]))
+
+
 def test_equal_digests_of_different_texts_are_told_apart(spark, odd):
     got = exact_dedup.deduplicate(odd.where("doc_id is not null"), digest=lambda t: F.lit("same")).collect()
     assert {(r["doc_id"], r["keep_id"]) for r in got} == {(1, 1), (4, 1), (2, 2), (3, 2), (5, 5), (7, 5), (8, 8)}
