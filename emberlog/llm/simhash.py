@@ -108,23 +108,37 @@ def near_pairs(leaves: DataFrame, budget: int = 2) -> DataFrame:
     return reduce(DataFrame.union, found)
 
 
+def _named(prints: DataFrame, budget: int) -> DataFrame:
+    """``fp, component, component_id`` of every fingerprint; ``component`` is the least fingerprint of its group."""
+    leaves = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-leaves")
+    parts = components(near_pairs(leaves.select("fp"), budget))
+    named = leaves.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
 def groups(prints: DataFrame, budget: int = 2) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``prints(doc_id, fp)``.
 
     Rows with the same fingerprint are linked, and so are those whose fingerprints differ in at
     most ``budget`` bits; ``component_id`` is the smallest ``doc_id`` that links lead to. Null
     ids take part and get the group's id (null if it has no other)."""
-    leaves = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-leaves")
-    parts = components(near_pairs(leaves.select("fp"), budget))
-    named = leaves.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(least, "component").select("fp", "component_id")
-    return prints.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(_named(prints, budget), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, budget: int = 2) -> DataFrame:
     """The rows of ``docs`` with the smallest ``doc_id`` of their group of near-duplicates, all
-    columns kept. Rows of one id stay or go together; rows without an id stay."""
-    prints = stored(fingerprints(docs), "simhash-prints")
-    dropped = groups(prints, budget).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    columns kept.
+
+    Rows are told apart by id and text, so an id on two texts may lose one of them. Of several texts
+    of the smallest id in one group that with the least fingerprint stays (of equal ones that with
+    the least hash); so it is among rows without an id in a group that has no id. Rows equal in both stay or go together."""
+    text_hash = F.xxhash64(text_of())
+    prints = stored(docs.select("doc_id", text_hash.alias("text_hash"), _fingerprints(text_of()).alias("fp")), "simhash-prints")
+    rows = prints.join(_named(prints, budget), "fp")
+    best = (rows.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component")
+            .agg(F.min(F.struct("fp", "text_hash")).alias("best")))
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.struct("fp", "text_hash") == F.col("best"))
+    dropped = rows.join(best, "component").where(~stays).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (text_hash == F.col("_hash"))
+    return docs.join(dropped, same, "left_anti")

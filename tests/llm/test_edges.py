@@ -90,6 +90,14 @@ def test_state_carries_over_batches(spark, tmp_path):
     assert {(r["keep_id"], r["group_size"]) for r in got} == {(0, 40)} and sum(r["kept"] for r in got) == 1
 
 
+def test_one_near_duplicate_stays_by_id_and_text(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "zz yy xx ww vv uu"), (None, "a b c d e f"), (None, "nobody has this text"), (9, "k l m n"), (9, "K L M N"),
+            (None, "n o o n e"), (None, "N O O N E")]
+    got = [tuple(r) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len([r for r in got if r[0] == 9]) == 1 and len([r for r in got if r[1].lower() == "n o o n e"]) == 1
+    assert {r for r in got if r[0] != 9 and r[1].lower() != "n o o n e"} == {(3, "a b c d e f"), (5, "zz yy xx ww vv uu"), (None, "nobody has this text")}
+
+
 def test_simhash(spark, odd, none):
     prints = simhash.fingerprints(odd)
     got = {(r["doc_id"], r["component_id"]) for r in simhash.groups(prints).collect()}
