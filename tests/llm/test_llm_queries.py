@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 def con():
     import duckdb
     con = duckdb.connect()
-    for name in ("documents", "pages", "labels"):
+    for name in ("documents", "pages", "labels", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     return con
 
@@ -146,3 +146,43 @@ def test_simhash_groups(spark, docs):
                 root[y] = x
     got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows(spark, "op10_simhash")}
     assert got == {d: (format(prints[d], "016x"), find(d)) for d in prints}
+
+
+def test_spelling_variants(spark, docs):
+    upper = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    n = Counter()
+    for doc_id, text, _ in docs:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = run.translate(upper)
+            h = zlib.crc32(f"{doc_id}:{run}".encode())
+            if h % 31 == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1:]
+            n[run] += 1
+    words = {w: k for w, k in n.items() if len(w) >= 7 and k >= 2}
+    # Words one edit apart share a word or a gap that lost one code point.
+    near = {w: set() for w in words}
+    holes, cut = {}, {}
+    for w in words:
+        for i in range(len(w)):
+            holes.setdefault((w[:i], w[i + 1:]), set()).add(w)
+            cut.setdefault(w[:i] + w[i + 1:], set()).add(w)
+    for group in holes.values():
+        for w in group:
+            near[w] |= group - {w}
+    for w in words:
+        for longer in cut.get(w, ()):
+            near[w].add(longer)
+            near[longer].add(w)
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda o: (-words[o], o), default=None)
+        form[w] = best if best is not None and words[best] >= 10 * words[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+    want = {(w, form[w], root(w), k, len(near[w]), words.get(form[w])) for w, k in words.items()}
+    got = [(r["word"], r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in rows(spark, "op12_spelling")]
+    assert len(got) == len(want) and set(got) == want and any(f for _, f, *_ in got)
