@@ -9,15 +9,21 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from emberlog.functions.labels import service_label
 from emberlog.functions.messages import is_error_once
 from emberlog.functions.regex import BOUNDARY
-from emberlog.operators.ordering import broadcast_if_small
+from emberlog.operators.ordering import at_places, first_places, kept, with_first
 
 # Fixed values.
 WINDOW_SECONDS = 10
 MAX_LAG = 5
 MIN_CONFIDENCE = 0.5
-# Services per part of a bucket when a bucket is split.
+# Source rows per part of a bucket when a bucket is split.
 SPLIT_SERVICES = 1000
 CHRONOLOGICAL = ("file", "line_no")
+# Classes of services by how many times their squares exceed what varies in them: class c up to 2**((c + 0.1) / 2)
+# times. The last is for more, and for those in which nothing may vary.
+FLAT = 61
+# Bounds in floating point are widened by this part.
+SLACK = 1e-9
+EXACT = "decimal(38,0)"
 
 
 def mentions_service(msg: Column, service: Column) -> Column:
@@ -33,87 +39,163 @@ def cascade_pattern(lag: Column, window: Column, source: Column, target: Column,
             .when(F.coalesce(mentioned, F.lit(False)), "cascade_timeout").otherwise("cascade_error"))
 
 
-def service_error_buckets(logs: DataFrame, window_s: int = WINDOW_SECONDS,
-                          order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
-    """Errors per service and time bucket, with the first message of the bucket and its place."""
-    place = F.struct(*order)
+def _errors(logs: DataFrame, window_s: int) -> DataFrame:
     return (logs.where(is_error_once(F.col("msg")))
-            .withColumn("service", service_label(F.col("labels")))
-            .where("service is not null")
-            .groupBy("service", F.floor(F.unix_seconds("ts") / window_s).alias("bucket"))
-            .agg(F.count(F.lit(1)).alias("errors"),
-                 F.min(place).alias("first_place"), F.min_by("msg", place).alias("first_error")))
+            .withColumns({"service": service_label(F.col("labels")), "bucket": F.floor(F.unix_seconds("ts") / window_s)})
+            .where("service is not null"))
 
 
-def service_profiles(buckets: DataFrame) -> DataFrame:
-    """One row per service: bucket range, sum and sum of squares of its counts, first message."""
-    n = F.col("errors").cast("decimal(20,0)")
-    return buckets.groupBy("service").agg(
-        F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.sum(n).alias("s"), F.sum(n * n).alias("ss"),
-        F.min_by("first_error", "first_place").alias("first_error"))
+def bucket_places(logs: DataFrame, window_s: int = WINDOW_SECONDS, order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
+    """Errors per service and time bucket, and the place of the first; one hash aggregation, written once."""
+    return kept(first_places(_errors(logs, window_s), ["service", "bucket"], order, "errors"), "error-buckets")
 
 
-def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MAX_LAG,
-              min_confidence: float = MIN_CONFIDENCE, order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
-    """Pairs of services whose error counts correlate, the source leading by 0..max_lag buckets.
+def service_error_buckets(logs: DataFrame, window_s: int = WINDOW_SECONDS,
+                          order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
+    """Errors per service and time bucket, with the first message of the bucket."""
+    places = bucket_places(logs, window_s, order)
+    few = _errors(at_places(logs, places, order), window_s)
+    return with_first(places, few, ["service", "bucket"], order, {"first_error": "msg"}).select("service", "bucket", "errors", "first_error")
 
-    A pair can only score above zero if some source bucket meets a target bucket at that
-    lag, so pairs come from an equi-join of the bucket counts (never from a cross join of
-    services, and never with empty buckets filled in). Sums over the part of the range
-    that a lag cuts off are corrected with the few buckets at the cut."""
-    buckets = service_error_buckets(logs, window_s, order)
-    # The bucket counts are small next to the logs but are used several times.
-    buckets = buckets.select("service", "bucket", F.col("errors").cast("decimal(20,0)").alias("errors"),
-                             "first_place", "first_error").persist()
-    counts = buckets.select("service", "bucket", "errors")
-    # One row per service: range, totals, first error. Running it also fills the kept buckets.
-    services = broadcast_if_small(logs.sparkSession, service_profiles(buckets))
 
-    # A bucket in which very many services fail at once is split: its sources are dealt out
-    # to parts, its targets are copied to each part.
-    crowded = (counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT_SERVICES)
-               .select("bucket", F.ceil(F.col("_n") / SPLIT_SERVICES).cast("int").alias("_parts")))
-    crowded = broadcast_if_small(logs.sparkSession, crowded)
-    parts = F.coalesce("_parts", F.lit(1))
-    sources = counts.select(F.col("service").alias("source"), F.col("errors").alias("_x"),
-                            F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "bucket")
-    sources = (sources.withColumn("bucket", F.col("bucket") + F.col("lag")).join(crowded, "bucket", "left")
-               .withColumn("part", F.pmod(F.xxhash64("source"), parts).cast("int")).drop("_parts"))
-    targets = (counts.join(crowded, "bucket", "left")
-               .select("bucket", F.col("service").alias("target"), F.col("errors").alias("_y"),
-                       F.explode(F.sequence(F.lit(0), parts - 1)).alias("part")))
-    products = (sources.join(targets, ["bucket", "part"])
-                .where("source <> target")
-                .groupBy("source", "target", "lag")
-                .agg(F.sum(F.col("_x") * F.col("_y")).cast("decimal(38,0)").alias("sxy")))
-
-    # A lag cuts buckets off the end of the source and the start of the target; those are at
-    # most max_lag buckets of a service, at either end.
+def service_profiles(counts: DataFrame, max_lag: int) -> DataFrame:
+    """One row per service: bucket range, sum and sum of squares of its counts, the buckets at its ends,
+    and what varies at least in it as a source and as a target.
+
+    A lag cuts buckets off the end of the source and the start of the target, at most ``max_lag``
+    of a service. Over a period of m buckets a service's counts vary by ``ss - s*s/m``; m is at least the
+    service's own range, less what is cut off."""
+    n = F.col("errors")
+    sums = counts.groupBy("service").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"),
+                                         F.sum(n).cast(EXACT).alias("s"), F.sum(n * n).cast(EXACT).alias("ss"))
+
     def near(condition):
         return F.array_sort(F.collect_list(F.when(condition, F.struct("bucket", "errors"))))
 
     in_tail, in_head = F.col("bucket") > F.col("hi") - max_lag, F.col("bucket") < F.col("lo") + max_lag
-    ends = (counts.join(services.select("service", "lo", "hi"), "service").where(in_tail | in_head)
+    ends = (counts.join(sums.select("service", "lo", "hi"), "service").where(in_tail | in_head)
             .groupBy("service").agg(near(in_tail).alias("tail"), near(in_head).alias("head")))
 
-    def side(prefix):
-        names = {"service": prefix, **{c: f"{prefix}_{c}" for c in ("lo", "hi", "s", "ss", "first_error")}}
-        return services.select(*[F.col(c).alias(n) for c, n in names.items()])
-
-    pairs = (products.join(side("source"), "source").join(side("target"), "target")
-             .join(ends.select(F.col("service").alias("source"), "tail"), "source")
-             .join(ends.select(F.col("service").alias("target"), "head"), "target")
-             .withColumn("lo", F.least("source_lo", "target_lo"))
-             .withColumn("hi", F.greatest("source_hi", "target_hi"))
-             .withColumn("m", F.col("hi") - F.col("lo") + 1 - F.col("lag"))
-             .where("m > 0"))
-
-    def kept(column, ends_column, cut, power):
-        """A side's sum (of squares) without the buckets that ``cut`` selects."""
-        lost = F.aggregate(
-            F.filter(ends_column, cut), F.lit(0).cast("decimal(38,0)"),
-            lambda acc, e: (acc + (e["errors"] if power == 1 else e["errors"] * e["errors"])).cast("decimal(38,0)"))
-        return (F.col(column) - lost).cast("decimal(38,0)")
+    def varies(ends_column, is_cut):
+        """The least of what varies, over all numbers of buckets that may be cut off."""
+        def after(cut):
+            s = _less(F.col("s"), ends_column, lambda e: is_cut(e, cut), 1)
+            ss = _less(F.col("ss"), ends_column, lambda e: is_cut(e, cut), 2)
+            span = (F.col("hi") - F.col("lo") + 1 - cut).cast(EXACT)
+            return F.when(span > 0, (span * ss - s * s).cast("double") / span.cast("double")).otherwise(0.0)
+        return F.array_min(F.array(*[after(cut) for cut in range(max_lag + 1)]))
+
+    return sums.join(ends, "service").withColumns({
+        "x_varies": varies("tail", lambda e, cut: e["bucket"] > F.col("hi") - cut),
+        "y_varies": varies("head", lambda e, cut: e["bucket"] < F.col("lo") + cut)})
+
+
+def _less(total: Column, ends_column: str, is_cut, power: int) -> Column:
+    """A service's sum (of squares) without the buckets at its end that are cut off."""
+    lost = F.aggregate(F.filter(ends_column, is_cut), F.lit(0).cast(EXACT),
+                       lambda acc, e: (acc + (e["errors"] if power == 1 else e["errors"] * e["errors"])).cast(EXACT))
+    return (total - lost).cast(EXACT)
+
+
+def _class_of(varies: Column) -> Column:
+    ratio = F.log2(F.col("ss").cast("double") / varies)
+    return F.when(varies > 0, F.least(F.ceil(2 * (ratio + SLACK) - 0.1), F.lit(FLAT))).otherwise(FLAT).cast("int")
+
+
+def _prefix_rows(rows: DataFrame, group: Sequence[str], varies: str, threshold: float, partners: Sequence[int]) -> DataFrame:
+    """The rows of a service by class of ``partner`` for which its bucket can still lift a pair over the
+    threshold; ``below`` is the energy of its more common buckets.
+
+    Buckets are taken from the most common to the rarest. As long as all so far together, at the greatest
+    length of a partner, stay below the threshold, they need not be looked up: a pair that gets over
+    it also meets in a rarer one."""
+    upto = Window.partitionBy(*group).orderBy(F.desc("common"), F.desc("bucket")).rowsBetween(Window.unboundedPreceding, 0)
+    n = F.col("errors").cast("double")
+    energy = F.sum(n * n).over(upto)
+    # Of squares: energy * 2**((class + 0.1) / 2) > threshold**2 * varies.
+    need = F.floor(2 * F.log2(F.lit(threshold * threshold) * F.col(varies) * (1 - SLACK) / (F.col("energy") * (1 + SLACK))) - 0.1)
+    need = F.when((F.col(varies) > 0) & F.lit(threshold > 0), need).otherwise(0)
+    open_to = F.filter(F.array(*map(F.lit, partners)), lambda c: (c >= F.col("need")) | (c == FLAT))
+    return (rows.withColumn("energy", energy).withColumn("need", need).withColumn("partner", F.explode(open_to))
+            .withColumn("below", F.greatest(F.col("energy") - n * n, F.lit(0.0))))
+
+
+def meetings(counts: DataFrame, profiles: DataFrame, max_lag: int = MAX_LAG, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """A row ``source, target, lag, ...`` for every bucket in whose prefix rows a pair meets that may correlate by more
+    than ``min_confidence``.
+
+    A correlation is at most the product of the counts over what varies in either service. So this is a
+    similarity join with a bound, and has a prefix filter: with all buckets in one order of rarity, a
+    pair over the bound shares a bucket in the prefix of both. The prefix depends on how
+    long a partner can be, of which there are a few classes; source and target meet by bucket and both classes."""
+    classed = kept(profiles.select("service", "x_varies", "y_varies", _class_of(F.col("x_varies")).alias("x_class"),
+                                   _class_of(F.col("y_varies")).alias("y_class")), "correlation-classes")
+    present = classed.select("x_class", "y_class").distinct().collect()  # at most 62 by 62
+    x_classes, y_classes = (sorted({r[c] for r in present}) for c in ("x_class", "y_class"))
+    common = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("common"))
+    threshold = max(min_confidence, 0.0)
+
+    sources = counts.join(classed.select("service", "x_varies", "x_class"), "service").select(
+        "service", "x_varies", "x_class", "errors", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "bucket")
+    # A bucket without targets can lift no pair.
+    sources = sources.withColumn("bucket", F.col("bucket") + F.col("lag")).join(common, "bucket")
+    sources = _prefix_rows(sources, ["service", "lag"], "x_varies", threshold, y_classes)
+    x, y = ([F.col("errors").cast("double").alias(side), F.col("below").alias(f"{side}_below"), f"{side}_varies"] for side in "xy")
+    sources = kept(sources.select("bucket", "x_class", F.col("partner").alias("y_class"), F.col("service").alias("source"), "lag", *x), "correlation-sources")
+    targets = counts.join(classed.select("service", "y_varies", "y_class"), "service").join(common, "bucket")
+    targets = _prefix_rows(targets, ["service"], "y_varies", threshold, x_classes)
+    targets = targets.select("bucket", F.col("partner").alias("x_class"), "y_class", F.col("service").alias("target"), *y)
+
+    # A bucket in which very many services fail at once is split: its sources are dealt out
+    # to parts, its targets are copied to each part.
+    meet = ["bucket", "x_class", "y_class"]
+    crowded = kept(sources.groupBy(*meet).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT_SERVICES)
+                   .select(*meet, F.ceil(F.col("_n") / SPLIT_SERVICES).cast("int").alias("_parts")), "correlation-crowded")
+    parts = F.coalesce("_parts", F.lit(1))
+    sources = sources.join(crowded, meet, "left").withColumn("part", F.pmod(F.xxhash64("source"), parts).cast("int")).drop("_parts")
+    targets = targets.join(crowded, meet, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return sources.join(targets, [*meet, "part"]).where("source <> target").drop(*meet, "part")
+
+
+def candidates(met: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """``source, target, lag`` of the meetings that can still get over ``min_confidence``: by the products met, and at most the
+    product of the lengths in buckets more common than any met (rarer ones that they share would have been met)."""
+    best = F.col("xy") + F.sqrt(F.col("x_below") * F.col("y_below"))
+    return (met.groupBy("source", "target", "lag")
+            .agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.max(F.col("x_varies") * F.col("y_varies")).alias("varies"),
+                 *(F.min(c).alias(c) for c in ("x_below", "y_below")))
+            .where(best * (1 + SLACK) > max(min_confidence, 0.0) * F.sqrt("varies") * (1 - SLACK)).select("source", "target", "lag"))
+
+
+def products(counts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The counts of both services in every bucket that a pair of ``source, target, lag`` shares."""
+    x = counts.select(F.col("service").alias("source"), F.col("errors").alias("x"), "bucket")
+    y = counts.select(F.col("service").alias("target"), F.col("errors").alias("y"), "bucket")
+    return pairs.join(x, "source").withColumn("bucket", F.col("bucket") + F.col("lag")).join(y, ["target", "bucket"])
+
+
+def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MAX_LAG,
+              min_confidence: float = MIN_CONFIDENCE, order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
+    """Pairs of services whose error counts correlate, the source leading by 0..max_lag buckets.
+
+    Only pairs that a bound on the correlation leaves open are multiplied out (never a cross join of
+    services, never empty buckets filled in); sums over the part of the range that a lag cuts off
+    are corrected with the few buckets at the cut. Messages are fetched at the end, for the services found."""
+    places = bucket_places(logs, window_s, order)
+    counts = places.select("service", "bucket", F.col("errors").cast("decimal(20,0)").alias("errors"))
+    profiles = kept(service_profiles(counts, max_lag), "correlation-services")
+    pairs = kept(candidates(meetings(counts, profiles, max_lag, min_confidence), min_confidence), "correlation-pairs")
+    sums = products(counts, pairs).groupBy("source", "target", "lag").agg(F.sum(F.col("x") * F.col("y")).cast(EXACT).alias("sxy"))
+
+    def side(prefix, end):
+        names = {"service": prefix, **{c: f"{prefix}_{c}" for c in ("lo", "hi", "s", "ss")}, end: end}
+        return profiles.select(*[F.col(c).alias(n) for c, n in names.items()])
+
+    scored = (sums.join(side("source", "tail"), "source").join(side("target", "head"), "target")
+              .withColumn("lo", F.least("source_lo", "target_lo"))
+              .withColumn("hi", F.greatest("source_hi", "target_hi"))
+              .withColumn("m", F.col("hi") - F.col("lo") + 1 - F.col("lag"))
+              .where("m > 0"))
 
     def late(e):
         return e["bucket"] > F.col("hi") - F.col("lag")
@@ -121,29 +203,38 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
     def early(e):
         return e["bucket"] < F.col("lo") + F.col("lag")
 
-    pairs = pairs.withColumns({
-        "x_s": kept("source_s", "tail", late, 1), "x_ss": kept("source_ss", "tail", late, 2),
-        "y_s": kept("target_s", "head", early, 1), "y_ss": kept("target_ss", "head", early, 2)})
+    scored = scored.withColumns({
+        "x_s": _less(F.col("source_s"), "tail", late, 1), "x_ss": _less(F.col("source_ss"), "tail", late, 2),
+        "y_s": _less(F.col("target_s"), "head", early, 1), "y_ss": _less(F.col("target_ss"), "head", early, 2)})
 
-    exact = "decimal(38,0)"
-    sx, sy, m = (F.col(c).cast(exact) for c in ("x_s", "y_s", "m"))
-    dx = (m * F.col("x_ss")).cast(exact) - (sx * sx).cast(exact)
-    dy = (m * F.col("y_ss")).cast(exact) - (sy * sy).cast(exact)
-    dxy = (m * F.col("sxy")).cast(exact) - (sx * sy).cast(exact)
+    sx, sy, m = (F.col(c).cast(EXACT) for c in ("x_s", "y_s", "m"))
+    dx = (m * F.col("x_ss")).cast(EXACT) - (sx * sx).cast(EXACT)
+    dy = (m * F.col("y_ss")).cast(EXACT) - (sy * sy).cast(EXACT)
+    dxy = (m * F.col("sxy")).cast(EXACT) - (sx * sy).cast(EXACT)
     spread = F.sqrt(dx.cast("double")) * F.sqrt(dy.cast("double"))
     r = (F.when((dx == 0) | (dy == 0), F.when((sx > 0) & (sy > 0), 1.0).otherwise(0.0))
          .otherwise(F.greatest(F.lit(0.0), F.try_divide(dxy.cast("double"), spread))))
     best_lag = Window.partitionBy("source", "target").orderBy(F.desc("r"), "lag")
-    scored = (pairs.withColumn("r", r)
+    scored = (scored.withColumn("r", r)
               .withColumn("_rank", F.row_number().over(best_lag)).where("_rank = 1")
               .where(F.col("r") > min_confidence)
               .withColumn("confidence", F.round("r", 2))
               .where(F.col("confidence") > min_confidence))
-    return best_direction(scored.select(
+    found = kept(best_direction(scored.select("source", "target", "lag", "confidence")), "correlations")
+
+    # The first error of each service found.
+    named = found.select(F.col("source").alias("service")).union(found.select("target")).distinct()
+    lead = [c for c in places.columns if c not in ("service", "bucket", "errors", "_at")]
+    first = F.row_number().over(Window.partitionBy("service").orderBy(*lead, "_at"))
+    firsts = kept(places.join(named, "service", "left_semi").withColumn("_rank", first).where("_rank = 1").select("service", *lead, "_at"), "first-errors")
+    texts = with_first(firsts, _errors(at_places(logs, firsts, order), window_s), ["service"], order, {"text": "msg"})
+    texts = kept(texts.select("service", "text"), "first-texts")
+    found = (found.join(texts.toDF("source", "source_error"), "source", "left").join(texts.toDF("target", "target_error"), "target", "left"))
+    return found.select(
         "source", "target", (F.col("lag") * float(window_s)).cast("double").alias("lag_seconds"),
         cascade_pattern(F.col("lag") * window_s, F.lit(window_s), F.col("source"), F.col("target"),
-                        F.col("source_first_error"), F.col("target_first_error")).alias("pattern"),
-        "confidence", F.col("source_first_error").alias("source_error"), F.col("target_first_error").alias("target_error")))
+                        F.col("source_error"), F.col("target_error")).alias("pattern"),
+        "confidence", "source_error", "target_error")
 
 
 def best_direction(correlations: DataFrame) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+
+from emberlog.session import scratch_dir
 
 # Rows of a side that may be broadcast after it has been counted.
 BROADCAST_ROWS = 250_000
@@ -93,3 +95,60 @@ def broadcast_if_small(spark: SparkSession, df: DataFrame, max_rows: int = BROAD
     if len(rows) > max_rows:
         return df
     return F.broadcast(spark.createDataFrame(rows, df.schema))
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Write a short table into the shared folder once and read it back. All that uses it reads the files, an
+    executor's loss costs nothing, and joins are planned by its true size in bytes."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# ---- the first row of each group, without text in the aggregation -------------------------
+# An aggregation whose buffers are all of fixed width is a hash aggregation; a text in it (min_by of a
+# message) makes Spark sort all rows. So the first place is aggregated, and the text fetched for it.
+
+def _place(df: DataFrame, order: Sequence[str]) -> tuple[list[str], Column]:
+    """Leading text columns of an order, and the first other column as a number; null comes last."""
+    types = {f.name: f.dataType for f in df.schema.fields}
+    lead = []
+    for name in order:
+        if isinstance(types[name], T.StringType):
+            lead.append(name)
+            continue
+        time = isinstance(types[name], (T.TimestampType, T.TimestampNTZType))
+        number = F.unix_micros(F.col(name).cast("timestamp")) if time else F.col(name).cast("bigint")
+        return lead, F.coalesce(number, F.lit((1 << 63) - 1))
+    return lead, F.lit(0).cast("bigint")
+
+
+def first_places(df: DataFrame, keys: Sequence[str], order: Sequence[str], count: str = "count", **least: str) -> DataFrame:
+    """Per key: the number of rows as ``count``, the least of other columns (``name="column"``), and the place
+    of the first row: the leading text columns of ``order`` and ``_at``."""
+    lead, at = _place(df, order)
+    groups = df.withColumn("_at", at).groupBy(*keys, *lead).agg(
+        F.count(F.lit(1)).alias(count), *(F.min(c).alias(n) for n, c in least.items()), F.min("_at").alias("_at"))
+    if not lead:
+        return groups
+    # One row per key and file, say: the texts are ordered there, not row by row.
+    own = Window.partitionBy(*keys)
+    return (groups.withColumns({count: F.sum(count).over(own), **{n: F.min(n).over(own) for n in least}})
+            .withColumn("_rank", F.row_number().over(own.orderBy(*lead, "_at"))).where("_rank = 1").drop("_rank"))
+
+
+def at_places(df: DataFrame, places: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The rows of ``df`` at any of the ``places`` of :func:`first_places`, whatever their key: few, and found
+    before their texts are looked at. ``_at`` is added."""
+    lead, at = _place(df, order)
+    return df.withColumn("_at", at).join(places.select(*lead, "_at"), [*lead, "_at"], "left_semi")
+
+
+def with_first(places: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """``places`` with ``columns`` (name: column of ``rows``) of the first row of each key. ``rows`` are those of
+    :func:`at_places` with the keys. Of rows at one place the rest of the order decides."""
+    lead, _ = _place(rows, order)
+    here = [*keys, *lead, "_at"]
+    first = F.row_number().over(Window.partitionBy(*here).orderBy(*order))
+    found = rows.withColumn("_rank", first).where("_rank = 1").select(*here, *(F.col(c).alias(n) for n, c in columns.items()))
+    return places.join(found, here, "left")

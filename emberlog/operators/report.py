@@ -10,6 +10,7 @@ from emberlog.functions.messages import CRITICAL_WORDS, contains_any, is_error,
 from emberlog.functions.scoring import severity
 from emberlog.operators import triage
 from emberlog.operators.capture_index import report_labels
+from emberlog.operators.ordering import kept
 
 TOP_ERRORS = 20  # fixed value
 
@@ -20,7 +21,7 @@ def report(logs: DataFrame, index: DataFrame, metadata: DataFrame, top: int = TO
     Totals and top signatures come from one aggregation of the logs by capture and
     signature (the null signature holds the lines that are no errors)."""
     signature = F.when(is_error(F.col("msg")), normalize_message(F.col("msg")))
-    counts = logs.groupBy("capture", signature.alias("signature")).agg(F.count(F.lit(1)).alias("n")).persist()
+    counts = kept(logs.groupBy("capture", signature.alias("signature")).agg(F.count(F.lit(1)).alias("n")), "report-counts")
     is_sig = F.col("signature").isNotNull()
     totals = counts.groupBy("capture").agg(
         F.sum("n").alias("total_lines"), F.sum(F.when(is_sig, F.col("n")).otherwise(0)).alias("error_lines"))
@@ -49,12 +50,11 @@ def incident_report(logs: DataFrame, index: DataFrame, metadata: DataFrame, capt
         return df.where(F.col("capture") == capture)
 
     logs, index = of(logs), of(index)
-    signatures = triage.error_signatures(logs, order).persist()
-    timeline = triage.error_timeline(logs).persist()
+    signatures, timeline = triage.signature_places(logs, order), kept(triage.error_timeline(logs), "timeline")
     # Each list is short: the keys of the labels, ``top`` signatures, three windows.
     labels = report_labels(index).agg(F.array_sort(F.collect_list(F.struct("key", "values"))))
     ranked = F.struct((-F.col("count")).alias("_rank"), "signature", "count", "first_seen", "example", "pct_of_errors")
-    errors = triage.top_errors(signatures, top).agg(
+    errors = triage.top_errors(signatures, top, logs, order).agg(
         F.transform(F.array_sort(F.collect_list(ranked)), lambda e: e.dropFields("_rank")))
     found = triage.windows(timeline, signatures).agg(
         F.array_sort(F.collect_list(F.struct("window", "from", "to", "minutes", "value"))))

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberlog.functions.messages import is_error, is_error_once, normalize_message
+from emberlog.operators.ordering import at_places, first_places, kept, with_first
 
 # The usual sizes of the lists.
 MAX_SIGNATURES = 10_000
@@ -50,17 +51,27 @@ def error_timeline(logs: DataFrame, max_buckets: int | None = None) -> DataFrame
                     F.when(here, F.col("error_lines")).otherwise(F.lit(0)).alias("error_lines")))
 
 
+def signature_places(logs: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
+    """Per signature (and key): count, first_seen, and the place of the earliest entry, for examples to be
+    fetched by. One hash aggregation, written once as a short table."""
+    errors = logs.where(is_error_once(F.col("msg"))).withColumn("signature", normalize_message(F.col("msg")))
+    return kept(first_places(errors, [*keys, "signature"], order, first_seen="ts"), "signatures")
+
+
+def with_examples(logs: DataFrame, signatures: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows of :func:`signature_places` with the message of the earliest entry as ``example``. Only entries at
+    one of the places are normalised again. An entry without a time counts as the latest."""
+    few = at_places(logs, signatures, order).where(is_error_once(F.col("msg"))).withColumn("signature", normalize_message(F.col("msg")))
+    return with_first(signatures, few, [*keys, "signature"], order, {"example": "msg"})
+
+
 def error_signatures(logs: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
     """Per signature (and key): count, first_seen, and the message of the earliest entry."""
-    return (logs.where(is_error_once(F.col("msg")))
-            .groupBy(*keys, normalize_message(F.col("msg")).alias("signature"))
-            .agg(F.count(F.lit(1)).alias("count"),
-                 F.min("ts").alias("first_seen"),
-                 F.min_by("msg", F.struct(*order)).alias("example")))
+    return with_examples(logs, signature_places(logs, order, keys), order, keys).select(*keys, "signature", "count", "first_seen", "example")
 
 
 def signature_starts(logs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Like error_signatures without examples: all buffers are fixed-width, so it stays a hash aggregation."""
+    """Like error_signatures without examples."""
     return (logs.where(is_error_once(F.col("msg")))
             .groupBy(*keys, normalize_message(F.col("msg")).alias("signature"))
             .agg(F.count(F.lit(1)).alias("count"), F.min("ts").alias("first_seen")))
@@ -71,20 +82,16 @@ def signature_cap(signatures: DataFrame, cap: int = MAX_SIGNATURES) -> DataFrame
     return signatures.orderBy(F.desc("count"), "signature").limit(cap)
 
 
-def top_errors(signatures: DataFrame, top: int = TOP_ERRORS) -> DataFrame:
+def top_errors(signatures: DataFrame, top: int = TOP_ERRORS, logs: DataFrame | None = None, order: Sequence[str] = CHRONOLOGICAL) -> DataFrame:
     """The most frequent signatures and their share of all error lines.
 
-    The total comes as one more row of the same aggregation (a rollup), so the logs are
-    read once and no window spans all signatures."""
-    with_total = (signatures.rollup("signature")
-                  .agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"),
-                       F.min_by("example", "first_seen").alias("example"),
-                       F.grouping("signature").alias("is_total"))
-                  .orderBy(F.desc("is_total"), F.desc("count"), "signature").limit(top + 1))
-    total = F.max(F.when(F.col("is_total") == 1, F.col("count"))).over(Window.partitionBy())
-    return (with_total.withColumn("_total", total).where("is_total = 0")
-            .select("signature", "count", "first_seen", "example",
-                    (F.col("count") / F.col("_total") * 100).alias("pct_of_errors")))
+    With ``logs``, ``signatures`` are those of :func:`signature_places`, and examples are fetched for the
+    top ones only."""
+    total = signatures.agg(F.sum("count"))
+    best = signature_cap(signatures, top).withColumn("pct_of_errors", F.col("count") / total.scalar() * 100)
+    if logs is not None:
+        best = with_examples(logs, kept(best, "top-errors"), order)
+    return best.select("signature", "count", "first_seen", "example", "pct_of_errors")
 
 
 def talkers(logs: DataFrame) -> DataFrame:

@@ -57,7 +57,8 @@ def signature_cap(t):
 SELECT signature, count, first_seen, example, round(count * 100.0 / (SELECT sum(count) FROM sigs), 6) AS pct_of_errors
 FROM sigs ORDER BY count DESC, signature LIMIT 50""")
 def top_errors(t):
-    return triage.top_errors(_signatures(t)).withColumn("pct_of_errors", F.round("pct_of_errors", 6))
+    logs = t.logs()
+    return triage.top_errors(triage.signature_places(logs, CHRONOLOGICAL), logs=logs, order=CHRONOLOGICAL).withColumn("pct_of_errors", F.round("pct_of_errors", 6))
 
 
 @query("talkers", f"""WITH {LOGS},

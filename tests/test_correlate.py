@@ -49,6 +49,17 @@ def dense(x, y, lag):
     return max(0.0, sum((p - ma) * (q - mb) for p, q in zip(a, b)) / math.sqrt(va * vb))
 
 
+def test_hash_aggregation_and_first_errors(make_logs):
+    from pyspark.sql import functions as F
+    logs = make_logs([entry(0, "a", "error one", ), entry(0, "a", "error two"), entry(15, "a", "error three"), entry(1, "b", "error four")])
+    for order in (("file", "line_no"), ("ts", "file", "line_no")):
+        df = corr.service_error_buckets(logs, order=order)
+        first = logs.agg(F.min("ts")).first()[0].timestamp() // 10
+        assert {(r.service, r.bucket - first, r.errors, r.first_error) for r in df.collect()} == {
+            ("a", 0, 2, "error one"), ("a", 1, 1, "error three"), ("b", 0, 1, "error four")}
+        assert "SortAggregate" not in df._jdf.queryExecution().toString()
+
+
 @pytest.mark.parametrize("seed, split", [(0, 1000), (1, 1000), (2, 1), (3, 2), (4, 1)])
 def test_against_dense_vectors(make_logs, monkeypatch, seed, split):
     monkeypatch.setattr(corr, "SPLIT_SERVICES", split)  # with and without split buckets
@@ -80,6 +91,30 @@ def test_against_dense_vectors(make_logs, monkeypatch, seed, split):
     assert got == set(best.values())
 
 
+def test_few_products_of_many_services(spark):
+    """2000 services that all fail in the same eight minutes, and each at times of its own; 40 follow another."""
+    from pyspark.sql import functions as F
+    rng, counts = random.Random(5), {}
+    common = rng.sample(range(20_000), 8)
+    for s in range(2000):
+        own = {b: 2 for b in rng.sample(range(20_000), 40)}
+        counts[s] = own | dict.fromkeys(common, 1)
+    for s in range(40):
+        counts[1000 + s] = {b + 2: 2 for b in list(counts[s])[:40]} | dict.fromkeys(common, 1)
+    rows = [(f"s{s}", b, n) for s, own in counts.items() for b, n in own.items()]
+    df = spark.createDataFrame(rows, "service string, bucket bigint, errors bigint").withColumn("errors", F.col("errors").cast("decimal(20,0)"))
+    profiles = corr.kept(corr.service_profiles(df, 5), "test-profiles")
+    met = corr.kept(corr.meetings(df, profiles), "test-met")
+    pairs = corr.kept(corr.candidates(met), "test-pairs")
+    few = met.count() + corr.products(df, pairs).count()
+    n = [0] * 20_010
+    for _, b, _ in rows:
+        n[b] += 1
+    assert 10 * few < sum(n[b] * n[b + k] for k in range(6) for b in range(20_000))
+    found = {(r.source, r.target, r.lag) for r in pairs.collect()}
+    assert {(f"s{s}", f"s{1000 + s}", 2) for s in range(40)} <= found
+
+
 def test_sequence(spark):
     rows = [("api", "db", 10.0, "cascade_error", 0.9), ("web", "api", 0.0, "co_failure", 0.8), ("web", "cache", 20.0, "cascade_error", 0.7)]
     df = spark.createDataFrame(rows, "source string, target string, lag_seconds double, pattern string, confidence double")
