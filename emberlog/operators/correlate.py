@@ -21,6 +21,8 @@ CHRONOLOGICAL = ("file", "line_no")
 # Classes of services by how many times their squares exceed what varies in them: class c up to 2**((c + 0.1) / 2)
 # times. The last is for more, and for those in which nothing may vary.
 FLAT = 61
+# Up to so many services, pairs that share a bucket at all are multiplied out: an index would cost more.
+FEW_SERVICES = 200
 # Bounds in floating point are widened by this part.
 SLACK = 1e-9
 EXACT = "decimal(38,0)"
@@ -59,42 +61,27 @@ def service_error_buckets(logs: DataFrame, window_s: int = WINDOW_SECONDS,
 
 
 def service_profiles(counts: DataFrame, max_lag: int) -> DataFrame:
-    """One row per service: bucket range, sum and sum of squares of its counts, the buckets at its ends,
-    and what varies at least in it as a source and as a target.
+    """One row per service: bucket range, sums, and what varies at least in it as a source and as a target.
 
     A lag cuts buckets off the end of the source and the start of the target, at most ``max_lag``
-    of a service. Over a period of m buckets a service's counts vary by ``ss - s*s/m``; m is at least the
+    of a service: ``xs, xss`` are its sums (of squares) without the last 0, 1, ... buckets, ``ys, yss`` without
+    the first. Over a period of m buckets a service's counts vary by ``ss - s*s/m``; m is at least the
     service's own range, less what is cut off."""
-    n = F.col("errors")
-    sums = counts.groupBy("service").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"),
-                                         F.sum(n).cast(EXACT).alias("s"), F.sum(n * n).cast(EXACT).alias("ss"))
+    ranges = counts.groupBy("service").agg(F.min("bucket").alias("lo"), F.max("bucket").alias("hi"))
 
-    def near(condition):
-        return F.array_sort(F.collect_list(F.when(condition, F.struct("bucket", "errors"))))
+    def sums(keep: str, power: str) -> str:
+        return "array(" + ", ".join(f"cast(sum(if({keep.format(cut=cut)}, {power}, 0)) as {EXACT})" for cut in range(max_lag + 1)) + ")"
 
-    in_tail, in_head = F.col("bucket") > F.col("hi") - max_lag, F.col("bucket") < F.col("lo") + max_lag
-    ends = (counts.join(sums.select("service", "lo", "hi"), "service").where(in_tail | in_head)
-            .groupBy("service").agg(near(in_tail).alias("tail"), near(in_head).alias("head")))
-
-    def varies(ends_column, is_cut):
-        """The least of what varies, over all numbers of buckets that may be cut off."""
-        def after(cut):
-            s = _less(F.col("s"), ends_column, lambda e: is_cut(e, cut), 1)
-            ss = _less(F.col("ss"), ends_column, lambda e: is_cut(e, cut), 2)
-            span = (F.col("hi") - F.col("lo") + 1 - cut).cast(EXACT)
-            return F.when(span > 0, (span * ss - s * s).cast("double") / span.cast("double")).otherwise(0.0)
-        return F.array_min(F.array(*[after(cut) for cut in range(max_lag + 1)]))
-
-    return sums.join(ends, "service").withColumns({
-        "x_varies": varies("tail", lambda e, cut: e["bucket"] > F.col("hi") - cut),
-        "y_varies": varies("head", lambda e, cut: e["bucket"] < F.col("lo") + cut)})
-
-
-def _less(total: Column, ends_column: str, is_cut, power: int) -> Column:
-    """A service's sum (of squares) without the buckets at its end that are cut off."""
-    lost = F.aggregate(F.filter(ends_column, is_cut), F.lit(0).cast(EXACT),
-                       lambda acc, e: (acc + (e["errors"] if power == 1 else e["errors"] * e["errors"])).cast(EXACT))
-    return (total - lost).cast(EXACT)
+    def varies(s: str, ss: str) -> str:
+        span = "cast(hi - lo + 1 - cut as decimal(20,0))"
+        return (f"array_min(transform(sequence(0, {max_lag}), cut -> if(hi - lo + 1 - cut > 0, cast(cast({span} * {ss}[cut] as {EXACT}) "
+                f"- cast({s}[cut] * {s}[cut] as {EXACT}) as double) / (hi - lo + 1 - cut), 0D)))")
+    not_last, not_first = "bucket <= hi - {cut}", "bucket >= lo + {cut}"
+    return (counts.join(ranges, "service").groupBy("service", "lo", "hi")
+            .agg(F.expr(sums(not_last, "errors")).alias("xs"), F.expr(sums(not_last, "errors * errors")).alias("xss"),
+                 F.expr(sums(not_first, "errors")).alias("ys"), F.expr(sums(not_first, "errors * errors")).alias("yss"))
+            .selectExpr("*", "xss[0] as ss", f"{varies('xs', 'xss')} as x_varies", f"{varies('ys', 'yss')} as y_varies")
+            .withColumns({"x_class": _class_of(F.col("x_varies")), "y_class": _class_of(F.col("y_varies"))}))
 
 
 def _class_of(varies: Column) -> Column:
@@ -128,33 +115,28 @@ def meetings(counts: DataFrame, profiles: DataFrame, max_lag: int = MAX_LAG, min
     similarity join with a bound, and has a prefix filter: with all buckets in one order of rarity, a
     pair over the bound shares a bucket in the prefix of both. The prefix depends on how
     long a partner can be, of which there are a few classes; source and target meet by bucket and both classes."""
-    classed = kept(profiles.select("service", "x_varies", "y_varies", _class_of(F.col("x_varies")).alias("x_class"),
-                                   _class_of(F.col("y_varies")).alias("y_class")), "correlation-classes")
-    present = classed.select("x_class", "y_class").distinct().collect()  # at most 62 by 62
+    present = profiles.select("x_class", "y_class").distinct().collect()  # at most 62 by 62
     x_classes, y_classes = (sorted({r[c] for r in present}) for c in ("x_class", "y_class"))
-    common = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("common"))
     threshold = max(min_confidence, 0.0)
-
-    sources = counts.join(classed.select("service", "x_varies", "x_class"), "service").select(
-        "service", "x_varies", "x_class", "errors", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"), "bucket")
-    # A bucket without targets can lift no pair.
-    sources = sources.withColumn("bucket", F.col("bucket") + F.col("lag")).join(common, "bucket")
-    sources = _prefix_rows(sources, ["service", "lag"], "x_varies", threshold, y_classes)
-    x, y = ([F.col("errors").cast("double").alias(side), F.col("below").alias(f"{side}_below"), f"{side}_varies"] for side in "xy")
-    sources = kept(sources.select("bucket", "x_class", F.col("partner").alias("y_class"), F.col("service").alias("source"), "lag", *x), "correlation-sources")
-    targets = counts.join(classed.select("service", "y_varies", "y_class"), "service").join(common, "bucket")
-    targets = _prefix_rows(targets, ["service"], "y_varies", threshold, x_classes)
-    targets = targets.select("bucket", F.col("partner").alias("x_class"), "y_class", F.col("service").alias("target"), *y)
-
+    # Services that fail in a bucket, and sources that some lag moves there.
+    buckets = (counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).selectExpr("bucket", "n", f"explode(sequence(0, {max_lag})) as lag")
+               .groupBy((F.col("bucket") + F.col("lag")).alias("bucket")).agg(F.expr("sum(if(lag = 0, n, 0))").alias("common"), F.sum("n").alias("moved"))
+               .where("common > 0"))  # a bucket without targets can lift no pair
     # A bucket in which very many services fail at once is split: its sources are dealt out
     # to parts, its targets are copied to each part.
-    meet = ["bucket", "x_class", "y_class"]
-    crowded = kept(sources.groupBy(*meet).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPLIT_SERVICES)
-                   .select(*meet, F.ceil(F.col("_n") / SPLIT_SERVICES).cast("int").alias("_parts")), "correlation-crowded")
-    parts = F.coalesce("_parts", F.lit(1))
-    sources = sources.join(crowded, meet, "left").withColumn("part", F.pmod(F.xxhash64("source"), parts).cast("int")).drop("_parts")
-    targets = targets.join(crowded, meet, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return sources.join(targets, [*meet, "part"]).where("source <> target").drop(*meet, "part")
+    buckets = buckets.selectExpr("bucket", "common", f"cast(ceil(moved / {SPLIT_SERVICES}) as int) as parts")
+
+    def side(kind: str, lags: str, group: list[str], partners: list[int]) -> DataFrame:
+        own = counts.join(profiles.selectExpr("service", f"{kind}_varies", f"{kind}_class"), "service")
+        moved = own.selectExpr("service", f"{kind}_varies", f"{kind}_class", "errors", "bucket", f"explode({lags}) as lag").withColumn("bucket", F.col("bucket") + F.col("lag"))
+        rows = _prefix_rows(moved.join(buckets, "bucket"), group, f"{kind}_varies", threshold, partners)
+        return rows.withColumns({kind: F.col("errors").cast("double"), f"{kind}_below": F.col("below")})
+    sources = side("x", f"sequence(0, {max_lag})", ["service", "lag"], y_classes).selectExpr(
+        "bucket", "x_class", "partner as y_class", "cast(pmod(xxhash64(service), parts) as int) as part", "service as source", "lag", "x", "x_below", "x_varies")
+    targets = side("y", "array(0)", ["service"], x_classes).selectExpr(
+        "bucket", "partner as x_class", "y_class", "explode(sequence(0, parts - 1)) as part", "service as target", "y", "y_below", "y_varies")
+    meet = ["bucket", "x_class", "y_class", "part"]
+    return sources.join(targets, meet).where("source <> target").drop(*meet)
 
 
 def candidates(met: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
@@ -167,10 +149,14 @@ def candidates(met: DataFrame, min_confidence: float = MIN_CONFIDENCE) -> DataFr
             .where(best * (1 + SLACK) > max(min_confidence, 0.0) * F.sqrt("varies") * (1 - SLACK)).select("source", "target", "lag"))
 
 
-def products(counts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The counts of both services in every bucket that a pair of ``source, target, lag`` shares."""
+def products(counts: DataFrame, pairs: DataFrame | None, max_lag: int = MAX_LAG) -> DataFrame:
+    """The counts of both services in every bucket that a pair of ``source, target, lag`` shares; without
+    ``pairs``, of all pairs that share any."""
     x = counts.select(F.col("service").alias("source"), F.col("errors").alias("x"), "bucket")
     y = counts.select(F.col("service").alias("target"), F.col("errors").alias("y"), "bucket")
+    if pairs is None:
+        x = x.selectExpr("source", "x", "bucket", f"explode(sequence(0, {max_lag})) as lag").withColumn("bucket", F.col("bucket") + F.col("lag"))
+        return x.join(y, "bucket").where("source <> target")
     return pairs.join(x, "source").withColumn("bucket", F.col("bucket") + F.col("lag")).join(y, ["target", "bucket"])
 
 
@@ -184,36 +170,20 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
     places = bucket_places(logs, window_s, order)
     counts = places.select("service", "bucket", F.col("errors").cast("decimal(20,0)").alias("errors"))
     profiles = kept(service_profiles(counts, max_lag), "correlation-services")
-    pairs = kept(candidates(meetings(counts, profiles, max_lag, min_confidence), min_confidence), "correlation-pairs")
-    sums = products(counts, pairs).groupBy("source", "target", "lag").agg(F.sum(F.col("x") * F.col("y")).cast(EXACT).alias("sxy"))
-
-    def side(prefix, end):
-        names = {"service": prefix, **{c: f"{prefix}_{c}" for c in ("lo", "hi", "s", "ss")}, end: end}
-        return profiles.select(*[F.col(c).alias(n) for c, n in names.items()])
-
-    scored = (sums.join(side("source", "tail"), "source").join(side("target", "head"), "target")
-              .withColumn("lo", F.least("source_lo", "target_lo"))
-              .withColumn("hi", F.greatest("source_hi", "target_hi"))
-              .withColumn("m", F.col("hi") - F.col("lo") + 1 - F.col("lag"))
-              .where("m > 0"))
-
-    def late(e):
-        return e["bucket"] > F.col("hi") - F.col("lag")
-
-    def early(e):
-        return e["bucket"] < F.col("lo") + F.col("lag")
-
-    scored = scored.withColumns({
-        "x_s": _less(F.col("source_s"), "tail", late, 1), "x_ss": _less(F.col("source_ss"), "tail", late, 2),
-        "y_s": _less(F.col("target_s"), "head", early, 1), "y_ss": _less(F.col("target_ss"), "head", early, 2)})
-
-    sx, sy, m = (F.col(c).cast(EXACT) for c in ("x_s", "y_s", "m"))
-    dx = (m * F.col("x_ss")).cast(EXACT) - (sx * sx).cast(EXACT)
-    dy = (m * F.col("y_ss")).cast(EXACT) - (sy * sy).cast(EXACT)
-    dxy = (m * F.col("sxy")).cast(EXACT) - (sx * sy).cast(EXACT)
-    spread = F.sqrt(dx.cast("double")) * F.sqrt(dy.cast("double"))
-    r = (F.when((dx == 0) | (dy == 0), F.when((sx > 0) & (sy > 0), 1.0).otherwise(0.0))
-         .otherwise(F.greatest(F.lit(0.0), F.try_divide(dxy.cast("double"), spread))))
+    few = profiles.count() <= FEW_SERVICES
+    pairs = None if few else candidates(meetings(counts, profiles, max_lag, min_confidence), min_confidence)
+    sums = products(counts, pairs, max_lag).groupBy("source", "target", "lag").agg(F.sum(F.col("x") * F.col("y")).cast(EXACT).alias("sxy"))
+    scored = (sums.join(profiles.selectExpr("service as source", "lo as x_lo", "hi as x_hi", "xs", "xss"), "source")
+              .join(profiles.selectExpr("service as target", "lo as y_lo", "hi as y_hi", "ys", "yss"), "target")
+              .selectExpr("source", "target", "lag", "sxy", "least(x_lo, y_lo) as lo", "greatest(x_hi, y_hi) as hi", "x_hi", "y_lo", "xs", "xss", "ys", "yss")
+              .selectExpr("source", "target", "lag", "sxy", "cast(hi - lo + 1 - lag as decimal(20,0)) as m", "cast(greatest(x_hi - (hi - lag), 0) as int) as x_cut",
+                          "cast(greatest(lo + lag - y_lo, 0) as int) as y_cut", "xs", "xss", "ys", "yss")
+              .where("m > 0")
+              .selectExpr("source", "target", "lag", "sxy", "m", "xs[x_cut] as sx", "xss[x_cut] as sxx", "ys[y_cut] as sy", "yss[y_cut] as syy")
+              .selectExpr("source", "target", "lag", "sx", "sy", *(
+                  f"cast(m * {a} as {EXACT}) - cast({b} * {c} as {EXACT}) as {d}"
+                  for a, b, c, d in (("sxx", "sx", "sx", "dx"), ("syy", "sy", "sy", "dy"), ("sxy", "sx", "sy", "dxy")))))
+    r = F.expr("if(dx = 0 or dy = 0, if(sx > 0 and sy > 0, 1D, 0D), greatest(0D, try_divide(cast(dxy as double), sqrt(cast(dx as double)) * sqrt(cast(dy as double)))))")
     best_lag = Window.partitionBy("source", "target").orderBy(F.desc("r"), "lag")
     scored = (scored.withColumn("r", r)
               .withColumn("_rank", F.row_number().over(best_lag)).where("_rank = 1")
@@ -226,9 +196,9 @@ def correlate(logs: DataFrame, window_s: int = WINDOW_SECONDS, max_lag: int = MA
     named = found.select(F.col("source").alias("service")).union(found.select("target")).distinct()
     lead = [c for c in places.columns if c not in ("service", "bucket", "errors", "_at")]
     first = F.row_number().over(Window.partitionBy("service").orderBy(*lead, "_at"))
-    firsts = kept(places.join(named, "service", "left_semi").withColumn("_rank", first).where("_rank = 1").select("service", *lead, "_at"), "first-errors")
+    firsts = places.join(named, "service", "left_semi").withColumn("_rank", first).where("_rank = 1").select("service", *lead, "_at")
     texts = with_first(firsts, _errors(at_places(logs, firsts, order), window_s), ["service"], order, {"text": "msg"})
-    texts = kept(texts.select("service", "text"), "first-texts")
+    texts = kept(texts.select("service", "text"), "first-errors")
     found = (found.join(texts.toDF("source", "source_error"), "source", "left").join(texts.toDF("target", "target_error"), "target", "left"))
     return found.select(
         "source", "target", (F.col("lag") * float(window_s)).cast("double").alias("lag_seconds"),

@@ -50,7 +50,7 @@ def incident_report(logs: DataFrame, index: DataFrame, metadata: DataFrame, capt
         return df.where(F.col("capture") == capture)
 
     logs, index = of(logs), of(index)
-    signatures, timeline = triage.signature_places(logs, order), kept(triage.error_timeline(logs), "timeline")
+    signatures, timeline = kept(triage.signature_places(logs, order), "signatures"), kept(triage.error_timeline(logs), "timeline")
     # Each list is short: the keys of the labels, ``top`` signatures, three windows.
     labels = report_labels(index).agg(F.array_sort(F.collect_list(F.struct("key", "values"))))
     ranked = F.struct((-F.col("count")).alias("_rank"), "signature", "count", "first_seen", "example", "pct_of_errors")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from emberlog.functions.messages import is_error, is_error_once, normalize_message
-from emberlog.operators.ordering import at_places, first_places, kept, with_first
+from emberlog.operators.ordering import at_places, first_places, with_first
 
 # The usual sizes of the lists.
 MAX_SIGNATURES = 10_000
@@ -53,9 +53,9 @@ def error_timeline(logs: DataFrame, max_buckets: int | None = None) -> DataFrame
 
 def signature_places(logs: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
     """Per signature (and key): count, first_seen, and the place of the earliest entry, for examples to be
-    fetched by. One hash aggregation, written once as a short table."""
+    fetched by. One hash aggregation."""
     errors = logs.where(is_error_once(F.col("msg"))).withColumn("signature", normalize_message(F.col("msg")))
-    return kept(first_places(errors, [*keys, "signature"], order, first_seen="ts"), "signatures")
+    return first_places(errors, [*keys, "signature"], order, first_seen="ts")
 
 
 def with_examples(logs: DataFrame, signatures: DataFrame, order: Sequence[str] = CHRONOLOGICAL, keys: Sequence[str] = ()) -> DataFrame:
@@ -90,7 +90,7 @@ def top_errors(signatures: DataFrame, top: int = TOP_ERRORS, logs: DataFrame | N
     total = signatures.agg(F.sum("count"))
     best = signature_cap(signatures, top).withColumn("pct_of_errors", F.col("count") / total.scalar() * 100)
     if logs is not None:
-        best = with_examples(logs, kept(best, "top-errors"), order)
+        best = with_examples(logs, best, order)
     return best.select("signature", "count", "first_seen", "example", "pct_of_errors")
 
 

@@ -63,6 +63,7 @@ def test_hash_aggregation_and_first_errors(make_logs):
 @pytest.mark.parametrize("seed, split", [(0, 1000), (1, 1000), (2, 1), (3, 2), (4, 1)])
 def test_against_dense_vectors(make_logs, monkeypatch, seed, split):
     monkeypatch.setattr(corr, "SPLIT_SERVICES", split)  # with and without split buckets
+    monkeypatch.setattr(corr, "FEW_SERVICES", 0 if seed else 200)  # with and without an index
     rng = random.Random(seed)
     names = ["a", "b", "c", "d"]
     base = [rng.randrange(40) for _ in range(8)]
