@@ -119,18 +119,18 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_hard_negatives", """
     WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
-                 list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS q
+                 [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
                FROM embeddings
                WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
-                 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+                 AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
          s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score
                FROM v a JOIN v r ON len(a.q) = len(r.q) AND a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
          p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
     SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
     FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
-    QUALIFY row_number() OVER w <= 3
-    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)""")
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id)
+    QUALIFY row_number() OVER w <= 3""")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = hard_negatives.quantised(table(spark, sf_dir, "embeddings"), moved)

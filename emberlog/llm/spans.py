@@ -11,16 +11,16 @@ documents share is neither gathered in one task nor paired with itself.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from emberlog.llm.common import text_of
+from emberlog.llm.common import stored, text_of
 
 #: A run has at least so many sentences and at least so many words.
 RUN_SENTENCES = 2
@@ -33,37 +33,56 @@ SENTENCE_WORDS = 12
 SENTENCE = regex.compile(r"[^.!?\n]*+(?:[.!?\n]+\s*+|\Z)")
 #: A word with the white space around it.
 WORD = regex.compile(r"\s*+\S++\s*+")
+#: Number of repeated runs up to which a Bloom filter of them goes to all tasks (10 bits a run: 12.5 MB); it is no more than
+#: a filter, what passes is joined. Beyond it, the filter is left out.
+FILTERED_RUNS = 10_000_000
+
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()),
                   ("again", pa.bool_())])
 RUNS_SQL = "doc_id bigint, start int, stop int, h1 bigint, h2 bigint, again boolean"
+FIRST = pa.schema([("h1", pa.int64()), ("doc_id", pa.int64()), ("again", pa.bool_())])
+FIRST_SQL = "h1 bigint, doc_id bigint, again boolean"
+#: Odd numbers that a run's hash is folded with, sentence by sentence, modulo 2**64.
+FOLD1, FOLD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+MASK = (1 << 64) - 1
+
+
+class _Hashes(dict):
+    """Hash of each word, worked out once for a batch of texts."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
-def _ends(words: list[str]) -> set[int]:
+def _ends(hashes: list[int]) -> set[int]:
     """Places after which a long sentence is cut: in every SENTENCE_WORDS words in a row, the last of those
     with the least hash. What lies around does not count, so all copies of a passage are cut at
     the same places, wherever their sentence begins."""
-    hashes = [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
-    out, falling = set(), deque()  # places in the window that have no lesser hash after them
-    for i, h in enumerate(hashes):
-        while falling and hashes[falling[-1]] >= h:
-            falling.pop()
-        falling.append(i)
-        if falling[0] <= i - SENTENCE_WORDS:
-            falling.popleft()
-        if i >= SENTENCE_WORDS - 1:
-            out.add(falling[0])
+    # The last of the least in each window: where it stays in the window, it is only met by what comes in.
+    out, n, at = set(), len(hashes), -1
+    for stop in range(SENTENCE_WORDS, n + 1):
+        start = stop - SENTENCE_WORDS
+        if at < start:
+            least = min(hashes[start:stop])
+            at = stop - 1
+            while hashes[at] != least:
+                at -= 1
+        elif hashes[stop - 1] <= hashes[at]:
+            at = stop - 1
+        out.add(at)
     return out
 
 
-def sentences(text: str) -> list[str]:
+def sentences(text: str, known: _Hashes | None = None) -> list[str]:
     """The text cut after full stops, exclamation and question marks and line ends, sentences of more
     than SENTENCE_WORDS words also at places that their words choose. Joined, they are the text; an
     empty text has none."""
-    out = []
+    known, out = _Hashes() if known is None else known, []
     for sentence in SENTENCE.findall(text):
         if len(sentence) > 2 * SENTENCE_WORDS and len(words := sentence.split()) > SENTENCE_WORDS:
             parts, start = WORD.findall(sentence), 0
-            for end in sorted(_ends(words) | {len(words) - 1}):
+            for end in sorted(_ends([known[w] for w in words]) | {len(words) - 1}):
                 out.append("".join(parts[start:end + 1]))
                 start = end + 1
         elif sentence:
@@ -71,65 +90,141 @@ def sentences(text: str) -> list[str]:
     return out
 
 
-def runs(text: str) -> list[tuple[int, int, int, int, bool]]:
+def _pieces(text: str, known: _Hashes) -> tuple[list[int], list[int]]:
+    """Number of words and hash of every sentence of :func:`sentences`."""
+    sizes, hashes = [], []
+
+    def add(own: list[int]) -> None:
+        h = len(own)
+        for x in own:
+            h = (h * FOLD1 + x) & MASK
+        sizes.append(len(own))
+        hashes.append(h ^ h >> 29)
+    for sentence in SENTENCE.findall(text):
+        if not sentence:
+            continue
+        own = [known[w] for w in sentence.split()]
+        if len(own) <= SENTENCE_WORDS or len(sentence) <= 2 * SENTENCE_WORDS:
+            add(own)
+            continue
+        start = 0
+        for end in sorted(_ends(own) | {len(own) - 1}):
+            add(own[start:end + 1])
+            start = end + 1
+    return sizes, hashes
+
+
+def runs(text: str, known: _Hashes | None = None) -> list[tuple[int, int, int, int, bool]]:
     """(start, stop, h1, h2, again) of every run, in order; ``stop`` is exclusive, and ``again`` tells that
-    the text has had the same run before. White space does not count."""
-    words = [s.split() for s in sentences(text)]
-    flat = [" ".join(w) for w in words]
+    the text has had the same run before. White space does not count. A run's hashes are folded from those of its
+    sentences, without those that have no word."""
+    sizes, hashes = _pieces(text, _Hashes() if known is None else known)
     upto = [0]
-    for w in words:
-        upto.append(upto[-1] + len(w))
-    n, found, stop, start = len(words), {}, 0, 0
+    for size in sizes:
+        upto.append(upto[-1] + size)
+    n, found, stop, start = len(sizes), set(), 0, 0
     for i in range(n):
         stop = max(stop, i + RUN_SENTENCES)
         while stop <= n and upto[stop] - upto[i] < RUN_WORDS:
             stop += 1
         if stop <= n:
-            found[(i, stop)] = None
+            found.add((i, stop))
     for j in range(RUN_SENTENCES, n + 1):
         while start + 1 <= j - RUN_SENTENCES and upto[j] - upto[start + 1] >= RUN_WORDS:
             start += 1
         if upto[j] - upto[start] >= RUN_WORDS:
-            found[(start, j)] = None
+            found.add((start, j))
     out, seen = [], set()
     for a, b in sorted(found):
-        h = xxhash.xxh3_128_intdigest(" ".join(filter(None, flat[a:b])).encode())
-        out.append((a, b, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63), h in seen))
-        seen.add(h)
+        h1 = h2 = 0
+        for k in range(a, b):
+            if sizes[k]:
+                h1 = ((h1 ^ hashes[k]) * FOLD1 + 1) & MASK
+                h2 = ((h2 + hashes[k]) * FOLD2 ^ h1 >> 31) & MASK
+        h1 ^= h1 >> 32
+        out.append((a, b, h1 - (1 << 63), h2 - (1 << 63), (h1, h2) in seen))
+        seen.add((h1, h2))
+    return out
+
+
+def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
+    """Three places of every hash in a filter of so many bits."""
+    h = h.astype(np.uint64)
+    return [((h * np.uint64(m) >> np.uint64(20)) % np.uint64(size)).astype(np.int64) for m in (FOLD1, FOLD2, 0x165667B19E3779F9)]
+
+
+#: Bits of one of Spark's bitmaps.
+BITMAP = 4096 * 8
+
+
+def _bloom(hashes: DataFrame, n: int) -> np.ndarray:
+    """Bloom filter of ``hashes(h1)``, ten bits a hash. The tasks make its pieces; only the filter is gathered."""
+    size = max(1, -(-10 * n // BITMAP)) * BITMAP
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(_bits(batch.column(0).to_numpy(), size)) + 1, pa.int64())], ["place"])
+    pieces = hashes.mapInArrow(places, "place bigint").groupBy(F.bitmap_bucket_number("place").alias("piece")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    out = np.zeros(size // 8, np.uint8)
+    for row in pieces.collect():
+        out[(row["piece"] - 1) * 4096:row["piece"] * 4096] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple] = []
-    for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            rows += [(doc_id, *run) for run in runs(text.as_py())]
-            if len(rows) > 100_000:
-                yield _batch(rows)
-                rows = []
-    if rows:
-        yield _batch(rows)
+def _passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return np.logical_and.reduce([filter_[p >> 3] >> (p & 7).astype(np.uint8) & 1 == 1 for p in _bits(hashes, 8 * len(filter_))])
+
+
+def _emit(schema: pa.Schema, packed: np.ndarray | None = None):
+    """Runs of the texts as rows of ``schema``; with a filter, only those that pass it."""
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            known = _Hashes()
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                rows += [(doc_id, *run) for run in runs(text.as_py(), known)]
+                if len(rows) > 100_000:
+                    yield _batch(rows, schema, packed)
+                    rows = []
+        if rows:
+            yield _batch(rows, schema, packed)
+    return of
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), RUNS, strict=True)], schema=RUNS)
+def _batch(rows: list[tuple], schema: pa.Schema, packed: np.ndarray | None) -> pa.RecordBatch:
+    columns = dict(zip(RUNS.names, zip(*rows, strict=True), strict=True))
+    out = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+    if packed is None:
+        return out
+    return out.filter(pa.array(_passes(packed, np.array(columns["h1"], np.int64))))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, start, stop`` of every run in ``docs(doc_id, text)`` that is not the first of its kind,
-    by ``doc_id`` and place."""
-    all_runs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text")).mapInArrow(_emit, RUNS_SQL)
-    # Within a text the first place is known already, so the groups need no more than the first document.
-    first = all_runs.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return all_runs.join(first, ["h1", "h2"]).where("again or doc_id > first").select("doc_id", "start", "stop")
+    by ``doc_id`` and place.
+
+    A first pass finds the hashes that occur more than once, from 64 bits and the document alone, counted
+    map-side. The second pass gives out only the runs that a filter of those hashes lets through, and joins
+    them on 128 bits."""
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    # Within a text the first place is known already; copies of one id are at the same place.
+    firsts = own.mapInArrow(_emit(FIRST), FIRST_SQL).groupBy("h1").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n"))
+    again = stored(firsts.where("n > 1 and (again or least <> most or least is null)").select("h1"), "spans-repeated")
+    few = again.count()
+    packed = _bloom(again, few) if few <= FILTERED_RUNS else None
+    maybe = stored(own.mapInArrow(_emit(RUNS, packed), RUNS_SQL), "spans-runs")
+    first = maybe.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return maybe.join(first, ["h1", "h2"]).where("again or doc_id > first").select("doc_id", "start", "stop")
 
 
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()),
                             T.StructField("n_removed", T.LongType())]))
 def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    rows = []
+    rows, known = [], _Hashes()
     for text, own in zip(texts, spans, strict=True):
-        parts = sentences(text)
+        parts = sentences(text, known)
         drop = set()
         for span in own if own is not None else ():
             drop.update(range(span["start"], span["stop"]))

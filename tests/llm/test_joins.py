@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 import pytest
-from emberlog.llm import decontam, hard_negatives, spelling
+from emberlog.llm import decontam, hard_negatives, spans, spelling
 from pyspark.sql import functions as F
 
 DOCS = "doc_id bigint, text string, shingle string, hit boolean, head int, w string, item_id int"
@@ -156,3 +156,11 @@ def test_walks_end_before_the_list_and_large_numbers_are_exact():
     assert s.walked < 0.5 * s.listed
     big = rng.integers(2**29, size=(5, 4)) + 2**28
     assert (hard_negatives.inner(big, big) == big.astype(object) @ big.T.astype(object)).all()
+
+
+def test_filter_of_repeated_runs(spark):
+    rng = np.random.default_rng(1)
+    inside, outside = (rng.integers(-2**63, 2**63 - 1, size=20_000) for _ in range(2))
+    packed = spans._bloom(spark.createDataFrame([(int(h),) for h in inside], "h1 bigint"), len(inside))
+    assert spans._passes(packed, inside).all() and spans._passes(packed, outside).mean() < 0.05
+    assert spans._bloom(spark.createDataFrame([], "h1 bigint"), 0).sum() == 0
