@@ -4,8 +4,11 @@ Three layouts are read alike; ``path`` may be one capture or a folder of capture
 file system Spark can read:
 
 - flat: ``<capture>/{*.jsonl, *.jsonl.zst, index.jsonl, metadata.json}``
-- one written capture: ``<capture>/{data,index,metadata}/*``
-- many written together: ``<root>/capture=<name>/*``, ``<root>/{index,metadata}/capture=<name>/*``
+- one written capture: ``<capture>/data/seg=<file>/*``, ``<capture>/{index,metadata}/*``
+- many written together: ``<root>/capture=<name>/seg=<file>/*``, ``<root>/{index,metadata}/capture=<name>/*``
+
+A written data file lies in a folder of its own, whose name is the file's name in the index. For Spark these
+folders are partitions, so which files a join leaves over is settled in the plan (dynamic pruning).
 """
 
 from __future__ import annotations
@@ -30,12 +33,26 @@ def _unescaped(text: Column) -> Column:
     return F.when(text.contains("%"), F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))).otherwise(text)
 
 
+def _plain(path: Column) -> Column:
+    """The path without the folder that a written data file has for itself."""
+    last = F.substring_index(path, "/", -2)
+    above = F.substring(path, F.lit(1), F.length(path) - F.length(last))
+    return F.when(last.startswith("seg="), F.concat(above, F.substring_index(path, "/", -1))).otherwise(path)
+
+
+def _file(path: Column) -> Column:
+    """The name under which an index knows the file."""
+    last = F.substring_index(path, "/", -2)
+    own = F.substring_index(F.substring(last, F.lit(len("seg=") + 1), F.length(last)), "/", 1)
+    return F.when(last.startswith("seg="), own).otherwise(F.substring_index(path, "/", -1))
+
+
 def _path() -> Column:
-    return _unescaped(F.col("_metadata.file_path"))
+    return _plain(_unescaped(F.col("_metadata.file_path")))
 
 
 def _name() -> Column:
-    return F.substring_index(_path(), "/", -1)
+    return _file(_unescaped(F.col("_metadata.file_path")))
 
 
 _PARTS = ("data", "index", "metadata")
@@ -101,13 +118,43 @@ def read_lines(spark: SparkSession, path: str | list[str], only: Column | None =
         F.col("_metadata.file_block_start").alias("block"))
 
 
+def _found(spark: SparkSession, glob: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
+
+
+def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
+    """Lines of written captures with their folders as partition columns; none if there are other data files too."""
+    if not isinstance(path, str) or getattr(spark, "_jvm", None) is None:
+        return None
+    root = path.rstrip("/")
+    if _found(spark, f"{root}/capture=*/seg=*"):
+        base, glob, capture = root, f"{root}/capture=*", F.col("capture")
+    else:
+        base = next((b for b in (f"{root}/data", root) if _found(spark, f"{b}/seg=*")), None)
+        glob, capture = base, _capture(F.lit(f"{base}/_"))
+    if base is None or not list_files(spark, path).where("not own_folder").isEmpty():
+        return None
+    schema = "value string, capture string, seg string" if base != glob else "value string, seg string"
+    lines = (spark.read.schema(schema).option("basePath", base).option("pathGlobFilter", DATA_GLOB).option("ignoreMissingFiles", True).text(glob))
+    return lines.where("value <> ''").select("value", capture.alias("capture"), F.col("seg").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+
+
 def read_lines_of(spark: SparkSession, path: str, files: DataFrame, inverse: bool = False) -> DataFrame:
     """Lines of the ``files`` (capture, file), or of all others; no other file is opened.
 
-    The names become a condition on the reader's file path, which is answered from the
-    listing. Like the listing itself, from which the reader plans its splits, they are on
-    the driver: one short text per file, however many bytes the files have."""
-    names = [f"{r.capture}/{r.file}" for r in files.select("capture", "file").distinct().collect()]
+    For written captures that is a join in the plan: dynamic pruning drops the folders of the other
+    files before they are opened, and no name passes through this program. It is broadcast, as
+    the listing that Spark plans the scan from is larger. In the flat layout, where files share folders, the names become a condition
+    on the reader's file path, which is answered from that listing."""
+    wanted = files.select("capture", "file").distinct()
+    lines = _segments(spark, path)
+    if lines is not None:
+        if inverse:
+            wanted = list_files(spark, path).select("capture", "file").join(wanted, ["capture", "file"], "left_anti")
+        # The condition holds for all files; it tells Spark that this side selects.
+        return lines.join(F.broadcast(wanted.where("file > ''")), ["capture", "file"], "left_semi").select("value", "capture", "file", "block")
+    names = [f"{r.capture}/{r.file}" for r in wanted.toLocalIterator()]
     if not names:
         return read_lines(spark, path, None if inverse else F.lit(False))
     listed = F.concat_ws("/", _capture(_path()), _name()).isin(names)
@@ -199,22 +246,22 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str, data_only: bool = True) -> DataFrame:
-    """capture, dir, file, bytes of each file; the contents are not read."""
+    """capture, dir, file, bytes of each file, and whether it has a folder of its own; the contents are not read."""
     files = _files(spark, DATA_GLOB if data_only else "*").format("binaryFile").load(path)
-    name = F.substring_index("path", "/", -1)
+    plain, name = _plain(F.col("path")), _file(F.col("path"))
     if data_only:
-        files = files.where(_is_data(F.col("path"), name))
-    return files.select(_capture(F.col("path")).alias("capture"),
-                        _capture_dir(F.col("path")).alias("dir"), name.alias("file"), F.col("length").alias("bytes"))
+        files = files.where(_is_data(plain, name))
+    return files.select(_capture(plain).alias("capture"), _capture_dir(plain).alias("dir"), name.alias("file"), F.col("length").alias("bytes"),
+                        (plain != F.col("path")).alias("own_folder"))
 
 
 def read_file_contents(spark: SparkSession, path: str) -> DataFrame:
     """capture, file, content of every file but the manifest, for digests. Data files are
     bounded in size when written, which keeps one file within one task's memory."""
     files = _files(spark, "*").format("binaryFile").load(path)
-    name = F.substring_index("path", "/", -1)
+    name = _file(F.col("path"))
     return files.where(name != "manifest.sha256").select(
-        _capture(F.col("path")).alias("capture"), name.alias("file"), "content")
+        _capture(_plain(F.col("path"))).alias("capture"), name.alias("file"), "content")
 
 
 def catalog(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:

@@ -86,13 +86,18 @@ def _read(df):
     rows, found = df.collect(), []
 
     def walk(node):
-        if "Scan" in node.nodeName():
-            found.append(node.metrics().apply("numFiles").value())
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        if node.nodeName().endswith("QueryStage"):
+            return walk(node.plan())
+        if node.nodeName().startswith("Scan text"):
+            found.append(("seg" in node.output().mkString(), node.metrics().apply("numFiles").value()))
         children = node.children().iterator()
         while children.hasNext():
             walk(children.next())
     walk(df._jdf.queryExecution().executedPlan())
-    return rows, sum(found)
+    # The scan of written data has a partition column; others beside it read the index.
+    return rows, sum(n for seg, n in found if seg or not any(s for s, _ in found))
 
 
 def test_full_index(spark, root):
@@ -242,3 +247,42 @@ def test_null_label_values(spark, tmp_path):
                                        '{"ts":"2024-01-15T10:00:00Z","labels":{"a":""},"msg":"y"}'])
     row = ci.build_index(src.read_capture(spark, str(tmp_path))).first()
     assert row.labels == {"a": {"": 2}} and row.lines == 2
+
+
+def test_files_are_bounded_by_bytes_and_the_index_agrees(spark, make_logs):
+    rows = [(f"10:{i % 60:02d}:{i // 60:02d}", {"app": f"a{i % 3}"}, f"{i} " + "x" * (1_000_000 if i % 40 == 7 else 300), "f", "hot" if i % 5 else "cold") for i in range(600)]
+    rows += [("10:30:30", {"app": "burst"}, f"same time {i % 7}" + "y" * 20_000, "f", "hot") for i in range(300)]  # heavier than a file
+    rows += [(None, {"app": "none"}, "no time", "f", "hot")] * 3
+    root = scratch_dir(spark, "bounded")
+    sinks.write_captures(make_logs(rows), root, max_bytes=3_000_000)
+    files = src.list_files(spark, root).collect()
+    assert len(files) > 8 and all(f.bytes <= 3_000_000 and f.own_folder for f in files)
+    index = {(r.capture, r.file): r for r in src.read_index(spark, root).collect()}
+    back = src.read_capture(spark, root)
+    seen = ci.build_index(back, F.col("raw_bytes") + 1, ["capture", "file"]).collect()
+    assert {(r.capture, r.file): (r["from"], r.to, r.lines, r.bytes, r.labels) for r in seen} == {
+        k: (r["from"], r.to, r.lines, r.bytes, r.labels) for k, r in index.items()}
+    assert {(f.capture, f.file): f.bytes for f in files} == {k: r.bytes for k, r in index.items()}
+    assert back.count() == len(rows)
+    spans = sorted((k[1], r["from"], r.to) for k, r in index.items() if k[0] == "hot" and r["from"])
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_files_are_chosen_in_the_plan(spark, make_logs):
+    logs = make_logs([(f"10:{i % 60:02d}:{i // 60:02d}", {"app": f"a{i // 100}"}, f"m{i}", "f", f"c{i % 2}") for i in range(600)])
+    root = scratch_dir(spark, "pruned")
+    sinks.write_captures(logs, root, max_entries=10)
+    index = src.read_index(spark, root)
+    # Many more rows in the index than there are files.
+    many = index.unionByName(spark.range(500_000).select(F.lit("gone").alias("capture"), F.concat(F.lit("g"), "id").alias("file"), *(
+        F.lit(None).cast(f.dataType).alias(f.name) for f in index.schema.fields if f.name not in ("capture", "file"))))
+    df = src.read_capture_pruned(spark, root, many, frm=at("10:30:00"), to=at("10:34:00"))
+    rows, opened = _read(df)
+    wanted = {(r.capture, r.file) for r in index.where((F.col("from") <= F.lit(at("10:34:00"))) & (F.col("to") >= F.lit(at("10:30:00")))).collect()}
+    assert opened == len(wanted) < index.count() / 2 and {(r.capture, r.file) for r in rows} == wanted
+    assert "dynamicpruning" in df._jdf.queryExecution().executedPlan().toString()
+    rows, opened = _read(src.read_lines_of(spark, root, index.where("capture = 'c1'")))
+    assert opened == index.where("capture = 'c1'").count() and len(rows) == 300
+    one = f"{root}/capture=c1"
+    rows, opened = _read(src.read_lines_of(spark, one, index.where("capture = 'c1'").orderBy("file").limit(2)))
+    assert opened == 2 and {r.capture for r in rows} == {"c1"}
