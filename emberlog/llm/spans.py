@@ -12,6 +12,7 @@ documents share is neither gathered in one task nor paired with itself.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -40,10 +41,12 @@ FILTERED_RUNS = 10_000_000
 RUNS = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()),
                   ("again", pa.bool_())])
 RUNS_SQL = "doc_id bigint, start int, stop int, h1 bigint, h2 bigint, again boolean"
+CUT = pa.schema([("doc_id", pa.int64()), ("sizes", pa.list_(pa.int32())), ("hashes", pa.binary())])
+CUT_SQL = "doc_id bigint, sizes array<int>, hashes binary"
 FIRST = pa.schema([("h1", pa.int64()), ("doc_id", pa.int64()), ("again", pa.bool_())])
 FIRST_SQL = "h1 bigint, doc_id bigint, again boolean"
-#: Odd numbers that a run's hash is folded with, sentence by sentence, modulo 2**64.
-FOLD1, FOLD2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: Odd numbers that spread a hash over the places of a filter.
+SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 MASK = (1 << 64) - 1
 
 
@@ -55,22 +58,22 @@ class _Hashes(dict):
         return h
 
 
-def _ends(hashes: list[int]) -> set[int]:
-    """Places after which a long sentence is cut: in every SENTENCE_WORDS words in a row, the last of those
+def _ends(hashes: list[int]) -> list[int]:
+    """Places after which a long sentence is cut, and its end: in every SENTENCE_WORDS words in a row, the last of those
     with the least hash. What lies around does not count, so all copies of a passage are cut at
     the same places, wherever their sentence begins."""
-    # The last of the least in each window: where it stays in the window, it is only met by what comes in.
-    out, n, at = set(), len(hashes), -1
+    out, n, at = [], len(hashes), -1
     for stop in range(SENTENCE_WORDS, n + 1):
-        start = stop - SENTENCE_WORDS
-        if at < start:
-            least = min(hashes[start:stop])
-            at = stop - 1
-            while hashes[at] != least:
-                at -= 1
+        # The last of the least stays until it leaves the row or one as small comes in.
+        if at < stop - SENTENCE_WORDS:
+            own = hashes[stop - SENTENCE_WORDS:stop]
+            at = stop - 1 - own[::-1].index(min(own))
+            out.append(at)
         elif hashes[stop - 1] <= hashes[at]:
             at = stop - 1
-        out.add(at)
+            out.append(at)
+    if at < n - 1:
+        out.append(n - 1)
     return out
 
 
@@ -82,7 +85,7 @@ def sentences(text: str, known: _Hashes | None = None) -> list[str]:
     for sentence in SENTENCE.findall(text):
         if len(sentence) > 2 * SENTENCE_WORDS and len(words := sentence.split()) > SENTENCE_WORDS:
             parts, start = WORD.findall(sentence), 0
-            for end in sorted(_ends([known[w] for w in words]) | {len(words) - 1}):
+            for end in _ends([known[w] for w in words]):
                 out.append("".join(parts[start:end + 1]))
                 start = end + 1
         elif sentence:
@@ -90,67 +93,70 @@ def sentences(text: str, known: _Hashes | None = None) -> list[str]:
     return out
 
 
-def _pieces(text: str, known: _Hashes) -> tuple[list[int], list[int]]:
-    """Number of words and hash of every sentence of :func:`sentences`."""
+def _pieces(text: str, known: _Hashes) -> tuple[list[int], bytes]:
+    """Number of words of every sentence of :func:`sentences`, and the hashes of those that have words, 8 bytes each."""
     sizes, hashes = [], []
-
-    def add(own: list[int]) -> None:
-        h = len(own)
-        for x in own:
-            h = (h * FOLD1 + x) & MASK
-        sizes.append(len(own))
-        hashes.append(h ^ h >> 29)
     for sentence in SENTENCE.findall(text):
         if not sentence:
             continue
-        own = [known[w] for w in sentence.split()]
-        if len(own) <= SENTENCE_WORDS or len(sentence) <= 2 * SENTENCE_WORDS:
-            add(own)
+        words = sentence.split()
+        n = len(words)
+        if n <= SENTENCE_WORDS or len(sentence) <= 2 * SENTENCE_WORDS:
+            sizes.append(n)
+            if n:
+                hashes.append(xxhash.xxh3_64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
             continue
         start = 0
-        for end in sorted(_ends(own) | {len(own) - 1}):
-            add(own[start:end + 1])
+        for end in _ends([known[w] for w in words]):
+            sizes.append(end + 1 - start)
+            hashes.append(xxhash.xxh3_64_digest(" ".join(words[start:end + 1]).encode("utf-8", "surrogatepass")))
             start = end + 1
-    return sizes, hashes
+    return sizes, b"".join(hashes)
 
 
-def runs(text: str, known: _Hashes | None = None) -> list[tuple[int, int, int, int, bool]]:
-    """(start, stop, h1, h2, again) of every run, in order; ``stop`` is exclusive, and ``again`` tells that
-    the text has had the same run before. White space does not count. A run's hashes are folded from those of its
-    sentences, without those that have no word."""
-    sizes, hashes = _pieces(text, _Hashes() if known is None else known)
-    upto = [0]
-    for size in sizes:
-        upto.append(upto[-1] + size)
+def _runs(sizes: list[int], hashes: bytes) -> list[tuple[int, int, int, int, bool]]:
+    upto, places = [0, *accumulate(sizes)], [0, *accumulate(8 * (size > 0) for size in sizes)]
     n, found, stop, start = len(sizes), set(), 0, 0
     for i in range(n):
         stop = max(stop, i + RUN_SENTENCES)
-        while stop <= n and upto[stop] - upto[i] < RUN_WORDS:
+        need = upto[i] + RUN_WORDS
+        while stop <= n and upto[stop] < need:
             stop += 1
-        if stop <= n:
-            found.add((i, stop))
+        if stop > n:
+            break
+        found.add((i, stop))
     for j in range(RUN_SENTENCES, n + 1):
-        while start + 1 <= j - RUN_SENTENCES and upto[j] - upto[start + 1] >= RUN_WORDS:
+        most, last = upto[j] - RUN_WORDS, j - RUN_SENTENCES
+        while start < last and upto[start + 1] <= most:
             start += 1
-        if upto[j] - upto[start] >= RUN_WORDS:
+        if upto[start] <= most:
             found.add((start, j))
-    out, seen = [], set()
+    out, seen, digest = [], set(), xxhash.xxh3_128_intdigest
     for a, b in sorted(found):
-        h1 = h2 = 0
-        for k in range(a, b):
-            if sizes[k]:
-                h1 = ((h1 ^ hashes[k]) * FOLD1 + 1) & MASK
-                h2 = ((h2 + hashes[k]) * FOLD2 ^ h1 >> 31) & MASK
-        h1 ^= h1 >> 32
-        out.append((a, b, h1 - (1 << 63), h2 - (1 << 63), (h1, h2) in seen))
-        seen.add((h1, h2))
+        h = digest(hashes[places[a]:places[b]])
+        out.append((a, b, (h >> 64) - (1 << 63), (h & MASK) - (1 << 63), h in seen))
+        seen.add(h)
     return out
 
 
+def runs(text: str) -> list[tuple[int, int, int, int, bool]]:
+    """(start, stop, h1, h2, again) of every run, in order; ``stop`` is exclusive, and ``again`` tells that
+    the text has had the same run before. White space does not count. A run's hash is that of the hashes of its
+    sentences, without those that have no word."""
+    return _runs(*_pieces(text, _Hashes()))
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        known = _Hashes()
+        rows = [_pieces(text.as_py(), known) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], CUT.field(1).type), pa.array([r[1] for r in rows], pa.binary())], schema=CUT)
+
+
 def _bits(h: np.ndarray, size: int) -> list[np.ndarray]:
     """Three places of every hash in a filter of so many bits."""
     h = h.astype(np.uint64)
-    return [((h * np.uint64(m) >> np.uint64(20)) % np.uint64(size)).astype(np.int64) for m in (FOLD1, FOLD2, 0x165667B19E3779F9)]
+    return [((h * np.uint64(m) >> np.uint64(20)) % np.uint64(size)).astype(np.int64) for m in SPREAD]
 
 
 #: Bits of one of Spark's bitmaps.
@@ -177,13 +183,12 @@ def _passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _emit(schema: pa.Schema, packed: np.ndarray | None = None):
-    """Runs of the texts as rows of ``schema``; with a filter, only those that pass it."""
+    """Runs of the cut texts as rows of ``schema``; with a filter, only those that pass it."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for batch in batches:
-            known = _Hashes()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                rows += [(doc_id, *run) for run in runs(text.as_py(), known)]
+            for doc_id, sizes, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                rows += [(doc_id, *run) for run in _runs(sizes, hashes)]
                 if len(rows) > 100_000:
                     yield _batch(rows, schema, packed)
                     rows = []
@@ -204,10 +209,11 @@ def repeated(docs: DataFrame) -> DataFrame:
     """``doc_id, start, stop`` of every run in ``docs(doc_id, text)`` that is not the first of its kind,
     by ``doc_id`` and place.
 
-    A first pass finds the hashes that occur more than once, from 64 bits and the document alone, counted
+    Texts are cut once, into 8 bytes a sentence, which are written. A first pass over them finds the hashes that occur more than once, from 64 bits and the document alone, counted
     map-side. The second pass gives out only the runs that a filter of those hashes lets through, and joins
     them on 128 bits."""
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+    own = stored(own.mapInArrow(_cut, CUT_SQL), "spans-cut")
     # Within a text the first place is known already; copies of one id are at the same place.
     firsts = own.mapInArrow(_emit(FIRST), FIRST_SQL).groupBy("h1").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("again").alias("again"), F.count(F.lit(1)).alias("n"))
