@@ -24,7 +24,7 @@ from emberlog.schema import ENTRY_WIRE, INDEX, METADATA
 
 # Files of a capture folder that hold no entries.
 NOT_DATA = ("index.jsonl", "metadata.json", "audit.jsonl", "manifest.sha256")
-DATA_GLOB = "*.{jsonl,jsonl.zst,jsonl.gz,json,json.gz,txt}"
+DATA_GLOB = "*.{jsonl,jsonl.zst,jsonl.gz,json,json.gz,txt,txt.gz}"
 
 # Paths spell unusual characters as %XX: once in a URI, and once more in partition folders. A plus
 # sign stands for itself in both.
@@ -77,7 +77,7 @@ def _below(path: Column, folder: str) -> Column:
 
 def _is_data(path: Column, name: Column) -> Column:
     # Text files count only where the writer puts them.
-    stray = name.endswith(".txt") & (_folder(path, 1) != "data")
+    stray = (name.endswith(".txt") | name.endswith(".txt.gz")) & (_folder(path, 1) != "data")
     return ~name.isin(*NOT_DATA) & ~stray & ~_below(path, "index") & ~_below(path, "metadata")
 
 
