@@ -18,7 +18,6 @@ class Pattern:
     needs: str = ""  # text that every match contains, or a cheap regex (after "~") that finds it
 
 
-_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)"
 _SPACE = r"\t\n\f\r "
 # A word boundary and then one character of an address' name part.
 _NAME_START = rf"(?:[{WORD}](?<![{WORD}].)|[.%+\-](?<=[{WORD}].))"
@@ -30,7 +29,7 @@ BUILTIN = (
     Pattern("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED:jwt]", "eyJ"),
     Pattern("bearer", rf"(?iu)(?:Bearer[{_SPACE}]+|Authorization:[{_SPACE}]*Bearer[{_SPACE}]+)[A-Za-z0-9_\-.]+",
             "[REDACTED:bearer]", "~(?iu)bearer"),
-    Pattern("ip_v4", rf"(?=\d{{1,3}}\.)(?<![{WORD}])(?:{_OCTET}\.){{3}}{_OCTET}" + WORD_END, "[REDACTED:ip]", "."),
+    Pattern("ip_v4", rf"(?=\d{{1,3}}\.)(?<![{WORD}])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)\.){{3}}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]\d|\d)" + WORD_END, "[REDACTED:ip]", "."),
     Pattern("ssn", DIGIT_START + r"\d{2}-\d{2}-\d{4}" + WORD_END, "[REDACTED:ssn]", "-"),
     Pattern("phone", rf"(?:\+\d{{1,3}}[{_SPACE}.-]?)?\(?\d{{3}}\)?[{_SPACE}.-]?\d{{3}}[{_SPACE}.-]?\d{{4}}" + WORD_END,
             "[REDACTED:phone]", "~[0-9]{3}"),

@@ -266,22 +266,31 @@ def catch_up_new_files(t):
     return src.parse_entries(src.read_lines_of(t.spark, root, fresh)).select("capture", "ts", "msg")
 
 
-@query("signed_capture", f"WITH {LOGS} SELECT capture, true AS signed, CAST(0 AS BIGINT) AS issues, true AS same_root FROM logs GROUP BY capture")
+@query("signed_capture", f"""WITH {LOGS}
+SELECT capture, CAST(capture = 'base' AS BIGINT) AS changed, CAST(capture = 'current' AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added,
+  false AS same_root FROM logs GROUP BY capture""")
 def signed_capture(t):
-    """Every written file against the stored manifest, and the root digest of each capture against
-    that of the manifest. The digests themselves depend on how many files the cores wrote."""
-    root = _written(t)
-    digests = integrity.manifest(src.read_file_contents(t.spark, root))
-    whole = digests.withColumn("file", F.concat_ws("/", "capture", "file"))
+    """The written files against a stored manifest. Since it was signed, the first file of base got another byte and
+    the last of current was lost: just those are found, and no root digest holds. The digests themselves
+    depend on how many files the cores wrote."""
+    root = _written(t, max_entries=1000)
+    contents = src.read_file_contents(t.spark, root)
     path = scratch_dir(t.spark, "manifest")
-    integrity.manifest_lines(whole).write.text(path)
-    stored = integrity.read_manifest_lines(t.spark.read.text(path))
-    issues = integrity.verify(stored, whole).groupBy(F.substring_index("file", "/", 1).alias("capture")).agg(F.count(F.lit(1)).alias("issues"))
-    again = stored.select(F.substring_index("file", "/", 1).alias("capture"), F.substring_index("file", "/", -1).alias("file"), "sha256")
-    signed = integrity.root_digest(again).select("capture", F.col("root_sha256").alias("signed_root"))
-    return (integrity.root_digest(digests).join(signed, "capture").join(issues, "capture", "left")
-            .select("capture", (F.length("root_sha256") == 64).alias("signed"),
-                    F.coalesce("issues", F.lit(0).cast("bigint")).alias("issues"), (F.col("root_sha256") == F.col("signed_root")).alias("same_root")))
+    whole = F.concat_ws("/", "capture", "file")
+    integrity.manifest_lines(integrity.manifest(contents).withColumn("file", whole)).write.text(path)
+    signed = integrity.read_manifest_lines(t.spark.read.text(path))
+
+    ends = src.list_files(t.spark, root).groupBy("capture").agg(F.min("file").alias("first"), F.max("file").alias("last"))
+    changed = (F.col("capture") == "base") & (F.col("file") == F.col("first"))
+    now = integrity.manifest(contents.join(ends, "capture").where("not (capture = 'current' and file = last)")
+                             .withColumn("content", F.when(changed, F.concat("content", F.lit(b"!"))).otherwise(F.col("content"))).drop("first", "last"))
+    issues = integrity.verify(signed, now.withColumn("file", whole)).groupBy(F.substring_index("file", "/", 1).alias("capture")).agg(
+        *(F.count_if(F.col("status") == status).alias(name) for status, name in (("mismatch", "changed"), ("missing", "lost"), ("extra", "added"))))
+    before = signed.select(F.substring_index("file", "/", 1).alias("capture"), F.substring_index("file", "/", -1).alias("file"), "sha256")
+    roots = integrity.root_digest(before).select("capture", F.col("root_sha256").alias("signed_root"))
+    return (integrity.root_digest(now).join(roots, "capture").join(issues, "capture", "left")
+            .select("capture", *(F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("changed", "lost", "added")),
+                    (F.col("root_sha256") == F.col("signed_root")).alias("same_root")))
 
 
 @query("export_parquet", f"WITH {LOGS} SELECT ts, {_FLAT} AS labels, msg FROM logs WHERE ts BETWEEN {T_FROM} AND {T_TO}")

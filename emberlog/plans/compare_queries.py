@@ -9,7 +9,9 @@ from emberlog.functions.scoring import percent_change, percent_text
 from emberlog.operators import compare, inject as faults, merge as merging, triage
 from emberlog.params import Fault
 from emberlog.plans.registry import query
-from emberlog.plans.tables import ERRORS, INDEX, LOGS, SKEWED, is_error_sql, signature_sql
+from emberlog.plans.tables import CHRONOLOGICAL, ERRORS, INDEX, LOGS, SKEWED, is_error_sql, signature_sql
+from emberlog.session import scratch_dir
+from emberlog.sources import captures, merged, sinks
 
 _SIDES = LOGS + f""",
 sig AS (
@@ -179,6 +181,41 @@ def merge_clock_corrected(t):
     return merging.merge_corrected(t.skewed_logs()).select("event_id", "capture", "ts", "msg")
 
 
+@query("merge_stored", f"""WITH {LOGS}
+SELECT ts + CASE capture WHEN 'base' THEN INTERVAL 90 SECOND ELSE INTERVAL 0 SECOND END AS ts, capture AS source_capture, msg FROM logs""")
+def merge_stored(t):
+    """Two written captures merged by their files, one with its clock moved, and read back."""
+    root, path = scratch_dir(t.spark, "captures"), scratch_dir(t.spark, "merged")
+    sinks.write_captures(t.logs(), root, order=CHRONOLOGICAL)
+    merged.write_merged(t.spark, path, [merged.Part(root, "base", timedelta(seconds=90)), merged.Part(root, "current")])
+    return merged.read_merged(t.spark, path).select("ts", "source_capture", "msg")
+
+
+def _corrected(t):
+    root, path = scratch_dir(t.spark, "captures"), scratch_dir(t.spark, "merged")
+    logs = t.skewed_logs()
+    sinks.write_captures(logs, root, order=CHRONOLOGICAL)
+    merged.write_merged(t.spark, path, merged.parts_of(root, merging.detect_skew(logs), ["A", "B"]))
+    return path
+
+
+@query("merge_corrected_stored", f"""WITH {_OFFSETS}
+SELECT s.capture AS source_capture, ts + to_microseconds(coalesce(k.offset_ms, 0) * 1000) AS ts, msg
+FROM skewed s LEFT JOIN skew k ON s.capture = k.capture AND k.applied""")
+def merge_corrected_stored(t):
+    """Skew is found, the captures are merged with corrected clocks, and read back."""
+    return merged.read_merged(t.spark, _corrected(t)).select("source_capture", "ts", "msg")
+
+
+@query("merge_corrected_summary", f"""WITH {_OFFSETS},
+fixed AS (SELECT ts + to_microseconds(coalesce(k.offset_ms, 0) * 1000) AS ts FROM skewed s LEFT JOIN skew k ON s.capture = k.capture AND k.applied)
+SELECT min(ts) AS data_from, max(ts) AS data_to, CAST(count(*) AS BIGINT) AS total_lines FROM fixed""")
+def merge_corrected_summary(t):
+    """Period and lines of the merged capture from its index alone."""
+    index = captures.read_index(t.spark, _corrected(t))
+    return index.agg(F.min("from").alias("data_from"), F.max("to").alias("data_to"), F.sum("lines").alias("total_lines"))
+
+
 @query("shift_time", f"WITH {LOGS} SELECT event_id, ts - INTERVAL 1500 MILLISECOND AS ts FROM logs")
 def shift_time(t):
     return t.logs().select("event_id", merging.shift_time(F.col("ts"), F.lit(-1500000)).alias("ts"))

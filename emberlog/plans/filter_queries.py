@@ -207,6 +207,7 @@ def replay_offset(t):
 
 
 # ---- analyses of an exported capture -------------------------------------------------------
+# Which figures these queries give, their words, units and limits.
 
 @query("total_lines", f"WITH {LOGS} SELECT CAST(count(*) AS BIGINT) AS total_lines FROM logs")
 def total_lines(t):
