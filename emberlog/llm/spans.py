@@ -93,6 +93,17 @@ def sentences(text: str, known: _Hashes | None = None) -> list[str]:
     return out
 
 
+def _count(text: str, known: _Hashes) -> int:
+    """Number of :func:`sentences`, which are not made."""
+    n = 0
+    for sentence in SENTENCE.findall(text):
+        if len(sentence) > 2 * SENTENCE_WORDS and len(words := sentence.split()) > SENTENCE_WORDS:
+            n += len(_ends([known[w] for w in words]))
+        elif sentence:
+            n += 1
+    return n
+
+
 def _pieces(text: str, known: _Hashes) -> tuple[list[int], bytes]:
     """Number of words of every sentence of :func:`sentences`, and the hashes of those that have words, 8 bytes each."""
     sizes, hashes = [], []
@@ -230,9 +241,12 @@ def repeated(docs: DataFrame) -> DataFrame:
 def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     rows, known = [], _Hashes()
     for text, own in zip(texts, spans, strict=True):
+        if own is None:
+            rows.append((text, _count(text, known), 0))
+            continue
         parts = sentences(text, known)
         drop = set()
-        for span in own if own is not None else ():
+        for span in own:
             drop.update(range(span["start"], span["stop"]))
         rows.append(("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text, len(parts), len(drop)))
     return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])

@@ -164,3 +164,11 @@ def test_filter_of_repeated_runs(spark):
     packed = spans._bloom(spark.createDataFrame([(int(h),) for h in inside], "h1 bigint"), len(inside))
     assert spans._passes(packed, inside).all() and spans._passes(packed, outside).mean() < 0.05
     assert spans._bloom(spark.createDataFrame([], "h1 bigint"), 0).sum() == 0
+
+
+def test_sentences_are_counted_as_they_are_cut():
+    rng = random.Random(9)
+    for _ in range(200):
+        text = "".join(rng.choice(["word", "a", "thing", "漢字", ""]) + rng.choice([" ", "  ", " ", " ", ". ", "!", "\n", " x "]) for _ in range(rng.randrange(120)))
+        known = spans._Hashes()
+        assert spans._count(text, known) == len(spans.sentences(text, known)) == len(spans._pieces(text, known)[0])
