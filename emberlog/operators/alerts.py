@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog.operators.ordering import with_previous
 from emberlog.operators.retention import DISK_WARNING
-from emberlog.params import AlertRule
+from emberlog.params import ALERT_METRICS, AlertRule
 
 
 def _with_last_tick(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -50,8 +50,17 @@ def crossed(value: Column, rule: AlertRule) -> Column:
             "gte": value >= rule.threshold, "lte": value <= rule.threshold}[rule.op]
 
 
-def rule_states(measured: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
-    """One row per tick and rule: rule, detail, value, triggered."""
+def rule_states(measured: DataFrame, rules: Sequence[AlertRule] | DataFrame) -> DataFrame:
+    """One row per tick and rule: rule, detail, value, triggered. Rules may be a table of the columns
+    ``name, metric, op, threshold, detail``, joined by metric."""
+    if isinstance(rules, DataFrame):
+        values = measured.select("ts", F.inline(F.array(*[
+            F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in ALERT_METRICS])))
+        value, threshold = F.col("value"), F.col("threshold")
+        tests = {"gt": value > threshold, "lt": value < threshold, "gte": value >= threshold, "lte": value <= threshold}
+        triggered = F.coalesce(*[F.when(F.col("op") == op, test) for op, test in tests.items()])
+        return values.join(rules, "metric").select(
+            "ts", F.col("name").alias("rule"), "detail", "value", triggered.alias("triggered"))
     return measured.select("ts", F.inline(F.array(*[
         F.struct(F.lit(r.name).alias("rule"), F.lit(r.detail).alias("detail"), F.col(r.metric).alias("value"),
                  crossed(F.col(r.metric), r).alias("triggered")) for r in rules])))
@@ -63,7 +72,7 @@ def rising_edges(states: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
             .where(F.col("triggered") & ~F.coalesce("last.triggered", F.lit(False))).drop("last", "triggered"))
 
 
-def alert_edges(snapshots: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
+def alert_edges(snapshots: DataFrame, rules: Sequence[AlertRule] | DataFrame) -> DataFrame:
     return rising_edges(rule_states(metrics(snapshots), rules), ["rule"])
 
 

@@ -132,6 +132,8 @@ class AlertRule:
     detail: str = ""
 
     def __post_init__(self):
+        if not self.name:
+            raise ValueError("alert rule without a name")
         if self.metric not in ALERT_METRICS:
             raise ValueError(f"unknown metric {self.metric!r}")
         if self.op not in ALERT_OPS:

@@ -8,9 +8,11 @@ from emberlog.functions.labels import flatten_labels
 from emberlog.functions.redaction import custom_pattern, luhn_valid, redact, redact_with_hits
 from emberlog.operators import alerts, ingest
 from emberlog.params import AlertRule
-from emberlog.plans.registry import query
+from emberlog.plans.registry import ORACLES, query
 from emberlog.plans.tables import LOGS, SNAPSHOTS
 from emberlog.functions.messages import rfc3339
+from emberlog.session import scratch_dir
+from emberlog.sources import rules
 
 NOW = datetime(2024, 2, 1, tzinfo=timezone.utc)
 
@@ -72,6 +74,16 @@ def redact_subset(t):
     return t.messages().select("doc_id", F.md5(redact(F.col("msg"), ["ip_v4", "email"], custom)).alias("redacted_md5"))
 
 
+@query("redact_from_file", f"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text,
+  '{_OTHERS[0][1]}', '[REDACTED:email]', 'g'), '[0-9]{{6}}', '[number]', 'g'), '(\\w+)\\.example', '\\1.host', 'g')) AS redacted_md5 FROM documents""")
+def redact_from_file(t):
+    """A builtin pattern, then those of a file, in its order."""
+    path = scratch_dir(t.spark, "patterns")
+    t.spark.createDataFrame([("number", "[0-9]{6}", "[number]"), ("host", r"(\w+)\.example", "${1}.host")], rules.PATTERNS).write.json(path)
+    custom = rules.read_patterns(t.spark, path)
+    return t.messages().select("doc_id", F.md5(redact(F.col("msg"), ["email"], custom)).alias("redacted_md5"))
+
+
 _HITS = ["credit_card", *[n for n, _, _ in _OTHERS]]
 
 
@@ -190,6 +202,18 @@ def alert_edges(t):
     return alerts.alert_edges(t.snapshots(), RULES)
 
 
+def rules_file(t):
+    """The rules as a file."""
+    path = scratch_dir(t.spark, "rules")
+    t.spark.createDataFrame(RULES).write.json(path)
+    return path
+
+
+@query("alert_edges_from_file", ORACLES["alert_edges"])
+def alert_edges_from_file(t):
+    return alerts.alert_edges(t.snapshots(), rules.read_alert_rules(t.spark, rules_file(t)))
+
+
 @query("disk_warning_edge", f"""WITH {SNAPSHOTS},
 e AS (SELECT ts, disk_usage, disk_cap, disk_usage > floor(disk_cap * 0.8) AS hit,
         coalesce(lag(disk_usage > floor(disk_cap * 0.8)) OVER (ORDER BY ts), false) AS was FROM snapshots)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from emberlog.functions.labels import flatten_labels
-from emberlog.plans.ingest_queries import _HITS, _redact_ctes, RULES
+from emberlog.plans.ingest_queries import _HITS, _redact_ctes, rules_file
 from emberlog.plans.registry import ORACLES, query
 from emberlog.plans.tables import LOGS, SNAPSHOTS, is_error_sql, signature_sql
 from emberlog.schema import AUDIT
@@ -113,16 +113,16 @@ def _landed_snapshots(t):
     return streaming_session(t.spark).readStream.schema(snapshots.schema).parquet(path)
 
 
-def _alerts(t, stream):
+def _alerts(t, rules):
     out = scratch_dir(t.spark, "alerts")
-    (stream.writeStream.format("parquet").outputMode("append").option("path", out)
-     .option("checkpointLocation", scratch_dir(t.spark, "stream")).trigger(availableNow=True).start().awaitTermination())
-    return t.spark.read.parquet(out)
+    alerting.keep_alerts(_landed_snapshots(t), rules, out, scratch_dir(t.spark, "stream")).awaitTermination()
+    return alerting.alerts(t.spark, out)
 
 
 @query("stream_alerts", ORACLES.get("alert_edges"))
 def stream_alerts(t):
-    return _alerts(t, alerting.alert_stream(_landed_snapshots(t), RULES)).select("ts", "rule", "detail", "value")
+    """Rules of a file, read at each trigger."""
+    return _alerts(t, rules_file(t))
 
 
 @query("stream_disk_warning", f"""WITH {SNAPSHOTS},
@@ -130,4 +130,4 @@ e AS (SELECT ts, disk_usage * 100.0 / disk_cap AS value FROM snapshots),
 f AS (SELECT *, coalesce(lag(value > 80) OVER (ORDER BY ts), false) AS was FROM e)
 SELECT ts, 'disk_warning' AS rule, CAST(value AS DOUBLE) AS value FROM f WHERE value > 80 AND NOT was""")
 def stream_disk_warning(t):
-    return _alerts(t, alerting.disk_warning_stream(_landed_snapshots(t))).select("ts", "rule", "value")
+    return _alerts(t, [alerting.DISK_RULE]).select("ts", "rule", "value")

@@ -1,64 +1,62 @@
-"""Stateful alerts: fire once when a threshold is crossed, hold, arm again when it clears."""
+"""Alerts over a stream of ticks: fire once when a threshold is crossed, hold, arm again when it clears.
+
+What one trigger leaves to the next are its last two ticks: from them the batch operators work
+out whether a rule was firing and how much a counter rose. Ticks of a trigger are ordered by
+Spark's own sorts, day by day, so that no rule's ticks are gathered in memory."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from emberlog.operators.alerts import crossed
+from emberlog.operators.alerts import alert_edges
 from emberlog.operators.retention import DISK_WARNING
 from emberlog.params import AlertRule
-
-ALERT = "rule string, detail string, ts timestamp, value double"
-
-
-def _edge_function():
-    """The per-rule function. It is local so that it is sent to the executors by value, which
-    need not have this package."""
-
-    def edges(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-        """Rows of one rule and one trigger, in order of time; the state is (fired, last counter). A
-        trigger's files bound the rows."""
-        import pandas as pd
-
-        fired, last = state.get if state.exists else (False, None)
-        # A group is one rule's ticks of one trigger.
-        ticks = pd.concat(list(batches)).sort_values("ts", ignore_index=True)
-        value, triggered, rule = ticks["value"], ticks["triggered"], ticks.iloc[0]
-        if rule["is_delta"]:
-            before = value.shift(1)
-            before.iloc[0] = float("nan") if last is None else last
-            last = float(value.iloc[-1])
-            value = (value - before).clip(lower=0.0).fillna(0.0)
-            triggered = getattr(value, {"gt": "gt", "lt": "lt", "gte": "ge", "lte": "le"}[rule["op"]])(rule["threshold"])
-        triggered = triggered.fillna(False).astype(bool)
-        starts = triggered & ~triggered.shift(1, fill_value=bool(fired))
-        state.update((bool(triggered.iloc[-1]), last))
-        yield pd.DataFrame({"rule": key[0], "detail": ticks["detail"], "ts": ticks["ts"], "value": value})[starts]
-
-    return edges
-
-
-def alert_stream(snapshots: DataFrame, rules: Sequence[AlertRule]) -> DataFrame:
-    """Alerts of a stream of counter snapshots, one state per rule."""
-    metric = {
-        "logs_dropped": F.col("logs_dropped").cast("double"),
-        "drop_rate": F.col("logs_dropped").cast("double"),  # the difference is taken in the state
-        "disk_pct": F.when(F.col("disk_cap") > 0, F.try_divide(F.col("disk_usage") * F.lit(100.0), "disk_cap")).otherwise(0.0),
-        "logs_received": F.col("logs_received").cast("double"),
-    }
-    states = snapshots.select("ts", F.inline(F.array(*[
-        F.struct(F.lit(r.name).alias("rule"), F.lit(r.detail).alias("detail"), metric[r.metric].alias("value"),
-                 crossed(metric[r.metric], r).alias("triggered"), F.lit(r.op).alias("op"),
-                 F.lit(float(r.threshold)).alias("threshold"), F.lit(r.metric == "drop_rate").alias("is_delta"))
-        for r in rules])))
-    return states.groupBy("rule").applyInPandasWithState(
-        _edge_function(), ALERT, "fired boolean, last double", "append", GroupStateTimeout.NoTimeout)
-
-
-def disk_warning_stream(snapshots: DataFrame) -> DataFrame:
-    """Passing the warning share of the disk cap, as an alert."""
-    rule = AlertRule("disk_warning", "disk_pct", "gt", DISK_WARNING * 100, "disk usage above the warning level")
-    return alert_stream(snapshots, [rule])
+from emberlog.sources.rules import read_alert_rules
+
+TICK = ["ts", "logs_received", "logs_dropped", "bytes_written", "disk_usage", "disk_cap"]
+ALERT = "ts timestamp, rule string, detail string, value double"
+DISK_RULE = AlertRule("disk_warning", "disk_pct", "gt", DISK_WARNING * 100, "disk usage above the warning level")
+
+
+def keep_alerts(snapshots: DataFrame, rules: Sequence[AlertRule] | str, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the alerts of a stream of counter snapshots below ``out``; ``alerts`` reads them.
+
+    ``rules`` may be the path of a rules file, which is read and checked anew at each trigger; a bad
+    file stops the stream. A rule that is new takes the ticks carried over as its past. Ticks without a time, or no later than
+    one already judged, change nothing and are kept apart (``late_ticks``). Folders are named by trigger, and
+    the carried ticks lie in two folders used in turn, so that a retry replaces what an earlier attempt left."""
+    def judge(batch: DataFrame, number: int) -> None:
+        spark, at = batch.sparkSession, F.unix_micros("ts")
+        new = batch.select(*TICK).persist()
+        try:
+            carried = spark.read.schema(new.schema).parquet(f"{out}/carried-{(number - 1) % 2}") if number else new.where("false")
+            judged = carried.agg(F.max(at)).head()[0]
+            timely = F.col("ts").isNotNull() if judged is None else F.coalesce(at > judged, F.lit(False))
+            ticks = carried.union(new.where(timely))
+            known = read_alert_rules(spark, rules) if isinstance(rules, str) else rules
+            found = alert_edges(ticks, known).where(timely).select("ts", "rule", "detail", "value")
+            for name, rows in (("alerts", found), ("late", new.where(~timely))):
+                # One folder at least, so that there is something to read; none for triggers without rows.
+                rows = rows.persist()
+                if number == 0 or not rows.isEmpty():
+                    rows.write.mode("overwrite").parquet(f"{out}/{name}/trigger={number}")
+                rows.unpersist()
+            ticks.orderBy(F.desc("ts")).limit(2).write.mode("overwrite").parquet(f"{out}/carried-{number % 2}")
+        finally:
+            new.unpersist()
+
+    return (snapshots.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(judge).trigger(availableNow=True).start())
+
+
+def alerts(spark: SparkSession, out: str) -> DataFrame:
+    """The alerts that ``keep_alerts`` wrote."""
+    return spark.read.schema(ALERT).option("recursiveFileLookup", True).parquet(f"{out}/alerts")
+
+
+def late_ticks(spark: SparkSession, out: str) -> DataFrame:
+    """The ticks that came too late to be judged, and those without a time."""
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{out}/late")

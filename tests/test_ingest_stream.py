@@ -1,14 +1,16 @@
 import json
 from datetime import timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import at, write_lines
 from emberlog.functions.labels import flatten_labels
+from emberlog.functions.redaction import redact
 from emberlog.operators import alerts, ingest, triage
 from emberlog.params import AlertRule
 from emberlog.session import scratch_dir
-from emberlog.sources import sinks
+from emberlog.sources import rules, sinks
 from emberlog.streaming import alerting, streams
 
 NOW = at("00:00:00", "2024-02-01")
@@ -159,16 +161,74 @@ def test_follow_reads_the_data_files_of_a_capture_only(spark, make_logs, tmp_pat
     assert sorted(r.msg for r in spark.read.parquet(out).collect()) == [f"m{i}" for i in range(9)]
 
 
+TICKS = "ts timestamp, logs_received bigint, logs_dropped bigint, bytes_written bigint, disk_usage bigint, disk_cap bigint"
+
+
+def run_alerts(spark, path, schema, known, max_files=1):
+    out = scratch_dir(spark, "alerts")
+    ticks = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    alerting.keep_alerts(ticks, known, out, scratch_dir(spark, "cp")).awaitTermination()
+    return out
+
+
 def test_alert_stream_keeps_state_between_triggers(spark):
     drops = [0, 200, 300, 50, 60, 250, 260, 500]
     rows = [(at("10:00:00") + timedelta(seconds=i), 10 * i, d, 0, d, 400) for i, d in enumerate(drops)]
-    df = spark.createDataFrame(rows, "ts timestamp, logs_received bigint, logs_dropped bigint, bytes_written bigint, disk_usage bigint, disk_cap bigint")
-    path, out = scratch_dir(spark, "ticks"), scratch_dir(spark, "alerts")
+    df = spark.createDataFrame(rows, TICKS)
+    path = scratch_dir(spark, "ticks")
     for i in range(0, len(rows), 3):  # one file after another
         df.where(F.col("ts").between(rows[i][0], rows[min(i + 2, 7)][0])).coalesce(1).write.mode("append").parquet(path)
-    rules = [AlertRule("drops", "logs_dropped", "gt", 100, "d"), AlertRule("rate", "drop_rate", "gte", 100, "r"),
+    known = [AlertRule("drops", "logs_dropped", "gt", 100, "d"), AlertRule("rate", "drop_rate", "gte", 100, "r"),
              AlertRule("disk", "disk_pct", "gt", 60, "full")]
-    stream = alerting.alert_stream(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), rules)
-    (stream.writeStream.outputMode("append").format("parquet").option("path", out)
-     .option("checkpointLocation", scratch_dir(spark, "cp")).trigger(availableNow=True).start().awaitTermination())
-    same(spark.read.parquet(out), alerts.alert_edges(df, rules))
+    out = run_alerts(spark, path, df.schema, known)
+    same(alerting.alerts(spark, out), alerts.alert_edges(df, known))
+    assert alerting.late_ticks(spark, out).count() == 0
+    # A tick that comes late, one that comes again and one without a time are kept apart.
+    late = [(rows[2][0], 0, 9999, 0, 0, 1), rows[7], (None, 0, 9999, 0, 0, 1)]
+    spark.createDataFrame(late, TICKS).coalesce(1).write.mode("append").parquet(path)
+    out = run_alerts(spark, path, df.schema, known)
+    same(alerting.alerts(spark, out), alerts.alert_edges(df, known))
+    assert alerting.late_ticks(spark, out).count() == 3
+
+
+def test_a_trigger_may_hold_a_million_ticks_of_a_rule(spark, tmp_path):
+    seconds = F.col("id")
+    ticks = spark.range(1_000_000).select(
+        F.timestamp_seconds(seconds + 1700000000).alias("ts"), seconds.alias("logs_received"), (F.floor(seconds / 7) * (seconds % 3)).alias("logs_dropped"),
+        F.lit(0).cast("bigint").alias("bytes_written"), (F.floor(seconds / 1000) % 100).alias("disk_usage"), F.lit(100).cast("bigint").alias("disk_cap"))
+    path = scratch_dir(spark, "ticks")
+    ticks.write.parquet(path)
+    write_lines(tmp_path / "rules.json", [{"name": "disk", "metric": "disk_pct", "op": "gte", "threshold": 90},
+                                          {"name": "rise", "metric": "drop_rate", "op": "gt", "threshold": 200000, "detail": "r"}])
+    found = alerting.alerts(spark, run_alerts(spark, path, ticks.schema, str(tmp_path / "rules.json"), 1000))
+    assert found.where("rule = 'disk'").count() == 10
+    same(found, alerts.alert_edges(ticks, [AlertRule("disk", "disk_pct", "gte", 90), AlertRule("rise", "drop_rate", "gt", 200000, "r")]))
+
+
+def test_rules_from_a_file(spark, tmp_path):
+    good = {"name": "full", "metric": "disk_pct", "op": "gt", "threshold": 90}
+    path = str(tmp_path / "rules.json")
+    for bad, why in (({"metric": "cpu"}, "unknown metric: 'cpu'"), ({"metric": None}, "unknown metric"), ({"op": "eq"}, "unknown op: 'eq'"),
+                     ({"name": ""}, "no name"), ({"name": None}, "no name"), ({"threshold": None}, "no threshold"), ({"threshold": "high"}, "not a rule")):
+        write_lines(path, [good, good | {"name": "b"} | bad])
+        with pytest.raises(ValueError, match=why):
+            rules.read_alert_rules(spark, path)
+    for lines, why in (([good, good], "name used twice"), ([good, "rules:"], "not a rule"), (["[1]"], "not a rule")):
+        write_lines(path, lines)
+        with pytest.raises(ValueError, match=why):
+            rules.read_alert_rules(spark, path)
+    write_lines(path, [good, ""])
+    assert [tuple(r) for r in rules.read_alert_rules(spark, path).collect()] == [("full", "disk_pct", "gt", 90.0, "")]
+    write_lines(path, [])
+    assert rules.read_alert_rules(spark, path).collect() == []
+
+
+def test_patterns_from_a_file(spark, tmp_path, text_column):
+    path = str(tmp_path / "patterns.json")
+    one = {"name": "ticket", "regex": r"\bT-(\d+)", "replacement": "ticket $1"}
+    write_lines(path, [one, {"name": "a", "regex": "ticket", "replacement": "[x]"}])
+    assert text_column(lambda c: redact(c, ["ip_v4"], rules.read_patterns(spark, path)), ["T-12 at 10.1.2.3", None]) == ["[x] 12 at [REDACTED:ip]", None]
+    for bad, why in (({"regex": "("}, "'ticket' cannot be used"), ({"regex": ""}, "no pattern"), ({"name": "email"}, "builtin"), ({"name": None}, "no name")):
+        write_lines(path, [one | bad])
+        with pytest.raises(ValueError, match=why):
+            rules.read_patterns(spark, path)
