@@ -321,6 +321,38 @@ def test_url_aliases(spark, odd_pages):
     assert urls.judge(odd_pages.where("false"), rules).collect() == []
 
 
+def test_links_are_read_as_browsers_read_them(spark):
+    """``(page's url, html, resource that the link leads to)``; resources are host, path and query."""
+    def canonical(href):
+        return f'<link rel="canonical" href="{href}">'
+    cases = [
+        ("http://a.net/x", '<base href="http://example.org/es/">' + canonical("1"), "example.org/es/1"),
+        ("http://a.net/x/y", '<base target=_top><base href="../z/"><base href="http://no.org/">' + canonical("?q=1"), "a.net/z/?q=1"),
+        ("http://a.net/x", canonical("http&#58;//example.org/es/1"), "example.org/es/1"),
+        ("http://a.net/x", canonical("http&#x3A;&sol;&#47;example.org/&#233;&#128512;"), "example.org/\u00e9\U0001F600"),
+        ("http://a.net/x", canonical("/p?a=1&amp;b=2&copy=3&ampx=4&#0;"), "a.net/p?a=1&b=2&copy=3&ampx=4"),
+        ("http://a.net/x", canonical("/p?v=&amp;lt;"), "a.net/p?v=&lt;"),
+        ("http://a.net/x/y/z", canonical("../../es/./1"), "a.net/es/1"),
+        ("http://a.net/x/y/z", canonical("../../../../es/%2E%2e/"), "a.net/"),
+        ("http://a.net/x/y/z", canonical(".."), "a.net/x/"),
+        ("http://a.net/x/../y", canonical("/y"), None),
+        ("http://a.net/x?a=/../b", canonical("/x?a=/../b#c"), None),
+        ("http://a.net/x", canonical("#top"), None),
+        ("http://a.net/x", canonical("mailto:a@b.org"), None),
+        ("http://a.net/x", canonical(" \n/p\tq\n "), "a.net/pq"),
+        ("http://a.net/x", canonical("\\\\example.org\\es?c=\\"), "example.org/es?c=\\"),
+        ("http://a.net/x", '<meta http-equiv="refresh" content="0; url&#61;&#39;//b.org/n&#39;">', "b.org/n"),
+        ("http://a.net/x", '<link rel="&#99;anonical" href="//b.org">', "b.org/"),
+        ("http://a.net/x", "<!-- <base href='http://no.org/'> -->" + canonical("n"), "a.net/n"),
+    ]
+    rows = [(u.replace("a.net", f"a{i}.net"), h) for i, (u, h, _) in enumerate(cases)]
+    got = {r["a"].split("/")[0]: r["b"] for r in urls.edges(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert got == {f"a{i}.net": b.replace("a.net", f"a{i}.net") for i, (_, _, b) in enumerate(cases) if b}
+    rules = [("block", "example.org", "/es/")]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h, _) in enumerate(cases[:1] + cases[2:3])], "page_id bigint, url string, html string")
+    assert [r["verdict"] for r in urls.judge(pages, rules).collect()] == ["block", "block"]
+
+
 def test_warc_round_trip(spark, odd_pages):
     got = sorted(warc.round_trip(spark, odd_pages).collect(), key=str)
     assert len(got) == odd_pages.count() and all(r["record_type"] == "response" for r in got)
