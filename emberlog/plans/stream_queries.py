@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from emberlog.functions.labels import flatten_labels
+from emberlog.functions.labels import flatten_labels, service_label
 from emberlog.plans.ingest_queries import _HITS, _redact_ctes, rules_file
 from emberlog.plans.registry import ORACLES, query
-from emberlog.plans.tables import LOGS, SNAPSHOTS, is_error_sql, signature_sql
+from emberlog.plans.tables import HALF, LOGS, SNAPSHOTS, is_error_sql, signature_sql
 from emberlog.schema import AUDIT
 from emberlog.session import scratch_dir, streaming_session
 from emberlog.sources import captures, sinks
@@ -84,6 +84,52 @@ def stream_triage(t):
     return _finished(t, streams.minute_counts(_landed_entries(t), watermark=None), ["minute"])
 
 
+# Every fiftieth entry lands after all others; it is late if it lies over ten minutes before their end.
+_LATE = f"""WITH {LOGS}, high AS (SELECT max(ts) FILTER (WHERE event_id % 50 <> 7) AS t FROM logs),
+parted AS (SELECT *, event_id % 50 = 7 AND ts < (SELECT t FROM high) - INTERVAL 10 MINUTE AS late FROM logs),
+mark AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE AS t FROM parted WHERE NOT late)"""
+
+
+def _parted(t):
+    """Entries that land in order of time, half by half, and stragglers after them, parted by a stream."""
+    path, out, files = scratch_dir(t.spark, "landed"), scratch_dir(t.spark, "parted"), _several(t)
+    straggler = F.col("event_id") % 50 == 7
+    for part in (~straggler & (F.col("ts") < F.lit(HALF)), ~straggler & (F.col("ts") >= F.lit(HALF)), straggler):
+        t.logs().where(part).select("ts", "labels", "msg").repartition(files).write.mode("append").parquet(path)
+    entries = streams.entry_stream(streaming_session(t.spark), path, max_files=files)
+    streams.split_late(entries, out, scratch_dir(t.spark, "stream")).awaitTermination()
+    return out
+
+
+def _closed(t, windows):
+    entries = streams.entry_stream(streaming_session(t.spark), f"{_parted(t)}/timely")
+    out = scratch_dir(t.spark, "closed")
+    streams.keep_closed(windows(entries), out, scratch_dir(t.spark, "stream")).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("stream_rate_closed", f"""{_LATE} SELECT date_trunc('second', ts) AS second, CAST(count(*) AS BIGINT) AS logs_per_sec,
+  CAST(sum(strlen(msg)) AS BIGINT) AS bytes_per_sec FROM parted WHERE NOT late GROUP BY 1 HAVING second + INTERVAL 1 SECOND <= (SELECT t FROM mark)""")
+def stream_rate_closed(t):
+    """Under a watermark: seconds that are closed, without what came late."""
+    return _closed(t, streams.rates)
+
+
+@query("stream_triage_closed", f"""{_LATE} SELECT date_trunc('minute', ts) AS minute, CAST(count(*) AS BIGINT) AS total_lines,
+  CAST(count(*) FILTER (WHERE {is_error_sql()}) AS BIGINT) AS error_lines FROM parted WHERE NOT late GROUP BY 1
+HAVING minute + INTERVAL 1 MINUTE <= (SELECT t FROM mark)""")
+def stream_triage_closed(t):
+    return _closed(t, streams.minute_counts)
+
+
+@query("stream_late", f"{_LATE} SELECT app AS name, CAST(count(*) AS BIGINT) AS late_lines, CAST(sum(strlen(msg)) AS BIGINT) AS late_bytes FROM parted WHERE late GROUP BY 1")
+def stream_late(t):
+    """What came too late, by talker."""
+    late = t.spark.read.schema(streams.ENTRY).option("recursiveFileLookup", True).parquet(f"{_parted(t)}/late")
+    return late.groupBy(service_label(F.col("labels")).alias("name")).agg(
+        F.count(F.lit(1)).alias("late_lines"), F.sum(F.octet_length("msg")).alias("late_bytes"))
+
+
 @query("stream_signatures", f"""WITH {LOGS} SELECT {signature_sql()} AS signature, CAST(count(*) AS BIGINT) AS count, min(ts) AS first_seen
 FROM logs WHERE {is_error_sql()} GROUP BY 1""")
 def stream_signatures(t):

@@ -118,6 +118,44 @@ def minute_counts(entries: DataFrame, watermark: str | None = WATERMARK) -> Data
             .select(F.col("window.start").alias("minute"), "total_lines", "error_lines"))
 
 
+def split_late(entries: DataFrame, out: str, checkpoint: str, delay: str = WATERMARK) -> StreamingQuery:
+    """Part entries (ts, labels, msg) into ``out/timely`` and ``out/late``, folders by trigger.
+
+    Late is what lies more than ``delay`` before the latest time of earlier triggers, and what has no time. A
+    watermark of the same delay drops late rows without a trace; over ``timely`` it drops none, and the late
+    ones can be counted or added to closed windows. The latest time lies in two folders used in turn, so a retry
+    replaces what an earlier attempt left."""
+    def split(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = [spark.read.schema("high timestamp").parquet(f"{out}/high-{(number - 1) % 2}")] if number else []
+        high = before[0].agg(F.unix_micros(F.max("high"))).head()[0] if before else None
+        timely = F.col("ts").isNotNull()
+        if high is not None:
+            timely = F.coalesce(F.col("ts") >= F.timestamp_micros(F.lit(high).cast("bigint")) - F.expr(f"interval {delay}"), F.lit(False))
+        rows = batch.select("ts", "labels", "msg").persist()
+        try:
+            for name, part in (("timely", rows.where(timely)), ("late", rows.where(~timely))):
+                # One folder at least, so that there is something to read; none for triggers without rows.
+                if number == 0 or not part.isEmpty():
+                    part.write.mode("overwrite").parquet(f"{out}/{name}/trigger={number}")
+            latest_times = rows.agg(F.max("ts").alias("high"))
+            for earlier in before:
+                latest_times = latest_times.union(earlier).agg(F.max("high").alias("high"))
+            latest_times.write.mode("overwrite").parquet(f"{out}/high-{number % 2}")
+        finally:
+            rows.unpersist()
+
+    return (entries.writeStream.option("checkpointLocation", checkpoint)
+            .foreachBatch(split).trigger(availableNow=True).start())
+
+
+def keep_closed(windows: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write each window of ``rates`` or ``minute_counts`` once, when the watermark has passed its end;
+    only open windows are held as state."""
+    return (windows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
+
+
 def signatures(entries: DataFrame) -> DataFrame:
     """Running count and first time per error signature."""
     return (entries.where(is_error_once(F.col("msg")))

@@ -125,6 +125,25 @@ def test_watermark_closes_windows(spark, make_logs):
     assert 20 <= closed.count() < 40 and closed.agg(F.max("total_lines")).first()[0] == 1
 
 
+def test_late_entries_are_kept_apart_and_state_shrinks(spark, make_logs):
+    path, out, cp, closed = (scratch_dir(spark, n) for n in ("ordered", "parted", "cp", "closed"))
+    hours = [[(at("10:00:00") + timedelta(minutes=60 * h + i), {"h": str(h)}, f"{h}:{i}") for i in range(60)] for h in range(3)]
+    late = [(at("10:30:00"), {}, "late"), (None, {}, "no time"), (at("12:50:00"), {}, "just in time"), (at("12:48:59"), {}, "just late")]
+    for rows in (*hours, late):  # one file after another
+        make_logs(rows).select("ts", "labels", "msg").coalesce(1).write.mode("append").parquet(path)
+    streams.split_late(streams.entry_stream(spark, path, 1), out, cp).awaitTermination()
+    assert sorted(r.msg for r in spark.read.parquet(f"{out}/late").collect()) == ["just late", "late", "no time"]
+    assert spark.read.parquet(f"{out}/timely").count() == 181
+    windows = streams.minute_counts(streams.entry_stream(spark, f"{out}/timely", 1))
+    done = streams.keep_closed(windows, closed, scratch_dir(spark, "cp"))
+    done.awaitTermination()
+    state = [p["stateOperators"][0] for p in done.recentProgress if p["stateOperators"]]
+    assert max(s["numRowsTotal"] for s in state) >= 60 and state[-1]["numRowsTotal"] == 11  # 12:49 to 12:59 are open
+    assert sum(s["numRowsDroppedByWatermark"] for s in state) == 0
+    got = spark.read.parquet(closed)
+    assert got.count() == 169 and got.agg(F.sum("total_lines")).first()[0] == 169
+
+
 def test_ingest_redacts_before_the_sink_and_resumes(spark, tmp_path):
     out, cp = scratch_dir(spark, "out"), scratch_dir(spark, "cp")
 
