@@ -27,7 +27,7 @@ def _landed_entries(t):
 def _finished(t, running, keys):
     """Run a stream in update mode to its end and read the current values."""
     out = scratch_dir(t.spark, "updates")
-    streams.keep_updates(running, out, scratch_dir(t.spark, "stream")).awaitTermination()
+    streams.keep_updates(running, out, scratch_dir(t.spark, "stream"), keys).awaitTermination()
     return streams.latest(t.spark, out, keys)
 
 

@@ -170,19 +170,46 @@ def talkers(entries: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_lines"), F.count_if("_err").alias("error_lines")))
 
 
-def keep_updates(running: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def keep_updates(running: DataFrame, out: str, checkpoint: str, keys: list[str] | None = None,
+                 every: int = 20) -> StreamingQuery:
     """Write the rows that changed in each trigger to a folder of that trigger. Writing a
-    trigger again replaces its folder, so a retry does no harm."""
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/trigger={batch_id}")
+    trigger again replaces its folder, so a retry does no harm.
+
+    With ``keys`` the log stays short: after every so many triggers the current rows of all keys are folded into
+    one of two base folders used in turn, and the folders that the fold before had taken in go. So a fold never
+    reads what it replaces, nor what an attempt that failed may have removed."""
+    def fold(spark: SparkSession, number: int) -> None:
+        turn = number // every
+        first = turn * every
+        taken_in = [f"{out}/updates/trigger={n}" for n in range(first, number + 1)]
+        if turn:
+            taken_in.append(f"{out}/base-{(turn - 1) % 2}")
+        _newest(spark, taken_in, keys).write.mode("overwrite").parquet(f"{out}/base-{turn % 2}")
+        for taken in range(max(0, first - every), first):
+            _remove(spark, f"{out}/updates/trigger={taken}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("trigger", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{out}/updates/trigger={number}")
+        if keys and number % every == every - 1:
+            fold(batch.sparkSession, number)
 
     return (running.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
             .foreachBatch(write).trigger(availableNow=True).start())
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _newest(spark: SparkSession, paths: list[str], keys: list[str]) -> DataFrame:
+    """The newest row of each key in some folders, with its trigger."""
+    rows = spark.read.option("recursiveFileLookup", True).parquet(*paths)
+    values = [c for c in rows.columns if c not in (*keys, "trigger")]
+    return (rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "trigger").alias("_v"), F.max("trigger").alias("trigger"))
+            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values], "trigger"))
+
+
 def latest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
-    """The current value of each key from what ``keep_updates`` wrote."""
-    updates = spark.read.parquet(out)
-    values = [c for c in updates.columns if c not in (*keys, "trigger")]
-    return (updates.groupBy(*keys).agg(F.max_by(F.struct(*values), "trigger").alias("_v"))
-            .select(*keys, *[F.col(f"_v.{c}").alias(c) for c in values]))
+    """The current value of each key from what ``keep_updates`` wrote; to be read between triggers."""
+    return _newest(spark, [out], keys).drop("trigger")

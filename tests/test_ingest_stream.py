@@ -1,5 +1,6 @@
 import json
 from datetime import timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,6 +112,20 @@ def test_streamed_triage_equals_batch(spark, make_logs):
     same(counters.select("name", F.col("received").alias("count")), ingest.ingest_talkers(logs))
 
 
+def test_update_log_is_folded(spark, make_logs):
+    # Talkers 0 to 3 come up again and again, those from 100 on once each: old rows must outlive the folds.
+    logs = make_logs([("10:00:00", {"app": f"s{i % 4 if i % 2 else 100 + i}"}, "m" * i) for i in range(44)])
+    path, out = scratch_dir(spark, "landed"), scratch_dir(spark, "updates")
+    logs.select("ts", "labels", "msg").repartition(11).write.parquet(path)
+    running = streams.counters(streams.entry_stream(spark, path, max_files=1))
+    folded = streams.keep_updates(running, out, scratch_dir(spark, "cp"), ["name"], every=2)
+    folded.awaitTermination()
+    assert folded.lastProgress["batchId"] >= 10
+    same(streams.latest(spark, out, ["name"]).select("name", F.col("received").alias("count")), ingest.ingest_talkers(logs))
+    folders = {p.name for p in (*Path(out).iterdir(), *(Path(out) / "updates").iterdir())}
+    assert {"base-0", "base-1", "updates"} < folders and len(folders) <= 3 + 2 * 2
+
+
 def test_watermark_closes_windows(spark, make_logs):
     logs = make_logs([(at("10:00:00") + timedelta(minutes=i), {}, "m") for i in range(40)])
     path = scratch_dir(spark, "ordered")
