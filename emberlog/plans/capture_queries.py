@@ -9,6 +9,7 @@ from emberlog.operators import capture_index as ci, integrity, retention
 from emberlog.operators.filters import slice_logs
 from emberlog.operators.triage import error_timeline
 from emberlog.plans.filter_queries import FROM, T_FROM, T_TO, TO
+from emberlog.params import parse_age, parse_size
 from emberlog.plans.registry import query
 from emberlog.plans.tables import CAPTURES, CHRONOLOGICAL, INDEX, LOGS
 from emberlog.plans.triage_queries import TIMELINE
@@ -103,6 +104,15 @@ def retention_plan(t):
     return retention.retention_plan(captures, NOW, timedelta(days=20), cap // 2)
 
 
+@query("retention_parameters", f"""WITH {CAPTURES},
+left_over AS (SELECT *, sum(bytes) OVER (ORDER BY started, dir) AS upto, sum(bytes) OVER () AS total FROM captures WHERE NOT started < TIMESTAMP '2024-01-11')
+SELECT dir, started, bytes, 'max-age' AS reason FROM captures WHERE started < TIMESTAMP '2024-01-11'
+UNION ALL SELECT dir, started, bytes, 'max-total' FROM left_over WHERE total - (upto - bytes) > 65536""")
+def retention_parameters(t):
+    """An age and a size as users write them."""
+    return retention.retention_plan(t.captures(), NOW, parse_age("20d"), parse_size("64KB"))
+
+
 @query("disk_cap_plan", f"""WITH {CAPTURES},
 c AS (SELECT dir AS file, bytes, sum(bytes) OVER (ORDER BY dir) AS upto, sum(bytes) OVER () AS total FROM captures)
 SELECT file, bytes FROM c WHERE total - (upto - bytes) > total * 2 // 3""")

@@ -4,12 +4,13 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Window, functions as F
 
+from emberlog import params
 from emberlog.functions.labels import flatten_labels
 from emberlog.functions.messages import is_error, normalize_message
 from emberlog.operators import filters, grep as search
 from emberlog.operators.ordering import semi_join_small
 from emberlog.plans.registry import query
-from emberlog.plans.tables import CHRONOLOGICAL, INDEX, LOGS, NUMBERED, is_error_sql, signature_sql
+from emberlog.plans.tables import CHRONOLOGICAL, HALF, INDEX, LOGS, NUMBERED, is_error_sql, signature_sql
 
 FROM = datetime(2024, 1, 10, 6, tzinfo=timezone.utc)
 TO = datetime(2024, 1, 20, 18, tzinfo=timezone.utc)
@@ -28,6 +29,14 @@ def filter_time(t):
     return t.logs().where(filters.time_between(F.col("ts"), FROM, TO)).select(*COLUMNS)
 
 
+@query("filter_parameters", _sql("ts >= TIMESTAMP '2024-01-16 10:32:00' AND ts <= TIMESTAMP '2024-01-20 17:30:00' AND app = 'svc-1'"))
+def filter_parameters(t):
+    """Times and labels as users write them: a clock time of a day, an age, ``key=value``."""
+    first, last = params.parse_time("10:32", HALF, TO), params.parse_time("-30m", HALF, TO)
+    logs = t.logs().where(filters.time_between(F.col("ts"), first, last))
+    return filters.filter_logs(logs, labels=dict([params.parse_label("app=svc-1")])).select(*COLUMNS)
+
+
 @query("filter_labels", _sql("app = 'svc-1' AND env = 'prod'"))
 def filter_labels(t):
     return filters.filter_logs(t.logs(), labels={"app": "svc-1", "env": "prod", "zone": ""}).select(*COLUMNS)
