@@ -42,14 +42,23 @@ def errors_only(logs: DataFrame, a: str, b: str, top: int | None = None) -> Data
     return found.withColumn("_rank", rank).where(F.col("_rank") <= top).drop("_rank")
 
 
+def _key_sides(keys: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows (capture, key), however many, to one per key: whether A and whether B has it."""
+    return (keys.where(F.col("capture").isin(a, b))
+            .groupBy("key").agg(F.bool_or(_of(a)).alias("_a"), F.bool_or(_of(b)).alias("_b")))
+
+
 def labels_only(index: DataFrame, a: str, b: str) -> DataFrame:
     """Label keys that only one of the captures knows (from the index)."""
-    return (index.where(F.col("capture").isin(a, b))
-            .select("capture", F.explode(F.map_keys("labels")).alias("key"))
-            .groupBy("key").agg(F.bool_or(_of(a)).alias("_a"), F.bool_or(_of(b)).alias("_b"))
+    return (_key_sides(index.select("capture", F.explode(F.map_keys("labels")).alias("key")), a, b)
             .where("_a <> _b").select(F.when(F.col("_a"), "a").otherwise("b").alias("side"), "key"))
 
 
+def key_difference(keys: DataFrame, a: str, b: str) -> DataFrame:
+    """Keys of A that B has not, from rows (capture, key). Counted map-side, as a join would bring all rows of a key together."""
+    return _key_sides(keys, a, b).where("_a and not _b").select("key")
+
+
 def baseline_error_delta(logs: DataFrame, baseline: str, current: str) -> DataFrame:
     """Current signatures that are new or more than doubled."""
     return (signature_counts(logs, baseline, current)

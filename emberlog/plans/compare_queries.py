@@ -72,8 +72,9 @@ def labels_only(t):
 @query("label_difference", f"""WITH {_KEYED}
 SELECT key FROM idx_labels WHERE capture = 'base' EXCEPT SELECT key FROM idx_labels WHERE capture = 'current'""")
 def label_difference(t):
+    """Of each key is kept which captures have it, from the first pass on: a key's entries never meet in a task."""
     keys = _relabelled(t).select("capture", F.explode(F.map_keys("labels")).alias("key"))
-    return keys.where("capture = 'base'").select("key").subtract(keys.where("capture = 'current'").select("key"))
+    return compare.key_difference(keys, "base", "current")
 
 
 @query("baseline_error_delta", f"""WITH {_SIDES.replace("capture = 'base'", "capture = 'svc-0'").replace("capture = 'current'", "capture = 'svc-1'")

@@ -79,3 +79,31 @@ def test_skew_confidence(make_logs, count, confidence):
     texts = [f"error kind {chr(97 + i)}" for i in range(count)]
     logs = make_logs(rows("a", 6, count, texts) + rows("b", 5, count, texts, shift=1))
     assert merging.detect_skew(logs).first().confidence == confidence
+
+
+def test_label_difference_counts_before_the_shuffle(spark, tmp_path):
+    """Two keys and any number of entries: what is shuffled are rows by key and task, not by entry."""
+    from emberlog.plans import all_queries
+    from pyspark.sql import functions as F
+    n = 5000
+    (spark.range(0, n, 1, 2).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-15 00:00:00' + make_dt_interval(0, 0, 0, id * 30)").alias("ts"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 9).alias("user_id"), F.lit("click").alias("event_type"), F.lit(1.0).alias("value"))
+     .write.parquet(f"{tmp_path}/events.parquet"))
+    found = all_queries()["label_difference"](spark, str(tmp_path))
+    assert [tuple(r) for r in found.collect()] == [("env",)]
+
+    shuffled, todo = [], [found._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+        else:
+            if node.nodeName() in ("Exchange", "BroadcastExchange"):
+                rows = "shuffleRecordsWritten" if node.nodeName() == "Exchange" else "numOutputRows"
+                shuffled.append(node.metrics().apply(rows).value())
+            children = node.children()
+            todo.extend(children.apply(i) for i in range(children.size()))
+    assert shuffled and max(shuffled) <= 100
