@@ -15,6 +15,10 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# A folder listed by a task of its own costs far more than the listing; a few tasks per core list as fast.
+LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+MIN_LISTING_TASKS = 64
+
 # Stored bytes per shuffle partition; compressed columns grow a few times when read.
 PARTITION_BYTES = 64 << 20
 MAX_PARTITIONS = 200_000
@@ -22,7 +26,10 @@ MAX_PARTITIONS = 200_000
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the run-time settings to an existing session."""
-    for key, value in RUNTIME_CONF.items():
+    settings = dict(RUNTIME_CONF)
+    if getattr(spark, "_jvm", None) is not None:  # a remote session: the cluster's setting stands
+        settings[LISTING_TASKS] = str(max(MIN_LISTING_TASKS, 4 * spark.sparkContext.defaultParallelism))
+    for key, value in settings.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
     return spark

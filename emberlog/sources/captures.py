@@ -123,18 +123,49 @@ def _found(spark: SparkSession, glob: str) -> bool:
     return bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path))
 
 
-def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
-    """Lines of written captures with their folders as partition columns; none if there are other data files too."""
+def _layout(spark: SparkSession, path: str | list[str]) -> tuple[str, str] | None:
+    """Of a path with written data files: the folder whose folders Spark reads as partitions, and where those
+    of the data files lie (a glob). None if there are none right below, or it cannot be told."""
     if not isinstance(path, str) or getattr(spark, "_jvm", None) is None:
         return None
     root = path.rstrip("/")
     if _found(spark, f"{root}/capture=*/seg=*"):
-        base, glob, capture = root, f"{root}/capture=*", F.col("capture")
-    else:
-        base = next((b for b in (f"{root}/data", root) if _found(spark, f"{b}/seg=*")), None)
-        glob, capture = base, _capture(F.lit(f"{base}/_"))
-    if base is None or not list_files(spark, path).where("not own_folder").isEmpty():
+        return root, f"{root}/capture=*"
+    base = next((b for b in (f"{root}/data", root) if _found(spark, f"{b}/seg=*")), None)
+    return base and (base, base)
+
+
+def _not_starting(prefix: str) -> str:
+    """A glob of the visible names that do not start with ``prefix``."""
+    shorter = [name for n in range(1, len(prefix)) for name in (prefix[:n], f"{prefix[:n]}[^{prefix[n]}]*")]
+    return "{" + ",".join([f"[^{prefix[0]}._]*", *shorter]) + "}"
+
+
+def _beside_segments(spark: SparkSession, path: str | list[str]) -> list[str] | None:
+    """What else there is beside the folders of written data files, as paths to read: those folders, of which there
+    is one a file, are then not listed. None if ``path`` has no such folders."""
+    layout = _layout(spark, path)
+    if layout is None:
+        return None
+    root, (base, data) = path.rstrip("/"), layout
+    beside = [f"{data}/{_not_starting('seg=')}"]
+    if data != base:
+        beside.append(f"{root}/{_not_starting('capture=')}")
+    elif base != root:
+        beside += [f"{root}/{_not_starting('data')}", f"{root}/data?*"]
+    return [glob for glob in beside if _found(spark, glob)]
+
+
+def _segments(spark: SparkSession, path: str | list[str]) -> DataFrame | None:
+    """Lines of written captures with their folders as partition columns; none if there are other data files too."""
+    layout = _layout(spark, path)
+    if layout is None:
+        return None
+    beside = _beside_segments(spark, path)
+    if beside and not list_files(spark, beside).isEmpty():
         return None
+    base, glob = layout
+    capture = F.col("capture") if base != glob else _capture(F.lit(f"{base}/_"))
     schema = "value string, capture string, seg string" if base != glob else "value string, seg string"
     lines = (spark.read.schema(schema).option("basePath", base).option("pathGlobFilter", DATA_GLOB).option("ignoreMissingFiles", True).text(glob))
     return lines.where("value <> ''").select("value", capture.alias("capture"), F.col("seg").alias("file"), F.col("_metadata.file_block_start").alias("block"))
@@ -219,7 +250,7 @@ def tail_capture(spark: SparkSession, path: str, n: int, grep: str | None = None
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index rows of all captures below ``path``; bad lines are skipped, no index gives no rows."""
-    rows = _files(spark, "*.{jsonl,json}").text(path)
+    rows = _files(spark, "*.{jsonl,json}").text(_beside_segments(spark, path) or path)
     rows = rows.where(_is_index(_path(), _name()) & (F.trim("value") != "")).select(
         "value", _capture(_path()).alias("capture"))
     schema = T.StructType([*INDEX.fields, T.StructField("_corrupt", T.StringType())])
@@ -239,13 +270,13 @@ def full_index(spark: SparkSession, path: str, index: DataFrame | None = None) -
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     """Session records of all captures below ``path``, with ``capture`` and ``dir``."""
     docs = (_files(spark, "*.json").schema(METADATA).option("multiLine", True)
-            .option("mode", "DROPMALFORMED").json(path))
+            .option("mode", "DROPMALFORMED").json(_beside_segments(spark, path) or path))
     return docs.where(_is_metadata(_path(), _name())).select(
         _capture(_path()).alias("capture"), _capture_dir(_path()).alias("dir"),
         *METADATA.fieldNames())
 
 
-def list_files(spark: SparkSession, path: str, data_only: bool = True) -> DataFrame:
+def list_files(spark: SparkSession, path: str | list[str], data_only: bool = True) -> DataFrame:
     """capture, dir, file, bytes of each file, and whether it has a folder of its own; the contents are not read."""
     files = _files(spark, DATA_GLOB if data_only else "*").format("binaryFile").load(path)
     plain, name = _plain(F.col("path")), _file(F.col("path"))

@@ -67,7 +67,7 @@ def _write(logs: DataFrame, path: str, data: str, keys: Sequence[str], order: Se
     lines.write.mode(mode).option("compression", compression).partitionBy(*keys, "seg").text(data)
     index = build_index(placed.select(*keys, F.col("seg").alias("file"), "ts", "labels", "_size"), F.col("_size"), [*keys, "file"])
     index.write.mode(mode).option("timestampFormat", TIMES).partitionBy(*keys).json(f"{path}/index")
-    metadata = build_metadata(read_index(spark, path), redaction)
+    metadata = build_metadata(read_index(spark, f"{path}/index"), redaction)
     (metadata if keys else metadata.drop("capture")).write.mode(mode).option("timestampFormat", TIMES).partitionBy(*keys).json(f"{path}/metadata")
 
 

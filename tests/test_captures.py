@@ -3,6 +3,7 @@
 import gzip
 import io
 import json
+from pathlib import Path
 
 import pytest
 import zstandard
@@ -286,3 +287,46 @@ def test_files_are_chosen_in_the_plan(spark, make_logs):
     one = f"{root}/capture=c1"
     rows, opened = _read(src.read_lines_of(spark, one, index.where("capture = 'c1'").orderBy("file").limit(2)))
     assert opened == 2 and {r.capture for r in rows} == {"c1"}
+
+
+def _jobs(spark, make):
+    """What ``make`` returns, and the stages' tasks that its planning alone took."""
+    group = scratch_dir(spark, "group")
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        made, tracker = make(), spark.sparkContext.statusTracker()
+        stages = [s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds]
+        return made, sum(tracker.getStageInfo(s).numTasks for s in stages)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("write", [sinks.write_captures, sinks.write_capture])
+def test_index_is_found_without_listing_data_folders(spark, make_logs, write):
+    logs = make_logs([(f"10:00:{i:02d}", {"app": "api"}, f"m{i}", "f1", "cap") for i in range(35)])
+    root = scratch_dir(spark, "captures")
+    write(logs, root, max_entries=1)
+    index, tasks = _jobs(spark, lambda: src.read_index(spark, root))
+    assert tasks == 0 and index.agg({"lines": "sum"}).first()[0] == 35
+    meta, tasks = _jobs(spark, lambda: src.read_metadata(spark, root))
+    assert tasks == 0 and meta.count() == 1
+
+
+def test_flat_capture_beside_written_ones(spark, make_logs):
+    root = scratch_dir(spark, "captures")
+    sinks.write_captures(make_logs([(f"10:00:{i:02d}", {"app": "api"}, f"m{i}", "f1", "cap") for i in range(3)]), root)
+    (folder := Path(root, "captured")).mkdir()
+    write_lines(folder / "a.jsonl", [{"ts": "2024-01-15T10:00:00Z", "labels": {"app": "api"}, "msg": "flat"}])
+    write_lines(folder / "index.jsonl", [{"file": "a.jsonl", "from": "2024-01-15T10:00:00Z", "to": "2024-01-15T10:00:00Z", "lines": 1}])
+    write_lines(folder / "metadata.json", [{"version": 1}])
+    index = src.read_index(spark, root)
+    assert index.agg({"lines": "sum"}).first()[0] == 4 and src.read_metadata(spark, root).count() == 2
+    assert src.read_lines_of(spark, root, index.select("capture", "file")).count() == 4
+
+
+@pytest.mark.parametrize("prefix", ["seg=", "capture=", "data"])
+def test_names_beside_data_folders(spark, prefix):
+    glob = spark._jvm.org.apache.hadoop.fs.GlobPattern(src._not_starting(prefix))
+    names = ["s", "se", "seg", "seg=1", "sega", "sx", "index", "c", "capture", "capture=", "capture=1", "captured", "data", "data2", "d", "dat", "dot.x"]
+    assert [n for n in names if glob.matches(n)] == [n for n in names if not n.startswith(prefix)]
+    assert not glob.matches("_SUCCESS") and not glob.matches(".hidden")
