@@ -81,9 +81,14 @@ def _is_data(path: Column, name: Column) -> Column:
     return ~name.isin(*NOT_DATA) & ~stray & ~_below(path, "index") & ~_below(path, "metadata")
 
 
+#: Paths, as URIs, of which one match says what ``_is_data`` would cut from them; the others go the long way.
+_PLAINLY_DATA = (r"^[^%]*(?<!/index)(?<!/metadata)/(?!(?:index|metadata)/|seg=)[^/%]+/"
+                 r"(?:seg=s[0-9-]+-[0-9a-f]+/[^/%]+|(?!(?:index|audit)\.jsonl\z)[^/%]*\.jsonl(?:\.zst|\.gz)?)\z")
+
+
 def is_data_file() -> Column:
-    """Whether a row of a file reader comes from a file with entries."""
-    return _is_data(_path(), _name())
+    """Whether a row of a file reader comes from a file with entries. Asked once a file in the listing, and then of every line."""
+    return F.col("_metadata.file_path").rlike(_PLAINLY_DATA) | _is_data(_path(), _name())
 
 
 def _is_index(path: Column, name: Column) -> Column:
@@ -113,7 +118,7 @@ def read_lines(spark: SparkSession, path: str | list[str], only: Column | None =
     lines = _files(spark, DATA_GLOB).text(path)
     if only is not None:
         lines = lines.where(only)
-    return lines.where(_is_data(_path(), _name()) & (F.col("value") != "")).select(
+    return lines.where(is_data_file() & (F.col("value") != "")).select(
         "value", _capture(_path()).alias("capture"), _name().alias("file"),
         F.col("_metadata.file_block_start").alias("block"))
 

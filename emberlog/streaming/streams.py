@@ -44,6 +44,12 @@ def ingest(payloads: DataFrame, out: str, checkpoint: str, redactor: bool | Iter
             .option("path", out).outputMode("append").trigger(availableNow=True).start())
 
 
+def _spread(batch: DataFrame) -> DataFrame:
+    """The rows of a trigger over all cores: its few files would else keep as few of them busy, at every volume."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(cores) if batch.rdd.getNumPartitions() < cores else batch
+
+
 def ingest_capture(payloads: DataFrame, root: str, checkpoint: str, redactor: bool | Iterable[str] | None = True,
                    custom=(), now: datetime | None = None, event: str = "loki_push_received") -> StreamingQuery:
     """Ingest into captures: each trigger becomes one below ``root``, with data files, index and session
@@ -58,7 +64,7 @@ def ingest_capture(payloads: DataFrame, root: str, checkpoint: str, redactor: bo
 
     def write(batch: DataFrame, number: int) -> None:
         numbered = batch.withColumn("_payload", F.monotonically_increasing_id())
-        entries = explode_loki(numbered, "payload", now)
+        entries = explode_loki(_spread(numbered), "payload", now)
         if redactor:
             entries = redact_with_hits(entries, "msg", names, custom)
         entries = entries.persist()

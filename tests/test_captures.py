@@ -330,3 +330,17 @@ def test_names_beside_data_folders(spark, prefix):
     names = ["s", "se", "seg", "seg=1", "sega", "sx", "index", "c", "capture", "capture=", "capture=1", "captured", "data", "data2", "d", "dat", "dot.x"]
     assert [n for n in names if glob.matches(n)] == [n for n in names if not n.startswith(prefix)]
     assert not glob.matches("_SUCCESS") and not glob.matches(".hidden")
+
+
+def test_plain_paths_need_one_match(spark):
+    """What a single match takes for data is data by the whole rule, and what is written or flat goes that way."""
+    seg = "seg=s00000001-00000-000000-0a1b2c3d"
+    plain = [f"file:/t/capture=a/{seg}/part-0.txt", f"file:/t/cap/data/{seg}/part-0.txt.gz", "file:/t/cap/2024.jsonl", "s3a://b/cap/x.jsonl.zst"]
+    others = [f"file:/t/{folder}/{name}" for folder in ("cap", "cap/data", "index", "metadata", "index/capture=a", "metadata/capture=a", "cap/index", seg,
+                                                         f"index/{seg}", f"index/capture=a/{seg}", f"{seg}/{seg}", "ca%20p", "cap/seg=index.jsonl", "cap/seg=x.txt")
+              for name in ("index.jsonl", "audit.jsonl", "metadata.json", "manifest.sha256", "a.txt", "a.jsonl", "a%2Fb.jsonl", "part-0.json")]
+    paths = spark.createDataFrame([(p,) for p in plain + others], "p string")
+    path = src._unescaped(F.col("p"))
+    rows = paths.select("p", F.col("p").rlike(src._PLAINLY_DATA).alias("plainly"), src._is_data(src._plain(path), src._file(path)).alias("data")).collect()
+    assert all(r.data for r in rows if r.plainly) and {r.p for r in rows if r.plainly} >= set(plain)
+    assert any(r.data and not r.plainly for r in rows) and any(not r.data for r in rows)

@@ -266,3 +266,10 @@ def test_patterns_from_a_file(spark, tmp_path, text_column):
         write_lines(path, [one | bad])
         with pytest.raises(ValueError, match=why):
             rules.read_patterns(spark, path)
+
+
+def test_a_trigger_of_few_files_keeps_all_cores_busy(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few, many = spark.range(0, 100, 1, 1), spark.range(0, 100, 1, cores + 1)
+    assert streams._spread(few).rdd.getNumPartitions() == cores and streams._spread(few).count() == 100
+    assert streams._spread(many).rdd.getNumPartitions() == cores + 1
