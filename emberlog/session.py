@@ -13,6 +13,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A batch on its way to Python is held by Spark, as Arrow data and as Python's strings at once, by every task.
+    # The default of 64 MB a batch, filled by whole texts, takes hundreds of MB of an executor; 8 MB are no slower.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 # A folder listed by a task of its own costs far more than the listing; a few tasks per core list as fast.
