@@ -11,13 +11,12 @@ documents share is neither gathered in one task nor paired with itself.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -30,10 +29,14 @@ RUN_WORDS = 24
 #: has more words than this.
 SENTENCE_WORDS = 12
 
+#: Unicode's white space.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A sentence with the marks and the white space after it. Every character belongs to one.
-SENTENCE = regex.compile(r"[^.!?\n]*+(?:[.!?\n]+\s*+|\Z)")
+SENTENCE = re.compile(rf"[^.!?\n]*+(?:[.!?\n]+[{SPACE}]*+|\Z)")
 #: A word with the white space around it.
-WORD = regex.compile(r"\s*+\S++\s*+")
+WORD = re.compile(rf"[{SPACE}]*+[^{SPACE}]++[{SPACE}]*+")
+#: Sentences whose runs are made at a time; bounds a task's memory. The sentences of a text stay together.
+AT_ONCE = 100_000
 #: Number of repeated runs up to which a Bloom filter of them goes to all tasks (10 bits a run: 12.5 MB); it is no more than
 #: a filter, what passes is joined. Beyond it, the filter is left out.
 FILTERED_RUNS = 10_000_000
@@ -50,12 +53,15 @@ SPREAD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 MASK = (1 << 64) - 1
 
 
-class _Hashes(dict):
-    """Hash of each word, worked out once for a batch of texts."""
+class _Hashes:
+    """Hashes of words. Hashing a word takes less time than looking it up, so none is kept."""
 
-    def __missing__(self, word: str) -> int:
-        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
+    @staticmethod
+    def of(words: list[str]) -> list[int]:
+        try:
+            return list(map(xxhash.xxh3_64_intdigest, words))
+        except UnicodeEncodeError:  # half of a surrogate pair
+            return [xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
 
 
 def _ends(hashes: list[int]) -> list[int]:
@@ -85,7 +91,7 @@ def sentences(text: str, known: _Hashes | None = None) -> list[str]:
     for sentence in SENTENCE.findall(text):
         if len(sentence) > 2 * SENTENCE_WORDS and len(words := sentence.split()) > SENTENCE_WORDS:
             parts, start = WORD.findall(sentence), 0
-            for end in _ends([known[w] for w in words]):
+            for end in _ends(known.of(words)):
                 out.append("".join(parts[start:end + 1]))
                 start = end + 1
         elif sentence:
@@ -98,7 +104,7 @@ def _count(text: str, known: _Hashes) -> int:
     n = 0
     for sentence in SENTENCE.findall(text):
         if len(sentence) > 2 * SENTENCE_WORDS and len(words := sentence.split()) > SENTENCE_WORDS:
-            n += len(_ends([known[w] for w in words]))
+            n += len(_ends(known.of(words)))
         elif sentence:
             n += 1
     return n
@@ -118,49 +124,81 @@ def _pieces(text: str, known: _Hashes) -> tuple[list[int], bytes]:
                 hashes.append(xxhash.xxh3_64_digest(" ".join(words).encode("utf-8", "surrogatepass")))
             continue
         start = 0
-        for end in _ends([known[w] for w in words]):
+        for end in _ends(known.of(words)):
             sizes.append(end + 1 - start)
             hashes.append(xxhash.xxh3_64_digest(" ".join(words[start:end + 1]).encode("utf-8", "surrogatepass")))
             start = end + 1
     return sizes, b"".join(hashes)
 
 
-def _runs(sizes: list[int], hashes: bytes) -> list[tuple[int, int, int, int, bool]]:
-    upto, places = [0, *accumulate(sizes)], [0, *accumulate(8 * (size > 0) for size in sizes)]
-    n, found, stop, start = len(sizes), set(), 0, 0
-    for i in range(n):
-        stop = max(stop, i + RUN_SENTENCES)
-        need = upto[i] + RUN_WORDS
-        while stop <= n and upto[stop] < need:
-            stop += 1
-        if stop > n:
-            break
-        found.add((i, stop))
-    for j in range(RUN_SENTENCES, n + 1):
-        most, last = upto[j] - RUN_WORDS, j - RUN_SENTENCES
-        while start < last and upto[start + 1] <= most:
-            start += 1
-        if upto[start] <= most:
-            found.add((start, j))
-    out, seen, digest = [], set(), xxhash.xxh3_128_intdigest
-    for a, b in sorted(found):
-        h = digest(hashes[places[a]:places[b]])
-        out.append((a, b, (h >> 64) - (1 << 63), (h & MASK) - (1 << 63), h in seen))
-        seen.add(h)
-    return out
+#: Odd numbers that mix the hashes of a run's sentences into its two.
+MIXERS = (0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F)
+
+
+def _mixed(h: np.ndarray, by: int) -> np.ndarray:
+    """A one-to-one mixture of 64-bit numbers."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(by)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+
+
+def _first_again(doc: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Whether an earlier run of the same text has the same hashes; runs of a text are in order."""
+    again = np.zeros(len(doc), bool)
+    key = _mixed(h1 ^ _mixed(doc.astype(np.uint64) + np.uint64(1), MIXERS[0]), MIXERS[1])
+    key_sorted = np.sort(key)
+    twice = np.unique(key_sorted[1:][key_sorted[1:] == key_sorted[:-1]])
+    if len(twice):
+        at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
+        at = at[np.lexsort((at, h2[at], h1[at], doc[at]))]
+        same = (doc[at[1:]] == doc[at[:-1]]) & (h1[at[1:]] == h1[at[:-1]]) & (h2[at[1:]] == h2[at[:-1]])
+        again[at[1:][same]] = True
+    return again
+
+
+def _runs(sizes: np.ndarray, ends: np.ndarray, hashes: bytes) -> tuple[np.ndarray, ...]:
+    """Text, start, stop, both hashes and ``again`` of every run of several texts, by text and place. ``sizes`` are the
+    words of the sentences of all texts one after the other, ``ends`` the number of sentences up to the end of
+    each text, ``hashes`` those of the sentences that have words."""
+    n = len(sizes)
+    upto = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    begin, end = (np.concatenate([[0], ends[:-1]]) if len(ends) else ends)[text], ends[text]
+    at = np.arange(n)
+    # From each sentence on, the first stop that has enough; and before each, the last start.
+    stop = np.maximum(np.searchsorted(upto, upto[:-1] + RUN_WORDS), at + RUN_SENTENCES)
+    on = stop <= end
+    start = np.minimum(np.searchsorted(upto, upto[1:] - RUN_WORDS, side="right") - 1, at + 1 - RUN_SENTENCES)
+    back = start >= begin
+    back[back] = stop[start[back]] != at[back] + 1  # those that are not found forwards as well
+    starts, stops = np.concatenate([at[on], start[back]]), np.concatenate([stop[on], at[back] + 1])
+    order = np.argsort(starts * np.int64(n + 1) + stops)
+    starts, stops = starts[order], stops[order]
+    # The sentences with words of a run, one after the other; no more than RUN_WORDS have to be taken but for the ends.
+    worded = np.concatenate([[0], np.cumsum(sizes > 0)])
+    own, first, count = np.frombuffer(hashes, "<u8"), worded[starts], worded[stops] - worded[starts]
+    h1, h2 = (_mixed(count.astype(np.uint64), m) for m in MIXERS)
+    left, k = np.arange(len(starts)), 0
+    while len(left := left[count[left] > k]):
+        piece = own[first[left] + k]
+        for h, m in ((h1, MIXERS[0]), (h2, MIXERS[1])):
+            h[left] = _mixed(h[left] ^ piece, m) + piece
+        k += 1
+    which = text[starts] if n else starts
+    return which, starts - begin[starts], stops - begin[starts], h1.view(np.int64), h2.view(np.int64), _first_again(which, h1, h2)
 
 
 def runs(text: str) -> list[tuple[int, int, int, int, bool]]:
     """(start, stop, h1, h2, again) of every run, in order; ``stop`` is exclusive, and ``again`` tells that
     the text has had the same run before. White space does not count. A run's hash is that of the hashes of its
     sentences, without those that have no word."""
-    return _runs(*_pieces(text, _Hashes()))
+    sizes, hashes = _pieces(text, _Hashes())
+    found = _runs(np.array(sizes, np.int64), np.array([len(sizes)]), hashes)
+    return list(zip(*(column.tolist() for column in found[1:]), strict=True))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        known = _Hashes()
-        rows = [_pieces(text.as_py(), known) for text in batch.column(1)]
+        rows = [_pieces(text.as_py(), _Hashes()) for text in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], CUT.field(1).type), pa.array([r[1] for r in rows], pa.binary())], schema=CUT)
 
 
@@ -196,24 +234,24 @@ def _passes(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _emit(schema: pa.Schema, packed: np.ndarray | None = None):
     """Runs of the cut texts as rows of ``schema``; with a filter, only those that pass it."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
         for batch in batches:
-            for doc_id, sizes, hashes in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                rows += [(doc_id, *run) for run in _runs(sizes, hashes)]
-                if len(rows) > 100_000:
-                    yield _batch(rows, schema, packed)
-                    rows = []
-        if rows:
-            yield _batch(rows, schema, packed)
+            upto = np.cumsum(batch.column(1).value_lengths().to_numpy(), dtype=np.int64)
+            parts = np.flatnonzero(np.diff(upto // AT_ONCE)) + 1
+            for first, last in zip([0, *parts], [*parts, len(upto)], strict=True):
+                yield _batch(batch.slice(first, last - first), schema, packed)
     return of
 
 
-def _batch(rows: list[tuple], schema: pa.Schema, packed: np.ndarray | None) -> pa.RecordBatch:
-    columns = dict(zip(RUNS.names, zip(*rows, strict=True), strict=True))
-    out = pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
-    if packed is None:
-        return out
-    return out.filter(pa.array(_passes(packed, np.array(columns["h1"], np.int64))))
+def _batch(cut: pa.RecordBatch, schema: pa.Schema, packed: np.ndarray | None) -> pa.RecordBatch:
+    ids, sizes, hashes = cut.columns
+    text, start, stop, h1, h2, again = _runs(
+        sizes.flatten().to_numpy(), np.cumsum(sizes.value_lengths().to_numpy(), dtype=np.int64), b"".join(hashes.to_pylist()))
+    columns = {"start": start, "stop": stop, "h1": h1, "h2": h2, "again": again}
+    if packed is not None:
+        passes = _passes(packed, h1)
+        text, columns = text[passes], {k: v[passes] for k, v in columns.items()}
+    arrays = [ids.take(pa.array(text)) if f.name == "doc_id" else pa.array(columns[f.name]).cast(f.type) for f in schema]
+    return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
 def repeated(docs: DataFrame) -> DataFrame:
@@ -239,16 +277,17 @@ def repeated(docs: DataFrame) -> DataFrame:
 @F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()),
                             T.StructField("n_removed", T.LongType())]))
 def _without(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
+    # Texts that lose nothing stay where they are: null stands for them.
     rows, known = [], _Hashes()
     for text, own in zip(texts, spans, strict=True):
         if own is None:
-            rows.append((text, _count(text, known), 0))
+            rows.append((None, _count(text, known), 0))
             continue
         parts = sentences(text, known)
         drop = set()
         for span in own:
             drop.update(range(span["start"], span["stop"]))
-        rows.append(("".join(p for i, p in enumerate(parts) if i not in drop) if drop else text, len(parts), len(drop)))
+        rows.append(("".join(p for i, p in enumerate(parts) if i not in drop) if drop else None, len(parts), len(drop)))
     return pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed"])
 
 
@@ -262,5 +301,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     and lose nothing."""
     spans = repeated(docs).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     own = docs.select("doc_id", text_of().alias("text"))
-    cleaned = own.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", _without("text", "spans").alias("r"))
-    return cleaned.select("doc_id", "r.text", "r.n_sentences", "r.n_removed")
+    cleaned = own.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", _without("text", "spans").alias("r"))
+    return cleaned.select("doc_id", F.coalesce("r.text", "text").alias("text"), "r.n_sentences", "r.n_removed")
